@@ -46,10 +46,10 @@ def _(x):
 
 
 @query("merge_sales", """WITH s AS (SELECT * FROM coarse_seq),
-  stored AS (SELECT * FROM s WHERE sold_date < TIMESTAMP '2024-01-20'),
+  kept AS (SELECT * FROM s WHERE sold_date < TIMESTAMP '2024-01-20'),
   incoming AS (SELECT * FROM s WHERE sold_date >= TIMESTAMP '2024-01-17')
   SELECT item_id, sold_date, unit_price, qty, dup_seq, min(id) AS id FROM incoming i
-  WHERE NOT EXISTS (SELECT 1 FROM stored o WHERE o.item_id = i.item_id AND o.sold_date = i.sold_date
+  WHERE NOT EXISTS (SELECT 1 FROM kept o WHERE o.item_id = i.item_id AND o.sold_date = i.sold_date
     AND o.unit_price = i.unit_price AND o.qty = i.qty AND o.reinforce = i.reinforce AND o.dup_seq = i.dup_seq)
   GROUP BY ALL""")
 def _(x):

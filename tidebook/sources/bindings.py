@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidebook.operators.candles import candles_1h
 from tidebook.operators.ingest import book_snapshot
 from tidebook.session import pin_utc
 
@@ -80,6 +81,18 @@ class Inputs:
                 .withColumn("saturated", F.col("sold_rows") >= 3)
                 .withColumn("error", F.when(failed, F.lit("timeout"))))
 
+    def candles(self, wide: bool = True) -> DataFrame:
+        return candles_1h(self.trades(wide), ["item_id", "category"])
+
+    def raw_max_id(self, before: str = "2024-01-29 12:00:00"):
+        """Highest sale id known when the bars were last built, as a scalar subquery."""
+        return self._events().filter(F.col("sold_date") < before).agg(F.max("id")).scalar()
+
+    def known_bars(self, wide: bool = True) -> DataFrame:
+        """Bars as stored: built from the sales known at that time."""
+        t = self.trades(wide)
+        return candles_1h(t.filter(F.col("id") <= self.raw_max_id()), ["item_id", "category"])
+
     def source_trades(self) -> DataFrame:
         """The same history held by three overlapping sources."""
         t = self.trades()
