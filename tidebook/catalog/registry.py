@@ -62,8 +62,9 @@ def with_views(body: str) -> str:
     ctes = [f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in needed]
     body = body.strip()
     if body.upper().startswith("WITH "):
-        ctes.append(body[5:].lstrip())
-        return "WITH " + ",\n".join(ctes)
+        recursive = body.upper().startswith("WITH RECURSIVE ")
+        ctes.append(body[15 if recursive else 5:].lstrip())
+        return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes)
     return (("WITH " + ",\n".join(ctes) + "\n") if ctes else "") + body
 
 

@@ -47,3 +47,15 @@ view("srcsn", """SELECT *, 'A' AS source, 0 AS source_rank FROM sn WHERE day(cap
 view("own", """SELECT item_id, source, valid_from, valid_to FROM it, (VALUES
   ('A', CAST(NULL AS TIMESTAMP), TIMESTAMP '2024-01-11'), ('B', TIMESTAMP '2024-01-11', TIMESTAMP '2024-01-20'),
   ('C', TIMESTAMP '2024-01-20', NULL)) e(source, valid_from, valid_to)""")
+view("cal", """SELECT id, 'notice ' || CAST(id AS VARCHAR) AS name, category AS type, sold_date - INTERVAL 1 DAY AS announced_at,
+  sold_date AS starts_at, sold_date + INTERVAL 3 DAY AS ends_at,
+  CASE k % 3 WHEN 1 THEN [item_id] WHEN 2 THEN list_distinct([item_id, category || '-0']) END AS related FROM tr WHERE unit_price > 20000""")
+view("chk", """SELECT id, substr('ABC', CAST(user_id % 3 AS INTEGER) + 1, 1) AS source, sold_date AS checked_at,
+  CASE WHEN k <> 50 THEN k / 2 END AS gap_min, CASE WHEN k <> 75 THEN CASE WHEN k % 10 = 0 THEN k % 4 ELSE 0 END END AS stale_items FROM tr""")
+view("epo", """SELECT * FROM (VALUES ('A', CAST(NULL AS TIMESTAMP), TIMESTAMP '2024-01-20'), ('B', TIMESTAMP '2024-01-11', NULL),
+  ('C', TIMESTAMP '2024-01-20', NULL)) e(source, valid_from, valid_to)""")
+view("sob", """SELECT date_trunc('hour', sold_date) AS scan_id, item_id, min(unit_price) FILTER (k % 3 <> 0) AS min_price,
+  count(*) FILTER (k % 3 <> 0) AS listing_count,
+  CASE WHEN min(k) = 0 THEN 'failed' WHEN count(*) FILTER (k % 3 <> 0) > 0 THEN 'observed' ELSE 'empty' END AS status FROM tr GROUP BY 1, 2""")
+view("ta", "SELECT * FROM tr WHERE sold_date <= TIMESTAMP '2024-01-30 12:00:00'")
+view("sa", "SELECT * FROM sn WHERE captured_at <= TIMESTAMP '2024-01-30 12:00:00'")

@@ -120,6 +120,43 @@ class Inputs:
                          epoch("C", "2024-01-20 00:00:00", None))
         return self.items(wide).select("item_id", F.explode(epochs).alias("e")).select("item_id", "e.*")
 
+    def calendar(self) -> DataFrame:
+        """Dated events; some name their items, some apply to all."""
+        t = self.trades().filter(F.col("unit_price") > 20000)
+        item = F.col("item_id")
+        related = (F.when(F.col("k") % 3 == 1, F.array(item))
+                   .when(F.col("k") % 3 == 2, F.array_distinct(F.array(item, F.concat(F.col("category"), F.lit("-0"))))))
+        return t.select("id", F.concat(F.lit("notice "), F.col("id").cast("string")).alias("name"),
+                        F.col("category").alias("type"), (F.col("sold_date") - F.expr("INTERVAL 1 DAY")).alias("announced_at"),
+                        F.col("sold_date").alias("starts_at"), (F.col("sold_date") + F.expr("INTERVAL 3 DAYS")).alias("ends_at"),
+                        related.alias("related"))
+
+    def health_checks(self) -> DataFrame:
+        """Check lines of three sources."""
+        t = self.trades()
+        source = F.element_at(F.array(*[F.lit(s) for s in "ABC"]), (F.col("user_id") % 3 + 1).cast("int"))
+        return t.select("id", source.alias("source"), F.col("sold_date").alias("checked_at"),
+                        F.when(F.col("k") != 50, F.col("k") / 2).alias("gap_min"),
+                        F.when(F.col("k") != 75, F.when(F.col("k") % 10 == 0, F.col("k") % 4).otherwise(0)).cast("bigint").alias("stale_items"))
+
+    def source_epochs(self) -> DataFrame:
+        """Times in which each source is expected to report: A until day 20, B from day 11, C from day 20."""
+        rows = ("SELECT * FROM VALUES ('A', NULL, TIMESTAMP '2024-01-20'), ('B', TIMESTAMP '2024-01-11', NULL), "
+                "('C', TIMESTAMP '2024-01-20', NULL) AS e(source, valid_from, valid_to)")
+        return self.spark.sql(rows)
+
+    def scan_observations(self) -> DataFrame:
+        """One scan per hour over the items seen in it."""
+        low = F.min(F.when(F.col("k") % 3 != 0, F.col("unit_price")))
+        return (self.trades().groupBy(F.date_trunc("hour", "sold_date").alias("scan_id"), "item_id")
+                .agg(low.alias("min_price"), F.count_if(F.col("k") % 3 != 0).alias("listing_count"), F.min("k").alias("_k"))
+                .withColumn("status", F.when(F.col("_k") == 0, "failed").when(F.col("min_price").isNotNull(), "observed").otherwise("empty"))
+                .drop("_k"))
+
+    def catalog(self) -> DataFrame:
+        return self.table("part").select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("item_name"),
+                                         F.col("p_type").alias("item_type"), F.col("p_brand").alias("item_kind"))
+
     def notices(self) -> DataFrame:
         return self.table("pages").select("page_id", "url", "html")
 
