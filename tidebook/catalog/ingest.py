@@ -84,7 +84,7 @@ def _(x):
 CAP = 10
 view("lseen", """SELECT auction_no, item_id, category, batch, arg_max(unit_price, (observed_at, id)) AS unit_price,
   arg_max(cur_count, (observed_at, id)) AS cur_count, arg_max(expire_date, (observed_at, id)) AS expire_date,
-  any_value(upgrade) AS upgrade FROM lr GROUP BY 1, 2, 3, 4""")
+  any_value(upgrade) AS upgrade, any_value(upgrade_max) AS upgrade_max FROM lr GROUP BY 1, 2, 3, 4""")
 view("lpolls", f"""SELECT item_id, batch, CASE WHEN count(*) >= {CAP} THEN max(unit_price) END AS ceiling
   FROM lseen GROUP BY 1, 2""")
 view("ljudged", """WITH n AS (SELECT *, lead(batch) OVER w AS next_batch, lead(cur_count) OVER w AS next_count,
