@@ -27,17 +27,24 @@ class Inputs:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _events(self) -> DataFrame:
-        return self.table("events").select(
+    def stream_table(self, name: str) -> DataFrame:
+        schema = self.table(name).schema
+        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
+    def stream_trades(self, wide: bool = True) -> DataFrame:
+        return self.trades(wide, self.stream_table("events"))
+
+    def _events(self, events: DataFrame | None = None) -> DataFrame:
+        return (self.table("events") if events is None else events).select(
             F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("sold_date"), "user_id",
             F.col("event_type").alias("category"),
             F.round(F.col("value") * 100).cast("bigint").alias("unit_price"),
             F.get_json_object("props", "$.k").cast("int").alias("k"))
 
-    def trades(self, wide: bool = True) -> DataFrame:
+    def trades(self, wide: bool = True, events: DataFrame | None = None) -> DataFrame:
         """Sales of 40 items (`wide`) or of 5 busy items."""
         item = F.concat_ws("-", "category", (F.col("user_id") % 8).cast("string")) if wide else F.col("category")
-        return self._events().select(
+        return self._events(events).select(
             "id", item.alias("item_id"), "category", "sold_date", "unit_price",
             (F.lit(1) + F.col("k") % 10).cast("int").alias("qty"), F.lit(0).alias("reinforce"), "user_id", "k")
 
