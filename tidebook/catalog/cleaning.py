@@ -9,7 +9,7 @@ TIERED = "error"
 view("cdays", f"""WITH raw AS (SELECT item_id, {KDAY.format('sold_date')} AS day, quantile_cont(unit_price, 0.5) AS median,
     count(*) AS observed_n, CAST(sum(qty) AS BIGINT) AS observed_qty, count(*) FILTER (id <= (SELECT raw_max_id FROM st)) AS en,
     coalesce(sum(qty) FILTER (id <= (SELECT raw_max_id FROM st)), 0) AS eq FROM tr WHERE category <> 'error' GROUP BY 1, 2),
-  x AS (SELECT item_id, {KDAY.format('hour')} AS day, sum(n + CASE WHEN h = 12345 THEN 1 ELSE 0 END) AS n, sum(qty) AS qty FROM stbars
+  x AS (SELECT item_id, {KDAY.format('hour')} AS day, sum(n) AS n, sum(qty) AS qty FROM stbars
     WHERE category <> 'error' GROUP BY 1, 2),
   d AS (SELECT coalesce(raw.item_id, x.item_id) AS item_id, coalesce(raw.day, x.day) AS day, median,
     coalesce(observed_n, 0) AS observed_n, coalesce(observed_qty, 0) AS observed_qty,

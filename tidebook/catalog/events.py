@@ -68,7 +68,7 @@ def study_sql(bh, ah):
 
 
 for _b, _a in ((6, 1), (6, 6), (3, 2)):
-    @query(f"hourly_event_study_{_b}h_{_a}h", study_sql(_b, _a))
+    @query("hourly_event_study" if (_b, _a) == (6, 6) else f"hourly_event_study_{_b}h_{_a}h", study_sql(_b, _a))
     def _(x, _b=_b, _a=_a):
         return op.hourly_event_study(x.candles(wide=False), _hourly_events(x), _b, _a)
 

@@ -166,7 +166,7 @@ def _(x):
 
 
 for _dir, _cmp, _ord in (("up", "> 0", "DESC"), ("down", "< 0", "ASC")):
-    @query(f"top_movers_{_dir}", f"""SELECT item_id, {r('chg')} AS chg, qty24, CAST(row_number() OVER (ORDER BY chg {_ord}, item_id) AS INTEGER) AS rank FROM metr
+    @query("top_movers" if _dir == "up" else "top_movers_down", f"""SELECT item_id, {r('chg')} AS chg, qty24, CAST(row_number() OVER (ORDER BY chg {_ord}, item_id) AS INTEGER) AS rank FROM metr
       WHERE price_basis = 'trade' AND vwap24 > 0 AND vwap_prev > 0 AND qty24 >= 20 AND chg {_cmp} ORDER BY chg {_ord}, item_id LIMIT 10""")
     def _(x, _dir=_dir):
         return op.top_movers(_metrics(x), _dir, min_qty=20).select("item_id", "chg", "qty24", "rank")

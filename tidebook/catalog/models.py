@@ -11,7 +11,7 @@ from tidebook.sources.bindings import AS_OF
 
 KD = "CAST(CAST(hour + INTERVAL 9 HOUR AS DATE) AS VARCHAR)"
 view("hsp", """WITH a AS (SELECT item_id, hour, CAST(gold AS DOUBLE) / qty AS vwap, row_number() OVER (PARTITION BY item_id ORDER BY hour) AS i, count(*) OVER (PARTITION BY item_id) AS m,
-    date_diff('hour', min(hour) OVER (PARTITION BY item_id), hour) AS x FROM c1), b AS (SELECT *, least(24, floor(m * 0.3)) AS test FROM a)
+    date_diff('hour', min(hour) OVER (PARTITION BY item_id), hour) AS x FROM c1 WHERE gold > 0), b AS (SELECT *, least(24, floor(m * 0.3)) AS test FROM a)
   SELECT *, i <= m - test AS train, ln(vwap) AS y, hour(hour + INTERVAL 9 HOUR) AS clock FROM b WHERE m >= 24 AND m - test >= 16 AND test >= 6""")
 view("hco", """WITH d AS (SELECT clock, y - avg(y) OVER (PARTITION BY item_id) AS dev FROM hsp WHERE train), l AS (SELECT c.clock, coalesce(avg(dev), 0) AS c FROM range(24) c(clock) LEFT JOIN d ON d.clock = c.clock GROUP BY 1)
   SELECT clock, c - avg(c) OVER () AS coef FROM l""")

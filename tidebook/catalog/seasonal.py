@@ -231,7 +231,7 @@ def profile_sql(series, keys, least, allowed=""):
 
 POUT = f"set_id, boundary, kind, slot, n, {r('value')} AS value, {r('median')} AS median, up, down FROM prof"
 for _m in ("price", "listings"):
-    @query(f"seasonal_profile_{_m}", f"WITH se AS (SELECT item_id, hour, value FROM sin WHERE metric = '{_m}'), {profile_sql('se', [], 18)} SELECT {POUT}")
+    @query("seasonal_profile" if _m == "price" else "seasonal_profile_listings", f"WITH se AS (SELECT item_id, hour, value FROM sin WHERE metric = '{_m}'), {profile_sql('se', [], 18)} SELECT {POUT}")
     def _(x, _m=_m):
         return op.seasonal_profile(_inputs(x).filter(F.col("metric") == _m), _bridge(x), AS_OF)
 
@@ -283,7 +283,7 @@ def rep_sql(b):
 
 SUM = f"count(*) AS n, count(*) FILTER (pct > 0) AS up, count(*) FILTER (pct < 0) AS down, {r('quantile_cont(pct, 0.5)')} AS median_pct, {r('avg(pct)')} AS mean_pct"
 for _b in (0, 6):
-    @query(f"repetition_{_b}h", f"WITH {rep_sql(_b)}, dd AS (SELECT set_id, mode, day, avg(pct) AS pct FROM md GROUP BY 1, 2, 3) SELECT set_id, mode, {SUM} FROM dd GROUP BY 1, 2")
+    @query("repetition" if _b == 6 else "repetition_0h", f"WITH {rep_sql(_b)}, dd AS (SELECT set_id, mode, day, avg(pct) AS pct FROM md GROUP BY 1, 2, 3) SELECT set_id, mode, {SUM} FROM dd GROUP BY 1, 2")
     def _(x, _b=_b):
         return op.repetition(op.repetition_days(_flagged(x), _bridge(x), AS_OF, _b, min_hours=16))
 

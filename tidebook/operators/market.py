@@ -174,17 +174,18 @@ def depth_quote(ladder: DataFrame, target: int) -> DataFrame:
         F.when(F.col("filled") == target, F.col("_cost") / target).alias("avg_cost"), "total_qty", "best_ask", "best_qty")
 
 
-def event_fanout(calendar: DataFrame, items: DataFrame) -> DataFrame:
+def event_fanout(calendar: DataFrame, items: DataFrame, spread: int = 64) -> DataFrame:
     """(event, item) pairs: the listed items, or every item for an event that names none.
 
-    Events for everybody carry no list; they meet the item dimension on a constant key because each of
-    those pairs is part of the result.
+    An event for everybody is by definition paired with the whole dimension. Those events are dealt over
+    `spread` keys and the dimension is repeated per key, so the pairs are formed in as many tasks.
     """
-    everyone = F.coalesce(F.size("related"), F.lit(0)) == 0
+    everyone = F.coalesce(F.size("related"), F.lit(0)) <= 0
     named = calendar.filter(~everyone).withColumn("item_id", F.explode("related")).drop("related")
-    ids = items.select("item_id", F.lit(0).alias("_k"))
-    general = calendar.filter(everyone).drop("related").withColumn("_k", F.lit(0)).join(ids, "_k").drop("_k")
-    return named.unionByName(general)
+    keys = F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")
+    ids = items.select("item_id", F.explode(keys).alias("_k"))
+    general = calendar.filter(everyone).drop("related").withColumn("_k", F.pmod(F.xxhash64("id"), F.lit(spread)))
+    return named.unionByName(general.join(ids, "_k").drop("_k"))
 
 
 def top_movers(metrics: DataFrame, direction: str, keep: int = 10, min_qty: int = 100) -> DataFrame:

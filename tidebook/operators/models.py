@@ -20,7 +20,7 @@ GROWTH = [0.0, 0.02, 0.05, 0.1]
 def _split(bars: DataFrame) -> DataFrame:
     """Mark the last 30 % of an item's bars (24 at most) as test; short series take no part."""
     order = Window.partitionBy("item_id").orderBy("hour")
-    b = bars.select("item_id", "hour", "vwap").withColumn("i", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
+    b = bars.filter("vwap > 0").select("item_id", "hour", "vwap").withColumn("i", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
     test = F.least(F.lit(24), F.floor(F.col("m") * 0.3))
     return (b.withColumn("test", test).filter((F.col("m") >= 24) & (F.col("m") - F.col("test") >= 16) & (F.col("test") >= 6))
             .withColumn("train", F.col("i") <= F.col("m") - F.col("test")))
