@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidebook.catalog.candles import KDAY
 from tidebook.catalog.registry import query, r, view
 from tidebook.operators import candles as bars, cleaning as op
+from tidebook.session import reuse
 
 TIERED = "error"
 view("cdays", f"""WITH raw AS (SELECT item_id, {KDAY.format('sold_date')} AS day, quantile_cont(unit_price, 0.5) AS median,
@@ -89,7 +90,7 @@ def _(x):
 
 @query("cleaned_join_verify", OM + """om o WHERE NOT EXISTS (SELECT 1 FROM duk p WHERE p.item_id = o.item_id AND p.day = o.day AND day(p.day) % 7 = 0)""")
 def _(x):
-    rows = op.outlier_methods(x.trades())
+    rows = reuse(op.outlier_methods(x.trades()))
     prior = bars.daily_ohlc(x.candles()).withColumn(
         "n", F.when(F.dayofmonth("day") % 7 == 0, F.col("n") + 1).otherwise(F.col("n")))
     return op.cleaned_join_verify(rows, rows, prior, "2024-01-16")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from tidebook.catalog.registry import query, r, view
 from tidebook.catalog.seasonal import TODAY, _effect
 from tidebook.operators import candles as bars, events as op
+from tidebook.session import reuse
 
 KD = "CAST({} + INTERVAL 9 HOUR AS DATE)"
 view("cali", """SELECT id AS event_id, u.item_id, starts_at, announced_at FROM cal, unnest(related) AS u(item_id) WHERE len(related) > 0""")
@@ -89,8 +90,8 @@ view("mem", """SELECT item_id, CASE category WHEN 'click' THEN 'treatment' WHEN
 def members(x):
     c, last = F.col("category"), F.substring("item_id", -1, 1)
     i = x.items().filter(((c == "click") & (last < "6")) | c.isin("view", "purchase", "signup"))
-    return i.select("item_id", F.when(c == "click", "treatment").when(c == "view", "control").otherwise("spillover").alias("side"), (last.cast("int") + 1).alias("position"),
-                    F.when(c == "click", F.lit("2024-01-26").cast("date")).alias("expires_day"))
+    return reuse(i.select("item_id", F.when(c == "click", "treatment").when(c == "view", "control").otherwise("spillover").alias("side"), (last.cast("int") + 1).alias("position"),
+                    F.when(c == "click", F.lit("2024-01-26").cast("date")).alias("expires_day")))
 
 
 THROUGH = "2024-01-29"

@@ -5,6 +5,7 @@ from tidebook.catalog.candles import ASK, KDAY, NOW
 from tidebook.catalog.ingest import CAP
 from tidebook.catalog.registry import query, r, view
 from tidebook.operators import candles as bars, ingest, market as op
+from tidebook.session import reuse
 from tidebook.sources.bindings import AS_OF
 
 T = "error"
@@ -257,7 +258,7 @@ view("linv", """SELECT *, CASE WHEN reason = 'vanished_before_expiry' THEN (SELE
 
 def marked_deltas(x):
     rows = x.listing_rows()
-    d = ingest.listing_diff(rows, CAP)
+    d = reuse(ingest.listing_diff(rows, CAP))
     inv = ingest.invalidate_vanished(d, rows).select("auction_no", "observed_at", F.lit("vanished_before_expiry").alias("reason"), "invalidated_at")
     return d.join(inv, ["auction_no", "observed_at", "reason"], "left")
 

@@ -7,7 +7,7 @@ from tidebook.functions.exact import exact_sum, ratio
 from tidebook.functions.timeutil import KST, day_number, hour_of, local_day, local_ts
 from tidebook.operators.candles import candles_1h
 from tidebook.plans.quantiles import exact_quantiles, quantile_columns, ranked_values, value_counts
-from tidebook.session import cut_lineage
+from tidebook.session import reuse
 
 DAY = ["item_id", "day"]
 
@@ -16,7 +16,7 @@ def _day_prices(trades: DataFrame, tz: str, **carry: Column) -> DataFrame:
     """Sales counted per item, local day and price."""
     counts = value_counts(trades.withColumn("day", local_day("sold_date", tz)), DAY, "unit_price", None,
                           {"q": F.sum("qty"), **carry})
-    return cut_lineage(counts)         # read several times by every caller
+    return reuse(counts)         # read several times by every caller
 
 
 def cleaning_days(trades: DataFrame, bars: DataFrame, raw_max_id: Column, tiered: str, tz: str = KST) -> DataFrame:
@@ -146,7 +146,7 @@ def weighted_quantiles(trades: DataFrame, bars: DataFrame, items: DataFrame, raw
             .agg(F.sum("qty").alias("q"), F.count(F.lit(1)).alias("n")))
     hist = (fine.select("item_id", grains(F.col("hour")), "unit_price", "q", "n")
             .select("item_id", "g.*", "unit_price", "q", "n"))
-    hist = cut_lineage(value_counts(hist, keys, "unit_price", "q", {"_c": F.sum("n")}))
+    hist = reuse(value_counts(hist, keys, "unit_price", "q", {"_c": F.sum("n")}))
     got = ranked_values(hist, keys, "unit_price").groupBy(*keys).agg(
         *quantile_columns("unit_price", [("q25", "weighted", .25), ("median", "weighted", .5), ("q75", "weighted", .75)]),
         F.sum("_c").alias("rn"), F.sum("_w").alias("rq"), F.min("unit_price").alias("rl"), F.max("unit_price").alias("rh"))

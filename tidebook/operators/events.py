@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebook.functions.exact import ratio
 from tidebook.functions.timeutil import KST, hour_number, iso_dow, local_ts
+from tidebook.session import reuse
 
 
 def event_window_7(series: DataFrame, events: DataFrame, before: str, days: int = 7) -> DataFrame:
@@ -127,7 +128,7 @@ def study_prices(daily: DataFrame, members: DataFrame, through: str, min_trades:
     """
     j = daily.join(members, "item_id")
     ok = (F.col("n") >= min_trades) & (F.col("day") <= F.lit(through).cast("date")) & (F.col("expires_day").isNull() | (F.col("day") < F.col("expires_day")))
-    return j.filter(ok).select("item_id", "side", "day", "vwap")
+    return reuse(j.filter(ok).select("item_id", "side", "day", "vwap"))
 
 
 def side_logs(prices: DataFrame, groups: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def did_excess(logs: DataFrame) -> DataFrame:
     """Treatment less control per variant and day."""
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("v")))
     g = logs.groupBy("variant", "day").agg(side("treatment").alias("t"), side("control").alias("c"))
-    return g.filter("t IS NOT NULL AND c IS NOT NULL").withColumn("value", F.col("t") - F.col("c"))
+    return reuse(g.filter("t IS NOT NULL AND c IS NOT NULL").withColumn("value", F.col("t") - F.col("c")))
 
 
 def did_contrast(excess: DataFrame, windows: DataFrame, through: str, share: float = .8) -> DataFrame:
@@ -175,11 +176,10 @@ def study_groups(members: DataFrame, leave_out: int = 4) -> DataFrame:
     base = members.filter(F.col("side").isin("treatment", "control")).select("side", "item_id", "position")
     main = base.select(F.lit("main").alias("variant"), "side", "item_id")
     c = base.filter("side = 'control'")
-    drop = c.filter(F.col("position") <= leave_out).select(F.col("item_id").alias("out"), F.lit(0).alias("_k"))
-    omit = (base.withColumn("_k", F.lit(0)).join(drop, "_k").filter(F.col("item_id") != F.col("out"))
+    ids = lambda rows: rows.agg(F.sort_array(F.collect_list("item_id"))).scalar()
+    omit = (base.withColumn("out", F.explode(ids(c.filter(F.col("position") <= leave_out)))).filter(F.col("item_id") != F.col("out"))
             .select(F.concat(F.lit("without "), "out").alias("variant"), "side", "item_id"))
-    pose = c.select(F.col("item_id").alias("out"), F.lit(0).alias("_k"))
-    space = (c.withColumn("_k", F.lit(0)).join(pose, "_k")
+    space = (c.withColumn("out", F.explode(ids(c)))
              .select(F.concat(F.lit("posing "), "out").alias("variant"), F.when(F.col("item_id") == F.col("out"), "treatment").otherwise("control").alias("side"), "item_id"))
     return main.unionByName(omit).unionByName(space)
 

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebook.functions.timeutil import KST, seconds_between
 from tidebook.plans.quantiles import exact_quantiles
-from tidebook.plans.split import newest, null_safe_join, numbered, oldest
+from tidebook.plans.split import newest, numbered, oldest
+from tidebook.session import reuse
 
 SALE_KEY = ["item_id", "sold_date", "unit_price", "qty", "reinforce", "dup_seq"]
 LISTING_CAP = 400
@@ -74,8 +75,8 @@ def listing_state(rows: DataFrame) -> DataFrame:
 
 def sightings(rows: DataFrame) -> DataFrame:
     """One row per listing and poll: the last observation inside the poll."""
-    return newest(rows, ["auction_no", "item_id", "category", "batch"], ["observed_at", "id"],
-                  ["unit_price", "cur_count", "expire_date", "upgrade", "upgrade_max"])
+    return reuse(newest(rows, ["auction_no", "item_id", "category", "batch"], ["observed_at", "id"],
+                        ["unit_price", "cur_count", "expire_date", "upgrade", "upgrade_max"]))
 
 
 def polls(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
@@ -114,7 +115,7 @@ def judged(rows: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
                .filter((F.col("later") >= F.col("expire_date")) | F.col("ceiling").isNull()
                        | (F.col("unit_price") < F.col("ceiling")))
                .groupBy("auction_no", "batch").agg(F.min("later").alias("closed_at")))
-    return s.join(settled, ["auction_no", "batch"], "left")
+    return reuse(s.join(settled, ["auction_no", "batch"], "left"))
 
 
 def listing_diff(rows: DataFrame, cap: int = LISTING_CAP) -> DataFrame:

@@ -7,6 +7,7 @@ from tidebook.functions.exact import exact_sum, pct_change, ratio
 from tidebook.functions.timeutil import as_ts, hour_of, hours_ago, local_day, seconds_between
 from tidebook.operators.candles import ask_rows
 from tidebook.plans.split import newest, trailing_sums
+from tidebook.session import reuse
 
 
 def _span_days(ts: str) -> Column:
@@ -160,6 +161,7 @@ def depth_quote(ladder: DataFrame, target: int) -> DataFrame:
 
     Every level offers at least one unit, so only the `target` cheapest levels of an item can matter.
     """
+    ladder = reuse(ladder)
     order = Window.partitionBy("item_id").orderBy("unit_price")
     levels = ladder.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= target)
     levels = levels.withColumn("_prev", F.coalesce(F.sum("qty").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -9,7 +9,7 @@ from tidebook.functions.timeutil import as_ts, hour_of
 from tidebook.operators.candles import candles_1h
 from tidebook.operators.ingest import SALE_KEY
 from tidebook.plans.split import newest, numbered, oldest
-from tidebook.session import cut_lineage
+from tidebook.session import reuse
 
 _SPACE = 1 << 44          # ids of one source stay below this many slices
 
@@ -24,7 +24,7 @@ def merge_trades(sources: DataFrame, as_of: str, key: Sequence[str] = SALE_KEY,
     Copies collapse in a partial aggregate; the renumbering works per id slice and adds slice totals.
     """
     rows = sources.filter(F.col("sold_date") <= as_ts(as_of)).withColumnRenamed("id", "source_id")
-    kept = cut_lineage(oldest(rows, key, ["source_rank", "source_id"]))      # counted, then numbered
+    kept = reuse(oldest(rows, key, ["source_rank", "source_id"]))      # counted, then numbered
     kept = kept.withColumn("_slice", _slice(F.col("source_rank"), F.col("source_id"), chunk_rows))
     return numbered(kept, [], "_slice", ["source_id"], "id").drop("_slice")
 
@@ -111,7 +111,7 @@ def unify_eligible(sources: DataFrame, states: DataFrame, as_of: str, key: Seque
     cols = [c for c in rows.columns if c not in (*key, "raw_max_id")]
     m = rows.groupBy(*key).agg(F.min_by(F.struct(*cols), F.struct("source_rank", "source_id")).alias("_r"),
                                F.bool_or(F.col("source_id") <= F.col("raw_max_id")).alias("eligible"))
-    m = cut_lineage(m.select(*key, "_r.*", "eligible"))
+    m = reuse(m.select(*key, "_r.*", "eligible"))
     late = F.when(F.col("eligible"), F.lit(0)).otherwise(1 << 10)
     m = m.withColumn("_slice", _slice(F.col("source_rank") + late, F.col("source_id"), chunk_rows))
     return numbered(m, [], "_slice", ["source_id"], "id").drop("_slice")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebook.functions.timeutil import KST, as_ts, hour_number, local_day, local_ts
 from tidebook.plans.quantiles import exact_quantiles
+from tidebook.session import reuse
 
 GROWTH = [0.0, 0.02, 0.05, 0.1]
 
@@ -22,7 +23,7 @@ def _split(bars: DataFrame) -> DataFrame:
     order = Window.partitionBy("item_id").orderBy("hour")
     b = bars.filter("vwap > 0").select("item_id", "hour", "vwap").withColumn("i", F.row_number().over(order)).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("item_id")))
     test = F.least(F.lit(24), F.floor(F.col("m") * 0.3))
-    return (b.withColumn("test", test).filter((F.col("m") >= 24) & (F.col("m") - F.col("test") >= 16) & (F.col("test") >= 6))
+    return reuse(b.withColumn("test", test).filter((F.col("m") >= 24) & (F.col("m") - F.col("test") >= 16) & (F.col("test") >= 6))
             .withColumn("train", F.col("i") <= F.col("m") - F.col("test")))
 
 
@@ -138,6 +139,7 @@ def ridge_hourly(points: DataFrame, horizons: Sequence[int] = (1, 3, 6), tz: str
     `points` has item_id, hour, price, stock. A forecast at t trains on samples whose end is not after t.
     """
     p = points.withColumn("t", hour_number("hour")).select("item_id", "hour", "t", "price", "stock")
+    p = reuse(p)
     prev = p.select("item_id", (F.col("t") + 1).alias("t"), F.col("price").alias("_pp"), F.col("stock").alias("_ps"))
     base = p.join(prev, ["item_id", "t"]).withColumns({
         "x0": F.log(F.col("price") / F.col("_pp")), "x1": F.log((1 + F.col("stock")) / (1 + F.col("_ps")))})
@@ -176,7 +178,7 @@ def joint_forecast(points: DataFrame, as_of: str, horizons: Sequence[int], origi
     `points` has item_id, hour, price, stock, known. Features at t: change over 24 h, phase of the clock,
     change of stock over 3 h. One row per item, day and horizon; `state` tells why a day was not issued.
     """
-    p = points.filter(F.col("hour") + F.expr("INTERVAL 1 HOUR") <= as_ts(as_of)).withColumn("t", hour_number("hour"))
+    p = reuse(points.filter(F.col("hour") + F.expr("INTERVAL 1 HOUR") <= as_ts(as_of)).withColumn("t", hour_number("hour")))
     at = lambda k, **cols: p.select("item_id", (F.col("t") + k).alias("t"), *[F.col(c).alias(n) for n, c in cols.items()])
     base = (p.join(at(24, a_price="price", a_known="known"), ["item_id", "t"], "left").join(at(3, b_stock="stock", b_known="known"), ["item_id", "t"], "left"))
     ready = (F.col("price") > 0) & (F.col("a_price") > 0) & (F.col("stock") >= 0) & (F.col("b_stock") >= 0)

@@ -7,6 +7,7 @@ from tidebook.functions.exact import exact_sum, ratio
 from tidebook.functions.timeutil import as_ts, hours_ago, seconds_between
 from tidebook.plans.quantiles import exact_quantiles
 from tidebook.plans.split import newest
+from tidebook.session import reuse
 
 
 def last_sales(trades: DataFrame, as_of: str, limit: int = 100) -> DataFrame:
@@ -136,6 +137,7 @@ def matched_floor_change(observations: DataFrame, min_common: int = 20) -> DataF
     bad = observations.filter(F.col("status").isin("failed", "pending")).select("scan_id").distinct()
     v = (observations.join(bad, "scan_id", "left_anti").filter((F.col("status") == "observed") & (F.col("min_price") > 0))
          .select("scan_id", "item_id", F.col("min_price").alias("p")))
+    v = reuse(v)
     p10 = lambda df, value, name: exact_quantiles(df, ["scan_id"], value, [(name, "floor", .1)], extra=[F.max("_n").alias(f"{name}_n")])
     every = p10(v, "p", "all")
     prior = every.select((F.col("scan_id") + F.expr("INTERVAL 1 HOUR")).alias("scan_id"), F.col("all").alias("old"), F.col("all_n").alias("before"))

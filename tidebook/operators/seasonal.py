@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidebook.functions.timeutil import KST, as_ts, hour_of, hours_ago, iso_dow, local_day, local_ts
 from tidebook.operators.candles import hour_last
 from tidebook.plans.split import newest
+from tidebook.session import reuse
 
 
 FLAT = 1e-9        # percent; smaller changes are summation noise, not moves
@@ -47,6 +48,7 @@ def weekday_trend(days: DataFrame, before: str, keys: Sequence[str] = ("item_id"
     """
     keys = list(keys)
     valid = days.filter((F.col("day") < F.lit(before).cast("date")) & (F.col("price") > 0)).select(*keys, "day", "price")
+    valid = reuse(valid)
     prior = valid.select(*keys, F.date_add("day", 1).alias("day"), F.col("price").alias("_prev"))
     full = (_full_weeks(valid, keys, "price").join(prior, [*keys, "day"], "left")
             .withColumn("index", F.col("price") / F.col("_mean") * 100)
@@ -182,7 +184,8 @@ def day_paths(points: DataFrame, as_of: str, boundary: int = 0, tz: str = KST, m
 
 def boundary_compare(points: DataFrame, as_of: str, tz: str = KST, min_hours: int = 18) -> DataFrame:
     """The same days seen from 00:00 and 06:00: changes, hour index and weekday index in one long table."""
-    paths = {b: day_paths(points, as_of, b, tz, min_hours) for b in (0, 6)}
+    points = reuse(points)
+    paths = {b: reuse(day_paths(points, as_of, b, tz, min_hours)) for b in (0, 6)}
     common = (paths[0].filter("eligible").select("item_id", "day").join(paths[6].filter("eligible").select("item_id", "day"), ["item_id", "day"]))
     out = None
     for b, path in paths.items():
@@ -248,7 +251,7 @@ def _profile_days(series, bridge, as_of, tz, keys, min_hours, window_days):
     item_day = Window.partitionBy(*keys, "item_id", "boundary", "day")
     p = (p.withColumn("_n", F.count(F.lit(1)).over(item_day)).withColumn("avg", F.avg("value").over(item_day))
          .filter((F.col("_n") >= min_hours) & (F.col("avg") > 0)).drop("_n"))
-    p = p.join(bridge, "item_id").join(size, "set_id")
+    p = reuse(p.join(bridge, "item_id").join(size, "set_id"))
     whole = (p.groupBy(*keys, "set_id", "day", "size").agg(F.count_distinct("item_id", "boundary").alias("_c"))
              .filter(F.col("_c") == 2 * F.col("size")).select(*keys, "set_id", "day"))
     return p, whole
@@ -321,7 +324,7 @@ def repetition_days(points: DataFrame, bridge: DataFrame, as_of: str, boundary:
     p = p.filter(end <= as_ts(as_of))
     day = ["set_id", "mode", "day"]
     member = Window.partitionBy(*day, "item_id")
-    p = p.withColumn("_h", F.count(F.lit(1)).over(member)).filter(F.col("_h") >= min_hours)
+    p = reuse(p.withColumn("_h", F.count(F.lit(1)).over(member)).filter(F.col("_h") >= min_hours))
     clock = (F.col("slot") + boundary) % 24
     p = p.withColumn("block", F.when(clock.between(6, 8), "morning").when(clock.between(18, 20), "evening"))
     whole = (p.groupBy(*day, "size").agg(F.count_distinct("item_id").alias("_m")).filter(F.col("_m") == F.col("size")).select(*day))

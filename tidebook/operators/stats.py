@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidebook.functions.normal import two_sided_p
 from tidebook.functions.timeutil import as_ts, hour_number
 from tidebook.plans.series import islands
+from tidebook.session import reuse
 
 
 def longest_run(bars: DataFrame, as_of: str) -> DataFrame:
@@ -56,12 +57,12 @@ def holm(tests: DataFrame, family: Sequence[str] = (), p: str = "p", name: str =
 
 def random_walk_report(bars: DataFrame, as_of: str, q: int = 2, alpha: float = 0.05) -> DataFrame:
     """Per item: run, ratio, volatility, adjusted significance, thickness third, or why it was left out."""
-    run = longest_run(bars.filter("vwap > 0"), as_of)
+    run = reuse(longest_run(bars.filter("vwap > 0"), as_of))
     order = Window.partitionBy("item_id").orderBy("hour")
     lr = run.withColumn("r", F.log("vwap") - F.lag(F.log("vwap")).over(order))
     facts = lr.groupBy("item_id").agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), F.avg("n").alias("per_bar"),
                                       F.avg("vwap").alias("price"), (F.stddev_samp("r") * 100).alias("volatility"))
-    v = variance_ratio(run, q).join(facts, "item_id")
+    v = reuse(variance_ratio(run, q).join(facts, "item_id"))
     tested = holm(v.filter("vr IS NOT NULL"))
     count = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("per_bar", "item_id"))

@@ -1,6 +1,7 @@
 """Session settings the operators rely on."""
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,10 +26,11 @@ def pin_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write an intermediate to the shared checkpoint folder when the cluster names one.
+def reuse(df: DataFrame) -> DataFrame:
+    """Hold an intermediate that a plan reads several times.
 
-    Without such a folder the plan stays lazy: it is recomputed, never kept on one machine only.
+    It goes to the shared checkpoint folder when the cluster names one, which also ends its lineage. Otherwise
+    it is persisted; blocks lost with an executor are computed again from the input.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,4 +38,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         return df.checkpoint()
-    return df
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

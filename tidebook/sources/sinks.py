@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidebook.session import reuse
+
 
 def _nested(df: DataFrame, order: str, name: str) -> DataFrame:
     cols = [order, *[c for c in df.columns if c not in ("item_id", order)]]
@@ -23,6 +25,7 @@ def export_series(items: DataFrame, parts: dict[str, tuple[DataFrame, str]]) ->
 
 def split_series(series: DataFrame, heavy: str, drop_inside: dict[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(core, side): the heavy field moves to its own output and leaves its length behind."""
+    series = reuse(series)
     size = F.coalesce(F.size(heavy), F.lit(0))
     core = series.withColumn(f"{heavy}_count", F.when(size > 0, size)).drop(heavy)
     for field, names in (drop_inside or {}).items():
