@@ -39,7 +39,7 @@ class Inputs:
             F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("sold_date"), "user_id",
             F.col("event_type").alias("category"),
             F.round(F.col("value") * 100).cast("bigint").alias("unit_price"),
-            F.get_json_object("props", "$.k").cast("int").alias("k"))
+            F.regexp_extract("props", r'"k"\s*:\s*(-?\d+)', 1).cast("int").alias("k"))
 
     def trades(self, wide: bool = True, events: DataFrame | None = None) -> DataFrame:
         """Sales of 40 items (`wide`) or of 5 busy items."""
