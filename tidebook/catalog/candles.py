@@ -134,7 +134,7 @@ def _(x):
     return op.ask_daily_ohlc(x.snapshots(), "error", "askMax")
 
 
-ASKH = f"""SELECT item_id, date_trunc('hour', captured_at) AS hour, {r('avg(min_unit_price)')} AS vwap, 0 AS qty FROM sn
+ASKH = f"""SELECT item_id, date_trunc('hour', captured_at) AS hour, {r('avg(min_unit_price)')} AS vwap, CAST(0 AS BIGINT) AS qty FROM sn
   WHERE captured_at > {NOW} - INTERVAL 7 DAY AND category = 'error' AND """
 
 

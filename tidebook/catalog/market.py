@@ -173,10 +173,10 @@ for _dir, _cmp, _ord in (("up", "> 0", "DESC"), ("down", "< 0", "ASC")):
         return op.top_movers(_metrics(x), _dir, min_qty=20).select("item_id", "chg", "qty24", "rank")
 
 
-@query("category_turnover", f"""WITH m AS (SELECT item_id, category, turnover FROM metr UNION ALL SELECT item_id, 'harmony', turnover FROM metr WHERE item_id LIKE '%-0')
+@query("category_turnover", f"""WITH m AS (SELECT item_id, category, turnover FROM metr UNION ALL SELECT item_id, 'extra', turnover FROM metr WHERE item_id LIKE '%-0')
   SELECT category, {r('sum(turnover)')} AS turnover, count(*) AS items FROM m GROUP BY 1""")
 def _(x):
-    extra = x.items().filter(F.col("item_id").endswith("-0")).select("item_id", F.lit("harmony").alias("category"))
+    extra = x.items().filter(F.col("item_id").endswith("-0")).select("item_id", F.lit("extra").alias("category"))
     return op.category_turnover(_metrics(x), extra)
 
 

@@ -82,17 +82,20 @@ def period_dedupe(rows: DataFrame, prefer: str, skip: Sequence[str] = ()) -> Dat
 def term_match(titles: DataFrame, items: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
     """Items whose name holds at least two of a title's terms (one, if the title has only one).
 
-    `titles` has id, title; `items` has item_id, item_name. A name cannot hold a term without holding the
-    term's first two characters, so terms and names meet on two-character fragments before `contains` decides.
+    `titles` has id, title; `items` has item_id, item_name. Every distinct term is looked up once. A name cannot
+    hold a term without holding its first three characters (two, for a short term), so terms and names meet on
+    such fragments before `contains` decides.
     """
     words = F.split(F.regexp_replace("title", r"20\d{2}", ""), r"[^0-9A-Za-z가-힣]+")
     terms = F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(list(stop)) if stop else F.length(w) >= 2)
-    t = titles.select("id", F.posexplode(terms).alias("pos", "term")).withColumn("gram", F.substring("term", 1, 2))
+    t = titles.select("id", F.explode(terms).alias("term"))
     need = t.groupBy("id").agg(F.least(F.lit(2), F.count(F.lit(1))).alias("need"))
     n = F.length("item_name")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(F.col("item_name"), i, F.lit(2))))
-    names = items.filter(n >= 2).select("item_id", "item_name", F.explode(grams).alias("gram"))
-    hits = t.join(names, "gram").filter(F.col("item_name").contains(F.col("term"))).groupBy("id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
+    pieces = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.substring(F.col("item_name"), i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    names = items.filter(n >= 2).select("item_id", "item_name", F.explode(F.array_distinct(F.concat(pieces(2), pieces(3)))).alias("gram"))
+    known = t.select("term").distinct().withColumn("gram", F.substring("term", 1, 3))
+    found = known.join(names, "gram").filter(F.col("item_name").contains(F.col("term"))).select("term", "item_id")
+    hits = t.join(found, "term").groupBy("id", "item_id").agg(F.count(F.lit(1)).alias("hits"))
     return hits.join(need, "id").filter(F.col("hits") >= F.col("need")).select("id", "item_id", "hits")
 
 
