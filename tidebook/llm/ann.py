@@ -8,12 +8,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidebook.llm.shared import hold
 
-PIVOTS = 1024        # at most; the square root of the number of vectors otherwise
-PREFIX = 8           # nearest pivots that represent a vector
-POSTED = 3           # of them, those in whose files a vector stands
-PROBED = 8           # pivots whose files a query reads
-SHARE = 0.85         # of the largest footrule distance: posted vectors beyond it are not reranked
-FILE_ROWS = 4096     # vectors of a file, and queries, that a task compares at a time
+PIVOTS = 128         # at most
+PREFIX = 48          # nearest pivots of a vector, in whose files it stands
+SHARE, LEAST = 0.25, 300  # of a part's vectors that are reranked for a query, nearest by footrule distance, and no fewer than this
+PART_ROWS = 4096     # vectors, and queries, that a task compares at a time
 
 
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -40,10 +38,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     `queries` is a subset of `vectors` with the same columns; a query's own row is no candidate. Equal vectors are one
     entry of the index with their k + 1 smallest ids, so a vector that a third of the rows hold is compared once.
-    Pivots are a bounded sample of the entries (PIVOTS, by hash). Each entry stands in the files of its POSTED nearest
-    pivots, each query reads the files of its PROBED nearest; a file and its queries are dealt by hashes into parts and blocks
-    of about FILE_ROWS, each pair of which is a group of its own. A task ranks a part's entries by footrule distance of the pivot orders and reranks all within SHARE of the
-    largest distance by cosine; k + 1 ids a query leave it.
+    Pivots are a bounded sample of the entries (PIVOTS, by hash); every entry is represented by its PREFIX nearest pivots in
+    order. The index is dealt by a hash into parts of about PART_ROWS entries; a part has one file for each pivot, with the
+    places that the pivot takes in its entries' orders. Blocks of queries meet all parts. For a query, the files of its own
+    pivots give the footrule distances, the nearest SHARE of the part is reranked by cosine, and k + 1 ids leave the task.
 
     Vectors that are null or zero, or hold null or non-finite numbers, take part on neither side. Vectors of different
     length never meet. Rows that repeat an id with the same vector count once. Fewer than k candidates give fewer rows;
@@ -74,13 +72,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
 def _within(entries: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> DataFrame:
     """(asked, vec_id, score): the k + 1 nearest ids of each asked entry, among vectors of one length."""
-    spark = entries.sparkSession
-    many = int(min(PIVOTS, max(1, round(n ** 0.5))))
+    many = min(PIVOTS, n)
     sample = entries.orderBy(F.xxhash64("v"), "entry").limit(many).select("v").toArrow().column("v").combine_chunks()
     pivots = _rows(sample, dim)
     pivots = pivots / np.abs(pivots).max(axis=1, keepdims=True)
     pivots = pivots / np.linalg.norm(pivots, axis=1, keepdims=True)
-    prefix, posted, probed = min(PREFIX, many), min(POSTED, many), min(PROBED, many)
+    prefix = min(PREFIX, many)
     id_type = entries.schema["entry"].dataType
     out = T.StructType([entries.schema["entry"], entries.schema["v"], entries.schema["ids"]]).add("order", T.ArrayType(T.IntegerType()))
     arrow = to_arrow_schema(out)
@@ -92,54 +89,57 @@ def _within(entries: DataFrame, asked: DataFrame, dim: int, n: int, k: int) -> D
             yield pa.RecordBatch.from_arrays([batch.column("entry"), batch.column("v"), batch.column("ids"), pa.ListArray.from_arrays(offsets, pa.array(perm.ravel()))], schema=arrow)
 
     index = hold(entries.select("entry", "v", "ids").mapInArrow(order, out))
-    files = index.withColumn("pivot", F.explode(F.slice("order", 1, posted)))
-    wanted = index.join(asked.select("entry").distinct(), "entry", "left_semi").withColumn("pivot", F.explode(F.slice("order", 1, probed)))
-    cut = lambda rows, name: rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / FILE_ROWS).cast("int").alias(name))
-    sizes = hold(cut(files, "parts").join(cut(wanted, "blocks"), "pivot"))
-    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    one_of = lambda name: F.pmod(F.xxhash64("entry"), F.col(name)).cast("int")
-    columns = ["pivot", "part", "block", "entry", "v", "ids", "order", "ask"]
-    posts = files.join(sizes, "pivot").withColumn("part", one_of("parts")).withColumn("block", each("blocks")).withColumn("ask", F.lit(0)).select(*columns)
-    probes = wanted.join(sizes, "pivot").withColumn("block", one_of("blocks")).withColumn("part", each("parts")).withColumn("ask", F.lit(1)).select(*columns)
+    wanted = index.join(asked.select("entry").distinct(), "entry", "left_semi")
+    parts, blocks = -(-n // PART_ROWS), max(1, -(-wanted.count() // PART_ROWS))
+    one_of = lambda m: F.pmod(F.xxhash64("entry"), F.lit(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    columns = ["part", "block", "entry", "v", "ids", "order", "ask"]
+    posts = index.withColumn("part", one_of(parts)).withColumn("block", each(blocks)).withColumn("ask", F.lit(0)).select(*columns)
+    probes = wanted.withColumn("block", one_of(blocks)).withColumn("part", each(parts)).withColumn("ask", F.lit(1)).select(*columns)
     near = T.StructType().add("asked", id_type).add("vec_id", id_type).add("score", "double")
     near_arrow = to_arrow_schema(near)
-    limit = SHARE * prefix * (prefix + 1)
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
         ask = table.column("ask").to_numpy() == 1
         v, perm = (_rows(table.column(c).combine_chunks(), w) for c, w in (("v", dim), ("order", prefix)))
         entry, ids = table.column("entry").to_numpy(), table.column("ids").to_pylist()
         data = np.flatnonzero(~ask)
-        places = np.full((len(data), many), prefix, dtype=np.int32)
-        np.put_along_axis(places, perm[data], np.arange(prefix, dtype=np.int32)[None, :], axis=1)
-        mine = np.arange(prefix)
+        files = np.full((many, len(data)), prefix, dtype=np.int16)
+        files[perm[data], np.arange(len(data))[:, None]] = np.arange(prefix, dtype=np.int16)
+        x = np.ascontiguousarray(v[data].T)
+        norms = squares(x)
+        taken = min(len(data), max(LEAST, 2 * k + 2, int(np.ceil(SHARE * len(data)))))
         a, b, s = [], [], []
-        x = v[data]
-        for q in np.flatnonzero(ask):
-            at = places[:, perm[q]]
-            footrule = np.abs(at - mine).sum(axis=1) + prefix * (prefix + 1) // 2 - (prefix - at).sum(axis=1)
-            rank = np.argsort(footrule, kind="stable")
-            rank = rank[footrule[rank] <= limit]
-            cosine = exact_cosine(v[q], x[rank])
-            enough = np.argsort(-cosine, kind="stable")
-            floor = cosine[enough[min(k, len(enough) - 1)]] if len(enough) else 0.0
-            rows = sorted(((-cosine[i], y) for i in enough if cosine[i] >= floor for y in ids[data[rank[i]]]))[:k + 1]
+        for q in np.flatnonzero(ask) if len(data) else ():
+            apart = np.zeros(len(data), dtype=np.int32)
+            for place, pivot in enumerate(perm[q]):
+                # what both orders hold moves by the difference; what only one holds counts as standing behind the other
+                apart += np.abs(files[pivot] - np.int16(place)) + files[pivot]
+            rank = np.argpartition(apart, taken - 1)
+            rank = rank[:taken] if taken == len(data) else np.flatnonzero(apart <= apart[rank[taken - 1]])
+            cosine = cosines(v[q], x[:, rank], norms[rank])
+            floor = -np.partition(-cosine, min(k, len(cosine) - 1))[min(k, len(cosine) - 1)]
+            rows = sorted((-cosine[i], y) for i in np.flatnonzero(cosine >= floor) for y in ids[data[rank[i]]])[:k + 1]
             a += [entry[q]] * len(rows)
             b += [y for _, y in rows]
             s += [-c for c, _ in rows]
         return pa.Table.from_arrays([pa.array(a, near_arrow.field(0).type), pa.array(b, near_arrow.field(1).type), pa.array(s, pa.float64())], schema=near_arrow)
 
-    found = posts.union(probes).groupBy("pivot", "part", "block").applyInArrow(compare, near).distinct()
+    found = posts.union(probes).groupBy("part", "block").applyInArrow(compare, near)
     top = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k + 1).drop("_r")
 
 
-def exact_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Cosines in double precision; each row is summed in the same order, so equal vectors have equal scores."""
-    dot, a, b = np.zeros(len(x)), 0.0, np.zeros(len(x))
-    for j in range(x.shape[1]):
-        dot += q[j] * x[:, j]
-        b += x[:, j] * x[:, j]
-        a += q[j] * q[j]
-    return dot / (np.sqrt(a) * np.sqrt(b))
+def squares(x: np.ndarray) -> np.ndarray:
+    total = np.zeros(x.shape[1])
+    for row in x:
+        total += row * row
+    return np.sqrt(total)
+
+
+def cosines(q: np.ndarray, x: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Cosines of q with the columns of x in double precision, summed in one order, so equal vectors score equally."""
+    dot = np.zeros(x.shape[1])
+    for j in range(len(q)):
+        dot += q[j] * x[j]
+    return dot / (squares(q[:, None])[0] * norms)

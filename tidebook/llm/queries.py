@@ -117,8 +117,8 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.id = w.doc_id"""
 
 def _sql_matches(kind: int, pattern: str, group: int, keep: str) -> str:
     p = pattern.replace("'", "''")
-    return f"""SELECT uid, {kind} AS kind, at AS s, at + length(m) AS e, v FROM (
-  SELECT uid, m, v, CAST(coalesce(list_sum(list_transform(gaps[1:i], x -> length(x))), 0) + coalesce(list_sum(list_transform(whole[1:i - 1], x -> length(x))), 0) AS BIGINT) AS at
+    return f"""SELECT uid, {kind} AS kind, pos AS s, pos + length(m) AS e, v FROM (
+  SELECT uid, m, v, CAST(coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS pos
   FROM (SELECT uid, gaps, whole, i, whole[i] AS m, vals[i] AS v FROM (SELECT uid, regexp_split_to_array(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS whole,
     regexp_extract_all(t, '{p}', {group}) AS vals FROM d WHERE regexp_matches(t, '{p}')), unnest(range(1, len(whole) + 1)) AS u(i))) WHERE {keep}"""
 
