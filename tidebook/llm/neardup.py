@@ -16,7 +16,7 @@ PER_CHUNK = SYMBOLS // CHUNKS
 #: Signatures that differ in at most so many symbols share a chunk with at most one error: 16 chunks with two
 #: errors each would make 32. A pair at the limit of similarity differs in 16 on average, with a deviation of 3.5.
 DISTANCE = 2 * CHUNKS - 1
-BLOCK = 256                      # members of a bucket that are compared at a time
+BLOCK = 512                      # members that are compared at a time
 BITS = 20
 
 _SEEDS = mixed(np.arange(1, SYMBOLS + 1, dtype=U64))
@@ -107,15 +107,11 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return wide.select("a", "b", "sig", "sig_b").mapInArrow(run, out)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) with 100 * intersection >= SIMILARITY * union, counted on the full sets of shingles.
-
-    Only documents that stand in a pair are cut into shingles again: a bitmap of fixed size drops most others
-    before, a join the rest.
-    """
-    ids = hold(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    flags = bit_filter(ids.select(F.xxhash64("doc_id").alias("h")), "h", BITS)
-    out = T.StructType([docs.schema["doc_id"]]).add("set", T.ArrayType(T.LongType()))
+def full_sets(ids: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, set) of the ids (id): sorted hashes of all shingles. The texts are read again; a bitmap of fixed size drops most
+    documents that are not asked for before they are cut into shingles, a join the rest."""
+    flags = bit_filter(ids.select(F.xxhash64("id").alias("h")), "h", BITS)
+    out = T.StructType([classes.schema["id"]]).add("set", T.ArrayType(T.LongType()))
     arrow = to_arrow_schema(out)
 
     def run(batches):
@@ -129,11 +125,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFram
                 values = pa.array(signed(np.concatenate(sets))) if sets else pa.array([], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(offsets, values)], schema=arrow)
 
-    sets = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, out)
-    sets = hold(sets.join(ids, "doc_id", "left_semi").join(
-        classes.select(F.col("id").alias("doc_id"), "n"), "doc_id").where(F.size("set") == F.col("n")).drop("n"))
-    both = (pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-            .join(sets.select(F.col("doc_id").alias("a"), "set"), "a"))
+    sets = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, out)
+    return hold(sets.join(ids, "id", "left_semi").join(classes.select("id", "n"), "id").where(F.size("set") == F.col("n")).drop("n"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with 100 * intersection >= SIMILARITY * union, counted on the full sets of shingles."""
+    ids = hold(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = full_sets(ids, docs, classes)
+    both = (pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
+            .join(sets.select(F.col("id").alias("a"), "set"), "a"))
     common = F.size(F.array_intersect("set", "set_b"))
     return (both.withColumn("c", common)
             .where(100 * F.col("c") >= SIMILARITY * (F.size("set") + F.size("set_b") - F.col("c"))).select("a", "b").distinct())
@@ -156,43 +157,76 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(multi: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket that stand in different components, and whose signatures are near.
+def _across(multi: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a bucket that stand in different components, found without listing pairs.
 
-    A large bucket is cut into blocks that meet two by two, so no task holds more than two blocks; only near pairs
-    across components leave a task.
+    Buckets of one leader are looked at together. Members outside the leader's component are dealt into blocks and all members
+    into parts; a block meets a part in one task, which compares signatures, then full sets, nearest first, and
+    returns one link at most for a member and a component. A pair that shares several buckets is looked at under the
+    leader of the first of them only.
     """
+    one = multi.select("leader", "id").union(multi.select("leader", F.col("leader").alias("id"))).distinct()
+    rows = one.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    home = labels.select(F.col("id").alias("leader"), F.col("label").alias("home"))
+    rows = rows.join(home, "leader", "left").withColumn("out", F.col("label") != F.coalesce("home", "leader")).drop("home")
+    size = lambda n: F.ceil(n / BLOCK).cast("int")
+    open_buckets = (rows.groupBy("leader").agg(size(F.count_if("out")).alias("blocks"), size(F.count(F.lit(1))).alias("parts"))
+                    .where("blocks > 0"))
+    rows = hold(rows.join(open_buckets, "leader"))
+    sets = full_sets(hold(rows.select("id").distinct()), docs, classes)
+    under = multi.groupBy("id").agg(F.collect_list(F.struct(F.shiftrightunsigned("key", 48).cast("int").alias("k"), "leader")).alias("under"))
+    known = sets.join(classes.select("id", "sig"), "id").join(under, "id")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = ["leader", "block", "part", "asks", "id", "label", "out"]
+    asks = rows.where("out").withColumn("block", dealt("blocks")).withColumn("part", each("parts")).withColumn("asks", F.lit(True)).select(*keep)
+    told = rows.withColumn("part", dealt("parts")).withColumn("block", each("blocks")).withColumn("asks", F.lit(False)).select(*keep)
     id_type = classes.schema["id"].dataType
-    rows = multi.select("key", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_keys = (rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
-                 .where("lo != hi").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rows = (rows.join(open_keys, "key").join(classes.select("id", "n", "sig"), "id")
-            .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "n", "sig"))
     out = T.StructType().add("a", id_type).add("b", id_type)
     arrow = to_arrow_schema(out)
 
     def compare(table):
-        ids, label, n, block = (table.column(c).to_numpy() for c in ("id", "label", "n", "block"))
+        column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        ids, label, asks, out_of = (column(c) for c in ("id", "label", "asks", "out"))
+        leader = table.column("leader")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
+        sets = table.column("set").combine_chunks()
+        first, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        n = np.diff(first)
+        leaders = np.full((len(ids), SYMBOLS), -1, dtype=np.int64)
+        here = np.zeros((len(ids), SYMBOLS), dtype=bool)
+        for i, entries in enumerate(table.column("under").to_pylist()):
+            for e in entries:
+                leaders[i, e["k"]], here[i, e["k"]] = e["leader"], True
+        others = np.flatnonzero(~asks)
         a, b = [], []
-        one_block = block[0] == block[-1] and (block == block[0]).all()
-        for x in range(len(ids) - 1):
-            rest = slice(x + 1, None)
-            near = label[rest] != label[x]
-            if not one_block:
-                near &= block[rest] != block[x]
-            near &= 100 * np.minimum(n[rest], n[x]) >= SIMILARITY * np.maximum(n[rest], n[x])
-            if near.any():
-                at = np.flatnonzero(near) + x + 1
-                at = at[(sig[at] != sig[x]).sum(axis=1) <= DISTANCE]
-                a.append(np.minimum(ids[at], ids[x]))
-                b.append(np.maximum(ids[at], ids[x]))
-        join = lambda v: pa.array(np.concatenate(v) if v else [], arrow.field("a").type)
-        return pa.Table.from_arrays([join(a), join(b)], schema=arrow)
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, out).distinct()
+        for x in np.flatnonzero(asks):
+            may = (label[others] != label[x]) & (100 * np.minimum(n[others], n[x]) >= SIMILARITY * np.maximum(n[others], n[x]))
+            may &= ~out_of[others] | (ids[others] > ids[x])
+            at = others[may]
+            same = sig[at] == sig[x]
+            apart = SYMBOLS - same.sum(axis=1)
+            # the key of a chunk without one symbol is shared if the chunk's other symbols agree
+            agree = same.reshape(-1, CHUNKS, PER_CHUNK)
+            shared = (agree.sum(axis=2, keepdims=True) - agree >= PER_CHUNK - 1).reshape(-1, SYMBOLS) & here[x]
+            right = shared.any(axis=1) & (apart <= DISTANCE)
+            right &= leaders[x][shared.argmax(axis=1)] == leader
+            order = np.flatnonzero(right)[np.argsort(apart[right], kind="stable")]
+            linked = set()
+            mine = values[first[x]:first[x + 1]]
+            for y in at[order]:
+                if label[y] in linked:
+                    continue
+                both = np.concatenate([mine, values[first[y]:first[y + 1]]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= SIMILARITY * (len(both) - common):
+                    linked.add(label[y])
+                    a.append(min(ids[x], ids[y]))
+                    b.append(max(ids[x], ids[y]))
+        return pa.Table.from_arrays([pa.array(a, arrow.field("a").type), pa.array(b, arrow.field("b").type)], schema=arrow)
+
+    return asks.union(told).join(known, "id").groupBy("leader", "block", "part").applyInArrow(compare, out).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -202,9 +236,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Documents with the same set are one class, joined with nothing but its smallest id. Signatures of 64 symbols meet if
     a chunk of four agrees but for one; that finds every pair within DISTANCE. In a bucket, members are first checked
-    against its smallest id; when that has settled most groups, only members that are still in different
-    components are compared with each other. All links are confirmed on the full sets. Pairs of a group that is
-    already connected are never listed.
+    against its smallest id; when that has settled most groups, members that are still in different
+    components are compared with each other, block by block. All links are confirmed on the full sets. Pairs of
+    a group are never listed.
 
     Null or empty texts, or texts without words, have no shingles, stay alone and are kept. Documents of fewer than
     five words have all their words as the one shingle. Repeated rows of an id share its result. Null ids take
@@ -228,12 +262,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         wide = pairs.join(one, "a", "left").join(two, "b", "left")
         return wide.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
-    for more in (lambda: open_pairs(stars), lambda: _across(multi, labels, classes)):
-        pairs = hold(more())
-        if pairs.limit(1).count():
-            found = confirmed(pairs, source, classes)
-            links = hold(links.union(found))
-            labels = components(links)
+    pairs = hold(open_pairs(stars))
+    if pairs.limit(1).count():
+        links = hold(links.union(confirmed(pairs, source, classes)))
+        labels = components(links)
+    found = hold(_across(multi, labels, source, classes))
+    if found.limit(1).count():
+        labels = components(links.union(found))
     found = (classes.join(labels, "id", "left").select("s1", "s2", F.coalesce("label", "id").alias("label"))
              .groupBy("s1", "s2").agg(F.min("label").alias("label")))
     return (base.join(found, ["s1", "s2"], "left")
