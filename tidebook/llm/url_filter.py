@@ -18,7 +18,8 @@ BLOCK_AT = 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = ("length", "host_length", "path_length", "query_length", "host_depth", "path_depth", "digit_ratio", "host_digit_ratio", "entropy",
-            "host_entropy", "parameters", "hyphens", "has_fragment", "secure", "longest_label", "suffix_share", "suffix_blocked")
+            "host_entropy", "parameters", "hyphens", "has_fragment", "secure", "longest_label", "www",
+            *(f"{k}_{v}" for k in ("suffix", "section") for v in ("share", "blocked")))
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -59,6 +60,7 @@ def lexical(urls: DataFrame, url: str, rules: Sequence[Rule]) -> DataFrame:
     labels = F.split("_host", r"\.")
     return out.withColumns({
         "_rule": name, "_verdict": verdict, "_suffix": F.element_at(labels, -1),
+        "_section": F.regexp_extract("_path", "^/([^/]*)/", 1), "www": F.col("_host").startswith("www.").cast("int"),
         "length": F.length("_url"), "host_length": F.length("_host"), "path_length": F.length("_path"), "query_length": F.length("_rest"),
         "host_depth": F.size(labels), "path_depth": F.regexp_count("_path", F.lit("/")), "digit_ratio": _ratio(F.col("_url"), "[0-9]"),
         "host_digit_ratio": _ratio(F.col("_host"), "[0-9]"), "entropy": _entropy(F.col("_url")), "host_entropy": _entropy(F.col("_host")),
@@ -68,15 +70,16 @@ def lexical(urls: DataFrame, url: str, rules: Sequence[Rule]) -> DataFrame:
     })
 
 
-def suffixes(rows: DataFrame) -> DataFrame:
-    """(_suffix, suffix_share, suffix_blocked): how common the last label of the host is, and how often rules block it."""
-    total = rows.agg(F.count(F.lit(1)).alias("all"), F.avg((F.col("_verdict") == "block").cast("double")).alias("rate"))
-    seen = rows.groupBy("_suffix").agg(F.count(F.lit(1)).alias("n"), F.count("_verdict").alias("judged"),
-                                       F.count_if(F.col("_verdict") == "block").alias("blocked"))
-    n, rate = total.first()
+def with_statistics(rows: DataFrame) -> DataFrame:
+    """`rows` with what the whole table says of the host's last label (suffix) and the path's first part (section): how common
+    it is, and how often rules block it."""
+    n, rate = rows.agg(F.count(F.lit(1)), F.avg((F.col("_verdict") == "block").cast("double"))).first()
     rate = 0.5 if rate is None else rate
-    return seen.select("_suffix", (F.col("n") / F.lit(max(n, 1))).alias("suffix_share"),
-                       ((F.col("blocked") + 5 * F.lit(rate)) / (F.col("judged") + 5)).alias("suffix_blocked"))
+    for key in ("suffix", "section"):
+        seen = rows.groupBy(f"_{key}").agg(F.count(F.lit(1)).alias("n"), F.count("_verdict").alias("judged"), F.count_if(F.col("_verdict") == "block").alias("blocked"))
+        rows = rows.join(seen.select(f"_{key}", (F.col("n") / F.lit(max(n, 1))).alias(f"{key}_share"),
+                                     ((F.col("blocked") + 5 * F.lit(rate)) / (F.col("judged") + 5)).alias(f"{key}_blocked")), f"_{key}")
+    return rows
 
 
 def train(rows: DataFrame) -> PipelineModel | str:
@@ -97,13 +100,12 @@ def judge(urls: DataFrame, rules: Sequence[Rule], page_id: str = "page_id", url:
     """page_id, host, path, rule, verdict and score (probability of block) per row of `urls`.
 
     The longest fitting rule decides. Where none fits, boosted trees do, trained on the URLs that rules decide: lengths,
-    depths, digit shares, entropies, parameter counts, and of the host's last label how common it is and how often
-    it is blocked. Null URLs, or URLs without "://", have an empty host and path, which no rule fits. Repeated rows are judged
+    depths, digit shares, entropies, parameter counts, and of the host's last label and the path's first part how common
+    they are and how often they are blocked. Null URLs, or URLs without "://", have an empty host and path, which no rule fits. Repeated rows are judged
     alike. An empty table gives no rows.
     """
     source = urls.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
-    own = lexical(source, "url", rules)
-    rows = own.join(suffixes(own), "_suffix", "left").fillna(0.0, ["suffix_share", "suffix_blocked"])
+    rows = with_statistics(lexical(source, "url", rules))
     model = train(rows)
     if isinstance(model, str):
         scored = rows.withColumn("score", F.lit(float(model == "block")))
