@@ -16,7 +16,7 @@ PER_CHUNK = SYMBOLS // CHUNKS
 #: Signatures that differ in at most so many symbols share a chunk with at most one error: 16 chunks with two
 #: errors each would make 32. A pair at the limit of similarity differs in 16 on average, with a deviation of 3.5.
 DISTANCE = 2 * CHUNKS - 1
-BLOCK = 512                      # members that are compared at a time
+BLOCK = 1024                     # members that are compared at a time
 BITS = 20
 
 _SEEDS = mixed(np.arange(1, SYMBOLS + 1, dtype=U64))
@@ -174,7 +174,8 @@ def _across(multi: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataF
                     .where("blocks > 0"))
     rows = hold(rows.join(open_buckets, "leader"))
     sets = full_sets(hold(rows.select("id").distinct()), docs, classes)
-    under = multi.groupBy("id").agg(F.collect_list(F.struct(F.shiftrightunsigned("key", 48).cast("int").alias("k"), "leader")).alias("under"))
+    under = (multi.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.shiftrightunsigned("key", 48).cast("int").alias("k"), "leader"))).alias("u"))
+             .select("id", F.col("u.k").alias("keys"), F.col("u.leader").alias("leaders")))
     known = sets.join(classes.select("id", "sig"), "id").join(under, "id")
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -195,9 +196,9 @@ def _across(multi: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataF
         n = np.diff(first)
         leaders = np.full((len(ids), SYMBOLS), -1, dtype=np.int64)
         here = np.zeros((len(ids), SYMBOLS), dtype=bool)
-        for i, entries in enumerate(table.column("under").to_pylist()):
-            for e in entries:
-                leaders[i, e["k"]], here[i, e["k"]] = e["leader"], True
+        keys, under = (table.column(c).combine_chunks() for c in ("keys", "leaders"))
+        row = np.repeat(np.arange(len(ids)), np.diff(keys.offsets.to_numpy()))
+        leaders[row, keys.flatten().to_numpy()], here[row, keys.flatten().to_numpy()] = under.flatten().to_numpy(), True
         others = np.flatnonzero(~asks)
         a, b = [], []
         for x in np.flatnonzero(asks):
