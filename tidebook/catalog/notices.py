@@ -60,14 +60,14 @@ def _periods(x, source, tag):
     end = F.when(pid % 7 == 0, "").otherwise(F.date_format(F.date_add("day", (pid % 9 - 1).cast("int")), "yyyy.MM.dd"))
     attrs = F.when(pid % 5 == 0, "").when(pid % 5 == 1, F.concat(F.lit("onclick=\"window.location.href='/pg/p"), pid.cast("string"), F.lit("'\""))).otherwise(
         F.concat(F.lit('data-no="'), pid.cast("string"), F.lit('"')))
-    html = F.concat(F.lit(f"<{tag} "), attrs, F.lit("><b>"), F.substring("h", 1, 12), F.lit("</b> "), F.date_format("day", "yyyy.MM.dd"), F.lit(" ~ "), end, F.lit(f"</{tag}>"))
+    html = F.concat(F.lit(f"<{tag} "), attrs, F.lit("><b>"), "h", F.lit("</b> "), F.date_format("day", "yyyy.MM.dd"), F.lit(" ~ "), end, F.lit(f"</{tag}>"))
     return op.period_rows(t.select("page_id", html.alias("html")), source, tag, "https://example.com")
 
 
 def period_sql(source):
     return f"""SELECT page_id, '{source}:' || CASE WHEN page_id % 5 = 1 THEN '/pg/p' || page_id ELSE CAST(page_id AS VARCHAR) END AS id, '{source}' AS source, t AS title, strftime(day, '%Y-%m-%d') AS start_date,
       CASE WHEN page_id % 7 <> 0 THEN strftime(day + CAST(page_id % 9 - 1 AS INTEGER), '%Y-%m-%d') END AS end_date, 'https://example.com' || CASE WHEN page_id % 5 = 1 THEN '/pg/p' || page_id ELSE '/{source}/' || page_id END AS url
-      FROM (SELECT *, {strip("substr(h, 1, 12)")} AS t FROM ptit) WHERE t <> '' AND page_id % 5 <> 0 AND (page_id % 7 = 0 OR page_id % 9 >= 1)"""
+      FROM (SELECT *, {strip("h")} AS t FROM ptit) WHERE t <> '' AND page_id % 5 <> 0 AND (page_id % 7 = 0 OR page_id % 9 >= 1)"""
 
 
 view("pev", period_sql("event"))
@@ -79,10 +79,10 @@ def _(x):
     return _periods(x, "event", "li")
 
 
-@query("period_dedupe", """WITH u AS (SELECT *, regexp_replace(title, '\\s+', '', 'g') AS k, CASE WHEN source = 'shop' THEN 1 ELSE 0 END AS p FROM (SELECT * FROM pev UNION ALL SELECT * FROM psh WHERE page_id % 2 = 0))
+@query("period_dedupe", """WITH u AS (SELECT *, regexp_replace(title, '\\s+', '', 'g') AS k, CASE WHEN source = 'shop' THEN 1 ELSE 0 END AS p FROM (SELECT * FROM pev UNION ALL SELECT * FROM psh))
   SELECT page_id, id, source, title, start_date, end_date, url FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, page_id DESC, id DESC) AS rn FROM u) WHERE rn = 1""")
 def _(x):
-    return op.period_dedupe(_periods(x, "event", "li").unionByName(_periods(x, "shop", "ul").filter("page_id % 2 = 0")), "shop")
+    return op.period_dedupe(_periods(x, "event", "li").unionByName(_periods(x, "shop", "ul")), "shop")
 
 
 @query("term_match", """WITH t AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(regexp_replace(title, '20[0-9]{2}', '', 'g'), '[^0-9A-Za-z가-힣]+'), lambda w: length(w) >= 2 AND w <> 'set')) AS term FROM
