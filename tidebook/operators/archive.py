@@ -28,11 +28,11 @@ def bucket_signature(df: DataFrame, bucket: Column, cols: Sequence[str], name: s
 
     Every row is hashed; the eight 32-bit words of the hashes are summed and the sums hashed again. The sums
     do not depend on row order and combine on the map side, so a bucket of any size needs no sort and no
-    gathering. Two buckets agree exactly when they hold the same rows the same number of times.
+    gathering, and 38 digits hold the sums. Two buckets agree exactly when they hold the same rows the same number of times.
     """
     text = row_text(df, cols)
     d = df.select(bucket.alias(name), F.octet_length(text).alias("_b"), F.sha2(text, 256).alias("_d"))
-    word = lambda i: F.sum(F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("bigint"))
+    word = lambda i: F.sum(F.conv(F.substring("_d", 1 + 8 * i, 8), 16, 10).cast("decimal(28,0)"))
     g = d.groupBy(name).agg(F.count(F.lit(1)).alias("rows"), F.sum("_b").alias("bytes"),
                             *[word(i).alias(f"_w{i}") for i in range(_PARTS)])
     sums = F.concat_ws(",", *[F.col(f"_w{i}").cast("string") for i in range(_PARTS)])

@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint folder of the cluster; a temporary one only where none is set."""
+    """A fresh folder under the shared checkpoint folder of the cluster. On one machine a temporary one will do; on a cluster
+    executors could not read each other's part of it, so a folder must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="run-")
+    if base:
+        return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
 def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
