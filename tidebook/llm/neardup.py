@@ -16,7 +16,7 @@ PER_CHUNK = SYMBOLS // CHUNKS
 #: Signatures that differ in at most so many symbols share a chunk with at most one error: 16 chunks with two
 #: errors each would make 32. A pair at the limit of similarity differs in 16 on average, with a deviation of 3.5.
 DISTANCE = 2 * CHUNKS - 1
-BLOCK = 1024                     # members that are compared at a time
+BLOCK = 1 << 20                  # numbers (of sets, signatures and buckets) of the members that a task compares with others
 BITS = 20
 
 _SEEDS = mixed(np.arange(1, SYMBOLS + 1, dtype=U64))
@@ -161,7 +161,7 @@ def _across(multi: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataF
     """Links (a, b) between members of a bucket that stand in different components, found without listing pairs.
 
     Buckets of one leader are looked at together. Members outside the leader's component are dealt into blocks and all members
-    into parts; a block meets a part in one task, which compares signatures, then full sets, nearest first, and
+    into parts, by the size of what they hold; a block meets a part in one task, where a member of both stands once, which compares signatures, then full sets, nearest first, and
     returns one link at most for a member and a component. A pair that shares several buckets is looked at under the
     leader of the first of them only.
     """
@@ -169,9 +169,10 @@ def _across(multi: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataF
     rows = one.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     home = labels.select(F.col("id").alias("leader"), F.col("label").alias("home"))
     rows = rows.join(home, "leader", "left").withColumn("out", F.col("label") != F.coalesce("home", "leader")).drop("home")
-    size = lambda n: F.ceil(n / BLOCK).cast("int")
-    open_buckets = (rows.groupBy("leader").agg(size(F.count_if("out")).alias("blocks"), size(F.count(F.lit(1))).alias("parts"))
-                    .where("blocks > 0"))
+    held = F.col("n") + 2 * SYMBOLS
+    size = lambda n: F.ceil(F.sum(n) / BLOCK).cast("int")
+    open_buckets = (rows.join(classes.select("id", "n"), "id").groupBy("leader")
+                    .agg(size(F.when(F.col("out"), held).otherwise(0)).alias("blocks"), size(held).alias("parts")).where("blocks > 0"))
     rows = hold(rows.join(open_buckets, "leader"))
     sets = full_sets(hold(rows.select("id").distinct()), docs, classes)
     under = (multi.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.shiftrightunsigned("key", 48).cast("int").alias("k"), "leader"))).alias("u"))
@@ -179,16 +180,18 @@ def _across(multi: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataF
     known = sets.join(classes.select("id", "sig"), "id").join(under, "id")
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keep = ["leader", "block", "part", "asks", "id", "label", "out"]
-    asks = rows.where("out").withColumn("block", dealt("blocks")).withColumn("part", each("parts")).withColumn("asks", F.lit(True)).select(*keep)
-    told = rows.withColumn("part", dealt("parts")).withColumn("block", each("blocks")).withColumn("asks", F.lit(False)).select(*keep)
+    keep = ["leader", "block", "part", "asks", "told", "id", "label", "out"]
+    asks = (rows.where("out").withColumn("block", dealt("blocks")).withColumn("part", each("parts"))
+            .withColumn("asks", F.lit(True)).withColumn("told", F.col("part") == dealt("parts")).select(*keep))
+    told = (rows.withColumn("part", dealt("parts")).withColumn("block", each("blocks")).where(~F.col("out") | (F.col("block") != dealt("blocks")))
+            .withColumn("asks", F.lit(False)).withColumn("told", F.lit(True)).select(*keep))
     id_type = classes.schema["id"].dataType
     out = T.StructType().add("a", id_type).add("b", id_type)
     arrow = to_arrow_schema(out)
 
     def compare(table):
         column = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False)
-        ids, label, asks, out_of = (column(c) for c in ("id", "label", "asks", "out"))
+        ids, label, asks, told, out_of = (column(c) for c in ("id", "label", "asks", "told", "out"))
         leader = table.column("leader")[0].as_py()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SYMBOLS)
         sets = table.column("set").combine_chunks()
@@ -199,7 +202,7 @@ def _across(multi: DataFrame, labels: DataFrame, docs: DataFrame, classes: DataF
         keys, under = (table.column(c).combine_chunks() for c in ("keys", "leaders"))
         row = np.repeat(np.arange(len(ids)), np.diff(keys.offsets.to_numpy()))
         leaders[row, keys.flatten().to_numpy()], here[row, keys.flatten().to_numpy()] = under.flatten().to_numpy(), True
-        others = np.flatnonzero(~asks)
+        others = np.flatnonzero(told)
         a, b = [], []
         for x in np.flatnonzero(asks):
             may = (label[others] != label[x]) & (100 * np.minimum(n[others], n[x]) >= SIMILARITY * np.maximum(n[others], n[x]))
