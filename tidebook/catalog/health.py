@@ -94,11 +94,13 @@ def _(x):
     return op.quality_7d(x.runs(), AS_OF)
 
 
-@query("quality_join", """WITH q AS (SELECT item_id, hour, bool_and(error IS NULL) AS known, bool_or(saturated OR listing_rows >= 12) AS capped, bool_or(sold_rows >= 2) AS full_ FROM ru GROUP BY 1, 2),
+@query("quality_join", """WITH q AS (SELECT item_id, hour, bool_and(error IS NULL AND hour(hour) % 6 <> 5) AS known, bool_or(saturated OR listing_rows >= 12) AS capped, bool_or(sold_rows >= 2) AS full_ FROM ru GROUP BY 1, 2),
   s AS (SELECT item_id, unnest(generate_series(min(hour), max(hour), INTERVAL 1 HOUR)) AS hour FROM c1 GROUP BY 1)
   SELECT s.item_id, s.hour, coalesce(known, false) AS known, coalesce(known AND NOT capped, false) AS overlap, coalesce(known AND NOT capped AND NOT full_, false) AS clean
   FROM s LEFT JOIN q ON q.item_id = s.item_id AND q.hour = s.hour""")
 def _(x):
     span = x.candles().groupBy("item_id").agg(F.min("hour").alias("a"), F.max("hour").alias("z"))
     series = span.select("item_id", F.explode(F.sequence("a", "z", F.expr("INTERVAL 1 HOUR"))).alias("hour"))
-    return op.quality_join(series, x.runs(), full_sold=2, full_listing=12)
+    running = F.hour("hour") % 6 == 5                # polls that have not ended
+    runs = x.runs().withColumn("finished_at", F.when(~running, F.col("finished_at")))
+    return op.quality_join(series, runs, full_sold=2, full_listing=12)

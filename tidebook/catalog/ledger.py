@@ -108,8 +108,9 @@ def _(x):
 
 
 @query("ledger_validate", """WITH b AS (SELECT item_id, origin, h, model, CASE WHEN day(origin) = 20 THEN 'v1' ELSE 'v2' END AS version, CASE WHEN day(origin) = 22 AND model = 'last' THEN target + 1 ELSE target END AS target,
-    CASE WHEN day(origin) = 24 AND h = 3 THEN -value ELSE value END AS value, CASE WHEN day(origin) = 26 THEN TIMESTAMP '2024-01-27 12:00:00' ELSE origin + INTERVAL 3 HOUR END AS issued_at FROM bas WHERE NOT (day(origin) = 28 AND h = 7)),
-  v AS (SELECT item_id, origin, 'version' AS rule FROM b WHERE version <> 'v2' UNION ALL SELECT item_id, origin, 'issued on another day' FROM b WHERE CAST(issued_at + INTERVAL 9 HOUR AS DATE) <> origin
+    CASE WHEN day(origin) = 24 AND h = 3 THEN -value ELSE value END AS value, CASE WHEN day(origin) = 23 AND h = 1 THEN NULL WHEN day(origin) = 26 THEN TIMESTAMP '2024-01-27 12:00:00' ELSE origin + INTERVAL 3 HOUR END AS issued_at FROM bas WHERE NOT (day(origin) = 28 AND h = 7)),
+  v AS (SELECT item_id, origin, 'version' AS rule FROM b WHERE version <> 'v2' UNION ALL SELECT item_id, origin, 'issued on another day' FROM b WHERE CAST(issued_at + INTERVAL 9 HOUR AS DATE) IS DISTINCT FROM CAST(origin AS DATE)
+    UNION ALL SELECT item_id, origin, 'issued in the future' FROM b WHERE issued_at > TIMESTAMP '2024-01-28 12:00:00'
     UNION ALL SELECT item_id, origin, 'target date' FROM b WHERE CAST(target AS DATE) <> origin + CAST(h AS INTEGER) UNION ALL SELECT item_id, origin, 'value' FROM b WHERE value <= 0
     UNION ALL SELECT item_id, origin, 'horizons' FROM b GROUP BY 1, 2 HAVING count(DISTINCT h) <> 3 UNION ALL SELECT item_id, origin, 'models' FROM b GROUP BY 1, 2 HAVING count(*) <> 9)
   SELECT item_id, CAST(origin AS VARCHAR) AS origin, rule, count(*) AS rows FROM v GROUP BY 1, 2, 3""")
@@ -119,8 +120,8 @@ def _(x):
         "version": F.when(day == 20, "v1").otherwise("v2"),
         "target": F.when((day == 22) & (F.col("model") == "last"), F.date_add("target", 1)).otherwise(F.col("target")),
         "value": F.when((day == 24) & (F.col("h") == 3), -F.col("value")).otherwise(F.col("value")),
-        "issued_at": F.when(day == 26, F.lit("2024-01-27 12:00:00").cast("timestamp")).otherwise(F.col("origin").cast("timestamp") + F.expr("INTERVAL 3 HOURS"))})
-    return op.ledger_validate(b, "v2", MODELS)
+        "issued_at": F.when((day == 23) & (F.col("h") == 1), F.lit(None)).when(day == 26, F.lit("2024-01-27 12:00:00").cast("timestamp")).otherwise(F.col("origin").cast("timestamp") + F.expr("INTERVAL 3 HOURS"))})
+    return op.ledger_validate(b, "v2", MODELS, now="2024-01-28 12:00:00")
 
 
 @query("forecast_usable", """WITH p AS (SELECT item_id, list((d, v) ORDER BY d) AS pts FROM (SELECT item_id, day AS d, CASE WHEN n % 7 = 0 THEN -vwap ELSE vwap END AS v FROM duk WHERE day BETWEEN DATE '2024-01-22' AND DATE '2024-01-29') GROUP BY 1),

@@ -127,9 +127,9 @@ def _epochs(x):
 
 
 @query("unify_globals", f"""SELECT s.source, s.item_id, captured_at, min_unit_price FROM srcsn s JOIN gepo e ON e.source = s.source AND coalesce(e.valid_from <= captured_at, true)
-  AND coalesce(captured_at < e.valid_to, true) WHERE captured_at <= {NOW} AND category = 'error'""")
+  AND coalesce(captured_at < e.valid_to, true) WHERE captured_at <= {NOW}""")
 def _(x):
-    rows = x.source_snapshots().filter("category = 'error'").select("source", "item_id", "captured_at", "min_unit_price")
+    rows = x.source_snapshots().select("source", "item_id", "captured_at", "min_unit_price")
     return op.unify_globals(rows, _epochs(x), "captured_at", AS_OF)
 
 

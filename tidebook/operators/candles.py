@@ -9,14 +9,14 @@ from tidebook.functions.exact import exact_sum, pct_change, ratio
 from tidebook.functions.timeutil import (KST, as_ts, day_number, hour_number, hour_of, hours_ago, local_day, local_ts,
                                          seconds_between)
 from tidebook.plans.series import runs
-from tidebook.plans.split import newest
+from tidebook.plans.split import newest, order_key
 
 BAR = ["o", "h", "l", "c", "gold", "qty", "n"]
 
 
 def candles_1h(trades: DataFrame, keys: Sequence[str] = ("item_id",)) -> DataFrame:
     """OHLC by (time, id), exact turnover, quantity and count per item and hour; only partial aggregates."""
-    order = F.struct("sold_date", "id")
+    order = order_key(trades, ["sold_date", "id"])
     bars = trades.groupBy(*keys, hour_of("sold_date").alias("hour")).agg(
         F.min_by("unit_price", order).alias("o"), F.max("unit_price").alias("h"),
         F.min("unit_price").alias("l"), F.max_by("unit_price", order).alias("c"),

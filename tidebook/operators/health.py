@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidebook.functions.timeutil import as_ts, hour_of, hours_ago, seconds_between
-from tidebook.plans.split import newest
+from tidebook.plans.split import newest, order_key
 
 def _ok():
     return F.col("error").isNull() & F.col("finished_at").isNotNull()
@@ -29,7 +29,7 @@ def uptime_24h(checks: DataFrame, items: DataFrame, as_of: str, max_gap: float =
                 F.count(F.when(day, F.col("stale_items"))).alias("item_checks24"),
                 F.sum(F.when(day, F.col("stale_items"))).alias("_stale"),
                 F.count_if(day & (F.col("stale_items") > 0)).alias("stale_checks24"),
-                F.max_by("stale_items", F.struct("checked_at", "id")).alias("latest_stale"))
+                F.max_by("stale_items", order_key(c, ["checked_at", "id"])).alias("latest_stale"))
     share = lambda a, b: F.when(b != 0, 100.0 * a / b)
     return agg.select(
         "checks24", share(F.col("_good"), F.col("checks24")).alias("uptime24"), "item_checks24",
@@ -145,19 +145,20 @@ def quality_7d(runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
         F.count_if("saturated").alias("saturated"), F.min("started_at").alias("first_record"), F.max("started_at").alias("last_record"))
 
 
-def quality_hours(runs: DataFrame, full_sold: int = 100, full_listing: int = 400) -> DataFrame:
-    """Per item-hour: known (a success, no failure), overlap (also no saturated or capped response), clean (also
+def quality_hours(runs: DataFrame, full_sold: int = 100, full_listing: int = 400, as_of: str | None = None) -> DataFrame:
+    """Per item-hour: known (every poll a success, finished by `as_of` if given), overlap (also no saturated or capped response), clean (also
     no full sales response)."""
     done = runs.filter(F.col("started_at").isNotNull())
-    known = (F.count_if(_ok()) > 0) & (F.count_if(F.col("error").isNotNull()) == 0)
+    in_time = F.col("finished_at") <= as_ts(as_of) if as_of else F.lit(True)
+    known = F.bool_and(F.coalesce(_ok() & in_time, F.lit(False)))
     capped = F.coalesce(F.bool_or(F.col("saturated") | (F.col("listing_rows") >= full_listing)), F.lit(False))
     full = F.coalesce(F.bool_or(F.col("sold_rows") >= full_sold), F.lit(False))
     return (done.groupBy("item_id", hour_of("started_at").alias("hour"))
             .agg(known.alias("known"), (known & ~capped).alias("overlap"), (known & ~capped & ~full).alias("clean")))
 
 
-def quality_join(series: DataFrame, runs: DataFrame, full_sold: int = 100, full_listing: int = 400) -> DataFrame:
+def quality_join(series: DataFrame, runs: DataFrame, full_sold: int = 100, full_listing: int = 400, as_of: str | None = None) -> DataFrame:
     """Attach the quality flags to an hourly series; an hour without any record is not known."""
-    q = quality_hours(runs, full_sold, full_listing)
+    q = quality_hours(runs, full_sold, full_listing, as_of)
     out = series.join(q, ["item_id", "hour"], "left")
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("known", "overlap", "clean")})

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebook.functions.timeutil import KST, seconds_between
 from tidebook.plans.quantiles import exact_quantiles
-from tidebook.plans.split import newest, numbered, oldest
+from tidebook.plans.split import newest, numbered, oldest, order_key
 from tidebook.session import reuse
 
 SALE_KEY = ["item_id", "sold_date", "unit_price", "qty", "reinforce", "dup_seq"]
@@ -68,7 +68,7 @@ def listing_state(rows: DataFrame) -> DataFrame:
     """Latest state per listing with first and last sighting."""
     return rows.groupBy("auction_no").agg(
         F.max_by(F.struct("item_id", "unit_price", "cur_count", "upgrade", "upgrade_max"),
-                 F.struct("observed_at", "id")).alias("s"),
+                 order_key(rows, ["observed_at", "id"])).alias("s"),
         F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"),
     ).select("auction_no", "s.*", "first_seen_at", "last_seen_at")
 
@@ -92,13 +92,12 @@ def polls(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
             .drop("_top"))
 
 
-def judged(rows: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
-    """Each sighting with the first later poll that settles its absence (closed_at), if any.
+def judged(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
+    """Each of the `sightings` with the first later poll that settles its absence (closed_at), if any.
 
     Only the polls up to the next uncapped one can be the settling poll, so a sighting fans out to that
     short stretch and meets the polls by an equi join on (item, poll number).
     """
-    seen = sightings(rows)
     p = polls(seen, cap)
     of_listing = Window.partitionBy("auction_no").orderBy("poll_no")   # at most one row per poll
     s = (seen.join(p.select("item_id", "batch", "poll_no", "next_open", "last_poll"), ["item_id", "batch"])
@@ -120,7 +119,7 @@ def judged(rows: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
 
 def listing_diff(rows: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
     """Depletion events: a falling count, a listing gone before expiry, an expired listing."""
-    j = judged(rows, cap)
+    j = judged(sightings(rows), cap)
     expired = F.col("closed_at") >= F.col("expire_date")
     gone = j.filter(F.col("closed_at").isNotNull() & (expired | (F.col("cur_count") > 0))).select(
         "auction_no", "item_id", "unit_price",
@@ -138,9 +137,10 @@ def listing_diff(rows: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
 
 def listing_close(rows: DataFrame, tiered: str, cap: int = LISTING_CAP) -> DataFrame:
     """Final open or closed state per listing; untiered rows of the tiered category close at the next poll."""
-    j = judged(rows, cap)
+    seen = sightings(rows)
+    j = judged(seen, cap)
     final = j.filter(F.col("next_no").isNull())
-    following = polls(sightings(rows), cap).select(
+    following = polls(seen, cap).select(
         "item_id", (F.col("poll_no") - 1).alias("poll_no"), F.col("batch").alias("next_poll"))
     final = final.join(following, ["item_id", "poll_no"], "left")
     legacy = (F.col("category") == tiered) & F.col("upgrade").isNull()

@@ -100,16 +100,18 @@ def panel_settle_eval(cases: DataFrame, base: str = "last") -> DataFrame:
     return out.join(days, ["h", "model"])
 
 
-def ledger_validate(issues: DataFrame, version: str, models: Sequence[str], tz: str = KST) -> DataFrame:
+def ledger_validate(issues: DataFrame, version: str, models: Sequence[str], tz: str = KST, now: str | None = None) -> DataFrame:
     """Rules an issued forecast breaks, one row per item, origin and rule.
 
-    `issues` has item_id, version, origin, issued_at, h, target, model, value.
+    `issues` has item_id, version, origin, issued_at, h, target, model, value. A missing day or target breaks its rule;
+    with `now`, so does a forecast issued after it.
     """
     bad_value = F.col("value").isNull() | F.isnan("value") | (F.col("value") <= 0) | (F.abs("value") == float("inf"))
     row_rules = F.array(
         F.when(~F.col("version").eqNullSafe(F.lit(version)), F.lit("version")),
-        F.when(local_day("issued_at", tz) != F.col("origin"), F.lit("issued on another day")),
-        F.when(F.col("target") != F.date_add("origin", F.col("h")), F.lit("target date")),
+        F.when(~local_day("issued_at", tz).eqNullSafe(F.col("origin")), F.lit("issued on another day")),
+        F.when(F.col("issued_at") > (as_ts(now) if now else F.lit(None)), F.lit("issued in the future")),
+        F.when(~F.col("target").eqNullSafe(F.date_add("origin", F.col("h"))), F.lit("target date")),
         F.when(bad_value, F.lit("value")))
     rows = issues.select("item_id", "origin", F.explode(F.filter(row_rules, lambda x: x.isNotNull())).alias("rule"))
     whole = issues.groupBy("item_id", "origin").agg(F.collect_set("h").alias("hs"), F.collect_set("model").alias("ms"), F.count(F.lit(1)).alias("n"))

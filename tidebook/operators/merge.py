@@ -11,11 +11,9 @@ from tidebook.operators.ingest import SALE_KEY
 from tidebook.plans.split import newest, numbered, oldest
 from tidebook.session import reuse
 
-_SPACE = 1 << 44          # ids of one source stay below this many slices
-
-
-def _slice(rank: Column, source_id: Column, chunk_rows: int) -> Column:
-    return rank.cast("bigint") * F.lit(_SPACE) + F.floor(source_id / chunk_rows)
+def _slice(source_id: Column, chunk_rows: int, *before: Column) -> Column:
+    """What orders the slices: the ranks `before`, whatever their size, then the stretch of ids."""
+    return F.struct(*[c.alias(f"_{i}") for i, c in enumerate(before)], F.floor(source_id / chunk_rows).alias("_ids"))
 
 
 def merge_trades(sources: DataFrame, as_of: str, key: Sequence[str] = SALE_KEY, chunk_rows: int = 1 << 20) -> DataFrame:
@@ -25,7 +23,7 @@ def merge_trades(sources: DataFrame, as_of: str, key: Sequence[str] = SALE_KEY,
     """
     rows = sources.filter(F.col("sold_date") <= as_ts(as_of)).withColumnRenamed("id", "source_id")
     kept = reuse(oldest(rows, key, ["source_rank", "source_id"]))      # counted, then numbered
-    kept = kept.withColumn("_slice", _slice(F.col("source_rank"), F.col("source_id"), chunk_rows))
+    kept = kept.withColumn("_slice", _slice(F.col("source_id"), chunk_rows, F.col("source_rank")))
     return numbered(kept, [], "_slice", ["source_id"], "id").drop("_slice")
 
 
@@ -76,7 +74,7 @@ def merge_snapshots(sources: DataFrame, owners: DataFrame, as_of: str, chunk_row
     """Owned snapshots of all sources, renumbered by (rank, id)."""
     rows = sources.filter(F.col("captured_at") <= as_ts(as_of)).withColumnRenamed("id", "source_id")
     mine = owned(rows, owners, F.col("captured_at"))
-    mine = mine.withColumn("_slice", _slice(F.col("source_rank"), F.col("source_id"), chunk_rows))
+    mine = mine.withColumn("_slice", _slice(F.col("source_id"), chunk_rows, F.col("source_rank")))
     return numbered(mine, [], "_slice", ["source_id", "item_id", "captured_at"], "id").drop("_slice")
 
 
@@ -89,11 +87,12 @@ def snapshot_conflicts(merged: DataFrame) -> DataFrame:
 def owned_hours(bars: DataFrame, owners: DataFrame) -> DataFrame:
     """Bars counted per item and source: wholly inside an epoch of the source, or cut by its end."""
     last = F.col("hour") + F.expr("INTERVAL '59:59.999999' MINUTE TO SECOND")
-    begun = owned(bars, owners, F.col("hour")).select("item_id", "source", "hour", F.lit(1).alias("begun"))
-    whole = owned(bars, owners, F.col("hour"), last).select("item_id", "source", "hour", F.lit(1).alias("whole"))
-    j = begun.join(whole, ["item_id", "source", "hour"], "left")
-    return j.groupBy("item_id", "source").agg(F.count("whole").alias("owned_bars"),
-                                              F.count_if(F.col("whole").isNull()).alias("boundary_bars"))
+    o = owners.select("item_id", "source", "valid_from", "valid_to")
+    begun = ((F.col("valid_from").isNull() | (F.col("valid_from") <= F.col("hour")))
+             & (F.col("valid_to").isNull() | (F.col("hour") < F.col("valid_to"))))
+    j = bars.select("item_id", "source", "hour").join(o, ["item_id", "source"]).filter(begun)
+    cut = F.coalesce(last >= F.col("valid_to"), F.lit(False))
+    return j.groupBy("item_id", "source").agg(F.count_if(~cut).alias("owned_bars"), F.count_if(cut).alias("boundary_bars"))
 
 
 def unify_items(items: DataFrame, owners: DataFrame) -> DataFrame:
@@ -112,8 +111,8 @@ def unify_eligible(sources: DataFrame, states: DataFrame, as_of: str, key: Seque
     m = rows.groupBy(*key).agg(F.min_by(F.struct(*cols), F.struct("source_rank", "source_id")).alias("_r"),
                                F.bool_or(F.col("source_id") <= F.col("raw_max_id")).alias("eligible"))
     m = reuse(m.select(*key, "_r.*", "eligible"))
-    late = F.when(F.col("eligible"), F.lit(0)).otherwise(1 << 10)
-    m = m.withColumn("_slice", _slice(F.col("source_rank") + late, F.col("source_id"), chunk_rows))
+    late = F.when(F.col("eligible"), 0).otherwise(1)
+    m = m.withColumn("_slice", _slice(F.col("source_id"), chunk_rows, late, F.col("source_rank")))
     return numbered(m, [], "_slice", ["source_id"], "id").drop("_slice")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidebook.functions.exact import exact_sum, ratio
 from tidebook.functions.timeutil import as_ts, hours_ago, seconds_between
 from tidebook.plans.quantiles import exact_quantiles
-from tidebook.plans.split import newest
+from tidebook.plans.split import newest, order_key
 from tidebook.session import reuse
 
 
@@ -20,11 +20,12 @@ def last_sales(trades: DataFrame, as_of: str, limit: int = 100) -> DataFrame:
 def turnover_estimate(trades: DataFrame, as_of: str, limit: int = 100) -> DataFrame:
     """24 h turnover from one response; a response that does not reach back 24 h is scaled up and marked."""
     recent = F.col("sold_date") >= hours_ago(as_of, 24)
-    s = last_sales(trades, as_of, limit).groupBy("item_id").agg(
+    sales = last_sales(trades, as_of, limit)
+    s = sales.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min("sold_date").alias("_a"), F.max("sold_date").alias("_z"),
         F.coalesce(exact_sum(F.col("unit_price") * F.col("qty"), recent), F.lit(0)).cast("double").alias("_gold"),
         F.coalesce(F.sum(F.when(recent, F.col("qty"))), F.lit(0)).alias("observed_qty"),
-        F.count_if(recent).alias("trades"), F.max_by("unit_price", F.struct("sold_date", "id")).alias("last_price"))
+        F.count_if(recent).alias("trades"), F.max_by("unit_price", order_key(sales, ["sold_date", "id"])).alias("last_price"))
     full = (F.col("_n") == limit) & (F.col("_a") > hours_ago(as_of, 24))
     covered = F.greatest(F.lit(60.0), seconds_between(F.col("_z"), F.col("_a")) * F.col("_n") / (F.col("_n") - 1))
     span = F.when(full, covered / 60)
@@ -38,7 +39,7 @@ def collected_turnover(trades: DataFrame, as_of: str) -> DataFrame:
     recent = trades.filter((F.col("sold_date") > hours_ago(as_of, 24)) & (F.col("sold_date") <= as_ts(as_of)))
     return recent.groupBy("item_id").agg(
         exact_sum(F.col("unit_price") * F.col("qty")).cast("bigint").alias("turnover"), F.sum("qty").alias("observed_qty"),
-        F.count(F.lit(1)).alias("trades"), F.max_by("unit_price", F.struct("sold_date", "id")).alias("last_price"),
+        F.count(F.lit(1)).alias("trades"), F.max_by("unit_price", order_key(recent, ["sold_date", "id"])).alias("last_price"),
         F.lit(None).cast("double").alias("span_minutes"), F.lit("collected").alias("basis"))
 
 
@@ -53,7 +54,8 @@ def turnover_rank(estimates: DataFrame, collected: DataFrame, keep: int = 100) -
 
 def liquidity_scan(trades: DataFrame, as_of: str, limit: int = 100, least: int = 30) -> DataFrame:
     """Minutes per trade and median price of the latest sales; at most `limit` prices are gathered per item."""
-    s = last_sales(trades, as_of, limit).groupBy("item_id").agg(
+    sales = last_sales(trades, as_of, limit)
+    s = sales.groupBy("item_id").agg(
         F.count(F.lit(1)).alias("trades"), (seconds_between(F.max("sold_date"), F.min("sold_date")) / 60).alias("span_min"),
         F.sort_array(F.collect_list("unit_price")).alias("_p"))
     return (s.filter(F.col("trades") >= least)

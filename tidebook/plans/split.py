@@ -6,7 +6,8 @@ chunk totals, whose number is bounded by the calendar or by the price scale.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -46,17 +47,51 @@ def numbered(df: DataFrame, keys: Sequence[str], chunk: str, order: Sequence, na
     return placed.withColumn(name, F.col("_before_n") + F.col("_rn")).drop("_rn", "_before_n")
 
 
-def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
-    """The last row of each group as a partial aggregate: nothing is sorted and no group is gathered."""
+_SMALL = ("timestamp", "date", "int", "smallint", "tinyint")
+_FIXED = ("timestamp", "date", "int", "smallint", "tinyint", "bigint", "double", "float", "boolean")
+
+
+def _kind(df: DataFrame, col: str) -> str:
+    return df.schema[col].dataType.simpleString()
+
+
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One value that sorts as the columns `order` do, NULL first, for max_by and min_by.
+
+    Whole numbers and times, alone or a small one before another, become one fixed-width number, which a hash
+    aggregate can hold. Other columns stay a struct; Spark then sorts each task's rows before it aggregates.
+    """
+    kinds = [_kind(df, c) for c in order]
+    if any(k not in (*_SMALL, "bigint") for k in kinds) or len(kinds) > 2 or (len(kinds) == 2 and kinds[0] not in _SMALL):
+        return F.struct(*order)
+    as_number = {"timestamp": F.unix_micros, "date": F.unix_date}
+    whole = [as_number.get(k, F.col)(c).cast("bigint") for k, c in zip(kinds, order)]
+    low = F.coalesce(whole[-1], F.lit(-(1 << 63)))
+    if len(whole) == 1:
+        return low
+    high = F.coalesce(whole[0], F.lit(-(1 << 62)))        # times and small numbers stay within 62 bits
+    return high.cast("decimal(20,0)") * F.lit(Decimal(1 << 64)) + low.cast("decimal(20,0)")
+
+
+def _extreme(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] | None, by: Callable) -> DataFrame:
     cols = list(cols) if cols is not None else [c for c in df.columns if c not in keys]
-    pick = F.max_by(F.struct(*cols), F.struct(*order)).alias("_r")
-    return df.groupBy(*keys).agg(pick).select(*keys, "_r.*")
+    key = order_key(df, order)
+    if all(_kind(df, c) in _FIXED for c in cols):
+        return df.groupBy(*keys).agg(*[by(F.col(c), key).alias(c) for c in cols])
+    return df.groupBy(*keys).agg(by(F.struct(*cols), key).alias("_r")).select(*keys, "_r.*")
+
+
+def newest(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
+    """The last row of each group as a partial aggregate; no group is gathered.
+
+    Rows of fixed-width columns in an order that `order_key` packs need no sort; others are sorted within their task.
+    """
+    return _extreme(df, keys, order, cols, F.max_by)
 
 
 def oldest(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str] | None = None) -> DataFrame:
-    cols = list(cols) if cols is not None else [c for c in df.columns if c not in keys]
-    pick = F.min_by(F.struct(*cols), F.struct(*order)).alias("_r")
-    return df.groupBy(*keys).agg(pick).select(*keys, "_r.*")
+    """The first row of each group; see `newest`."""
+    return _extreme(df, keys, order, cols, F.min_by)
 
 
 def trailing_sums(probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_ts: str, fact_ts: str,

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidebook.functions.exact import exact_sum, ratio
 from tidebook.operators.health import AlarmLadder
 from tidebook.operators.ingest import SALE_KEY
+from tidebook.plans.split import order_key
 
 
 def stream_sales(sales: DataFrame, late: str = "2 hours", key: Sequence[str] = SALE_KEY) -> DataFrame:
@@ -22,7 +23,7 @@ def stream_sales(sales: DataFrame, late: str = "2 hours", key: Sequence[str] = S
 
 
 def _bar(df: DataFrame, window: Column, keys: Sequence[str]) -> DataFrame:
-    order = F.struct("sold_date", "id")
+    order = order_key(df, ["sold_date", "id"])
     g = df.groupBy(window.alias("w"), *keys).agg(
         F.min_by("unit_price", order).alias("o"), F.max("unit_price").alias("h"), F.min("unit_price").alias("l"),
         F.max_by("unit_price", order).alias("c"), exact_sum(F.col("unit_price") * F.col("qty")).alias("gold"),
