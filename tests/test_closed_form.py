@@ -217,3 +217,24 @@ def test_day_in_a_notice_title(spark):
     p = spark.createDataFrame([(1, html)], "page_id long, html string")
     got = {r["id"]: (r["category"], r["title"], r["date"], r["explicit"]) for r in notices.notice_rows(p).collect()}
     assert got == {"5": ("major", "Update & fix 10/22(목)", "2026-10-22", True), "6": ("minor", "New year 1/7(수)", "2027-01-07", True), "7": ("minor", "Plain", "2026-10-01", False)}
+
+
+def test_hour_is_known_only_if_every_poll_succeeded_in_time(spark):
+    rows = [("a", "00:10", "00:11", None), ("a", "00:20", None, None), ("b", "00:10", "00:11", None), ("b", "00:20", "02:00", None),
+            ("c", "00:10", "00:11", "timeout"), ("d", "00:10", "00:11", None)]
+    runs = spark.createDataFrame(rows, "item_id string, s string, f string, error string").select(
+        "item_id", *[F.to_timestamp(F.concat(F.lit("2024-01-01 "), c)).alias(n) for c, n in (("s", "started_at"), ("f", "finished_at"))], "error",
+        F.lit(False).alias("saturated"), F.lit(1).alias("sold_rows"), F.lit(1).alias("listing_rows"))
+    known = lambda **more: {r["item_id"] for r in health.quality_hours(runs, **more).collect() if r["known"]}
+    assert known() == {"b", "d"}
+    assert known(as_of="2024-01-01 01:00:00") == {"d"}
+
+
+def test_ledger_rules_see_missing_values(spark):
+    rows = [("a", "v2", "2024-01-05", None, 1, "2024-01-06", "last", 1.0), ("b", "v2", "2024-01-05", "2024-01-05 01:00:00", 1, None, "last", 1.0),
+            ("c", "v2", "2024-01-05", "2024-01-05 01:00:00", 1, "2024-01-06", "last", 1.0), ("d", "v2", "2024-01-05", "2024-01-05 09:00:00", 1, "2024-01-06", "last", 1.0)]
+    issues = spark.createDataFrame(rows, "item_id string, version string, o string, i string, h int, t string, model string, value double").select(
+        "item_id", "version", F.to_date("o").alias("origin"), F.to_timestamp("i").alias("issued_at"), "h", F.to_date("t").alias("target"), "model", "value")
+    found = {(r["item_id"], r["rule"]) for r in ledger.ledger_validate(issues, "v2", ["last"], now="2024-01-05 06:00:00").collect()}
+    assert {x for x in found if x[1] not in ("horizons", "models")} == {
+        ("a", "issued on another day"), ("b", "target date"), ("d", "issued in the future")}

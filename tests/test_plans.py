@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from tidebook.operators.archive import bucket_signature, changed_buckets, ensure_budget
+from tidebook.operators.candles import candles_1h
+from tidebook.operators.market import last_trade
+from tidebook.operators.merge import merge_trades, unify_eligible
 from tidebook.operators.models import LCG_A, LCG_C, LCG_SEED, lcg
 from tidebook.plans.quantiles import exact_quantiles
-from tidebook.plans.split import numbered, trailing_sums
+from tidebook.plans.split import newest, numbered, oldest, trailing_sums
 from tidebook.session import reuse
 
 
@@ -99,3 +102,38 @@ def test_reuse_goes_to_the_checkpoint_folder(spark, tmp_path):
     finally:
         getattr(sc._jsc.sc(), "checkpointDir_$eq")(sc._jvm.scala.Option.empty())
     assert sc._jsc.sc().getCheckpointDir().isEmpty()
+
+
+@pytest.fixture(scope="module")
+def sales(spark):
+    rows = [("a", t, i, price, 1) for price, (t, i) in enumerate((("2024-01-02 10:00:00", 5), ("2024-01-02 10:00:00", -3), ("1960-05-01 00:30:00", 9),
+                                               ("2024-01-02 10:00:00", 2**62), ("1960-05-01 00:10:00", 2**61), ("2024-01-02 10:59:59", None)))]
+    return spark.createDataFrame(rows, "item_id string, t string, id long, unit_price long, qty int").select(
+        "item_id", F.col("t").cast("timestamp").alias("sold_date"), "id", "unit_price", "qty")
+
+
+def test_ordered_picks_equal_a_struct_order(spark, sales):
+    for df in (sales, sales.filter("id IS NOT NULL"), sales.filter("sold_date < '1970-01-01'"), sales.filter("id < 0"), sales.filter("false")):
+        for pick, by in ((newest, F.max_by), (oldest, F.min_by)):
+            want = df.groupBy("item_id").agg(by(F.struct("unit_price", "id"), F.struct("sold_date", "id")).alias("r")).select("item_id", "r.*")
+            got = pick(df, ["item_id"], ["sold_date", "id"], ["unit_price", "id"])
+            assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+
+
+def test_bars_and_last_sales_sort_nothing(spark, sales):
+    for df in (candles_1h(sales), last_trade(sales, "2024-02-01 00:00:00")):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_ranks_of_any_size_keep_their_order(spark):
+    """A late row of the first of 3,000 sources still comes after every counted row."""
+    rows = [(f"s{r}", r, i, "a", f"2024-01-01 00:{r % 60:02d}:00", r, i) for r in (0, 1024, 1500, 2999) for i in (1, 2)]
+    src = spark.createDataFrame(rows, "source string, source_rank int, id long, item_id string, t string, unit_price long, qty long")
+    src = src.withColumn("sold_date", F.col("t").cast("timestamp")).drop("t")
+    key = ["item_id", "sold_date", "unit_price", "qty"]
+    states = src.select("source").distinct().withColumn("raw_max_id", F.lit(1).cast("bigint"))
+    out = unify_eligible(src, states, "2024-02-01 00:00:00", key).orderBy("id").collect()
+    assert [(r["eligible"], r["source_rank"]) for r in out] == [(e, k) for e in (True, False) for k in (0, 1024, 1500, 2999)]
+    merged = merge_trades(src, "2024-02-01 00:00:00", key).orderBy("id").collect()
+    assert [(r["source_rank"], r["source_id"]) for r in merged] == [(k, i) for k in (0, 1024, 1500, 2999) for i in (1, 2)]

@@ -59,11 +59,11 @@ def _(x):
     return op.archive_merge(_older(x).select(*COLS), x.trades().filter("sold_date >= '2024-01-15'").select(*COLS), ["id"])
 
 
-@query("archive_continuity", """WITH m AS (SELECT item_id, sold_date AS created_at, lag(sold_date) OVER (PARTITION BY item_id ORDER BY sold_date) AS p FROM tr WHERE unit_price > 15000),
+@query("archive_continuity", """WITH m AS (SELECT item_id, sold_date AS created_at, lag(sold_date) OVER (PARTITION BY item_id ORDER BY sold_date) AS p FROM tr),
   g AS (SELECT *, max(CASE WHEN created_at - p > INTERVAL 6 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY created_at) AS s FROM m)
   SELECT item_id, created_at, CASE WHEN p IS NULL THEN 'initial' WHEN s = 1 THEN 'gap' ELSE 'ok' END AS continuity FROM g""")
 def _(x):
-    m = x.trades().filter("unit_price > 15000").select("item_id", F.col("sold_date").alias("created_at"))
+    m = x.trades().select("item_id", F.col("sold_date").alias("created_at"))
     return op.archive_continuity(m, "item_id")
 
 
