@@ -173,7 +173,9 @@ def test_redaction(spark):
     assert out == {1: "Mail [EMAIL] or call [PHONE] now", 2: None, 3: "nothing"}
 
 
-def test_near_duplicates_by_brute_force(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 400])   # the second one splits every bucket into many blocks
+def test_near_duplicates_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = np.random.default_rng(9)
     base = [f"t{k}" for k in rng.integers(0, 500, 120)]
     rows = [(i, t) for i, t in texts() if i is not None]
