@@ -149,9 +149,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def hold(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; lost executors lose nothing of it."""
+    """Cut the lineage in the shared folder; lost executors lose nothing of it.
+
+    Spark deletes shuffle files of frames that nobody refers to any more only after a garbage collection on the
+    driver. That one is asked for here, so a loop of rounds takes the disk of one round.
+    """
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    held = df.checkpoint()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return held
 
 
 def fold(doc_id: Column, parts: int) -> Column:
