@@ -238,3 +238,21 @@ def test_ledger_rules_see_missing_values(spark):
     found = {(r["item_id"], r["rule"]) for r in ledger.ledger_validate(issues, "v2", ["last"], now="2024-01-05 06:00:00").collect()}
     assert {x for x in found if x[1] not in ("horizons", "models")} == {
         ("a", "issued on another day"), ("b", "target date"), ("d", "issued in the future")}
+
+
+def test_calendar_rows_without_url_and_in_order_of_arrival(spark):
+    kind = "name string, type string, announced_at timestamp, starts_at timestamp, ends_at timestamp, related array<string>, url string"
+    t = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    stored = spark.createDataFrame([(1, "sale", "old", t(0), t(1), None, ["a"], "u/1"), (2, "other", "old", None, t(1), t(9), None, "u/2")], f"id long, {kind}")
+    new = spark.createDataFrame([
+        (1, "sale", "first", None, t(14), t(30), None, None),
+        (2, "sale", "second", t(2), t(-8), None, ["b"], None),       # 1 January in Seoul, 31 December in UTC
+        (3, "sale", "third", None, t(2), t(40), None, "u/1"),
+        (4, "fresh", "one", t(3), t(4), None, None, "u/8"), (5, "fresh", "two", None, t(5), t(6), None, "u/9"),
+        (6, "other", "x", None, t(1), None, None, "u/3"), (7, None, "nameless", None, t(1), None, None, None)], f"position int, {kind}")
+    got = {(r["id"], r["name"]): r for r in notices.event_upsert(stored, new, tz="Asia/Seoul", order=["position"]).collect()}
+    assert set(got) == {(1, "sale"), (2, "other"), (None, "fresh"), (None, None)}
+    one, fresh = got[1, "sale"], got[None, "fresh"]
+    assert (one["type"], one["announced_at"], one["starts_at"], one["ends_at"], one["related"], one["url"]) == ("third", t(2), t(2), t(40), ["b"], "u/1")
+    assert (fresh["type"], fresh["announced_at"], fresh["ends_at"], fresh["url"]) == ("two", t(3), t(6), "u/9")
+    assert (got[2, "other"]["type"], got[2, "other"]["ends_at"], got[2, "other"]["url"]) == ("x", t(9), "u/3")

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 
 from tidebook.operators.archive import bucket_signature, changed_buckets, ensure_budget
 from tidebook.operators.candles import candles_1h
+from tidebook.operators.ingest import absences, judged, polls
 from tidebook.operators.market import last_trade
 from tidebook.operators.merge import merge_trades, unify_eligible
 from tidebook.operators.models import LCG_A, LCG_C, LCG_SEED, lcg
@@ -137,3 +138,18 @@ def test_ranks_of_any_size_keep_their_order(spark):
     assert [(r["eligible"], r["source_rank"]) for r in out] == [(e, k) for e in (True, False) for k in (0, 1024, 1500, 2999)]
     merged = merge_trades(src, "2024-02-01 00:00:00", key).orderBy("id").collect()
     assert [(r["source_rank"], r["source_id"]) for r in merged] == [(k, i) for k in (0, 1024, 1500, 2999) for i in (1, 2)]
+
+
+def test_always_capped_polls_fan_out_to_expiry_only(spark):
+    """200 hourly polls, each capped; every sighting expires 90 minutes later and is settled by the second poll after it."""
+    data = [(f"a{p}-{k}", 100 + k, p) for p in range(200) for k in range(5)]
+    hour = F.lit("2024-01-01").cast("timestamp") + F.make_interval(hours=F.col("p"))
+    seen = spark.createDataFrame(data, "auction_no string, unit_price long, p int").select(
+        "auction_no", F.lit("x").alias("item_id"), F.lit("c").alias("category"), hour.alias("batch"), "unit_price", F.lit(1).alias("cur_count"),
+        (hour + F.expr("INTERVAL 90 MINUTES")).alias("expire_date"), F.lit(None).cast("int").alias("upgrade"), F.lit(None).cast("int").alias("upgrade_max"))
+    p = polls(seen, cap=5)
+    s = seen.join(p, ["item_id", "batch"]).withColumn("next_no", F.lit(None).cast("int"))
+    assert absences(s, p).count() <= 1000 * 2
+    got = judged(seen, cap=5).filter("unit_price = 104").select(
+        ((F.unix_timestamp("closed_at") - F.unix_timestamp("batch")) / 3600).alias("h")).collect()
+    assert sorted(r["h"] for r in got if r["h"] is not None) == [2.0] * 198 and sum(r["h"] is None for r in got) == 2

@@ -104,8 +104,8 @@ COLS = ["name", "type", "announced_at", "starts_at", "ends_at", "related", "url"
 
 @query("event_upsert", """WITH s AS (SELECT id, name, type, announced_at, starts_at, CASE WHEN id % 2 = 0 THEN ends_at END AS ends_at, related, 'u/' || id AS url FROM cal WHERE id % 3 <> 0),
   i AS (SELECT name, upper(type) AS type, CASE WHEN id % 5 <> 0 THEN announced_at + INTERVAL 1 HOUR END AS announced_at, starts_at, CASE WHEN id % 2 = 1 THEN ends_at END AS ends_at, CASE WHEN id % 4 <> 0 THEN related END AS related,
-    CASE WHEN id % 7 = 0 THEN 'v/' ELSE 'u/' END || id AS url FROM cal),
-  m AS (SELECT i.*, (SELECT min(s.id) FROM s WHERE s.url = i.url OR (s.name = i.name AND CAST(s.starts_at AS DATE) = CAST(i.starts_at AS DATE))) AS sid FROM i)
+    CASE WHEN id % 11 <> 0 THEN CASE WHEN id % 7 = 0 THEN 'v/' ELSE 'u/' END || id END AS url FROM cal),
+  m AS (SELECT i.*, (SELECT min(s.id) FROM s WHERE s.url = i.url OR (s.name = i.name AND CAST(s.starts_at + INTERVAL 9 HOUR AS DATE) = CAST(i.starts_at + INTERVAL 9 HOUR AS DATE))) AS sid FROM i)
   SELECT s.id, s.name, CASE WHEN m.sid IS NOT NULL THEN m.type ELSE s.type END AS type, coalesce(m.announced_at, s.announced_at) AS announced_at, s.starts_at, coalesce(m.ends_at, s.ends_at) AS ends_at,
     array_to_string(coalesce(m.related, s.related), ',') AS related, coalesce(m.url, s.url) AS url FROM s LEFT JOIN m ON m.sid = s.id
   UNION ALL SELECT NULL, name, type, announced_at, starts_at, ends_at, array_to_string(related, ','), url FROM m WHERE sid IS NULL""")
@@ -114,8 +114,8 @@ def _(x):
     url = lambda p: F.concat(p, i.cast("string"))
     stored = c.filter(i % 3 != 0).select("id", "name", "type", "announced_at", "starts_at", F.when(i % 2 == 0, F.col("ends_at")).alias("ends_at"), "related", url(F.lit("u/")).alias("url"))
     new = c.select("name", F.upper("type").alias("type"), F.when(i % 5 != 0, F.col("announced_at") + F.expr("INTERVAL 1 HOUR")).alias("announced_at"), "starts_at",
-                   F.when(i % 2 == 1, F.col("ends_at")).alias("ends_at"), F.when(i % 4 != 0, F.col("related")).alias("related"), url(F.when(i % 7 == 0, "v/").otherwise("u/")).alias("url"))
-    return op.event_upsert(stored, new).withColumn("related", F.array_join("related", ","))
+                   F.when(i % 2 == 1, F.col("ends_at")).alias("ends_at"), F.when(i % 4 != 0, F.col("related")).alias("related"), F.when(i % 11 != 0, url(F.when(i % 7 == 0, "v/").otherwise("u/"))).alias("url"), i.alias("position"))
+    return op.event_upsert(stored, new, tz="Asia/Seoul", order=["position"]).withColumn("related", F.array_join("related", ","))
 
 
 def series(x):

@@ -92,11 +92,40 @@ def polls(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
             .drop("_top"))
 
 
+def _expiry_polls(seen_polls: DataFrame) -> DataFrame:
+    """Per item and hour of its time span: the polls inside (`inside`) and the first poll after it (`after_no`)."""
+    inside = (seen_polls.groupBy("item_id", F.date_trunc("hour", "batch").alias("expiry_hour"))
+              .agg(F.array_sort(F.collect_list(F.struct("batch", "poll_no"))).alias("inside")))   # the polls of one hour
+    span = inside.groupBy("item_id").agg(F.min("expiry_hour").alias("a"), F.max("expiry_hour").alias("b"))
+    spine = span.select("item_id", F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("expiry_hour"))
+    later = Window.partitionBy("item_id").orderBy("expiry_hour").rowsBetween(1, Window.unboundedFollowing)   # one row per hour
+    return (spine.join(inside, ["item_id", "expiry_hour"], "left")
+            .withColumn("after_no", F.min(F.element_at("inside", 1)["poll_no"]).over(later)))
+
+
+def absences(s: DataFrame, p: DataFrame) -> DataFrame:
+    """A row for each sighting and each later poll (later_no) that may settle its absence.
+
+    That stretch ends with the next uncapped poll, the poll before the next sighting, or the first poll at or after
+    the expiry, whichever comes first. The last one is looked up by the hour of the expiry.
+    """
+    last = F.least(F.coalesce("next_open", "last_poll"), F.coalesce(F.col("next_no") - 1, F.col("last_poll")))
+    gap = (s.withColumn("_last", last).filter(F.col("poll_no") + 1 <= F.col("_last"))
+           .select("auction_no", "item_id", "batch", "poll_no", "unit_price", "expire_date", "_last",
+                   F.date_trunc("hour", "expire_date").alias("expiry_hour"))
+           .join(_expiry_polls(p), ["item_id", "expiry_hour"], "left"))
+    due = F.filter("inside", lambda x: x["batch"] >= F.col("expire_date"))
+    expiry = F.when(F.col("expire_date") <= F.col("batch"), F.col("poll_no") + 1).otherwise(
+        F.coalesce(F.get(due, F.lit(0))["poll_no"], "after_no"))
+    return (gap.withColumn("_last", F.least("_last", expiry))
+            .select("auction_no", "item_id", "batch", "unit_price", "expire_date",
+                    F.explode(F.sequence(F.col("poll_no") + 1, F.col("_last"))).alias("later_no")))
+
+
 def judged(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
     """Each of the `sightings` with the first later poll that settles its absence (closed_at), if any.
 
-    Only the polls up to the next uncapped one can be the settling poll, so a sighting fans out to that
-    short stretch and meets the polls by an equi join on (item, poll number).
+    A sighting meets the few polls of `absences` by an equi join on (item, poll number).
     """
     p = polls(seen, cap)
     of_listing = Window.partitionBy("auction_no").orderBy("poll_no")   # at most one row per poll
@@ -105,12 +134,8 @@ def judged(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
          .withColumn("next_batch", F.lead("batch").over(of_listing))
          .withColumn("next_count", F.lead("cur_count").over(of_listing))
          .withColumn("next_price", F.lead("unit_price").over(of_listing)))
-    last = F.least(F.coalesce("next_open", "last_poll"), F.coalesce(F.col("next_no") - 1, F.col("last_poll")))
-    gap = (s.filter(F.col("poll_no") + 1 <= last)
-           .select("auction_no", "item_id", "batch", "unit_price", "expire_date",
-                   F.explode(F.sequence(F.col("poll_no") + 1, last)).alias("later_no")))
     later = p.select("item_id", F.col("poll_no").alias("later_no"), F.col("batch").alias("later"), "ceiling")
-    settled = (gap.join(later, ["item_id", "later_no"])
+    settled = (absences(s, p).join(later, ["item_id", "later_no"])
                .filter((F.col("later") >= F.col("expire_date")) | F.col("ceiling").isNull()
                        | (F.col("unit_price") < F.col("ceiling")))
                .groupBy("auction_no", "batch").agg(F.min("later").alias("closed_at")))

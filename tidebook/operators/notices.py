@@ -99,24 +99,34 @@ def term_match(titles: DataFrame, items: DataFrame, stop: Sequence[str] = ()) ->
     return hits.join(need, "id").filter(F.col("hits") >= F.col("need")).select("id", "item_id", "hits")
 
 
-def event_upsert(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Calendar after an update: matched by url, or by name and starting day; blanks keep what is stored.
-
-    Both have name, type, announced_at, starts_at, ends_at, related, url; `stored` also has id. An incoming row
-    changes the oldest stored row it matches; the rest is appended without an id.
+def event_upsert(stored: DataFrame, incoming: DataFrame, tz: str = "UTC", order: Sequence[str] = ("url",)) -> DataFrame:
+    """Calendar after an update: matched by url, or by name and starting day in `tz`; blanks keep what is stored.
+
+    Both have name, type, announced_at, starts_at, ends_at, related, url; `stored` also has id. `order` names the
+    columns of `incoming` that state its order of arrival; of rows with one url the last counts. An incoming row
+    changes the oldest stored row it matches. Rows that match the same stored row, or the same name and day that are
+    not stored, are applied in order: the last type, start and url, and the last value that is not null of the rest.
+    What matches nothing is appended without an id. A null url, name or start matches nothing.
     """
     cols = ["name", "type", "announced_at", "starts_at", "ends_at", "related", "url"]
-    i = incoming.select(*[F.col(c).alias(f"n_{c}") for c in cols])
-    by_url = stored.join(i, stored.url == i.n_url).select("id", "n_url")
-    by_name = stored.join(i, (stored.name == i.n_name) & (F.to_date(stored.starts_at) == F.to_date(i.n_starts_at))).select("id", "n_url")
-    hit = by_url.unionByName(by_name).groupBy("n_url").agg(F.min("id").alias("id"))
-    m = i.join(hit, "n_url", "left")
-    change = m.filter("id IS NOT NULL")
-    one = newest(change, ["id"], ["n_url"])
+    day = lambda c: F.to_date(F.from_utc_timestamp(c, tz))
+    i = incoming.select(*[F.col(c).alias(f"n_{c}") for c in cols], F.struct(*order).alias("_at"))
+    every = [f"n_{c}" for c in cols] + ["_at"]
+    linked = i.filter("n_url IS NOT NULL").groupBy("n_url").agg(F.max_by(F.struct(*every), "_at").alias("s")).select("s.*")
+    i = linked.unionByName(i.filter("n_url IS NULL")).withColumn("n_day", day("n_starts_at"))
+    by_url = stored.groupBy(F.col("url").alias("n_url")).agg(F.min("id").alias("id_url"))
+    by_name = stored.groupBy(F.col("name").alias("n_name"), day("starts_at").alias("n_day")).agg(F.min("id").alias("id_name"))
+    m = i.join(by_url, "n_url", "left").join(by_name, ["n_name", "n_day"], "left").withColumn("id", F.least("id_url", "id_name"))
+    last = lambda c: F.max_by(f"n_{c}", "_at").alias(f"n_{c}")
+    known = lambda c: F.max_by(f"n_{c}", F.when(F.col(f"n_{c}").isNotNull(), F.col("_at"))).alias(f"n_{c}")
+    folded = [last("type"), last("starts_at"), *[known(c) for c in ("announced_at", "ends_at", "related", "url")]]
+    one = m.filter("id IS NOT NULL").groupBy("id").agg(*folded, F.lit(True).alias("_hit"))
     j = stored.join(one, "id", "left")
-    hitrow = F.col("n_url").isNotNull()
-    pick = lambda c: F.when(hitrow, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
+    pick = lambda c: F.when(F.col("_hit"), F.col(f"n_{c}")).otherwise(F.col(c)).alias(c)
     keep = lambda c: F.coalesce(F.col(f"n_{c}"), F.col(c)).alias(c)
-    updated = j.select("id", "name", pick("type"), keep("announced_at"), pick("starts_at"), keep("ends_at"), keep("related"), pick("url"))
-    added = m.filter("id IS NULL").select(F.lit(None).cast("bigint").alias("id"), *[F.col(f"n_{c}").alias(c) for c in cols])
-    return updated.unionByName(added)
+    updated = j.select("id", "name", pick("type"), keep("announced_at"), pick("starts_at"), keep("ends_at"), keep("related"), keep("url"))
+    fresh = m.filter("id IS NULL")
+    whole = F.col("n_name").isNotNull() & F.col("n_day").isNotNull()
+    added = (fresh.filter(whole).groupBy("n_name", "n_day").agg(*folded).drop("n_day")
+             .unionByName(fresh.filter(~whole).drop("n_day", "id", "id_url", "id_name", "_at")))
+    return updated.unionByName(added.select(F.lit(None).cast("bigint").alias("id"), *[F.col(f"n_{c}").alias(c) for c in cols]))
