@@ -32,18 +32,20 @@ def _(x):
 
 @query("event_stage_3", f"""WITH st_ AS (SELECT event_id, item_id, CASE WHEN event_id % 11 <> 0 THEN {KD.format('starts_at')} + CAST(event_id % 4 AS INTEGER) END AS d FROM cali),
   mr AS (SELECT avg(ret) AS m FROM weff),
-  o AS (SELECT item_id, day, vwap / exp((ret - m) / 100) AS p, qty / vol AS q FROM duk JOIN weff ON weff.k = isodow(day), mr WHERE day < DATE '{TODAY}' AND vwap > 0 AND qty > 0 AND category <> 'error'),
+  o AS (SELECT item_id, day, vwap / exp((ret - m) / 100) AS p, qty / vol AS q FROM duk JOIN weff ON weff.k = isodow(day), mr WHERE day < DATE '{TODAY}' AND vwap > 0 AND (item_id LIKE 'signup%' OR qty > 0) AND category <> 'error'),
   f AS (SELECT item_id, min(day) AS fd FROM o GROUP BY 1),
   n AS (SELECT s.event_id, s.item_id, s.d, o.p, o.q, o.day < s.d AS pre, CASE WHEN o.day < s.d THEN row_number() OVER (PARTITION BY s.event_id, s.item_id, o.day < s.d ORDER BY o.day DESC)
       ELSE row_number() OVER (PARTITION BY s.event_id, s.item_id, o.day < s.d ORDER BY o.day) END AS rn FROM st_ s JOIN o ON o.item_id = s.item_id),
   g AS (SELECT event_id, item_id, count(*) FILTER (pre) AS bn, count(*) FILTER (NOT pre) AS an, avg(p) FILTER (pre) AS bp, avg(p) FILTER (NOT pre) AS ap, avg(q) FILTER (pre) AS bq, avg(q) FILTER (NOT pre) AS aq FROM n WHERE rn <= 3 AND d IS NOT NULL GROUP BY 1, 2),
   j AS (SELECT s.*, CASE WHEN d IS NULL THEN 'missing' WHEN fd IS NULL OR d < fd THEN 'before' WHEN d > DATE '{TODAY}' THEN 'scheduled' WHEN coalesce(bn, 0) < 3 OR coalesce(an, 0) < 3 THEN 'waiting' ELSE 'ready' END AS state, bp, ap, bq, aq
     FROM st_ s LEFT JOIN f ON f.item_id = s.item_id LEFT JOIN g ON g.event_id = s.event_id AND g.item_id = s.item_id)
-  SELECT event_id, item_id, CAST(CAST(d AS DATE) AS VARCHAR) AS stage_day, state, CASE WHEN state = 'ready' THEN {r('(ap / bp - 1) * 100')} END AS price, CASE WHEN state = 'ready' THEN {r('(aq / bq - 1) * 100')} END AS qty FROM j""")
+  SELECT event_id, item_id, CAST(CAST(d AS DATE) AS VARCHAR) AS stage_day, state, CASE WHEN state = 'ready' THEN {r('(ap / bp - 1) * 100')} END AS price, CASE WHEN state = 'ready' AND item_id NOT LIKE 'signup%' THEN {r('(aq / bq - 1) * 100')} END AS qty FROM j""")
 def _(x):
     daily, _elig, effect = _effect(x)
     e = _calendar(x)
     day = F.when(F.col("event_id") % 11 != 0, F.date_add(_kst_day("starts_at"), (F.col("event_id") % 4).cast("int")))
+    ask = F.col("item_id").startswith("signup")      # priced by what is on offer: no quantity
+    daily = daily.withColumns({"basis": F.when(ask, "ask").otherwise("trade"), "qty": F.when(ask, 0).otherwise(F.col("qty"))})
     return op.event_stage_3(daily, e.select("event_id", "item_id", day.alias("stage_day")), effect, TODAY)
 
 

@@ -43,9 +43,9 @@ def _(x):
     return run_available(jobs.stream_game_day(x.stream_trades())).drop("batch")
 
 
-@query("stream_activity_session", """WITH g AS (SELECT item_id, sold_date, CASE WHEN sold_date - lag(sold_date) OVER (PARTITION BY item_id ORDER BY sold_date) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM t5),
+@query("stream_activity_session", """WITH g AS (SELECT item_id, sold_date, CASE WHEN date_trunc('hour', sold_date) - lag(date_trunc('hour', sold_date)) OVER (PARTITION BY item_id ORDER BY sold_date) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS s FROM t5),
   i AS (SELECT *, sum(s) OVER (PARTITION BY item_id ORDER BY sold_date) AS k FROM g), a AS (SELECT item_id, k, min(sold_date) AS first_sale, max(sold_date) AS last_sale, count(*) AS n FROM i GROUP BY 1, 2)
-  SELECT item_id, first_sale, last_sale, n FROM a, streammark WHERE last_sale + INTERVAL 1 HOUR <= wm""")
+  SELECT item_id, first_sale, last_sale, n FROM a, streammark WHERE date_trunc('hour', last_sale) + INTERVAL 90 MINUTE <= date_trunc('hour', wm)""")
 def _(x):
     return run_available(jobs.stream_activity_session(x.stream_trades(wide=False))).drop("batch")
 

@@ -31,23 +31,26 @@ def event_window_7(series: DataFrame, events: DataFrame, before: str, days: int
 def event_stage_3(daily: DataFrame, stages: DataFrame, effect: DataFrame, today: str, each: int = 3) -> DataFrame:
     """Three completed observations on either side of a stage, with the common weekday pattern taken out.
 
-    Observations of an item are numbered once; a stage only needs its place in that order.
+    Observations of an item are numbered once; a stage only needs its place in that order. `daily` may have a column
+    `basis`: items of another basis than trade need no quantity and get none.
     """
     t = F.lit(today).cast("date")
-    d = daily.filter((F.col("day") < t) & (F.col("vwap") > 0) & (F.col("qty") > 0)).select("item_id", "day", "vwap", "qty")
+    basis = F.col("basis") if "basis" in daily.columns else F.lit("trade")
+    d = daily.withColumn("traded", basis == "trade").filter((F.col("day") < t) & (F.col("vwap") > 0) & (~F.col("traded") | (F.col("qty") > 0)))
+    d = d.select("item_id", "day", "vwap", "qty", "traded")
     ks = effect.agg(F.count(F.lit(1)).alias("ks"), F.avg("ret").alias("mean_ret"))
     d = d.withColumn("k", iso_dow("day")).join(effect.select("k", "ret", "vol"), "k", "left")
     mean_ret, n_k = ks.select("mean_ret").scalar(), ks.select("ks").scalar()
     d = d.withColumn("adj_p", F.col("vwap") / F.exp((F.coalesce("ret", mean_ret) - mean_ret) / 100))
     d = d.withColumn("adj_q", F.col("qty") / F.when(F.col("vol") != 0, F.col("vol")).otherwise(1.0))
     order = Window.partitionBy("item_id").orderBy("day")
-    obs = d.withColumn("no", F.row_number().over(order)).select("item_id", "day", "no", "adj_p", "adj_q")
-    first = obs.groupBy("item_id").agg(F.min("day").alias("first_day"), F.max("no").alias("total"))
+    obs = d.withColumn("no", F.row_number().over(order)).select("item_id", "day", "no", "adj_p", "adj_q", "traded")
+    first = obs.groupBy("item_id").agg(F.min("day").alias("first_day"), F.bool_and("traded").alias("traded"))
     marks = (obs.select("item_id", "day", F.lit(None).cast("bigint").alias("event_id"), F.lit(1).alias("seen"))
              .unionByName(stages.filter("stage_day IS NOT NULL").select("item_id", F.col("stage_day").alias("day"), "event_id", F.lit(0).alias("seen"))))
     earlier = Window.partitionBy("item_id").orderBy("day", "seen").rowsBetween(Window.unboundedPreceding, 0)
     place = marks.withColumn("place", F.sum("seen").over(earlier)).filter("event_id IS NOT NULL").select("event_id", "item_id", "place")
-    near = place.withColumn("no", F.explode(F.sequence(F.col("place") - each + 1, F.col("place") + each))).join(obs, ["item_id", "no"])
+    near = place.withColumn("no", F.explode(F.sequence(F.col("place") - each + 1, F.col("place") + each))).join(obs.drop("traded"), ["item_id", "no"])
     side = lambda c, after: F.avg(F.when((F.col("no") > F.col("place")) == F.lit(after), F.col(c)))
     cnt = lambda after: F.count_if((F.col("no") > F.col("place")) == F.lit(after))
     g = near.groupBy("event_id", "item_id").agg(cnt(False).alias("_bn"), cnt(True).alias("_an"), side("adj_p", False).alias("_bp"), side("adj_p", True).alias("_ap"),
@@ -58,8 +61,8 @@ def event_stage_3(daily: DataFrame, stages: DataFrame, effect: DataFrame, today:
              .when(F.col("stage_day") > t, "scheduled").when((n0("_bn") < each) | (n0("_an") < each), "waiting")
              .when(n_k < 7, "weekday").otherwise("ready"))
     j = j.withColumn("state", state)
-    pct = lambda a, b: F.when(F.col("state") == "ready", (F.col(a) / F.col(b) - 1) * 100)
-    return j.select("event_id", "item_id", "stage_day", "state", pct("_ap", "_bp").alias("price"), pct("_aq", "_bq").alias("qty"))
+    pct = lambda a, b: F.when(F.col("state") == "ready", (F.col(a) / F.nullif(F.col(b), F.lit(0.0)) - 1) * 100)
+    return j.select("event_id", "item_id", "stage_day", "state", pct("_ap", "_bp").alias("price"), F.when(F.col("traded"), pct("_aq", "_bq")).alias("qty"))
 
 
 def _moves(bars: DataFrame, before_h: int, after_h: int) -> DataFrame:

@@ -58,10 +58,10 @@ def stream_game_day(sales: DataFrame, late: str = "2 hours", offset: str = "21 h
     return _bar(sales.withWatermark("sold_date", late), F.window("sold_date", "1 day", "1 day", offset), ["item_id"])
 
 
-def stream_activity_session(sales: DataFrame, late: str = "2 hours", gap: str = "1 hour") -> DataFrame:
-    """Stretches of sales with no pause of an hour between them (append)."""
-    s = sales.withWatermark("sold_date", late)
-    g = s.groupBy(F.session_window("sold_date", gap).alias("s"), "item_id").agg(
+def stream_activity_session(sales: DataFrame, late: str = "2 hours", gap: str = "90 minutes") -> DataFrame:
+    """Stretches of hours that all have sales (append). A gap between one and two hours joins neighbouring hours only."""
+    s = sales.withColumn("hour", F.date_trunc("hour", "sold_date")).withWatermark("hour", late)
+    g = s.groupBy(F.session_window("hour", gap).alias("s"), "item_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("sold_date").alias("first_sale"), F.max("sold_date").alias("last_sale"))
     return g.select("item_id", "first_sale", "last_sale", "n")
 
