@@ -1,4 +1,5 @@
 """The text operators against brute force on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+import dataclasses
 import hashlib
 import math
 import re
@@ -251,6 +252,39 @@ def test_class_model(spark):
     assert all(math.isclose(10 ** model.share[g] * n + 10 ** model.unknown[g], 1, rel_tol=1e-9) for g, n in rest.items())
 
 
+def test_class_model_places_every_repeated_word(spark, monkeypatch):
+    """Two kinds of words take turns; nearly all of them are beyond the words that exchange starts from."""
+    rng = np.random.default_rng(4)
+    kinds = [[f"{c}{i}same" for i in range(300)] for c in "pq"]
+    rows = [(i, " ".join(kinds[(i + j) % 2][rng.integers(300)] for j in range(60))) for i in range(400)] + [(900, "once same"), (901, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(w for _, t in rows for w in words(t, r"[^\x20\x09-\x0D]+"))
+    monkeypatch.setattr(brown, "EXCHANGED", 40)
+    monkeypatch.setattr(brown, "CLASSES", 4)
+    got = {}
+    for head in (brown.HEAD, 100):
+        monkeypatch.setattr(brown, "HEAD", head)
+        model, table = brown.train(docs.select(F.coalesce("text", F.lit("")).alias("text")))
+        far = {r["h"]: r["k"] for r in table.where("k is not null").collect()}
+        assert len(model.units.hashes) + len(far) == sum(n >= brown.LEAST for n in counts.values())
+        placed = np.concatenate([model.classes[:len(model.units.hashes)], list(far.values())]).astype(int)
+        assert (placed < brown.CLASSES).all() and bool(far) == (head == 100)
+        assert np.allclose((10 ** model.steps).sum(axis=1), 1)
+        got[head] = {r["doc_id"]: r.asDict() for r in brown.score(docs, model, table).collect()}
+        gain = sum(r["score"] - r["base_score"] for r in got[head].values()) / sum(r["n_tokens"] for r in got[head].values())
+        assert gain > 0.25  # the kind of the next word is known, which is log10(2) of a step
+    # the same classes, all at hand, give the same scores as classes that are joined
+    known = sorted((r["h"], r["c"], r["k"]) for r in table.where(F.col("h") != int(brown.END)).collect())
+    own = {int(h): int(model.classes[i]) for h, i in zip(model.units.hashes, model.units.of)} | far
+    placed = [(h, c) for h, c, _ in known if h in own]
+    classes = np.array([own[h] for h, _ in placed] + list(range(brown.CLASSES, brown.CLASSES + brown.ENDINGS + 1)))
+    whole = dataclasses.replace(model, units=brown.Units(np.array([h for h, _ in placed]), np.arange(len(placed))), classes=classes, tail=False,
+                                frequent=np.log10(np.array([c for _, c in placed]) / model.sizes[classes[:len(placed)]]),
+                                head=np.array([h for h, _, _ in known]), counts=np.array([c for _, c, _ in known]))
+    for r in brown.score(docs, whole, table.withColumn("k", F.lit(None).cast("int"))).collect():
+        assert all(math.isclose(r[c], got[100][r["doc_id"]][c], rel_tol=1e-9) for c in ("n_tokens", "n_known", "base_score", "score")), r
+
+
 def test_restoring_obfuscated_words():
     counts = Counter()
     for w in ["idiot"] * 30 + ["stupid"] * 20 + ["hello", "that", "this", "hoot"] * 10 + PROSE:

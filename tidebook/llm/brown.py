@@ -12,11 +12,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidebook.llm.shared import NOT_SPACE, U64, Words, fold, hold, mixed, pieces, signed, small_batches
 
 FOLDS, HELD_OUT = 7, 2
-EXCHANGED = 2000     # most frequent words, each of which exchange puts into a class
-CLASSES = 48         # classes of those words
+EXCHANGED = 2000     # most frequent words, whose classes the others start from
+LEAST = 3            # occurrences from which on exchange places a word
+CLASSES = 48         # classes of placed words
 ENDINGS = 32         # classes of all other words, known or not, by their last three bytes
-HEAD = 1 << 18       # words whose counts every task holds, at most; the counts of the others are joined
-ROUNDS = 5
+HEAD = 1 << 18       # words whose counts and classes every task holds, at most; those of the others are joined
+SETTLED = 0.01       # share of the words, or growth of the information in a step, below which exchange has settled
 PRIOR = 5.0          # weight of the classes' shares in the probability of a step
 END = np.int64(0x7E4D5F3C2B1A0987)  # stands for the end of a document among the words' hashes
 _KEEP = 2_000_000    # counted values that a task gathers before it sends them on
@@ -61,7 +62,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Units:
-    """Frequent words by number, and the numbers of everything else: endings, then the end of a document."""
+    """Placed words by number, and the numbers of everything else: endings, then the end of a document."""
     hashes: np.ndarray  # sorted
     of: np.ndarray      # number of each
 
@@ -134,19 +135,30 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-9)), 0.0)
 
 
-def exchange(pairs: DataFrame, n_words: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Class of every unit, and the counts of class steps.
+def information(steps: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, in nats."""
+    total = steps.sum()
+    return float((_xlogx(steps).sum() - _xlogx(steps.sum(axis=0)).sum() - _xlogx(steps.sum(axis=1)).sum() + _xlogx(total)) / max(total, 1))
+
+
+def exchange(pairs: DataFrame, n_words: int) -> np.ndarray:
+    """Class of every unit.
 
     Words start in classes by rank. In each round the tasks count which classes surround each word, from all pairs;
     then each word in turn leaves its class and enters the one that raises the likelihood of the class steps
-    most. Only the tables of words by classes reach the driver; their size is set by the parameters.
+    most. Rounds end when few words move, or when the steps tell hardly more. Only the tables of words by classes reach
+    the driver; their size is set by the parameters.
     """
     many = CLASSES + ENDINGS + 1
     classes = np.concatenate([np.arange(n_words) % CLASSES, CLASSES + np.arange(ENDINGS + 1)]).astype(np.int64)
-    for _ in range(rounds):
+    told = -1.0
+    while True:
         after, before = _profiles(pairs, classes, many)
         steps = np.zeros((many, many))
         np.add.at(steps, classes, after)
+        if information(steps) <= told * (1 + SETTLED / 10):
+            return classes
+        told = information(steps)
         moved = 0
         for w in range(n_words):
             own, r, l = classes[w], after[w], before[w]
@@ -166,12 +178,133 @@ def exchange(pairs: DataFrame, n_words: int, rounds: int = ROUNDS) -> tuple[np.n
             steps[:, new] += l
             moved += new != own
             classes[w] = new
-        if not moved:
-            break
-    after, _ = _profiles(pairs, classes, many)
-    steps = np.zeros((many, many))
-    np.add.at(steps, classes, after)
-    return classes, steps
+        if moved <= SETTLED * n_words:
+            return classes
+
+
+def class_profiles(docs: DataFrame, units: Units, classes: np.ndarray, tail: DataFrame | None) -> DataFrame:
+    """(far, w, k, g, side, n): how often class g stands after (side 0) or before (1) a word of class k in (text).
+
+    w is a unit, or the hash of a word outside the head (far = 1). `tail` has the classes (h, k) of placed words outside the
+    head, None if there are none; what is in neither belongs to its ending.
+    """
+    out = (T.StructType().add("far", "integer").add("w", "long").add("k", "integer").add("side", "integer").add("g", "integer")
+           .add("b", "long").add("n", "long"))
+    arrow = to_arrow_schema(out)
+    many, end, split = CLASSES + ENDINGS + 1, units.end, tail is not None
+
+    def run(batches):
+        kept, size = [], 0
+
+        def sent():
+            w, far, k, side, g, b, far_b = (np.concatenate(x) for x in zip(*kept))
+            code = mixed(w.view(U64)) + (side * 2 + far).astype(U64)
+            code = mixed(code) + np.where(far_b, mixed(b.view(U64)), g.astype(U64)) if split else (w * 2 + side) * many + g
+            _, at, n = np.unique(code, return_index=True, return_counts=True)
+            # a neighbour whose class is at hand is sent by the word, so that rows spread over the tasks of the join
+            b = np.where(far_b, b, signed(mixed(w.view(U64) ^ U64(0x5555555555555555))))
+            i32 = lambda x: pa.array(x[at].astype(np.int32))
+            return pa.RecordBatch.from_arrays([i32(far), pa.array(w[at]), i32(k), i32(side), i32(g), pa.array(b[at]), pa.array(n)], schema=arrow)
+
+        for batch in batches:
+            for _, words in pieces(batch, "text", NOT_SPACE):
+                seq, _ = units.numbered(words)
+                cls, w, far = classes[seq], seq, np.zeros(len(seq), dtype=bool)
+                if split:
+                    far = (seq >= len(units.hashes)) & (seq < end)
+                    h = np.zeros(len(seq), dtype=np.int64)
+                    h[np.arange(len(words.hash)) + words.doc] = signed(words.hash)
+                    w = np.where(far, h, seq)
+                # a document begins after an end, which is where the one before it ends
+                for side, x, y in ((0, np.roll(np.arange(len(seq)), 1), np.arange(len(seq))), (1, np.arange(len(seq)), np.roll(np.arange(len(seq)), 1))):
+                    kept.append((w[x], far[x], cls[x], np.full(len(seq), side), cls[y], w[y], far[y]))
+                size += 2 * len(seq)
+                if size >= _KEEP:
+                    yield sent()
+                    kept, size = [], 0
+        if kept:
+            yield sent()
+
+    rows = docs.select("text").mapInArrow(run, out)
+    if not split:
+        return rows.groupBy("far", "w", "k", "side", "g").agg(F.sum("n").alias("n"))
+    rows = rows.join(tail.select(F.col("h").alias("b"), F.col("k").alias("_g")), "b", "left").withColumn("g", F.coalesce("_g", "g"))
+    rows = rows.groupBy("far", "w", "k", "side", "g").agg(F.sum("n").alias("n"))
+    own = tail.select(F.lit(1).alias("far"), F.col("h").alias("w"), F.col("k").alias("_k"))
+    rows = rows.join(own, ["far", "w"], "left")
+    # words that are not placed are their endings
+    return rows.select(F.when((F.col("far") == 1) & F.col("_k").isNull(), F.lit(2)).otherwise(F.col("far")).alias("far"), "w",
+                       F.coalesce("_k", "k").alias("k"), "side", "g", "n")
+
+
+def best_classes(profiles: DataFrame, steps: np.ndarray) -> DataFrame:
+    """(far, w, k): the class that raises the likelihood of the class steps most, once the word has left its own."""
+    out = T.StructType().add("far", "integer").add("w", "long").add("k", "integer")
+    arrow = to_arrow_schema(out)
+
+    def gains(S, own, word, g, n, other):
+        """By word and class: what Σ x log x of the rows of S gains; `other` is what the word adds to its own column."""
+        x = S[:CLASSES, g].T.copy()
+        at = np.flatnonzero(own[word] < CLASSES)
+        x[at, own[word[at]]] -= n[at]
+        at = np.flatnonzero(g == own[word])
+        x[at] -= other[word[at], :CLASSES]
+        np.maximum(x, 0, out=x)
+        to = np.zeros((len(own), CLASSES))
+        np.add.at(to, word, _xlogx(x + n[:, None]) - _xlogx(x))
+        return to
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                own, listed = part.column("k").to_numpy(), part.column("p")
+                word = np.repeat(np.arange(len(own)), np.diff(listed.offsets.to_numpy()))
+                side, g, n = (listed.flatten().field(i).to_numpy() for i in range(3))
+                n = n.astype(float)
+                around = np.zeros((2, len(own), len(steps)))
+                around[side, word, g] = n
+                total = around[0].sum(axis=1)
+                gain = sum(gains(S, own, word[side == i], g[side == i], n[side == i], around[1 - i]) for i, S in ((0, steps), (1, steps.T)))
+                size = np.tile(steps.sum(axis=1)[:CLASSES], (len(own), 1))
+                at = np.flatnonzero(own < CLASSES)
+                size[at, own[at]] = np.maximum(size[at, own[at]] - total[at], 0)
+                gain -= 2 * (_xlogx(size + total[:, None]) - _xlogx(size))
+                yield pa.RecordBatch.from_arrays([part.column("far"), part.column("w"), pa.array(np.argmax(gain, axis=1).astype(np.int32))], schema=arrow)
+
+    listed = profiles.groupBy("far", "w", "k").agg(F.collect_list(F.struct("side", "g", "n")).alias("p"))
+    return listed.select("far", "w", "k", "p").mapInArrow(run, out)
+
+
+def place(docs: DataFrame, units: Units, classes: np.ndarray, tail: DataFrame | None) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
+    """Classes of all units, of the placed words outside the head, and the counts of class steps.
+
+    In each round the tasks count the classes around every word and choose its best class against the steps of all
+    classes. Words without a class enter one at once; of the others a half is asked in each round, by hash, so that words do
+    not change places for ever. Rounds end when the steps tell hardly more. Classes of words in the head and the steps reach
+    the driver.
+    """
+    many, told, best, turn = CLASSES + ENDINGS + 1, -1.0, None, 0
+    while True:
+        profiles = hold(class_profiles(docs, units, classes, tail))
+        steps = np.zeros((many, many))
+        for r in profiles.where("side = 0").groupBy("k", "g").agg(F.sum("n").alias("n")).collect():
+            steps[r["k"], r["g"]] = r["n"]
+        now = information(steps)
+        if turn > 2 and now <= told * (1 + SETTLED):
+            return (classes, tail, steps) if now > told else best
+        if turn and now > told:  # before the first round, words still stand in the classes of their endings
+            told, best = now, (classes, tail, steps)
+        turn += 1
+        asked = (F.col("far") == 1) | ((F.col("far") == 0) & (F.col("w") < len(units.hashes)))
+        asked &= (F.col("k") >= CLASSES) | (F.pmod(F.xxhash64("w"), F.lit(2)) == turn % 2)
+        moved = hold(best_classes(profiles.where(asked), steps))
+        near = moved.where("far = 0").toArrow()
+        classes = classes.copy()
+        classes[near.column("w").to_numpy()] = near.column("k").to_numpy()
+        if tail is not None:
+            new = moved.where("far = 1").select(F.col("w").alias("h"), F.col("k").alias("_k"))
+            tail = hold(tail.join(new, "h", "left").select("h", F.coalesce("_k", "k").alias("k")))
 
 
 @dataclass
@@ -179,7 +312,9 @@ class Model:
     units: Units
     classes: np.ndarray      # of units
     steps: np.ndarray        # log10 probability of a class after a class
-    frequent: np.ndarray     # log10 probability of a frequent word in its class
+    frequent: np.ndarray     # log10 probability of a placed word of the head in its class
+    sizes: np.ndarray        # tokens of each class
+    tail: bool               # whether words outside the head are placed
     share: np.ndarray        # by ending: log10 of what known words have of the class, by tokens
     unknown: np.ndarray      # by ending: log10 probability of an unknown word
     head: np.ndarray         # sorted hashes of the words whose counts are at hand
@@ -193,7 +328,8 @@ class Model:
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """A model of (text), and the table (h, g, c) of all its words' counts. All documents given are counted."""
+    """A model of (text), and the table (h, g, c, k) of all its words' counts; k is the class of placed words outside the
+    head. All documents given are counted, and all words of LEAST or more occurrences are placed."""
     table = hold(word_counts(docs))
     size = table.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum(F.when(F.col("h") == int(END), F.col("c"))).alias("e")).first()
     level = F.floor(F.log2("c") * 8).cast("int")
@@ -205,13 +341,21 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         lowest, room = l, room - n
     head = table.where((level >= lowest) & (F.col("h") != int(END))).toArrow()
     h, c, g = (head.column(x).to_numpy() for x in ("h", "c", "g"))
-    top = np.lexsort((h, -c))[:EXCHANGED]
-    order = np.argsort(h[top])
-    units = Units(h[top][order], order.astype(np.int64))
-    pairs = hold(unit_pairs(docs, units))
-    classes, steps = exchange(pairs, len(top))
+    top = np.lexsort((h, -c))
+    top = top[c[top] >= LEAST]
+    first = top[:EXCHANGED]
+
+    def numbered(chosen):
+        order = np.argsort(h[chosen])
+        return Units(h[chosen][order], order.astype(np.int64))
+
+    start = exchange(hold(unit_pairs(docs, numbered(first))), len(first))
+    units = numbered(top)
+    classes = np.concatenate([start[:len(first)], CLASSES + g[top[len(first):]], CLASSES + np.arange(ENDINGS + 1)]).astype(np.int64)
+    tail = table.where((level < lowest) & (F.col("c") >= LEAST) & (F.col("g") >= 0)).select("h", (F.col("g") + CLASSES).alias("k"))
+    classes, tail, steps = place(docs, units, classes, None if tail.isEmpty() else tail)
     # what exchange has not placed belongs to its ending
-    frequent = table.where(F.col("g") >= 0).join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in units.hashes], "h bigint")), "h", "left_anti")
+    frequent = table.where((F.col("g") >= 0) & (F.col("c") < LEAST))
     n, kinds, once = np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in frequent.groupBy("g").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("int")).alias("once")).collect():
         n[r["g"]], kinds[r["g"]], once[r["g"]] = r["n"], r["v"], r["once"]
@@ -223,14 +367,17 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         words = np.log10(c[top] / np.maximum(sizes[classes[:len(top)]], 1))
         share = np.log10((1 - unknown) / np.maximum(n, 1))
     order = np.argsort(h)
-    return Model(units, classes, steps, words, share, np.log10(unknown), h[order], c[order], int(size["n"] or 0), int(size["v"]), int(size["e"] or 0)), table
+    model = Model(units, classes, steps, words, sizes, tail is not None, share, np.log10(unknown), h[order], c[order],
+                  int(size["n"] or 0), int(size["v"]), int(size["e"] or 0))
+    return model, table.withColumn("k", F.lit(None).cast("int")) if tail is None else table.join(tail, "h", "left")
 
 
 def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of `docs`: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text).
 
     Tokens are lower-cased words and one end. Steps between classes and words of the head are summed where the text is
-    read; each other word is sent once per document to meet its count, and the sums meet by document.
+    read; each other word is sent once per document to meet its count, and the sums meet by document. If words outside the
+    head are placed, the steps from and to such words are sent too, to meet their classes.
     A word is known if training has it. Its class is its own or, by its ending, that of all words that end alike, in which
     unknown words together have the share of words seen once. base_score is the add-one score of single words.
 
@@ -238,7 +385,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id
     """
     small_batches(docs.sparkSession)
     out = (T.StructType().add("uid", "long").add("doc_id", docs.schema[doc_id].dataType).add("h", "long").add("g", "integer").add("n", "long")
-           .add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double"))
+           .add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("h0", "long").add("g0", "integer"))
     arrow = to_arrow_schema(out)
     m = model
 
@@ -251,6 +398,7 @@ def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id
                 cls = m.classes[seq]
                 before = np.concatenate([[cls[-1]], cls[:-1]])
                 value = m.steps[before, cls]
+                prior = np.zeros(len(seq), dtype=np.int64)
                 base = np.full(len(seq), m.base(m.ends) if m.ends else m.base(0))
                 known = np.full(len(seq), bool(m.ends))
                 at_word = np.arange(len(words.hash)) + words.doc
@@ -263,6 +411,12 @@ def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id
                 own = np.where(near, m.share[g] + np.log10(np.maximum(count, 1)), 0.0)
                 if len(m.frequent):
                     own = np.where(placed, m.frequent[np.minimum(unit, len(m.frequent) - 1)], own)
+                open_ = np.zeros(len(seq), dtype=bool)
+                open_[at_word] = ~near
+                if m.tail:
+                    prior[at_word] = h
+                    either = np.flatnonzero(open_ | np.roll(open_, 1))
+                    value[either] = 0.0
                 value[at_word] += own
                 base[at_word] = np.where(near, m.base(count), 0.0)
                 known[at_word] = near
@@ -274,23 +428,43 @@ def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id
                 zero = np.zeros(len(far))
                 docs_rows = [pa.array(ids), part.column("doc_id"), pa.array(signed(mixed(ids.astype(U64)))), pa.array(np.zeros(rows, dtype=np.int32)),
                              pa.array(np.zeros(rows, dtype=np.int64)), pa.array(np.diff(words.first) + 1), pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                             pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(value, first))]
+                             pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(value, first)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32())]
                 yield pa.RecordBatch.from_arrays(docs_rows, schema=arrow)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[words.doc[far]]), pa.nulls(len(far), arrow.field("doc_id").type), pa.array(h[far]), pa.array(g[far].astype(np.int32)),
-                     pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero)], schema=arrow)
+                     pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero),
+                     pa.nulls(len(far), pa.int64()), pa.nulls(len(far), pa.int32())], schema=arrow)
+                if m.tail:
+                    doc = np.repeat(np.arange(rows), np.diff(np.append(first, len(seq))))[either]
+                    # a class that is at hand goes with a number that no word has, so that rows spread over the tasks of the join
+                    spread = signed(mixed(mixed(ids[doc].astype(U64)) + either.astype(U64)))
+                    zero = np.zeros(len(either))
+                    none = pa.array(zero.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[doc]), pa.nulls(len(either), arrow.field("doc_id").type), pa.array(np.where(open_[either], prior[either], spread)),
+                         pa.array(cls[either].astype(np.int32)), none, none, none, pa.array(zero), pa.array(zero),
+                         pa.array(np.where(open_[either - 1], prior[either - 1], spread)), pa.array(before[either].astype(np.int32))], schema=arrow)
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = source.mapInArrow(run, out).join(table.select("h", "c"), "h", "left")
+    rows = source.mapInArrow(run, out).join(table.select("h", "c", "k"), "h", "left")
+    step = F.lit(0.0)
+    if m.tail:
+        rows = rows.withColumn("h0", F.coalesce("h0", F.xxhash64("uid", "h"))).join(table.select(F.col("h").alias("h0"), F.col("k").alias("k0")), "h0", "left")
+        known = [(i, j, float(x)) for i, line in enumerate(m.steps) for j, x in enumerate(line)]
+        known = docs.sparkSession.createDataFrame(known, "_a int, _b int, _s double")
+        rows = rows.withColumns({"_a": F.when(F.col("g0").isNotNull(), F.coalesce("k0", "g0")), "_b": F.when(F.col("g0").isNotNull(), F.coalesce("k", "g"))})
+        rows = rows.join(F.broadcast(known), ["_a", "_b"], "left")
+        step = F.coalesce("_s", F.lit(0.0))
     of = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("g") + 1)
     c = F.coalesce("c", F.lit(0))
+    size = F.element_at(F.array(*[F.lit(float(np.log10(max(x, 1)))) for x in model.sizes]), F.col("k") + 1)
     floor = F.lit(float(np.log10(model.tokens + model.kinds + 1.0)))
     return (rows.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
         F.sum(F.col("base_score") + F.col("n") * (F.log10(c + 1) - floor)).alias("base_score"),
-        F.sum(F.col("score") + F.when(F.col("n") > 0, F.col("n") * F.when(c > 0, of(model.share) + F.log10(F.greatest(c, F.lit(1)))).otherwise(of(model.unknown))).otherwise(0.0)).alias("score"))
+        F.sum(F.col("score") + step + F.when(F.col("n") > 0, F.col("n") * F.when(F.col("k").isNotNull(), F.log10(c) - size).when(c > 0, of(model.share) + F.log10(F.greatest(c, F.lit(1)))).otherwise(of(model.unknown))).otherwise(0.0)).alias("score"))
         .drop("uid"))
 
 
