@@ -294,6 +294,22 @@ def test_restoring_obfuscated_words():
     assert restore("hello that") == "hello that"
 
 
+def test_restoring_every_kind_of_noise():
+    counts = Counter()
+    for w in ["idiot", "fool", "hate", "kill", "ass"] * 30 + ["hello", "that", "this", "a", "i"] * 10 + PROSE:
+        counts.update(f"^^{w}$"[i:i + 3] for i in range(len(w) + 1))
+    restore = toxicity.Restorer(toxicity.CharModel(counts))
+    for noisy, clean in [("f. o. o. l", "fool"), ("i  d  i  o  t", "idiot"), ("f_o_o_l", "fool"), ("an a s s", "an ass"), ("an a$$", "an ass"),
+                         ("ki11 it", "kill it"), ("hat3 it", "hate it"), ("i d 1 o t", "idiot"), ("1 d i 0 t", "idiot"), ("k 1 1 l", "kill"), ("1d10t!", "idiot!")]:
+        assert restore(noisy) == clean, noisy
+    for plain in ("hello! that (this) is 7 of 12", "i - a fox", "hello that"):
+        assert restore(plain) == plain
+    rng = np.random.default_rng(8)
+    for _ in range(20_000):  # the check lets every text through that has a suspect span
+        text = "".join(rng.choice(list("aab1$! .-_*("), rng.integers(1, 9)))
+        assert toxicity._HINT.search(text) or not toxicity.SUSPECT.search(text), text
+
+
 @pytest.mark.parametrize("name, label, least", [("op2_compression_quality", "quality", 0.9), ("op10_noisy_channel", "toxic", 0.9)])
 def test_held_out_accuracy(spark, name, label, least):
     folder = "/root/testdata/sf0.01"
