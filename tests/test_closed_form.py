@@ -256,3 +256,16 @@ def test_calendar_rows_without_url_and_in_order_of_arrival(spark):
     assert (one["type"], one["announced_at"], one["starts_at"], one["ends_at"], one["related"], one["url"]) == ("third", t(2), t(2), t(40), ["b"], "u/1")
     assert (fresh["type"], fresh["announced_at"], fresh["ends_at"], fresh["url"]) == ("two", t(3), t(6), "u/9")
     assert (got[2, "other"]["type"], got[2, "other"]["ends_at"], got[2, "other"]["url"]) == ("x", t(9), "u/3")
+
+
+def test_equal_sales_of_one_source_stay_apart(spark, rows, tmp_path):
+    from tidebook.catalog import QUERIES
+    sales = spark.sql("""SELECT id AS event_id, ts, 1L AS user_id, 'view' AS event_type, 2.5D AS value, '{"k": 4}' AS props
+        FROM VALUES (1L, TIMESTAMP '2024-01-05 10:00:00'), (2L, TIMESTAMP '2024-01-05 10:00:00'), (4L, TIMESTAMP '2024-01-11 10:00:00'),
+          (6L, TIMESTAMP '2024-01-11 10:00:00'), (8L, TIMESTAMP '2024-01-15 10:00:00') AS t(id, ts)""")
+    sales.write.parquet(f"{tmp_path}/events.parquet")
+    merged = QUERIES["merge_trades"](spark, str(tmp_path))
+    assert rows(merged, "source", "source_id") == [("A", 1), ("A", 2), ("A", 4), ("A", 6), ("B", 8)]
+    assert rows(QUERIES["unify_eligible"](spark, str(tmp_path)), "source_id") == [(1,), (2,), (4,), (6,), (8,)]
+    assert {r["n"] for r in QUERIES["unify_candles"](spark, str(tmp_path)).select("n").collect()} == {1, 2}
+    assert QUERIES["merge_guards"](spark, str(tmp_path)).count() == 0

@@ -4,11 +4,18 @@ from pyspark.sql import functions as F
 from tidebook.catalog.candles import NOW
 from tidebook.catalog.market import marked_deltas
 from tidebook.catalog.registry import query, r, view
-from tidebook.operators import merge as op
+from tidebook.operators import ingest, merge as op
 from tidebook.operators.candles import candles_1h
 from tidebook.sources.bindings import AS_OF
 
-KEY = ["item_id", "sold_date", "unit_price", "qty", "reinforce"]
+NATURAL = ["item_id", "sold_date", "unit_price", "qty", "reinforce"]
+
+
+def numbered_sources(sales):
+    """Sales of all sources; equal ones of one source are numbered, so that each of them stays a sale of its own."""
+    return ingest.dup_seq(sales, ["source"], NATURAL, "id")
+
+
 view("srca", f"SELECT * FROM src WHERE sold_date <= {NOW}")
 view("mtr", """SELECT *, row_number() OVER (ORDER BY source_rank, source_id) AS new_id FROM
   (SELECT *, id AS source_id, row_number() OVER (PARTITION BY item_id, sold_date, unit_price, qty, reinforce ORDER BY source_rank, id) AS copy FROM srca) WHERE copy = 1""")
@@ -16,7 +23,7 @@ view("mtr", """SELECT *, row_number() OVER (ORDER BY source_rank, source_id) AS
 
 @query("merge_trades", "SELECT new_id AS id, source, source_id, item_id, sold_date, unit_price, qty FROM mtr")
 def _(x):
-    return op.merge_trades(x.source_trades(), AS_OF, KEY).select("id", "source", "source_id", "item_id", "sold_date", "unit_price", "qty")
+    return op.merge_trades(numbered_sources(x.source_trades()), AS_OF).select("id", "source", "source_id", "item_id", "sold_date", "unit_price", "qty")
 
 
 @query("merge_guards", """WITH p AS (SELECT *, CASE WHEN source = 'B' AND k = 7 THEN unit_price * qty + 1 ELSE unit_price * qty END AS price FROM src),
@@ -24,11 +31,11 @@ def _(x):
   SELECT 'repeated' AS kind, source, item_id, sold_date, unit_price, qty FROM d GROUP BY source, item_id, sold_date, unit_price, qty, reinforce HAVING count(*) > 1
   UNION ALL SELECT 'conflict', NULL, item_id, sold_date, unit_price, qty FROM d GROUP BY item_id, sold_date, unit_price, qty, reinforce HAVING count(DISTINCT price) > 1""")
 def _(x):
-    s = x.source_trades()
+    s = numbered_sources(x.source_trades())
     price = F.col("unit_price") * F.col("qty")
     s = s.withColumn("price", F.when((F.col("source") == "B") & (F.col("k") == 7), price + 1).otherwise(price))
     doubled = s.unionByName(s.filter("source = 'A' AND k = 3"))
-    return op.merge_guards(doubled, ["price"], KEY).drop("reinforce")
+    return op.merge_guards(doubled, ["price"]).drop("reinforce", "dup_seq")
 
 
 @query("owner_guards", """WITH o AS (SELECT item_id, source, CASE WHEN source = 'B' AND item_id LIKE '%-1' THEN valid_from - INTERVAL 1 DAY
@@ -90,7 +97,7 @@ def _states(x):
 
 @query("unify_eligible", "SELECT id, source, source_id, item_id, sold_date, eligible FROM uni")
 def _(x):
-    return op.unify_eligible(x.source_trades(), _states(x), AS_OF, KEY).select("id", "source", "source_id", "item_id", "sold_date", "eligible")
+    return op.unify_eligible(numbered_sources(x.source_trades()), _states(x), AS_OF).select("id", "source", "source_id", "item_id", "sold_date", "eligible")
 
 
 @query("unify_candles", f"""SELECT item_id, hour, o, h, l, c, {r('gold')} AS gold, qty, n FROM
@@ -98,7 +105,7 @@ def _(x):
    UNION ALL SELECT item_id, date_trunc('hour', sold_date), arg_min(unit_price, (sold_date, id)), max(unit_price), min(unit_price), arg_max(unit_price, (sold_date, id)),
      sum(unit_price * qty), CAST(sum(qty) AS BIGINT), count(*) FROM uni WHERE eligible AND sold_date >= TIMESTAMP '2024-01-06' GROUP BY 1, 2)""")
 def _(x):
-    return op.unify_candles(x.candles(), op.unify_eligible(x.source_trades(), _states(x), AS_OF, KEY), "2024-01-06 00:00:00").drop("vwap")
+    return op.unify_candles(x.candles(), op.unify_eligible(numbered_sources(x.source_trades()), _states(x), AS_OF), "2024-01-06 00:00:00").drop("vwap")
 
 
 view("sdel", """SELECT 'A' AS source, auction_no, item_id, observed_at, reason, qty_sold, CAST(NULL AS TIMESTAMP) AS invalidated_at FROM linv WHERE day(observed_at) <= 12
