@@ -78,6 +78,17 @@ def test_secrets_by_ownership(spark):
     assert out[8]["base_sha256"] == hashlib.sha256(b"").hexdigest() and out[8]["most_owners"] == 0
 
 
+def test_secrets_by_repository(spark):
+    """Inside one owner, a token of one repository differs from one that is copied across repositories."""
+    one, many = "Zk3JfPq8RtW1xYvB7mNcLdQ", "Qk3JfPq8RtW1xYvB7mNcLdZ"
+    rows = [(1, f"see {one} here", "a", "en"), (2, f"see {one} again", "a", "en"), (3, f"see {many} here", "a", "en"), (4, f"see {many} here", "a", "fr"),
+            (5, f"see {many} here", "a", "de"), (6, "none", "a", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = {r["doc_id"]: (r["most_places"], [tuple(s) for s in r["spread"]]) for r in secret_scan.scan(docs, repository=["lang"]).collect()}
+    spread = (3, [(4, 3, 4 + len(many))])
+    assert out == {1: (1, []), 2: (1, []), 3: spread, 4: spread, 5: spread, 6: (0, [])}
+
+
 def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(vocabulary()[0])

@@ -54,7 +54,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     owners hold is a widely copied example.
 
     Output: doc_id, base (array of start, kind, end), spans (base and live), n_assign, n_access, n_hex, n_live, n_specific
-    (values that one owner holds), n_copied, most_owners. Null is an empty text. Null owners count as one owner. Repeated rows
+    (values that one owner holds), n_copied, most_owners, most_places (repositories of the value that most of them hold) and
+    spread (spans whose value one owner holds in several repositories). Owners alone decide what is live. Null is an empty text. Null owners count as one owner. Repeated rows
     give a row each and do not add owners. An empty table gives no rows.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -78,7 +79,8 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     judged = (each.join(held, "hash").groupBy("uid").agg(
         F.collect_list(F.when((F.col("kind") == 3) & own, F.struct("start", "kind", "end"))).alias("live"),
         F.count_if(own).alias("n_specific"), F.count_if((F.col("owners") >= COPIED) & (F.col("kind") < 3)).alias("n_copied"),
-        F.max("owners").alias("most_owners")))
+        F.max("owners").alias("most_owners"), F.max("places").alias("most_places"),
+        F.array_sort(F.collect_list(F.when(own & (F.col("places") > 1), F.struct("start", "kind", "end")))).alias("spread")))
     bare = F.transform(F.filter("s", lambda s: s["kind"] < 3), lambda s: F.struct(s["start"], s["kind"], s["end"]))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
@@ -86,7 +88,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     return (rows.select("uid", "doc_id", bare.alias("base")).join(judged, "uid", "left")
             .withColumn("live", F.coalesce("live", none)).withColumn("spans", F.concat("base", "live"))
             .select("doc_id", "base", "spans", *[count(k) for k in range(3)], F.size("live").cast("bigint").alias("n_live"),
-                    zero("n_specific"), zero("n_copied"), zero("most_owners")))
+                    zero("n_specific"), zero("n_copied"), zero("most_owners"), zero("most_places"), F.coalesce("spread", none).alias("spread")))
 
 
 def digests(found: DataFrame) -> DataFrame:
