@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebook.llm import ann, brown, decontam, neardup, packing, pii, quality, secret_scan, toxicity, url_filter
+from tidebook.llm import ann, brown, decontam, filter_audit, level_packing, neardup, packing, pii, quality, secret_scan, toxicity, url_filter
 from tidebook.llm.shared import fold
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -81,9 +81,18 @@ def op10_noisy_channel(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_retraction_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{folder}/documents.parquet", table(spark, folder, "labels"))
+
+
+def op12_level_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    return level_packing.pack_levels(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_ownership, op2_compression_quality, op3_best_two_fit, op4_url_trees, op5_winnowing, op6_weak_supervision,
-    op7_multi_index_minhash, op8_permutation_index, op9_brown_classes, op10_noisy_channel)}
+    op7_multi_index_minhash, op8_permutation_index, op9_brown_classes, op10_noisy_channel, op11_retraction_audit, op12_level_packing)}
 
 _WORDS5 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,4 +149,23 @@ SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesc
   coalesce(n3, 0) AS n_live, coalesce(n_specific, 0) AS n_specific, coalesce(n_copied, 0) AS n_copied, coalesce(most, 0) AS most_owners
 FROM d LEFT JOIN a USING (uid)"""
 
-ORACLES: dict[str, str] = {"op1_secret_ownership": _OP1_SQL, "op5_winnowing": _OP5_SQL, "op7_multi_index_minhash": _OP7_SQL}
+_FAILS = {"A": "len(w) < 200", "B": "100 * len(list_distinct(w)) < 50 * len(w)", "C": "100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t)",
+          "D": "regexp_matches(t, '[#$%&*|]')", "E": "coalesce(least_id < doc_id, false)"}
+_OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least_id,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(quality = 1) AS q, max(toxic = 1) AS x FROM labels GROUP BY doc_id),
+m AS (SELECT part, {', '.join(f'{f} AS {k}' for k, f in _FAILS.items())}, coalesce(q, false) AS q, coalesce(x, false) AS x FROM d LEFT JOIN l USING (doc_id)),
+c AS MATERIALIZED (SELECT part, [A, B, C, D, E] AS f, q, x, count(*) AS n FROM m GROUP BY ALL),
+i AS (SELECT unnest(range(1, 6)) AS i),
+o AS MATERIALIZED (SELECT [a.i, b.i, c.i, d.i, e.i] AS ord FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS MATERIALIZED (SELECT part, q, x, n, f, ord, step.i AS step, f[ord[step.i]] AS own, len(list_filter(ord[1:step.i - 1], lambda k: f[k])) > 0 AS gone,
+  len(list_filter(f, lambda v: v)) AS failed FROM c, o, i AS step),
+r AS MATERIALIZED (SELECT part, ord, step, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed,
+  coalesce(sum(n) FILTER (own AND gone), 0) AS redundant, coalesce(sum(n) FILTER (own AND failed = 1), 0) AS unique_fails,
+  coalesce(sum(n) FILTER (own AND NOT gone AND q), 0) AS good_lost, coalesce(sum(n) FILTER (own AND NOT gone AND x), 0) AS toxic_lost FROM s GROUP BY part, ord, step)
+SELECT part, array_to_string(list_transform(ord, lambda k: 'ABCDE'[k]), '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, ord[step]) AS BIGINT) AS shapley FROM r"""
+
+ORACLES: dict[str, str] = {"op1_secret_ownership": _OP1_SQL, "op5_winnowing": _OP5_SQL, "op7_multi_index_minhash": _OP7_SQL, "op11_retraction_audit": _OP11_SQL}
