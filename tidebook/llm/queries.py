@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidebook.llm import ann, brown, decontam, filter_audit, level_packing, neardup, packing, pii, quality, secret_scan, toxicity, url_filter
+from tidebook.llm import ann, brown, decontam, filter_audit, level_packing, neardup, packing, phrases, pii, quality, secret_scan, toxicity, url_filter
 from tidebook.llm.shared import fold
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -90,9 +90,13 @@ def op12_level_packing(spark: SparkSession, folder: str) -> DataFrame:
     return level_packing.pack_levels(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_fm_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_secret_ownership, op2_compression_quality, op3_best_two_fit, op4_url_trees, op5_winnowing, op6_weak_supervision,
-    op7_multi_index_minhash, op8_permutation_index, op9_brown_classes, op10_noisy_channel, op11_retraction_audit, op12_level_packing)}
+    op7_multi_index_minhash, op8_permutation_index, op9_brown_classes, op10_noisy_channel, op11_retraction_audit, op12_level_packing, op13_fm_phrases)}
 
 _WORDS5 = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -168,4 +172,22 @@ SELECT part, array_to_string(list_transform(ord, lambda k: 'ABCDE'[k]), '') AS f
   CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, ord[step]) AS BIGINT) AS shapley FROM r"""
 
-ORACLES: dict[str, str] = {"op1_secret_ownership": _OP1_SQL, "op5_winnowing": _OP5_SQL, "op7_multi_index_minhash": _OP7_SQL, "op11_retraction_audit": _OP11_SQL}
+_OP13_SQL = rf"""
+WITH p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM
+  (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+u AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM p) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM u GROUP BY lang),
+b AS MATERIALIZED (SELECT lang, w[i] AS x, w[i + 1] AS y, count(*) AS f FROM p, unnest(range(1, len(w))) AS q(i) GROUP BY ALL HAVING count(*) >= 10),
+c AS MATERIALIZED (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z, count(*) AS f FROM p, unnest(range(1, len(w) - 1)) AS q(i) GROUP BY ALL HAVING count(*) >= 10),
+k AS MATERIALIZED (SELECT c.*, u1.f AS l1, b2.f AS r1, b1.f AS l2, u3.f AS r2, 1000000::HUGEINT * c.f * c.f // (u1.f::HUGEINT * b2.f) AS s1,
+  1000000::HUGEINT * c.f * c.f // (b1.f::HUGEINT * u3.f) AS s2 FROM c JOIN u u1 ON u1.lang = c.lang AND u1.x = c.x JOIN u u3 ON u3.lang = c.lang AND u3.x = c.z
+  JOIN b b1 ON b1.lang = c.lang AND b1.x = c.x AND b1.y = c.y JOIN b b2 ON b2.lang = c.lang AND b2.x = c.y AND b2.y = c.z),
+a AS (SELECT b.lang, b.x || ' ' || b.y AS phrase, b.f AS a, u1.f AS l, u2.f AS r, 1000000::HUGEINT * b.f * b.f // (u1.f::HUGEINT * u2.f) AS score FROM b
+    JOIN u u1 ON u1.lang = b.lang AND u1.x = b.x JOIN u u2 ON u2.lang = b.lang AND u2.x = b.y
+    WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.x = b.x AND c.y = b.y AND 100 * c.f >= 50 * b.f)
+      AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.y = b.x AND c.z = b.y AND 100 * c.f >= 50 * b.f)
+  UNION ALL SELECT lang, x || ' ' || y || ' ' || z, f, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, least(s1, s2) FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM o JOIN t USING (lang) WHERE rank <= 2000"""
+
+ORACLES: dict[str, str] = {"op1_secret_ownership": _OP1_SQL, "op5_winnowing": _OP5_SQL, "op7_multi_index_minhash": _OP7_SQL, "op11_retraction_audit": _OP11_SQL, "op13_fm_phrases": _OP13_SQL}
