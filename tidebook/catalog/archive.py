@@ -78,7 +78,7 @@ LCOLS = ["auction_no", "item_id", "unit_price", "cur_count", "expire_date", "upg
 
 
 def _final(x):
-    return (ingest.judged(x.listing_rows(), CAP).filter("next_no IS NULL")
+    return (ingest.judged(ingest.sightings(x.listing_rows()), CAP).filter("next_no IS NULL")
             .select("auction_no", "item_id", "unit_price", "cur_count", "expire_date", "upgrade_max", F.col("batch").alias("last_seen_at"), "closed_at"))
 
 

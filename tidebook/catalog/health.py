@@ -50,7 +50,7 @@ view("sc", """SELECT source, make_timestamp(CAST(floor(epoch_us(checked_at) / 30
   coalesce(max(gap_min), 0) AS gap_min, CAST(coalesce(max(stale_items), 0) AS BIGINT) AS stale_items FROM chk GROUP BY 1, 2""")
 
 
-@query("health_action", """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY checked_at) AS i FROM sc),
+HEALTH_ACTION_SQL = """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY checked_at) AS i FROM sc),
   w AS (SELECT source, CAST(0 AS BIGINT) AS i, CAST(NULL AS TIMESTAMP) AS checked_at, CAST([] AS TIMESTAMP[]) AS rec, CAST(NULL AS TIMESTAMP) AS al, CAST(NULL AS VARCHAR) AS action,
       CAST(NULL AS DOUBLE) AS gap_min, CAST(NULL AS BIGINT) AS stale_items FROM (SELECT DISTINCT source FROM sc)
     UNION ALL SELECT source, i, checked_at, CASE WHEN ok OR cooling THEN rec ELSE list_append(rec, checked_at) END,
@@ -61,7 +61,10 @@ view("sc", """SELECT source, make_timestamp(CAST(floor(epoch_us(checked_at) / 30
         len(list_filter(w.rec, lambda m: m > n.checked_at - INTERVAL 10 MINUTE)) > 0 AS cooling,
         coalesce(w.al > n.checked_at - INTERVAL 6 HOUR, false) AS quiet
       FROM w JOIN n ON n.source = w.source AND n.i = w.i + 1))
-  SELECT source, checked_at, """ + r("gap_min") + """ AS gap_min, stale_items, action FROM w WHERE i > 0""")
+  SELECT source, checked_at, """ + r("gap_min") + """ AS gap_min, stale_items, action FROM w WHERE i > 0"""
+
+
+@query("health_action", HEALTH_ACTION_SQL)
 def _(x):
     return op.health_action(_slot_checks(x))
 

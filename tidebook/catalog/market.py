@@ -142,7 +142,7 @@ view("ladder", "SELECT item_id, unit_price, CAST(sum(cur_count) AS BIGINT) AS qt
 
 
 def _open(x):
-    j = ingest.judged(x.listing_rows(), CAP)
+    j = ingest.judged(ingest.sightings(x.listing_rows()), CAP)
     return j.filter(F.col("next_no").isNull() & F.col("closed_at").isNull()).select("auction_no", "item_id", "unit_price", "cur_count")
 
 

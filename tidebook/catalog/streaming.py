@@ -2,22 +2,34 @@
 from pyspark.sql import functions as F
 
 from tidebook.catalog.candles import G
+from tidebook.catalog.health import HEALTH_ACTION_SQL
+from tidebook.catalog.ingest import CAP, coarse_sales
 from tidebook.catalog.registry import query, r, view
+from tidebook.operators import ingest
+from tidebook.session import reuse
 from tidebook.sources.bindings import Inputs
 from tidebook.streaming import jobs
-from tidebook.streaming.run import newest_update, run_available
+from tidebook.streaming.run import newest_update, run_available, run_parts
 
 view("streammark", "SELECT time_bucket(INTERVAL 1 MILLISECOND, max(sold_date)) - INTERVAL 2 HOUR AS wm FROM ev")
 BARS = """arg_min(unit_price, (sold_date, id)) AS o, max(unit_price) AS h, min(unit_price) AS l, arg_max(unit_price, (sold_date, id)) AS c,
   {g} AS gold, CAST(sum(qty) AS BIGINT) AS qty, count(*) AS n""".format(g=r("sum(unit_price * qty)"))
 
 
-@query("stream_sales", "SELECT item_id, sold_date, unit_price, qty, min(id) AS id FROM tr GROUP BY 1, 2, 3, 4")
+def in_parts(df, column: str):
+    """The rows before the 11th, until the 21st and after, as they would arrive."""
+    at = F.col(column)
+    return [df.filter(at < "2024-01-11"), df.filter((at >= "2024-01-11") & (at < "2024-01-21")), df.filter(at >= "2024-01-21")]
+
+
+# Every day is polled on each of the two days after it; a poll stands behind the watermark two days later.
+@query("stream_sales", """SELECT item_id, sold_date, unit_price, qty, reinforce, dup_seq, id FROM coarse_seq
+  WHERE sold_date + INTERVAL 1 DAY <= (SELECT max(sold_date) FROM coarse)""")
 def _(x):
-    s = x.stream_trades()
-    polled_twice = s.unionByName(s)
-    key = ["item_id", "sold_date", "unit_price", "qty", "reinforce"]
-    return run_available(jobs.stream_sales(polled_twice, key=key)).select("item_id", "sold_date", "unit_price", "qty", "id")
+    s = coarse_sales(x)
+    polled = s.withColumn("polled_at", F.explode(F.array(*[F.col("sold_date") + F.make_dt_interval(days=F.lit(d)) for d in (1, 2)])))
+    found = run_parts(in_parts(polled, "polled_at"), lambda rows: jobs.stream_sales(rows, "2 days", response="polled_at"))
+    return found.select("item_id", "sold_date", "unit_price", "qty", "reinforce", "dup_seq", "id")
 
 
 @query("stream_candles", f"SELECT item_id, date_trunc('hour', sold_date) AS start, {BARS} FROM tr GROUP BY 1, 2")
@@ -50,10 +62,12 @@ def _(x):
     return run_available(jobs.stream_activity_session(x.stream_trades(wide=False))).drop("batch")
 
 
-# Timer events depend on how far the watermark got between batches; the falling counts do not.
-@query("stream_listing_state")
+# A poll is settled once the watermark, a day behind, has reached it.
+@query("stream_listing_state", """SELECT auction_no, item_id, unit_price, reason, qty_sold, prev_count, new_count, observed_at FROM ldeltas
+  WHERE observed_at <= (SELECT max(batch) FROM lseen) - INTERVAL 1 DAY""")
 def _(x):
-    return run_available(jobs.stream_listing_state(_listing_stream(x))).drop("batch")
+    polls = reuse(jobs.poll_rows(ingest.sightings(x.listing_rows()), cap=CAP))
+    return run_parts(in_parts(polls, "batch"), jobs.stream_listing_state).drop("batch")
 
 
 def _listing_stream(x: Inputs):
@@ -66,14 +80,12 @@ def _listing_stream(x: Inputs):
 @query("stream_listing_partial", """SELECT auction_no, CAST(p - cur_count AS BIGINT) AS qty_sold, CAST(p AS BIGINT) AS prev_count, CAST(cur_count AS BIGINT) AS new_count, observed_at FROM
   (SELECT *, lag(cur_count) OVER (PARTITION BY auction_no ORDER BY observed_at, id) AS p FROM lr) WHERE cur_count < p""")
 def _(x):
-    e = run_available(jobs.stream_listing_state(_listing_stream(x)))
+    e = run_available(jobs.stream_listing_silence(_listing_stream(x)))
     return e.filter("reason = 'partial'").select("auction_no", "qty_sold", "prev_count", "new_count", "observed_at")
 
 
-@query("stream_health")
+@query("stream_health", f"""SELECT * FROM ({HEALTH_ACTION_SQL}) WHERE checked_at + INTERVAL 5 MINUTE <= (SELECT wm FROM streammark)""")
 def _(x):
-    """Walks raw checks, not slots; its actions are compared with the batch walk in the tests."""
-    t = x.stream_trades()
-    source = F.element_at(F.array(*[F.lit(s) for s in "ABC"]), (F.col("user_id") % 3 + 1).cast("int"))
-    c = t.select(source.alias("source"), F.col("sold_date").alias("checked_at"), (F.col("k") / 2).alias("gap_min"), F.when(F.col("k") % 10 == 0, F.col("k") % 4).otherwise(0).cast("bigint").alias("stale_items"))
-    return run_available(jobs.stream_health(c)).drop("batch")
+    """Equal to the batch walk over slots, as far as the watermark got."""
+    checks = x.health_checks().select("source", "checked_at", "gap_min", "stale_items")
+    return run_parts(in_parts(checks, "checked_at"), jobs.stream_health).drop("batch")

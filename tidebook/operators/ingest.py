@@ -125,8 +125,11 @@ def absences(s: DataFrame, p: DataFrame) -> DataFrame:
 def judged(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
     """Each of the `sightings` with the first later poll that settles its absence (closed_at), if any.
 
-    A sighting meets the few polls of `absences` by an equi join on (item, poll number).
+    A sighting meets the few polls of `absences` by an equi join on (item, poll number). Rows as observed, of which a poll
+    may hold several for a listing, are refused.
     """
+    if "observed_at" in seen.columns:
+        raise ValueError("judged takes sightings, one row for each listing and poll")
     p = polls(seen, cap)
     of_listing = Window.partitionBy("auction_no").orderBy("poll_no")   # at most one row per poll
     s = (seen.join(p.select("item_id", "batch", "poll_no", "next_open", "last_poll"), ["item_id", "batch"])

@@ -5,21 +5,34 @@ modes are stated per job.
 """
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebook.functions.exact import exact_sum, ratio
 from tidebook.operators.health import AlarmLadder
-from tidebook.operators.ingest import SALE_KEY
+from tidebook.operators.ingest import LISTING_CAP, SALE_KEY
 from tidebook.plans.split import order_key
 
 
-def stream_sales(sales: DataFrame, late: str = "2 hours", key: Sequence[str] = SALE_KEY) -> DataFrame:
-    """Overlapping polls to one row per natural key (append); state is dropped behind the watermark."""
-    return sales.withWatermark("sold_date", late).dropDuplicatesWithinWatermark(list(key))
+def stream_sales(sales: DataFrame, late: str = "2 hours", key: Sequence[str] = SALE_KEY, response: str | None = None) -> DataFrame:
+    """Overlapping polls to one row per sale (append); state is dropped behind the watermark.
+
+    With `response`, the time of the poll that returned a row, equal sales of one response are true twins: they are numbered
+    within their response, in the order of their ids, and the k-th of them is the same sale in every response that returns it.
+    A response is complete when the watermark has passed it; its counts are the first state, the sales given out the
+    second. Without `response` the rows carry their number (`dup_seq`) themselves.
+    """
+    if response is None:
+        return sales.withWatermark("sold_date", late).dropDuplicatesWithinWatermark(list(key))
+    natural = [k for k in key if k != "dup_seq"]
+    counted = sales.withWatermark(response, late).groupBy(response, *natural).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    numbered = counted.select(response, *natural, F.posexplode("_ids").alias("_seq", "id")).withColumn("dup_seq", F.col("_seq").cast("bigint"))
+    return numbered.drop("_seq").dropDuplicatesWithinWatermark([*natural, "dup_seq"])
 
 
 def _bar(df: DataFrame, window: Column, keys: Sequence[str]) -> DataFrame:
@@ -66,15 +79,112 @@ def stream_activity_session(sales: DataFrame, late: str = "2 hours", gap: str =
     return g.select("item_id", "first_sale", "last_sale", "n")
 
 
-_LISTING_OUT = "auction_no string, reason string, qty_sold bigint, prev_count bigint, new_count bigint, observed_at timestamp"
-_LISTING_STATE = "cur_count bigint, expire timestamp, seen timestamp"
+_LISTING_OUT = "auction_no string, item_id string, unit_price bigint, reason string, qty_sold bigint, prev_count bigint, new_count bigint, _at bigint"
+_POLL_STATE = T.StructType().add("at", "long").add("ceiling", "long").add("rows", "binary")
+_OPEN_KEY, _OPEN = T.StructType().add("auction_no", "string"), T.StructType().add("unit_price", "long").add("cur_count", "long").add("expire", "long")
+
+
+class ListingState(StatefulProcessor):
+    """The open listings of an item: a list of polls still to come in order, and a map from listing to its last sighting.
+
+    A timer at each poll's own time settles it when the watermark gets there, so polls that arrive out of order, in one batch or in
+    several, are settled in the order they were made.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._polls = handle.getListState("polls", _POLL_STATE)
+        self._open = handle.getMapState("open", _OPEN_KEY, _OPEN)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = set()
+        for frame in rows:
+            for at, ceiling, listings in frame[["at", "ceiling", "listings"]].itertuples(index=False, name=None):
+                data = pickle.dumps([(x["auction_no"], x["unit_price"], x["cur_count"], x["expire"]) for x in listings])
+                self._polls.appendValue((int(at), None if pd.isna(ceiling) else int(ceiling), data))
+                times.add(-(-int(at) // 1000))  # timers count milliseconds
+        for t in times:
+            self._handle.registerTimer(t)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        polls = list(self._polls.get())
+        due, waiting = [p for p in polls if p[0] <= reached], [p for p in polls if p[0] > reached]
+        if not due:  # settled together with an earlier one
+            return
+        self._polls.put(waiting) if waiting else self._polls.clear()
+        before = {k[0]: tuple(v) for k, v in self._open.iterator()}
+        held, events = dict(before), []
+        for at, ceiling, data in sorted(due, key=lambda p: p[0]):
+            events += _settled(held, at, ceiling, pickle.loads(data))
+        for listing in before.keys() - held.keys():
+            self._open.removeKey((listing,))
+        for listing, value in held.items():
+            if before.get(listing) != value:
+                self._open.updateValue((listing,), value)
+        if events:
+            out = pd.DataFrame(events, columns=["auction_no", "unit_price", "reason", "qty_sold", "prev_count", "new_count", "_at"])
+            out.insert(1, "item_id", key[0])
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def _settled(held: dict, at: int, ceiling: int | None, rows: list[tuple]) -> list[tuple]:
+    """Events of one poll; `held` follows it. A listing that is missing is gone if it has expired, if the response was not cut
+    off, or if it was cheaper than the dearest row of a response that was."""
+    events, seen = [], {r[0] for r in rows}
+    for listing in [k for k in held if k not in seen]:
+        price, count, expire = held[listing]
+        expired = at >= expire
+        if expired or ceiling is None or price < ceiling:
+            del held[listing]
+            if expired or count > 0:
+                events.append((listing, price, "expired" if expired else "vanished_before_expiry", 0 if expired else count, count, count if expired else 0, at))
+    for listing, price, count, expire in rows:
+        if listing in held and count < held[listing][1]:
+            events.append((listing, price, "partial", held[listing][1] - count, held[listing][1], count, at))
+        held[listing] = (price, count, expire)
+    return events
+
+
+def poll_rows(seen: DataFrame, polls: DataFrame | None = None, cap: int = LISTING_CAP) -> DataFrame:
+    """One row per poll of an item with its listings, as a response arrives: `seen` has one row per listing and poll, and
+    `polls` (item_id, batch) also those that returned nothing. `ceiling` is the dearest price of a response that was cut off."""
+    listing = F.struct("auction_no", "unit_price", F.col("cur_count").cast("bigint").alias("cur_count"), F.unix_micros("expire_date").alias("expire"))
+    full = seen.groupBy("item_id", "batch").agg(F.collect_list(listing).alias("listings"),
+                                                F.when(F.count(F.lit(1)) >= cap, F.max("unit_price")).alias("ceiling"))
+    if polls is not None:
+        full = polls.select("item_id", "batch").distinct().join(full, ["item_id", "batch"], "left")
+    empty = F.array().cast(full.schema["listings"].dataType)
+    return full.select("item_id", "batch", F.coalesce("listings", empty).alias("listings"), "ceiling")
+
+
+def stream_listing_state(polls: DataFrame, late: str = "1 day", slots: int = 8) -> DataFrame:
+    """Depletion events of listings (append), from a stream of `poll_rows`: falling counts, listings gone, listings expired.
+
+    Absence is judged by polls, empty and capped ones included, not by silence. The listings of an item are dealt over `slots`
+    states; each of them sees every poll of the item, but only its own listings, so a busy item is worked on in parallel.
+    """
+    dealt = (polls.withWatermark("batch", late).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+             .withColumn("listings", F.expr(f"filter(listings, x -> pmod(xxhash64(x.auction_no), {slots}) = slot)"))
+             .withColumn("at", F.unix_micros("batch")))
+    events = dealt.groupBy("item_id", "slot").transformWithStateInPandas(
+        statefulProcessor=ListingState(), outputStructType=T.StructType.fromDDL(_LISTING_OUT), outputMode="Append", timeMode="EventTime")
+    return events.withColumn("observed_at", F.timestamp_micros("_at")).drop("_at")
+
+
+_SILENCE_OUT = "auction_no string, reason string, qty_sold bigint, prev_count bigint, new_count bigint, observed_at timestamp"
+_SILENCE_STATE = "cur_count bigint, expire timestamp, seen timestamp"
 
 
 def _to_ms(t) -> int:
     return int(pd.Timestamp(t).timestamp() * 1000)
 
 
-def _listing(key, frames: Iterator[pd.DataFrame], state: GroupState, silence_ms: int) -> Iterator[pd.DataFrame]:
+def _heard(key, frames: Iterator[pd.DataFrame], state: GroupState, silence_ms: int) -> Iterator[pd.DataFrame]:
     events = []
     if state.hasTimedOut:
         count, expire, seen = state.get
@@ -99,30 +209,47 @@ def _listing(key, frames: Iterator[pd.DataFrame], state: GroupState, silence_ms:
     yield pd.DataFrame(events, columns=["auction_no", "reason", "qty_sold", "prev_count", "new_count", "observed_at"])
 
 
-def stream_listing_state(rows: DataFrame, late: str = "2 hours", silence: str = "2 days") -> DataFrame:
+def stream_listing_silence(rows: DataFrame, late: str = "2 hours", silence: str = "2 days") -> DataFrame:
     """Depletion events of keyed listings (append): falling counts at once, silence or expiry by event-time timers.
 
-    A stream sees no empty poll; a listing counts as gone when nothing was heard of it for `silence`.
+    For sources that tell of no polls: a listing counts as gone when nothing was heard of it for `silence`.
     """
     silence_ms = int(pd.Timedelta(silence).total_seconds() * 1000)
 
     def step(key, frames, state):
-        yield from _listing(key, frames, state, silence_ms)
+        yield from _heard(key, frames, state, silence_ms)
     return (rows.withWatermark("observed_at", late).groupBy("auction_no")
-            .applyInPandasWithState(step, _LISTING_OUT, _LISTING_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+            .applyInPandasWithState(step, _SILENCE_OUT, _SILENCE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+_ALARM_STATE = T.StructType().add("recoveries", T.ArrayType(T.DoubleType())).add("last_alert", "double")
+_ACTION = "source string, checked_at timestamp, gap_min double, stale_items bigint, action string"
+
+
+class AlarmState(StatefulProcessor):
+    """The alarm ladder of a source: its recent recoveries and its last alert. Rows are slots, so a batch of them is bounded by
+    the calendar."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("ladder", _ALARM_STATE)
 
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        slots = pd.concat(list(rows)).sort_values("checked_at")
+        ladder = AlarmLadder(*self._state.get()) if self._state.exists() else AlarmLadder()
+        minutes = (slots["checked_at"] - pd.Timestamp(0)) / pd.Timedelta(minutes=1)
+        slots["action"] = [ladder.check(*r) for r in zip(minutes, slots["gap_min"], slots["stale_items"])]
+        self._state.update((ladder.recoveries, ladder.last_alert))
+        yield slots[["source", "checked_at", "gap_min", "stale_items", "action"]]
 
-def _alarm(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(frames)).sort_values("checked_at")
-    ladder = AlarmLadder(*state.get) if state.exists else AlarmLadder()
-    minutes = (rows["checked_at"] - pd.Timestamp(0)) / pd.Timedelta(minutes=1)
-    rows["action"] = [ladder.check(*r) for r in zip(minutes, rows["gap_min"], rows["stale_items"])]
-    state.update((ladder.recoveries, ladder.last_alert))
-    yield rows[["source", "checked_at", "gap_min", "stale_items", "action"]]
+    def close(self) -> None:
+        pass
 
 
-def stream_health(checks: DataFrame) -> DataFrame:
-    """Alarm action of every check (append); a source's state is its recent recoveries and last alert."""
-    return checks.groupBy("source").applyInPandasWithState(
-        _alarm, "source string, checked_at timestamp, gap_min double, stale_items bigint, action string",
-        "recoveries array<double>, last_alert double", "append", GroupStateTimeout.NoTimeout)
+def stream_health(checks: DataFrame, late: str = "2 hours", slot: str = "5 minutes") -> DataFrame:
+    """Alarm action of every source and slot (append). Checks are first folded into slots, the worst of each, which closes behind the
+    watermark; only slots reach the alarm state, in order, since all slots of a batch come after those of the batch before."""
+    slots = (checks.withWatermark("checked_at", late).groupBy(F.window("checked_at", slot).alias("w"), "source")
+             .agg(F.coalesce(F.max("gap_min"), F.lit(0.0)).alias("gap_min"), F.coalesce(F.max("stale_items"), F.lit(0)).cast("bigint").alias("stale_items"))
+             .select("source", F.col("w.start").alias("checked_at"), "gap_min", "stale_items"))
+    return slots.groupBy("source").transformWithStateInPandas(
+        statefulProcessor=AlarmState(), outputStructType=T.StructType.fromDDL(_ACTION), outputMode="Append", timeMode="None")

@@ -3,6 +3,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +20,22 @@ def work_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB: on local disk with a log of changes in the checkpoint folder, so
+    neither the heap nor a batch's writes grow with the state. The session's own setting is put back."""
+    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Process what is there and return every emitted row with its batch number.
 
@@ -28,11 +46,23 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start())
+    with state_store(spark):
+        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
     return spark.read.schema(schema.add("batch", "integer")).parquet(f"{folder}/out")
 
 
+def run_parts(parts: Sequence[DataFrame], job: Callable[[DataFrame], DataFrame], mode: str = "append", folder: str | None = None) -> DataFrame:
+    """A table that arrives in parts, one after another: each is added to the files of the source, and the stream goes on from its
+    state with what is new. Every part is at least one micro-batch of its own."""
+    spark = parts[0].sparkSession
+    folder = folder or work_folder(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/source")
+        out = run_available(job(spark.readStream.schema(part.schema).parquet(f"{folder}/source")), mode, folder)
+    return out
+
+
 def newest_update(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last update of every key, for streams in update mode."""
     cols = [c for c in rows.columns if c not in (*keys, "batch")]
