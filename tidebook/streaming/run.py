@@ -9,6 +9,10 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Memory of all state stores of an executor, beside the heap.
+STORE_MB = 128
+
+
 def work_folder(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint folder of the cluster. On one machine a temporary one will do; on a cluster
     executors could not read each other's part of it, so a folder must be set."""
@@ -23,9 +27,12 @@ def work_folder(spark: SparkSession) -> str:
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
     """Streams started inside keep their state in RocksDB: on local disk with a log of changes in the checkpoint folder, so
-    neither the heap nor a batch's writes grow with the state. The session's own setting is put back."""
-    own = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-           "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    neither the heap nor a batch's writes grow with the state. All stores of an executor share one bounded memory, and
+    those of streams that have ended are closed soon. The session's own settings are put back."""
+    prefix = "spark.sql.streaming.stateStore."
+    own = {prefix + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           prefix + "rocksdb.changelogCheckpointing.enabled": "true", prefix + "rocksdb.boundedMemoryUsage": "true",
+           prefix + "rocksdb.maxMemoryUsageMB": str(STORE_MB), prefix + "rocksdb.writeBufferSizeMB": "4", prefix + "maintenanceInterval": "10s"}
     before = {k: spark.conf.get(k, None) for k in own}
     try:
         for k, v in own.items():
