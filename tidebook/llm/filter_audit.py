@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidebook.llm.shared import shared_folder
+from tidebook.streaming.run import state_store
 
 FILTERS = "ABCDE"
 #: Bit of the filter that depends on other rows; the others are functions of the text.
@@ -28,8 +29,6 @@ TEXTS_PER_SLOT = 64
 #: Rows a task folds before it hands them on.
 FOLDED_ROWS = 1 << 16
 
-_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-          "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 _COUNTED = T.StructType().add("part", "string").add("mask", "integer").add("good", "boolean").add("toxic", "boolean").add("n", "long")
 _FOLDED = (T.StructType().add("slot", "long").add("digest", "binary").add("part", "string").add("mask", "integer").add("good", "boolean")
            .add("toxic", "boolean").add("known", "boolean").add("id", "long").add("first", "long").add("n", "long"))
@@ -138,15 +137,9 @@ def counters(docs: DataFrame, labels: DataFrame, slots: int, folder: str | None
     def write(batch: DataFrame, number: int) -> None:
         batch.groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
 
-    before = {k: spark.conf.get(k, None) for k in _STORE}
-    try:
-        for k, v in _STORE.items():
-            spark.conf.set(k, v)
+    with state_store(spark):
         query = (changes.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
                  .foreachBatch(write).start())
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     query.awaitTermination()
     spark.createDataFrame([], _COUNTED).write.mode("overwrite").parquet(f"{folder}/changes/batch=-1")  # there may have been no batch
     return spark.read.schema(_COUNTED).parquet(f"{folder}/changes").groupBy("part", "mask", "good", "toxic").agg(F.sum("n").alias("n")).where("n <> 0")
