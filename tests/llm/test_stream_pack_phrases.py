@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.llm import filter_audit, level_packing, phrases
+from tidebook.llm import filter_audit, level_packing, packing, phrases
 from tidebook.llm.level_packing import Levels
 from tidebook.llm.tokens import Ids, cuts, lowered
 
@@ -168,15 +168,28 @@ def test_few_windows_stay_open_when_nothing_fits():
     assert sizes[64] == 500 * 40 // 64 and sum(n * c for n, c in sizes.items()) == 20_000
 
 
-def test_gathered_ids_are_the_tokenizers():
-    rng, t = random.Random(5), tokenizer()
-    alphabet = list("abzABZ019 '.,;-\n\t\"") + [" ", "  ", "é", "É", "ß", "×", "÷", "İ", "日", "\x85", "\xa0", " ", "́", "H̱", "🙂", "'s", "'LL", "<|endoftext|>", "\x01", "ﬁ", "Σ"]
+def encoders():
+    import public_tokenizers
+    names = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return {"words": (vocabulary(), level_packing.word_encoder(vocabulary()), lowered), "bytes": (names[0], packing.byte_encoder(*names), lambda b: b),
+            "bytes, exact reader": (names[0], packing.byte_encoder(names[0], None), lambda b: b)}
+
+
+@pytest.mark.parametrize("name", ["words", "bytes", "bytes, exact reader"])
+def test_gathered_ids_are_the_tokenizers(name):
+    from tokenizers import Tokenizer
+    path, encode, prepared = encoders()[name]
+    rng, t = random.Random(5), Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    alphabet = list("abzABZ019 '.,;-\n\t\"") + [" ", "  ", "é", "É", "ß", "×", "÷", "İ", "日", "\x85", "\xa0", "\u2003", "\u0301", "H\u0331", "🙂", "'s", "'LL", "<|endoftext|>",
+                                                  "\x01", "ﬁ", "Σ", "\x1c", "\u3000", "\r\n"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(1500)]
-    ids = Ids(level_packing.word_encoder(vocabulary()), 2)
+    texts += ["".join(chr(rng.choice([rng.randint(1, 0x2FF), rng.randint(1, 0xD7FF), 32, 97])) for _ in range(40)) for _ in range(300)]
+    ids = Ids(encode, 2)
     for at in range(0, len(texts), 300):
         some = [x.encode() for x in texts[at:at + 300]]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])])
-        flat, first = ids.of(lowered(np.frombuffer(b"".join(some), dtype=np.uint8)), offsets)
+        flat, first = ids.of(prepared(np.frombuffer(b"".join(some), dtype=np.uint8)), offsets)
         for d, x in enumerate(some):
             assert flat[first[d]:first[d + 1]].tolist() == t.encode(x.decode(), add_special_tokens=False).ids + [2], x
 

@@ -12,8 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.shared import CHUNK_BYTES, text_bytes
-from tidebook.llm.tokens import Ids, lowered, together
+from tidebook.llm.tokens import Ids, lowered, slices, together
 
 CAPACITY = 4096
 END_ID = 2
@@ -124,9 +123,9 @@ def word_encoder(path: str):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    encode = lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-    mark = encode("\x01")
-    return together(encode, "\n\x01\n", mark[-1], lambda part: "\x01" not in part)
+    encode = lambda text, _=0: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    mark = encode("\x01")  # white space on both sides keeps it apart; it vanishes
+    return together(encode, "\n\x01\n", mark[0], lambda part: int(len(mark) == 1 and "\x01" not in part))
 
 
 def pack_levels(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, most: int = OPEN) -> DataFrame:
@@ -153,7 +152,7 @@ def pack_levels(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             nonlocal sequence
             offset = 0
             for i, start, ids, whole in window:
-                rows.append((i, start, len(ids), zlib.crc32(ids.tobytes()), whole, sequence, offset))
+                rows.append((i, start, len(ids), zlib.crc32(np.ascontiguousarray(ids)), whole, sequence, offset))
                 offset += len(ids)
             sequence += 1
 
@@ -163,11 +162,9 @@ def pack_levels(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             return made
 
         for batch in batches:
-            buf, offsets = text_bytes(batch.column("text"))
-            names, at = batch.column("doc_id").to_pylist(), 0
-            while at < len(names):
-                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
-                ids, first = ids_of.of(lowered(buf[offsets[at]:offsets[to]]), offsets[at:to + 1] - offsets[at])
+            names = batch.column("doc_id").to_pylist()
+            for at, to, buf, offsets in slices(batch.column("text")):
+                ids, first = ids_of.of(lowered(buf), offsets)
                 for d in range(at, to):
                     a, b = int(first[d - at]), int(first[d - at + 1])
                     whole = b - a
@@ -177,7 +174,6 @@ def pack_levels(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                     if rest:
                         for window in levels.place((names[d], whole - rest, ids[b - rest:b].copy(), whole)):
                             filled(window)
-                at = to
                 if len(rows) >= ROWS:
                     yield taken()
         for window in levels.close():

@@ -1,6 +1,7 @@
 """Token packing by best-two-fit over counts of lengths."""
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -10,55 +11,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.shared import hold, small_batches
+from tidebook.llm.shared import hold
+from tidebook.llm.tokens import Ids, slices, together
 
 CAPACITY = 1024
 END_ID = 2
-#: Words whose ids a task keeps; beyond that the memory is emptied, which changes no result.
-MEMORY = 200_000
-
-_SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
 #: Characters on whose classes every Unicode version agrees.
 _PLAIN = re.compile("[\x20-\x7e\n\xa1-ɏ]*")
+#: Parts without white space but for a first space: a line end before or after them is always a token of its own.
+_WORD = re.compile(r" ?\S+")
+
+
+def byte_encoder(json_path: str, ranks_path: str | None):
+    """Encoder of parts by the byte-level vocabulary; plain characters go to its faster reader, if there is one."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    from tokenizers import Tokenizer
+    exact = Tokenizer.from_file(json_path)
+    exact.encode_special_tokens = True
+    fast = None
+    if ranks_path:
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    def encode(text: str, kind: int = 0):
+        if fast and (kind == 2 or _PLAIN.fullmatch(text)):
+            return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
+        return exact.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-class Encoder(dict):
-    """Ids of a text, as little-endian 32-bit bytes. No token of this vocabulary crosses from a character that is
-    no white space into a space, so a text is cut before such spaces and the parts' ids are remembered."""
-
-    def __init__(self, json_path: str, ranks_path: str | None) -> None:
-        super().__init__()
-        from tokenizers import Tokenizer
-        self._exact = Tokenizer.from_file(json_path)
-        self._exact.encode_special_tokens = True
-        self._fast = None
-        if ranks_path:
-            import base64
-
-            import public_tokenizers
-            import tiktoken
-            with open(ranks_path, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self._fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def __missing__(self, part: str) -> bytes:
-        if self._fast and _PLAIN.fullmatch(part):
-            ids = self._fast.encode_ordinary(part)
-        else:
-            ids = self._exact.encode(part, add_special_tokens=False).ids
-        found = np.array(ids, dtype="<u4").tobytes()
-        if len(part) < 40:
-            self[part] = found
-        return found
-
-    def encode(self, text: str) -> bytes:
-        if len(self) > MEMORY:
-            self.clear()
-        if not text:
-            return b""
-        first, *rest = _SPLIT.split(text) if _ODD.search(text) else text.split(" ")
-        return self[first] + b"".join([self[" " + w] for w in rest])
+    def kind(part: str) -> int:
+        return 0 if not _WORD.fullmatch(part) else 2 if fast and _PLAIN.fullmatch(part) else 1
+    return together(encode, "\n", int(encode("\n")[0]), kind)
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -72,21 +59,25 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, capaci
     out = (T.StructType([docs.schema["doc_id"]]).add("piece", "integer").add("start", "long").add("length", "integer")
            .add("ids_crc32", "long").add("task", "integer").add("rank", "long"))
     arrow = to_arrow_schema(out)
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, seen, task = Encoder(json_path, ranks_path), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
+        ids_of, seen, task = Ids(byte_encoder(json_path, ranks_path), END_ID), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-                ids = encoder.encode(text.as_py() or "") + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    crc = zlib.crc32(ids[4 * start:4 * (start + n)])
-                    for to, value in zip(rows, (doc_id, k, start, n, crc, task, seen[n])):
-                        to.append(value)
-                    seen[n] += 1
-            ids_of = pa.array([x.as_py() for x in rows[0]], arrow.field("doc_id").type)
-            yield pa.RecordBatch.from_arrays([ids_of, *(pa.array(r, f.type) for r, f in zip(rows[1:], list(arrow)[1:]))], schema=arrow)
+            names = batch.column("doc_id")
+            for at, to, buf, offsets in slices(batch.column("text")):
+                ids, first = ids_of.of(buf, offsets)
+                rows: list[list] = [[] for _ in range(6)]
+                doc = []
+                for d in range(to - at):
+                    a = int(first[d])
+                    for k, (start, n) in enumerate(cut(int(first[d + 1]) - a, capacity)):
+                        crc = zlib.crc32(ids[a + start:a + start + n])
+                        doc.append(at + d)
+                        for into, value in zip(rows, (k, start, n, crc, task, seen[n])):
+                            into.append(value)
+                        seen[n] += 1
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(doc, pa.int64())).cast(arrow.field("doc_id").type),
+                                                  *(pa.array(r, f.type) for r, f in zip(rows, list(arrow)[1:]))], schema=arrow)
 
     return docs.mapInArrow(run, out)
 
@@ -168,7 +159,6 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, doc_id:
     A null or empty text has the end id only. Repeated rows are packed as often as they occur; ids may be null. An empty
     table gives no rows. Other columns are not read.
     """
-    small_batches(docs.sparkSession, 500)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     made = hold(token_pieces(source, json_path, ranks_path, capacity))
     totals = made.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))

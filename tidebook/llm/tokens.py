@@ -1,11 +1,13 @@
 """Token ids of whole batches of texts, gathered from the ids of distinct parts."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 
+from tidebook.llm.shared import CHUNK_BYTES, text_bytes
+
 #: Ids of distinct parts a task keeps; beyond that the memory is emptied between batches, which changes no result.
 MEMORY = 1 << 22
 
@@ -50,30 +52,43 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return buf + (capital * np.uint8(32)).astype(np.uint8)
 
 
-def together(encode: Callable[[str], Sequence[int]], between: str, mark: int, single: Callable[[str], bool]) -> Callable[[list[str]], list]:
-    """Ids of many parts by few calls. Parts that `single` lets pass are joined by `between`, a text whose last or only
-    token is `mark` wherever it stands, and the ids are split there; if that gives another number of parts, each is encoded alone."""
-    width = len(encode(between))
+def together(encode: Callable[[str, int], Sequence[int]], between: str, mark: int, kind: Callable[[str], int]) -> Callable[[list[str]], list]:
+    """Ids of many parts by few calls of `encode` (text, kind). Parts of one kind above 0 are joined by `between`, which is one
+    token, `mark`, wherever it stands, and the ids are split there; if that gives another number of parts, each is encoded
+    alone, as parts of kind 0 are."""
 
     def run(parts: list[str]) -> list:
         found: list = [None] * len(parts)
-        easy = [k for k, p in enumerate(parts) if single(p)]
-        for at in range(0, len(easy), _TOGETHER):
-            some = easy[at:at + _TOGETHER]
-            ids = np.asarray(encode(between.join([parts[k] for k in some])), dtype="<u4")
-            ends = np.flatnonzero(ids == mark)
-            if width == 1 and len(ends) == len(some) - 1:
-                a = 0
-                for k, b in zip(some, [*ends.tolist(), len(ids)]):
-                    found[k] = ids[a:b]
-                    a = b + 1
+        groups: dict[int, list[int]] = {}
+        for k, p in enumerate(parts):
+            groups.setdefault(kind(p), []).append(k)
+        for of, members in groups.items():
+            for at in range(0, len(members) if of else 0, _TOGETHER):
+                some = members[at:at + _TOGETHER]
+                ids = np.asarray(encode(between.join([parts[k] for k in some]), of), dtype="<u4")
+                ends = np.flatnonzero(ids == mark)
+                if len(ends) == len(some) - 1:
+                    a = 0
+                    for k, b in zip(some, [*ends.tolist(), len(ids)]):
+                        found[k] = ids[a:b]
+                        a = b + 1
         for k, ids in enumerate(found):
             if ids is None:
-                found[k] = np.asarray(encode(parts[k]), dtype="<u4")
+                found[k] = np.asarray(encode(parts[k], 0), dtype="<u4")
         return found
     return run
 
 
+def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows of a text column, about CHUNK_BYTES at a time (one row at least): first row, end, bytes, offsets of the rows."""
+    buf, offsets = text_bytes(column)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        yield at, to, buf[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
+        at = to
+
+
 def _grown(values: np.ndarray, n: int) -> np.ndarray:
     return values if n <= len(values) else np.concatenate([values, np.zeros(max(n, 2 * len(values)) - len(values), dtype=values.dtype)])
 
