@@ -28,11 +28,12 @@ def work_folder(spark: SparkSession) -> str:
 def state_store(spark: SparkSession) -> Iterator[None]:
     """Streams started inside keep their state in RocksDB: on local disk with a log of changes in the checkpoint folder, so
     neither the heap nor a batch's writes grow with the state. All stores of an executor share one bounded memory, and
-    those of streams that have ended are closed soon. The session's own settings are put back."""
+    those of streams that have ended are closed soon; nothing is allocated ahead, for there may be many small stores. The session's own settings are put back."""
     prefix = "spark.sql.streaming.stateStore."
     own = {prefix + "providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
            prefix + "rocksdb.changelogCheckpointing.enabled": "true", prefix + "rocksdb.boundedMemoryUsage": "true",
-           prefix + "rocksdb.maxMemoryUsageMB": str(STORE_MB), prefix + "rocksdb.writeBufferSizeMB": "4", prefix + "maintenanceInterval": "10s"}
+           prefix + "rocksdb.maxMemoryUsageMB": str(STORE_MB), prefix + "rocksdb.writeBufferSizeMB": "4", prefix + "maintenanceInterval": "10s",
+           prefix + "rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in own}
     try:
         for k, v in own.items():
