@@ -12,13 +12,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.shared import U64, Words, bit_filter, hold, mixed, passes, pieces, shared_folder, signed
+from tidebook.llm.shared import U64, Words, bit_filter, mixed, passes, pieces, shared_folder, signed
 
 LEAST = 10        # occurrences of a candidate
 TOP = 2000        # phrases of a language in the report
 INSIDE = 50       # per cent of a phrase's occurrences that lie in a longer candidate which replaces it
 #: Words of a shard (one document at least).
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 1 << 20
 #: Bits of the filters on frequent words and pairs.
 BITS = 24
 
@@ -29,16 +29,18 @@ _KIND = ~_ENDS
 _KIND[[0x20, 0x09]] = False
 
 _WORD = T.StructType().add("lang", "string").add("word", "string").add("h", "long").add("n", "long")
-_INDEX = (T.StructType().add("shard", "long").add("words", T.ArrayType(_WORD)).add("keys", "binary")
-          .add("sizes", "binary").add("left", "binary").add("right", "binary"))
+_INDEX = (T.StructType().add("shard", "long").add("words", T.ArrayType(_WORD)).add("sizes", "binary")
+         .add("left", "binary").add("right", "binary"))
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.tobytes(), 1)
+    """Numbers of 32 bits, compressed byte plane by byte plane."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
 
 
-def _unpacked(data: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), dtype=kind)
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
 def _order(*keys: np.ndarray) -> np.ndarray:
@@ -67,9 +69,10 @@ class Index:
     Row j belongs to the j-th suffix in the order of its first two symbols; so the suffixes that begin with a phrase of one or
     two words, and by their counts those of three, are an interval of rows. `sizes` counts each symbol, which gives
     the intervals of single symbols. `left` is the Burrows-Wheeler transform: the symbol before each suffix. `right` is
-    that of the reversed text: the symbol after each occurrence of a symbol, whose intervals are the same in both. A phrase grows
-    to the right by the symbols that `right` holds in its interval, and to the left by those of `left`; the stable order
-    of `left` is the last-to-first mapping, which puts the intervals of the longer phrases one after another.
+    that of the reversed text: the symbols after the occurrences of a symbol, whose interval is the same in both; they are kept
+    in order within it, since an extension needs only how often each stands there. A phrase grows to the right by the
+    symbols that `right` holds in its interval, and to the left by those of `left`; the stable order of `left` is the
+    last-to-first mapping, which puts the intervals of the longer phrases one after another.
     """
 
     def __init__(self, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
@@ -79,20 +82,17 @@ class Index:
     def of(cls, text: np.ndarray, symbols: int) -> Index:
         after = np.roll(text, -1)
         rows = _order(text, after)
-        by_symbol = _order(text)
-        return cls(np.bincount(text, minlength=symbols), np.roll(text, 1)[rows].astype(np.int32), after[by_symbol].astype(np.int32))
+        return cls(np.bincount(text, minlength=symbols), np.roll(text, 1)[rows].astype(np.int32), after[rows].astype(np.int32))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Extension of all words to the right: (first, second, count) of every pair, in the order of the rows."""
-        first = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        order = _order(first, self.right)
-        first, second = first[order], self.right[order]
-        at = _starts(first, second)
-        return first[at], second[at], np.diff(np.append(at, len(first)))
+        first = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        at = _starts(first, self.right)
+        return first[at], self.right[at], np.diff(np.append(at, len(first)))
 
     def triples(self, first: np.ndarray, second: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Extension of all pairs to the left: (symbol before, pair extended, pair that begins the triple, count)."""
-        pair = np.repeat(np.arange(len(count)), count)
+        pair = np.repeat(np.arange(len(count), dtype=np.int32), count)
         order = _order(self.left)
         before, rest = self.left[order], pair[order]
         at = _starts(before, rest)
@@ -130,22 +130,30 @@ class _Shard:
         self.n += len(key)
 
     def row(self, shard: int) -> pa.RecordBatch:
+        """The index of the text. Symbols are numbered by falling count, so most are small numbers."""
         keys, where, symbol = np.unique(np.concatenate(self.keys), return_index=True, return_inverse=True)
+        counts = sum(np.bincount(symbol[words], minlength=len(keys)) for words, _ in self.parts)
+        by_count = np.argsort(-counts, kind="stable")
+        number = np.empty(len(keys), dtype=np.int32)
+        number[by_count] = np.arange(1, len(keys) + 1)
+        symbol, keys, where = number[symbol], keys[by_count], where[by_count]
         chunks = []
         for words, last in self.parts:
             at = np.arange(len(words)) + np.concatenate([[0], np.cumsum(last[:-1])])
-            chunk = np.zeros(len(words) + int(last.sum()), dtype=np.int64)
-            chunk[at] = symbol[words] + 1
+            chunk = np.zeros(len(words) + int(last.sum()), dtype=np.int32)
+            chunk[at] = symbol[words]
             chunks.append(chunk)
+        self.parts.clear()
         index = Index.of(np.concatenate(chunks), len(keys) + 1)
         arrow = to_arrow_schema(_INDEX)
         entry = arrow.field("words").type.value_type
         columns = [pa.concat_arrays(self.langs).take(pa.array(where)), pa.concat_arrays(self.words).take(pa.array(where)),
                    pa.array(signed(keys)), pa.array(index.sizes[1:].astype(np.int64))]
         structs = pa.StructArray.from_arrays([c.cast(entry.field(k).type) for k, c in enumerate(columns)], fields=list(entry))
+        steps = np.diff(index.right, prepend=np.int32(0))
         return pa.RecordBatch.from_arrays(
             [pa.array([shard]), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), structs).cast(arrow.field("words").type),
-             *(pa.array([_packed(x)], pa.binary()) for x in (keys, index.sizes.astype(np.int32), index.left, index.right))], schema=arrow)
+             *(pa.array([_packed(x)], pa.binary()) for x in (index.sizes, index.left, steps))], schema=arrow)
 
 
 def shards(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -170,13 +178,13 @@ def _over(index: DataFrame, out: str, grams: Callable[[np.ndarray, Index], tuple
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                keys = np.concatenate([np.zeros(1, dtype=np.uint64), _unpacked(row["keys"], np.uint64)])  # symbol 0 is no word
-                index = Index(_unpacked(row["sizes"], np.int32), _unpacked(row["left"], np.int32), _unpacked(row["right"], np.int32))
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+                keys = np.concatenate([np.zeros(1, dtype=np.uint64), np.array(row["keys"], dtype=np.int64).view(np.uint64)])  # symbol 0 is no word
+                index = Index(_unpacked(row["sizes"]), _unpacked(row["left"]), np.cumsum(_unpacked(row["right"]), dtype=np.int32))
                 table = pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in grams(keys, index)], schema=arrow)
                 for at in range(0, table.num_rows, 1 << 16):
                     yield table.slice(at, 1 << 16)
-    return index.select("keys", "sizes", "left", "right").mapInArrow(run, schema)
+    return index.select(F.col("words.h").alias("keys"), "sizes", "left", "right").mapInArrow(run, schema)
 
 
 def _joint(first, second):
@@ -186,21 +194,25 @@ def _joint(first, second):
     return ((first << U64(1)) | (first >> U64(63))) ^ second
 
 
-def counted(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _saved(df: DataFrame, path: str) -> DataFrame:
+    """A table in the shared folder: it ends the lineage, and no row of it is lost with an executor."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(docs: DataFrame, folder: str, least: int = LEAST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, h, n), pairs (h1, h2, n) and triples (h1, h2, h3, n) that occur `least` times or more, and words of each
     lang (lang, n).
 
-    The indexes are built once and written to the shared folder. Their counts are summed across shards level by level: a phrase
+    The indexes are built once and written to `folder`, as are the counts. Their counts are summed across shards level by level: a phrase
     can be frequent only if both its parts are, so a shard reports a pair of frequent words, a triple of two frequent
     pairs, found by a filter of fixed size; what passes it wrongly is summed exactly and fails the threshold. Words
     are known by 64-bit hashes of language and word, which are verified to be one to one over the whole vocabulary.
     """
-    spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    shards(source, shard_words).write.parquet(path)
-    index = spark.read.schema(_INDEX).parquet(path)
-    vocabulary = hold(index.select(F.explode("words").alias("w")).groupBy("w.lang", "w.word", "w.h").agg(F.sum("w.n").alias("n")))
+    index = _saved(shards(source, shard_words), f"{folder}/index")
+    entries = index.select(F.explode("words").alias("w")).select("w.lang", "w.word", "w.h", "w.n")
+    vocabulary = _saved(entries.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")), f"{folder}/words")
     if vocabulary.groupBy("h").count().where("count > 1").limit(1).count():
         raise ValueError("two words of this vocabulary have one hash; change the salt of the languages")
     words = vocabulary.where(F.col("n") >= least)
@@ -214,7 +226,7 @@ def counted(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS)
         keep = known[first] & known[second]
         return keys[first[keep]], keys[second[keep]], n[keep]
     summed = _over(index, "h1 bigint, h2 bigint, n bigint", pairs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-    two = hold(summed.where(F.col("n") >= least))
+    two = _saved(summed.where(F.col("n") >= least), f"{folder}/pairs")
     joint = bit_filter(two.select(_joint(F.col("h1"), F.col("h2")).alias("h")), "h", BITS)
 
     def triples(keys: np.ndarray, index: Index) -> tuple[np.ndarray, ...]:
@@ -224,7 +236,7 @@ def counted(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_WORDS)
         keep = known[rest] & known[begin]
         return keys[before[keep]], keys[first[rest[keep]]], keys[second[rest[keep]]], count[keep]
     summed = _over(index, "h1 bigint, h2 bigint, h3 bigint, n bigint", triples).groupBy("h1", "h2", "h3").agg(F.sum("n").alias("n"))
-    return words, two, hold(summed.where(F.col("n") >= least)), totals
+    return words, two, _saved(summed.where(F.col("n") >= least), f"{folder}/triples"), totals
 
 
 def _score(a: str, l: str, r: str) -> Column:  # noqa: E741
@@ -244,11 +256,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
     as often as they occur. Ties are settled by a, then the phrase in byte order. A lang without candidates has no
     row, and an empty table none. Other columns are not read.
     """
-    words, two, three, totals = counted(docs, least, shard_words)
+    folder = f"{shared_folder(docs.sparkSession)}/phrases-{uuid.uuid4().hex}"
+    words, two, three, totals = counted(docs, folder, least, shard_words)
     word = lambda k: words.select(F.col("h").alias(f"h{k}"), F.col("word").alias(f"w{k}"), F.col("n").alias(f"n{k}"))
     part = lambda a, b, name: two.select(F.col("h1").alias(a), F.col("h2").alias(b), F.col("n").alias(name))
     longer = three.withColumnRenamed("n", "a").join(part("h1", "h2", "begin"), ["h1", "h2"]).join(part("h2", "h3", "rest"), ["h2", "h3"])
-    longer = hold(longer)
+    longer = _saved(longer, f"{folder}/longer")
     covered = (longer.where(100 * F.col("a") >= inside * F.col("begin")).select("h1", "h2")
                .union(longer.where(100 * F.col("a") >= inside * F.col("rest")).select("h2", "h3")).distinct())
     first = words.select(F.col("h").alias("h1"), F.col("word").alias("w1"), F.col("n").alias("n1"), "lang")
