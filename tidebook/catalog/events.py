@@ -49,12 +49,12 @@ def _(x):
     return op.event_stage_3(daily, e.select("event_id", "item_id", day.alias("stage_day")), effect, TODAY)
 
 
-view("hev", "SELECT id AS event_id, category AS item_id, date_trunc('hour', starts_at) AS t0, date_trunc('hour', announced_at) AS announced FROM (SELECT *, type AS category FROM cal) WHERE starts_at >= TIMESTAMP '2024-01-20'")
+view("hev", "SELECT id AS event_id, category AS item_id, date_trunc('hour', starts_at) AS t0, date_trunc('hour', announced_at) AS announced FROM (SELECT *, type AS category FROM cal)")
 
 
 def _hourly_events(x):
-    return (x.calendar().filter("starts_at >= '2024-01-20'")
-            .select(F.col("id").alias("event_id"), F.col("type").alias("item_id"), F.date_trunc("hour", "starts_at").alias("at"), F.date_trunc("hour", "announced_at").alias("announced")))
+    return x.calendar().select(F.col("id").alias("event_id"), F.col("type").alias("item_id"), F.date_trunc("hour", "starts_at").alias("at"),
+                               F.date_trunc("hour", "announced_at").alias("announced"))
 
 
 def study_sql(bh, ah):

@@ -131,7 +131,7 @@ def _(x):
 
 # Issued on every origin for which the day before was seen.
 view("iser", "SELECT item_id AS series, day, vwap AS value FROM duk WHERE vwap > 0")
-view("iss", """WITH o AS (SELECT DISTINCT CAST(day + 1 AS DATE) AS origin FROM iser WHERE day >= DATE '2024-01-20'),
+view("iss", """WITH o AS (SELECT DISTINCT CAST(day + 1 AS DATE) AS origin FROM iser),
   t AS (SELECT s.series, origin, s.day, value, s.day - o.origin AS x, ln(value) AS y, isodow(s.day) AS k FROM iser s JOIN o ON s.day < o.origin AND s.day >= o.origin - 56),
   c AS (SELECT series, origin, max(day) AS ld, arg_max(value, day) AS lv FROM t GROUP BY 1, 2 HAVING max(day) = origin - 1),
   m AS (SELECT series, origin, k, count(*) AS n, avg(x) AS mx, avg(y) AS my FROM t GROUP BY 1, 2, 3),
@@ -144,7 +144,7 @@ view("iss", """WITH o AS (SELECT DISTINCT CAST(day + 1 AS DATE) AS origin FROM i
 
 def issues(x):
     s = bars.daily_ohlc(x.candles()).filter("vwap > 0").select(F.col("item_id").alias("series"), "day", F.col("vwap").alias("value"))
-    origins = s.filter("day >= '2024-01-20'").select(F.date_add("day", 1).alias("origin")).distinct()
+    origins = s.select(F.date_add("day", 1).alias("origin")).distinct()
     return s, op.issue_forecast(s, origins, least=3)
 
 

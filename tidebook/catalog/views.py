@@ -49,7 +49,7 @@ view("own", """SELECT item_id, source, valid_from, valid_to FROM it, (VALUES
   ('C', TIMESTAMP '2024-01-20', NULL)) e(source, valid_from, valid_to)""")
 view("cal", """SELECT id, 'notice ' || CAST(id AS VARCHAR) AS name, category AS type, sold_date - INTERVAL 1 DAY AS announced_at,
   sold_date AS starts_at, sold_date + INTERVAL 3 DAY AS ends_at,
-  CASE k % 3 WHEN 1 THEN [item_id] WHEN 2 THEN CASE WHEN item_id = category || '-0' THEN [item_id] ELSE [item_id, category || '-0'] END END AS related FROM tr WHERE unit_price > 20000""")
+  CASE k % 3 WHEN 1 THEN [item_id] WHEN 2 THEN CASE WHEN item_id = category || '-0' THEN [item_id] ELSE [item_id, category || '-0'] END END AS related FROM tr""")
 view("chk", """SELECT id, substr('ABC', CAST(user_id % 3 AS INTEGER) + 1, 1) AS source, sold_date AS checked_at,
   CASE WHEN k <> 50 THEN k / 2 END AS gap_min, CASE WHEN k <> 75 THEN CASE WHEN k % 10 = 0 THEN k % 4 ELSE 0 END END AS stale_items FROM tr""")
 view("epo", """SELECT * FROM (VALUES ('A', CAST(NULL AS TIMESTAMP), TIMESTAMP '2024-01-20'), ('B', TIMESTAMP '2024-01-11', NULL),

@@ -7,23 +7,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebook.functions.exact import ratio
 from tidebook.functions.timeutil import KST, hour_number, iso_dow, local_ts
+from tidebook.plans.split import null_safe_join
 from tidebook.session import reuse
 
 
 def event_window_7(series: DataFrame, events: DataFrame, before: str, days: int = 7) -> DataFrame:
     """Means of the seven days before and from the event; ready only when all fourteen were observed.
 
-    `series` has item_id, day, value; `events` has event_id, item_id, event_day. An event fans out to its own
-    fourteen days, which meet the series by an equi join.
+    `series` has item_id, day, value; `events` has event_id, item_id, event_day. The figures depend on the item and the
+    day only, so each such pair fans out once to its fourteen days, which meet the series by an equi join; its events
+    then take them over, however many there are.
     """
     z = F.lit(before).cast("date")
-    e = events.select("event_id", "item_id", "event_day", F.explode(F.sequence(F.lit(-days), F.lit(days - 1))).alias("o"))
+    e = events.select("item_id", "event_day").distinct()
+    e = e.select("item_id", "event_day", F.explode(F.sequence(F.lit(-days), F.lit(days - 1))).alias("o"))
     e = e.withColumn("day", F.date_add("event_day", F.col("o")))
     j = e.join(series.filter(F.col("day") < z).select("item_id", "day", "value"), ["item_id", "day"], "left")
     pre, post = F.when(F.col("o") < 0, F.col("value")), F.when(F.col("o") >= 0, F.col("value"))
-    g = j.groupBy("event_id", "item_id", "event_day").agg(F.count(pre).alias("pre_n"), F.count(post).alias("post_n"), F.avg(pre).alias("_a"), F.avg(post).alias("_b"))
+    g = j.groupBy("item_id", "event_day").agg(F.count(pre).alias("pre_n"), F.count(post).alias("post_n"), F.avg(pre).alias("_a"), F.avg(post).alias("_b"))
     g = g.withColumn("ready", (F.col("pre_n") == days) & (F.col("post_n") == days) & (F.date_add("event_day", days - 1) < z))
     shown = lambda c: F.when(F.col("ready"), c)
+    g = null_safe_join(events.select("event_id", "item_id", "event_day"), g, ["item_id", "event_day"])
     return g.select("event_id", "item_id", "event_day", "pre_n", "post_n", "ready", shown(F.col("_a")).alias("pre"), shown(F.col("_b")).alias("post"),
                     F.when(F.col("ready") & (F.col("_a") > 0), (F.col("_b") / F.col("_a") - 1) * 100).alias("change"))
 
@@ -31,7 +35,8 @@ def event_window_7(series: DataFrame, events: DataFrame, before: str, days: int
 def event_stage_3(daily: DataFrame, stages: DataFrame, effect: DataFrame, today: str, each: int = 3) -> DataFrame:
     """Three completed observations on either side of a stage, with the common weekday pattern taken out.
 
-    Observations of an item are numbered once; a stage only needs its place in that order. `daily` may have a column
+    Observations of an item are numbered once; a stage only needs its place in that order, which all stages of that
+    item and day share. `daily` may have a column
     `basis`: items of another basis than trade need no quantity and get none.
     """
     t = F.lit(today).cast("date")
@@ -46,16 +51,16 @@ def event_stage_3(daily: DataFrame, stages: DataFrame, effect: DataFrame, today:
     order = Window.partitionBy("item_id").orderBy("day")
     obs = d.withColumn("no", F.row_number().over(order)).select("item_id", "day", "no", "adj_p", "adj_q", "traded")
     first = obs.groupBy("item_id").agg(F.min("day").alias("first_day"), F.bool_and("traded").alias("traded"))
-    marks = (obs.select("item_id", "day", F.lit(None).cast("bigint").alias("event_id"), F.lit(1).alias("seen"))
-             .unionByName(stages.filter("stage_day IS NOT NULL").select("item_id", F.col("stage_day").alias("day"), "event_id", F.lit(0).alias("seen"))))
-    earlier = Window.partitionBy("item_id").orderBy("day", "seen").rowsBetween(Window.unboundedPreceding, 0)
-    place = marks.withColumn("place", F.sum("seen").over(earlier)).filter("event_id IS NOT NULL").select("event_id", "item_id", "place")
+    marks = (obs.select("item_id", "day", F.lit(1).alias("seen"))
+             .unionByName(stages.filter("stage_day IS NOT NULL").select("item_id", F.col("stage_day").alias("day"), F.lit(0).alias("seen")).distinct()))
+    earlier = Window.partitionBy("item_id").orderBy("day", "seen").rowsBetween(Window.unboundedPreceding, 0)   # days of the calendar
+    place = marks.withColumn("place", F.sum("seen").over(earlier)).filter("seen = 0").select("item_id", F.col("day").alias("stage_day"), "place")
     near = place.withColumn("no", F.explode(F.sequence(F.col("place") - each + 1, F.col("place") + each))).join(obs.drop("traded"), ["item_id", "no"])
     side = lambda c, after: F.avg(F.when((F.col("no") > F.col("place")) == F.lit(after), F.col(c)))
     cnt = lambda after: F.count_if((F.col("no") > F.col("place")) == F.lit(after))
-    g = near.groupBy("event_id", "item_id").agg(cnt(False).alias("_bn"), cnt(True).alias("_an"), side("adj_p", False).alias("_bp"), side("adj_p", True).alias("_ap"),
+    g = near.groupBy("item_id", "stage_day").agg(cnt(False).alias("_bn"), cnt(True).alias("_an"), side("adj_p", False).alias("_bp"), side("adj_p", True).alias("_ap"),
                                                 side("adj_q", False).alias("_bq"), side("adj_q", True).alias("_aq"))
-    j = stages.join(first, "item_id", "left").join(g, ["event_id", "item_id"], "left")
+    j = stages.join(first, "item_id", "left").join(g, ["item_id", "stage_day"], "left")
     n0 = lambda c: F.coalesce(c, F.lit(0))
     state = (F.when(F.col("stage_day").isNull(), "missing").when(F.col("first_day").isNull() | (F.col("stage_day") < F.col("first_day")), "before")
              .when(F.col("stage_day") > t, "scheduled").when((n0("_bn") < each) | (n0("_an") < each), "waiting")
@@ -87,40 +92,45 @@ def hourly_event_study(bars: DataFrame, events: DataFrame, before_h: int, after_
     """Change around an hour against the same hours of the 28 days before the announcement.
 
     `events` has event_id, item_id, at, announced. Every possible anchor's change is formed once by windows
-    over the bars; an event then looks up its own anchor and its references by equality.
+    over the bars. The figures depend on the item and the two hours only: each such triple looks up its anchor and its
+    references by equality, and its events take them over, however many there are.
     """
     m = _moves(bars, before_h, after_h)
-    actual = events.join(m.withColumnRenamed("anchor", "at"), ["item_id", "at"], "left").select(
-        "event_id", "item_id", "before_price", "after_price", F.col("price_pct").alias("actual_pct"), F.col("qty_pct").alias("actual_qty_pct"))
-    a = events.withColumn("anchor", F.explode(F.transform(F.sequence(F.lit(1), F.lit(back)), lambda i: F.col("at") - F.make_dt_interval(days=i))))
+    key = ["item_id", "at", "announced"]
+    cases = reuse(events.select(*key).distinct())
+    actual = cases.join(m.withColumnRenamed("anchor", "at"), ["item_id", "at"], "left").select(
+        *key, "before_price", "after_price", F.col("price_pct").alias("actual_pct"), F.col("qty_pct").alias("actual_qty_pct"))
+    a = cases.withColumn("anchor", F.explode(F.transform(F.sequence(F.lit(1), F.lit(back)), lambda i: F.col("at") - F.make_dt_interval(days=i))))
     a = a.filter(F.col("anchor") + F.expr(f"INTERVAL {after_h} HOURS") <= F.col("announced"))
     dow = lambda ts: F.weekday(local_ts(ts, tz))
     span = F.sequence(F.col("anchor") - F.expr(f"INTERVAL {before_h} HOURS"), F.col("anchor") + F.expr(f"INTERVAL {after_h - 1} HOURS"), F.expr("INTERVAL 1 HOUR"))
     rule = {"all": F.lit(True), "noThursday": ~F.exists(span, lambda h: dow(h) == 3), "Tuesday": dow(F.col("anchor")) == 1}
     a = a.withColumn("mode", F.explode(F.filter(F.array(*[F.when(rule[x], F.lit(x)) for x in modes]), lambda x: x.isNotNull())))
-    refs = a.join(m.select("item_id", "anchor", "price_pct"), ["item_id", "anchor"]).groupBy("event_id", "item_id", "mode").agg(
+    refs = a.join(m.select("item_id", "anchor", "price_pct"), ["item_id", "anchor"]).groupBy(*key, "mode").agg(
         F.count(F.lit(1)).alias("references"), F.percentile("price_pct", F.lit(.5)).alias("median"), F.percentile("price_pct", F.lit(.05)).alias("low"),
         F.percentile("price_pct", F.lit(.95)).alias("high"))
     grid = actual.withColumn("mode", F.explode(F.array(*[F.lit(x) for x in modes])))
-    j = grid.join(refs, ["event_id", "item_id", "mode"], "left").withColumn("references", F.coalesce("references", F.lit(0)))
+    j = null_safe_join(grid, refs, [*key, "mode"], "left").withColumn("references", F.coalesce("references", F.lit(0)))
     need = F.lit(None).cast("int")
     for x in modes:
         need = F.when(F.col("mode") == x, LEAST_REFERENCES[x]).otherwise(need)
     p = F.col("actual_pct")
     status = (F.when(p.isNull() | (F.col("references") < need), "insufficient")
               .when((p < F.col("low")) | (p > F.col("high")), "outside the usual range").otherwise("no clear sign"))
-    return j.withColumn("excess_pp", p - F.col("median")).withColumn("status", status)
+    j = j.withColumn("excess_pp", p - F.col("median")).withColumn("status", status)
+    return null_safe_join(events.select("event_id", *key), j, key).drop("at", "announced")
 
 
 def event_path(bars: DataFrame, events: DataFrame, around: int = 24, base_h: int = 6) -> DataFrame:
     """Hourly path around an event as an index of the six hours before it."""
     b = bars.select("item_id", "hour", "vwap", "qty", "n", "gold")
-    e = events.select("event_id", "item_id", "at")
+    e = events.select("item_id", "at").distinct()         # one path for all events of an item and hour
     pre = e.withColumn("hour", F.explode(F.transform(F.sequence(F.lit(1), F.lit(base_h)), lambda i: F.col("at") - F.make_dt_interval(hours=i))))
-    pre = pre.join(b.filter("vwap > 0 AND qty > 0 AND n > 0"), ["item_id", "hour"]).groupBy("event_id", "item_id").agg(
+    pre = pre.join(b.filter("vwap > 0 AND qty > 0 AND n > 0"), ["item_id", "hour"]).groupBy("item_id", "at").agg(
         F.when(F.count(F.lit(1)) == base_h, ratio(F.sum("gold"), F.sum("qty"))).alias("base"))
     path = e.withColumn("offset", F.explode(F.sequence(F.lit(-around), F.lit(around - 1)))).withColumn("hour", F.col("at") + F.make_dt_interval(hours=F.col("offset")))
-    j = path.join(b.select("item_id", "hour", "vwap", "qty"), ["item_id", "hour"], "left").join(pre, ["event_id", "item_id"], "left")
+    j = path.join(b.select("item_id", "hour", "vwap", "qty"), ["item_id", "hour"], "left").join(pre, ["item_id", "at"], "left")
+    j = events.select("event_id", "item_id", "at").join(j, ["item_id", "at"])
     return j.select("event_id", "item_id", "offset", "hour", F.col("vwap").alias("price"), (100 * F.col("vwap") / F.col("base")).alias("index"), "qty")
 
 

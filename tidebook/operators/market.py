@@ -1,12 +1,14 @@
 """Current-market summary as of one instant."""
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebook.functions.exact import exact_sum, pct_change, ratio
 from tidebook.functions.timeutil import as_ts, hour_of, hours_ago, local_day, seconds_between
 from tidebook.operators.candles import ask_rows
-from tidebook.plans.split import newest, trailing_sums
+from tidebook.plans.split import newest, order_key, trailing_sums
 from tidebook.session import reuse
 
 
@@ -65,33 +67,57 @@ def last_snapshot(snapshots: DataFrame, as_of: str, tiered: str, basis: str = "a
     return newest(s, ["item_id"], ["captured_at", "id"], ["upgrade", "listing_count", "min_unit_price", "median"])
 
 
+def _sale_figures(trades: DataFrame, as_of: str, tiered: str) -> DataFrame:
+    """All that a summary takes from the sales, as conditional aggregates over one scan."""
+    ts, gold = F.col("sold_date"), F.col("unit_price") * F.col("qty")
+    t = trades.filter((ts <= as_ts(as_of)) & (F.col("category") != tiered))
+    day, before, hour = ts > hours_ago(as_of, 24), ts.between(hours_ago(as_of, 48), hours_ago(as_of, 24)), ts > hours_ago(as_of, 1)
+    qty = lambda where: F.sum(F.when(where, F.col("qty")))
+    price = lambda where: ratio(exact_sum(gold, where), qty(where))
+    return t.groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("_trades"), _span_days("sold_date").alias("_span"), price(day).alias("_vwap24"), price(before).alias("_vwap_prev"),
+        qty(day).alias("_qty24"), price(hour).alias("vwap1h"), F.count_if(hour).alias("trades1h"), qty(hour).alias("qty1h"),
+        F.max_by("unit_price", order_key(t, ["sold_date", "id"])).alias("_last"), F.max("sold_date").alias("last_trade_at"))
+
+
+def _ask_figures(snapshots: DataFrame, as_of: str, tiered: str) -> DataFrame:
+    """All that a summary takes from the books: the newest of each kind, and the asks of the tiered category by tier."""
+    ts, ask = F.col("captured_at"), F.col("category") == tiered
+    s = snapshots.filter(ts <= as_ts(as_of))
+    top = ask & (F.col("upgrade") > 0) & (F.col("upgrade") == F.col("upgrade_max"))
+    plain = ~ask | (F.col("upgrade") == 0)
+    key = order_key(s, ["captured_at", "id"])
+    newest_of = lambda c, where: F.max_by(c, F.when(where, key))
+    p = F.col("min_unit_price")
+    out = [newest_of(c, where).alias(n) for where, names in
+           ((plain, {"listing_count": "listings", "min_unit_price": "min_ask", "median": "median_ask"}),
+            (top, {"upgrade": "max_upgrade", "listing_count": "max_listings", "min_unit_price": "max_last_price"})) for c, n in names.items()]
+    for where, mark in ((ask & (F.coalesce("upgrade", F.lit(0)) == 0) & (p > 0), "ask"), (top & (p > 0), "max")):
+        at = lambda more, where=where: F.when(where & more, p)
+        out += [F.count_if(where).alias(f"_{mark}_n"), seconds_between(F.max(F.when(where, ts)), F.min(F.when(where, ts))).alias(f"_{mark}_span"),
+                F.avg(at(ts > hours_ago(as_of, 24))).alias(f"_{mark}_24"), F.avg(at(ts.between(hours_ago(as_of, 48), hours_ago(as_of, 24)))).alias(f"_{mark}_prev")]
+    return s.groupBy("item_id").agg(*out)
+
+
 def item_summary(items: DataFrame, trades: DataFrame, snapshots: DataFrame, as_of: str, tiered: str) -> DataFrame:
     """One row per tracked item; book-priced items take their figures from the asks.
 
-    Every input is first reduced to one row per item, so the joins run on equal partitionings of small rows.
+    Sales and books are each read once and reduced to one row per item by conditional aggregates, so the joins run
+    on small rows.
     """
-    agg = trade_agg_24h(trades, as_of, tiered).unionByName(ask_agg_24h(snapshots, as_of, tiered))
-    top = ask_agg_24h(snapshots, as_of, tiered, "askMax").select(
-        "item_id", F.col("trades").alias("max_trades"), F.col("vwap24").alias("max_vwap24"), F.col("vwap_prev").alias("max_vwap_prev"))
-    snap = last_snapshot(snapshots, as_of, tiered).select(
-        "item_id", F.col("listing_count").alias("listings"), F.col("min_unit_price").alias("min_ask"), F.col("median").alias("median_ask"))
-    snap_top = last_snapshot(snapshots, as_of, tiered, "askMax").select(
-        "item_id", F.col("upgrade").alias("max_upgrade"), F.col("listing_count").alias("max_listings"),
-        F.col("min_unit_price").alias("max_last_price"))
-    sold = last_trade(trades.filter(F.col("category") != tiered), as_of).withColumnsRenamed(
-        {"unit_price": "_last", "sold_date": "last_trade_at"})
-    out = items.filter("tracked").select("item_id", "category")
-    for part in (agg, top, snap, snap_top, sold, vwap_1h(trades, as_of, tiered)):
-        out = out.join(part, "item_id", "left")
+    out = (items.filter("tracked").select("item_id", "category").join(_sale_figures(trades, as_of, tiered), "item_id", "left")
+           .join(_ask_figures(snapshots, as_of, tiered), "item_id", "left"))
     ask = F.col("category") == tiered
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    either = lambda book, sale: F.when(ask, book).otherwise(sale)
+    zero = lambda c, name=None: F.coalesce(c, F.lit(0)).alias(name or c)
     return out.select(
-        "item_id", "category", F.when(ask, "ask0").otherwise("trade").alias("price_basis"), zero("trades"),
-        F.coalesce("span_days", F.lit(0.0)).alias("span_days"),
-        F.coalesce(F.when(ask, F.col("min_ask")).otherwise(F.col("_last")), F.lit(0)).alias("last_price"),
-        "last_trade_at", "vwap1h", zero("trades1h"), zero("qty1h"), "vwap24", "vwap_prev", zero("qty24"),
-        zero("listings"), "min_ask", "median_ask", "max_upgrade", zero("max_trades"), "max_last_price", "max_vwap24",
-        "max_vwap_prev", zero("max_listings"))
+        "item_id", "category", either(F.lit("ask0"), F.lit("trade")).alias("price_basis"), zero(either(F.col("_ask_n"), F.col("_trades")), "trades"),
+        F.coalesce(either(F.col("_ask_span") / 86400, F.col("_span")), F.lit(0.0)).alias("span_days"),
+        F.coalesce(either(F.col("min_ask"), F.col("_last")), F.lit(0)).alias("last_price"),
+        "last_trade_at", "vwap1h", zero("trades1h"), zero("qty1h"), either(F.col("_ask_24"), F.col("_vwap24")).alias("vwap24"),
+        either(F.col("_ask_prev"), F.col("_vwap_prev")).alias("vwap_prev"), zero(either(F.lit(0).cast("bigint"), F.col("_qty24")), "qty24"),
+        zero("listings"), "min_ask", "median_ask", "max_upgrade", zero("_max_n", "max_trades"), "max_last_price", F.col("_max_24").alias("max_vwap24"),
+        F.col("_max_prev").alias("max_vwap_prev"), zero("max_listings"))
 
 
 def market_metrics(summary: DataFrame) -> DataFrame:
@@ -176,18 +202,30 @@ def depth_quote(ladder: DataFrame, target: int) -> DataFrame:
         F.when(F.col("filled") == target, F.col("_cost") / target).alias("avg_cost"), "total_qty", "best_ask", "best_qty")
 
 
-def event_fanout(calendar: DataFrame, items: DataFrame, spread: int = 64) -> DataFrame:
+def event_fanout(calendar: DataFrame, items: DataFrame, pairs_a_task: int = 1_000_000) -> DataFrame:
     """(event, item) pairs: the listed items, or every item for an event that names none.
 
-    An event for everybody is by definition paired with the whole dimension. Those events are dealt over
-    `spread` keys and the dimension is repeated per key, so the pairs are formed in as many tasks.
+    An event for everybody is by definition paired with the whole dimension. Those pairs form a grid of events by items, cut
+    into tiles of about `pairs_a_task`: events are dealt over `rows` keys and items over `columns`, both taken from
+    the measured sizes so that the fewest rows are sent, and an event and an item meet in the tile of their two keys. A
+    single event with very many items is cut along the items, many events with few items along the events.
     """
     everyone = F.coalesce(F.size("related"), F.lit(0)) <= 0
     named = calendar.filter(~everyone).withColumn("item_id", F.explode("related")).drop("related")
-    keys = F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<bigint>")
-    ids = items.select("item_id", F.explode(keys).alias("_k"))
-    general = calendar.filter(everyone).drop("related").withColumn("_k", F.pmod(F.xxhash64("id"), F.lit(spread)))
-    return named.unionByName(general.join(ids, "_k").drop("_k"))
+    general = calendar.filter(everyone).drop("related")
+    rows, columns = tiles(general.count(), items.count(), pairs_a_task)
+    keys = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    ids = items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(columns)).alias("_c"), keys(rows).alias("_r"))
+    general = general.select("*", F.pmod(F.xxhash64("id"), F.lit(rows)).alias("_r"), keys(columns).alias("_c"))
+    return named.unionByName(general.join(ids, ["_r", "_c"]).drop("_r", "_c"))
+
+
+def tiles(events: int, items: int, pairs_a_task: int) -> tuple[int, int]:
+    """Rows and columns of a grid of events by items with tiles of about `pairs_a_task` pairs; each event is sent once a
+    column and each item once a row, so the cheapest grid has tiles with about as many events as items."""
+    needed = -(-events * items // pairs_a_task)
+    rows = min(max(1, round(math.sqrt(needed * events / max(1, items)))), max(1, needed), max(1, events))
+    return rows, min(max(1, -(-needed // rows)), max(1, items))
 
 
 def top_movers(metrics: DataFrame, direction: str, keep: int = 10, min_qty: int = 100) -> DataFrame:

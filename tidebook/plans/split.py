@@ -11,6 +11,8 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidebook.session import reuse
+
 
 def _partition(keys: Sequence[str]) -> list:
     return list(keys) if keys else [F.lit(0)]
@@ -109,12 +111,11 @@ def trailing_sums(probes: DataFrame, facts: DataFrame, keys: Sequence[str], prob
     empty = F.lit(None).cast(probes.select(F.struct(*payload)).schema[0].dataType)
     fact_marks = sums.select(*keys, "_ts", F.lit(0).alias("_kind"), F.lit(0).alias("_sign"),
                              empty.alias("_p"), *values)
-    marks = fact_marks
-    for sign, ts in ((1, F.col(probe_ts)), (-1, F.col(probe_ts) - F.expr(f"INTERVAL {width}"))):
-        marks = marks.unionByName(probes.select(
-            *keys, ts.alias("_ts"), F.lit(1).alias("_kind"), F.lit(sign).alias("_sign"),
-            F.struct(*payload).alias("_p"), *zero.values()))
-    marks = marks.withColumn("_chunk", F.date_trunc("hour", "_ts"))
+    ends = F.array(*[F.struct(ts.alias("_ts"), F.lit(sign).alias("_sign")) for sign, ts in
+                     ((1, F.col(probe_ts)), (-1, F.col(probe_ts) - F.expr(f"INTERVAL {width}")))])
+    probe_marks = probes.select(*keys, F.struct(*payload).alias("_p"), F.explode(ends).alias("_e"))
+    marks = fact_marks.unionByName(probe_marks.select(*keys, "_e._ts", F.lit(1).alias("_kind"), "_e._sign", "_p", *zero.values()))
+    marks = reuse(marks.withColumn("_chunk", F.date_trunc("hour", "_ts")))      # both inputs are read once
     offsets = chunk_offsets(marks, keys, "_chunk", {n: F.sum(n) for n in values})
     running = (Window.partitionBy(*keys, "_chunk").orderBy("_ts", "_kind")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -129,7 +129,7 @@ class Inputs:
 
     def calendar(self) -> DataFrame:
         """Dated events; some name their items, some apply to all."""
-        t = self.trades().filter(F.col("unit_price") > 20000)
+        t = self.trades()
         item = F.col("item_id")
         related = (F.when(F.col("k") % 3 == 1, F.array(item))
                    .when(F.col("k") % 3 == 2, F.array_distinct(F.array(item, F.concat(F.col("category"), F.lit("-0"))))))
