@@ -7,7 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tidebook.functions.timeutil import day_number, iso_dow
 
@@ -19,7 +21,7 @@ def panel(daily: DataFrame, before: str) -> DataFrame:
     """Calendar of every item up to and including `before`, with what was known before each day.
 
     `daily` has item_id, day, vwap, n. The spine runs from the item's first day, so a day without sales is
-    still a possible origin. The training days are an array; its length is bounded by the calendar.
+    still a possible origin. `first_y` is the value of the item's first day, which is no origin itself.
     """
     z = F.lit(before).cast("date")
     d = daily.filter((F.col("day") < z) & (F.col("vwap") > 0)).select("item_id", "day", "vwap", "n")
@@ -35,7 +37,7 @@ def panel(daily: DataFrame, before: str) -> DataFrame:
         "obs": F.count("vwap").over(past), "trades": s("n"), "sum_v": s("vwap"), "sx": s("x"), "sxx": s(F.col("x") * F.col("x")),
         "sy": s("y"), "sxy": s(F.col("x") * F.col("y")), "last_day": F.max(F.when(seen, F.col("day"))).over(past),
         "last_value": F.last("vwap", ignorenulls=True).over(past),
-        "train": F.collect_list(F.when(seen, F.struct("x", "y", "k"))).over(past),
+        "first_y": F.first("y").over(past),
     }
     for k in K:
         on = F.col("k") == k
@@ -65,20 +67,47 @@ def _fit(sy: Column, sxy: Column) -> tuple[Column, Column]:
     return (sy - slope * sx) / n, slope
 
 
-def predict(known: DataFrame, coeffs: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Trend plus weekday forecasts with their band, and the plain trend, for every origin in `known`."""
-    wide = coeffs.groupBy("origin").agg(F.map_from_entries(F.collect_list(F.struct("k", "coef"))).alias("coefs"))
-    p = known.filter(_eligible()).join(wide, "origin", "left")
-    c = lambda k: F.coalesce(F.element_at("coefs", k), F.lit(0.0))
+def _residual_bounds(key, origins: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
+    """Lower and upper residual of every origin of an item, of the days known before it.
+
+    The fit, so every residual, changes with the origin; an origin takes its two order statistics from one vector of the
+    item's days. Nothing is kept per origin but the result.
+    """
+    train = train.sort_values("day")
+    day, x, y, k = (train[c].to_numpy() for c in ("day", "x", "y", "k"))
+    low, high = [], []
+    for o in origins.itertuples(index=False):
+        n = int(np.searchsorted(day, np.datetime64(o.origin)))
+        coef = np.array([getattr(o, f"c{i}") for i in K])
+        r = y[:n] - coef[k[:n] - 1] - (o.a + o.b * x[:n])
+        at = [min(int(np.floor(n * q)), n - 1) for q in (0.1, 0.9)]
+        r.partition(at)
+        low.append(r[at[0]])
+        high.append(r[at[1]])
+    return origins.assign(r_lo=low, r_hi=high)
+
+
+def predict(known: DataFrame, coeffs: DataFrame, horizons: Sequence[int], full: DataFrame) -> DataFrame:
+    """Trend plus weekday forecasts with their band, and the plain trend, for every origin in `known`.
+
+    `full` is the whole panel, whose days train the origins after them: one row a day, at most as many an item as the calendar has.
+    """
+    wide = coeffs.groupBy("origin").agg(*[F.max(F.when(F.col("k") == k, F.col("coef"))).alias(f"c{k}") for k in K])
+    p = known.filter(_eligible()).join(wide, "origin", "left").withColumns({f"c{k}": F.coalesce(f"c{k}", F.lit(0.0)) for k in K})
     nil = lambda name: F.coalesce(name, F.lit(0.0))
-    adj = sum((c(F.lit(k)) * F.col(f"n{k}") for k in K), F.lit(0.0))
-    adjx = sum((c(F.lit(k)) * nil(f"x{k}") for k in K), F.lit(0.0))
+    adj = sum((F.col(f"c{k}") * F.col(f"n{k}") for k in K), F.lit(0.0))
+    adjx = sum((F.col(f"c{k}") * nil(f"x{k}") for k in K), F.lit(0.0))
     a, b = _fit(F.col("sy") - adj, F.col("sxy") - adjx)
     a0, b0 = _fit(F.col("sy"), F.col("sxy"))
-    p = p.select("item_id", "origin", "first_day", "last_day", "last_value", "obs", "train", "coefs", a.alias("a"), b.alias("b"), a0.alias("a0"), b0.alias("b0"))
-    resid = F.array_sort(F.transform("train", lambda t: t["y"] - c(t["k"]) - (F.col("a") + F.col("b") * t["x"])))
-    at = lambda q: F.element_at("_r", (F.least(F.floor(F.col("obs") * q), F.col("obs") - 1) + 1).cast("int"))
-    p = p.withColumn("_r", resid).withColumns({"r_lo": at(F.lit(0.1)), "r_hi": at(F.lit(0.9))})
+    p = p.select("item_id", "origin", "first_day", "last_day", "last_value", a.alias("a"), b.alias("b"), a0.alias("a0"), b0.alias("b0"), *[f"c{k}" for k in K])
+    days = full.filter("y IS NOT NULL").select(F.col("item_id").alias("item"), F.col("origin").alias("day"), "x", "y", "k")
+    start = full.groupBy(F.col("item_id").alias("item")).agg(F.min("first_day").alias("day"), F.min("first_y").alias("y"))
+    train = days.unionByName(start.select("item", "day", F.lit(0.0).alias("x"), "y", iso_dow("day").alias("k")))
+    text = p.withColumns({c: F.col(c).cast("timestamp") for c in ("origin", "first_day", "last_day")})
+    schema = T.StructType([*text.schema.fields, T.StructField("r_lo", T.DoubleType()), T.StructField("r_hi", T.DoubleType())])
+    p = (text.groupBy("item_id").cogroup(train.withColumn("day", F.col("day").cast("timestamp")).groupBy("item")).applyInPandas(_residual_bounds, schema)
+         .withColumns({c: F.to_date(c) for c in ("origin", "first_day", "last_day")}))
+    c = lambda k: F.element_at(F.array(*[F.col(f"c{i}") for i in K]), k.cast("int"))
     p = p.withColumn("h", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("d", F.date_add("origin", F.col("h")))
     x = F.datediff("d", "first_day")
     p = p.withColumn("base", F.col("a") + F.col("b") * x + c(iso_dow("d")))
@@ -90,8 +119,9 @@ def predict(known: DataFrame, coeffs: DataFrame, horizons: Sequence[int]) -> Dat
 
 def trend_weekday_forecast(daily: DataFrame, origin: str, horizons: int = 7) -> DataFrame:
     """Forecast path of every eligible item from one origin."""
-    known = panel(daily, origin).filter(F.col("origin") == F.lit(origin).cast("date"))
-    return predict(known, weekday_coeffs(known), list(range(1, horizons + 1)))
+    full = panel(daily, origin)
+    known = full.filter(F.col("origin") == F.lit(origin).cast("date"))
+    return predict(known, weekday_coeffs(known), list(range(1, horizons + 1)), full)
 
 
 def _origins(known: DataFrame) -> DataFrame:
@@ -103,7 +133,7 @@ def rolling_backtest(daily: DataFrame, before: str, horizons: Sequence[int] = (1
     """One case per origin and horizon whose exact target day was observed."""
     known = panel(daily, before)
     actual = daily.filter(F.col("day") < F.lit(before).cast("date")).select("item_id", F.col("day").alias("d"), F.col("vwap").alias("actual"))
-    return predict(_origins(known), weekday_coeffs(known), horizons).join(actual, ["item_id", "d"])
+    return predict(_origins(known), weekday_coeffs(known), horizons, known).join(actual, ["item_id", "d"])
 
 
 def forecast_score(cases: DataFrame, keys: Sequence[str] = ("h",), mid: str = "mid") -> DataFrame:
@@ -114,21 +144,38 @@ def forecast_score(cases: DataFrame, keys: Sequence[str] = ("h",), mid: str = "m
     return s.withColumn("vs_naive", F.when(F.col("naive_mape") > 0, (F.col("naive_mape") - F.col("mape")) / F.col("naive_mape") * 100))
 
 
+def _expanding_quantile(frame: pd.DataFrame, q: float) -> pd.DataFrame:
+    """Number and interpolated quantile of the moves before each day of an item, kept in one sorted vector."""
+    frame = frame.sort_values("origin")
+    kept, n, counts, widths = np.empty(len(frame)), 0, [], []
+    for move in frame["move"].to_numpy():
+        at = (n - 1) * q
+        low = int(at) if n else 0
+        widths.append(kept[low] + (kept[min(low + 1, n - 1)] - kept[low]) * (at - low) if n else None)
+        counts.append(n)
+        if not np.isnan(move):
+            place = int(np.searchsorted(kept[:n], move))
+            kept[place + 1:n + 1] = kept[place:n].copy()
+            kept[place] = move
+            n += 1
+    return frame.assign(moves=counts, width=pd.array(widths, dtype="Float64"))[["item_id", "origin", "moves", "width"]]
+
+
 def naive_band(daily: DataFrame, before: str, horizons: Sequence[int], rolling: bool, min_changes: int = 8) -> DataFrame:
     """Last value with a band of the 80th percentile of daily moves, widened by the square root of the distance.
 
-    `rolling` gives the scored history, otherwise the path from `before` itself.
+    `rolling` gives the scored history, otherwise the path from `before` itself. The percentile of all earlier moves is an
+    order statistic of an expanding window: a day adds one move to the item's sorted vector, so an item takes as many
+    numbers as it has days, whatever the number of origins.
     """
     known = panel(daily, before)
     w = Window.partitionBy("item_id").orderBy("origin")
-    move = F.abs(F.col("y") - F.lag("y").over(w))           # spine rows are consecutive days; a missing day gives NULL
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    full = daily.filter((F.col("day") < F.lit(before).cast("date")) & (F.col("vwap") > 0))
-    first = full.groupBy("item_id").agg(F.min("day").alias("origin"))
-    start = full.join(first.withColumnRenamed("origin", "day"), ["item_id", "day"]).select("item_id", F.col("day").alias("origin"), F.log("vwap").alias("y"))
-    m = start.unionByName(known.select("item_id", "origin", "y")).withColumn("move", move)
-    m = m.withColumns({"moves": F.count("move").over(past), "width": F.percentile("move", F.lit(0.8)).over(past)})
-    j = known.drop("y").join(m.select("item_id", "origin", "moves", "width"), ["item_id", "origin"]).filter(_eligible() & (F.col("moves") >= min_changes))
+    y = F.when(F.col("origin") == F.date_add("first_day", 1), F.coalesce(F.lag("y").over(w), F.col("first_y"))).otherwise(F.lag("y").over(w))
+    moved = known.withColumn("move", F.abs(F.col("y") - y))    # spine rows are consecutive days; a missing day gives NULL
+    stats = (moved.select("item_id", F.col("origin").cast("timestamp").alias("origin"), "move").groupBy("item_id")
+             .applyInPandas(lambda f: _expanding_quantile(f, 0.8), "item_id string, origin timestamp, moves bigint, width double")
+             .withColumn("origin", F.to_date("origin")))
+    j = known.join(stats, ["item_id", "origin"]).filter(_eligible() & (F.col("moves") >= min_changes))
     j = _origins(j) if rolling else j.filter(F.col("origin") == F.lit(before).cast("date"))
     j = j.withColumn("h", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("d", F.date_add("origin", F.col("h")))
     scale = F.sqrt(F.greatest(F.lit(1), F.datediff("d", "last_day")))

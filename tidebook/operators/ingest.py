@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidebook.functions.timeutil import KST, seconds_between
 from tidebook.plans.quantiles import exact_quantiles
-from tidebook.plans.split import newest, numbered, oldest, order_key
+from tidebook.plans.split import first_keys, newest, numbered, oldest, rows_of
 from tidebook.session import reuse
 
 SALE_KEY = ["item_id", "sold_date", "unit_price", "qty", "reinforce", "dup_seq"]
@@ -65,12 +65,11 @@ def tier_conflict_check(listings: DataFrame) -> DataFrame:
 
 
 def listing_state(rows: DataFrame) -> DataFrame:
-    """Latest state per listing with first and last sighting."""
-    return rows.groupBy("auction_no").agg(
-        F.max_by(F.struct("item_id", "unit_price", "cur_count", "upgrade", "upgrade_max"),
-                 order_key(rows, ["observed_at", "id"])).alias("s"),
-        F.min("observed_at").alias("first_seen_at"), F.max("observed_at").alias("last_seen_at"),
-    ).select("auction_no", "s.*", "first_seen_at", "last_seen_at")
+    """Latest state per listing with first and last sighting: the newest row is found by its order, then fetched."""
+    order = ["observed_at", "id"]
+    last = first_keys(rows, ["auction_no"], order, F.max, first_seen_at=F.min("observed_at"), last_seen_at=F.max("observed_at"))
+    state = ["auction_no", "item_id", "unit_price", "cur_count", "upgrade", "upgrade_max"]
+    return rows_of(rows.select(*state, *order), ["auction_no"], order, last).select(*state, "first_seen_at", "last_seen_at")
 
 
 def sightings(rows: DataFrame) -> DataFrame:

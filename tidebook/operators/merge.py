@@ -8,23 +8,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidebook.functions.timeutil import as_ts, hour_of
 from tidebook.operators.candles import candles_1h
 from tidebook.operators.ingest import SALE_KEY
-from tidebook.plans.split import newest, numbered, oldest
-from tidebook.session import reuse
+from tidebook.plans.split import chunk_offsets, first_keys, newest, numbered, order_key, rows_of
 
 def _slice(source_id: Column, chunk_rows: int, *before: Column) -> Column:
     """What orders the slices: the ranks `before`, whatever their size, then the stretch of ids."""
     return F.struct(*[c.alias(f"_{i}") for i, c in enumerate(before)], F.floor(source_id / chunk_rows).alias("_ids"))
 
 
+_FIRST = ["source_rank", "source_id"]
+
+
+def _firsts(rows: DataFrame, key: Sequence[str], chunk_rows: int, late: Sequence[Column] = (), **more: Column) -> DataFrame:
+    """The place of the first copy of every key, its slice of the new numbers, and `more` aggregates over all copies."""
+    place = order_key(rows, _FIRST)
+    found = first_keys(rows, key, _FIRST, _rank=F.min_by("source_rank", place), _id=F.min_by("source_id", place), **more)
+    return found.withColumn("_slice", _slice(F.col("_id"), chunk_rows, *late, F.col("_rank"))).drop("_rank", "_id")
+
+
+def _renumbered(rows: DataFrame, key: Sequence[str], firsts: DataFrame) -> DataFrame:
+    """The first copies, numbered slice by slice. The slices are counted on `firsts`, a few numbers a key, so the facts are
+    fetched once and neither counted nor written."""
+    offsets = chunk_offsets(firsts, [], "_slice", {"n": F.count(F.lit(1))})
+    inside = Window.partitionBy("_slice").orderBy("source_id")
+    found = rows_of(rows, key, _FIRST, firsts).withColumn("_i", F.row_number().over(inside))
+    return found.join(offsets, "_slice").withColumn("id", F.col("_before_n") + F.col("_i")).drop("_slice", "_i", "_before_n")
+
+
 def merge_trades(sources: DataFrame, as_of: str, key: Sequence[str] = SALE_KEY, chunk_rows: int = 1 << 20) -> DataFrame:
     """One row per natural key, the copy of the lowest (rank, id) kept, renumbered in that order.
 
-    Copies collapse in a partial aggregate; the renumbering works per id slice and adds slice totals.
+    The first copies are found on keys and places alone, combined before the shuffle; the rows themselves are fetched by a
+    join on the same keys.
     """
     rows = sources.filter(F.col("sold_date") <= as_ts(as_of)).withColumnRenamed("id", "source_id")
-    kept = reuse(oldest(rows, key, ["source_rank", "source_id"]))      # counted, then numbered
-    kept = kept.withColumn("_slice", _slice(F.col("source_id"), chunk_rows, F.col("source_rank")))
-    return numbered(kept, [], "_slice", ["source_id"], "id").drop("_slice")
+    return _renumbered(rows, key, _firsts(rows, key, chunk_rows))
 
 
 def merge_guards(sources: DataFrame, payload: Sequence[str], key: Sequence[str] = SALE_KEY) -> DataFrame:
@@ -107,13 +124,9 @@ def unify_eligible(sources: DataFrame, states: DataFrame, as_of: str, key: Seque
     `states` has source and raw_max_id.
     """
     rows = sources.filter(F.col("sold_date") <= as_ts(as_of)).withColumnRenamed("id", "source_id").join(states, "source")
-    cols = [c for c in rows.columns if c not in (*key, "raw_max_id")]
-    m = rows.groupBy(*key).agg(F.min_by(F.struct(*cols), F.struct("source_rank", "source_id")).alias("_r"),
-                               F.bool_or(F.col("source_id") <= F.col("raw_max_id")).alias("eligible"))
-    m = reuse(m.select(*key, "_r.*", "eligible"))
-    late = F.when(F.col("eligible"), 0).otherwise(1)
-    m = m.withColumn("_slice", _slice(F.col("source_id"), chunk_rows, late, F.col("source_rank")))
-    return numbered(m, [], "_slice", ["source_id"], "id").drop("_slice")
+    counted = F.bool_or(F.col("source_id") <= F.col("raw_max_id"))
+    firsts = _firsts(rows, key, chunk_rows, [F.when(F.col("eligible"), 0).otherwise(1)], eligible=counted)
+    return _renumbered(rows.drop("raw_max_id"), key, firsts)
 
 
 def unify_candles(frozen: DataFrame, unified: DataFrame, raw_from: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidebook.functions.normal import two_sided_p
 from tidebook.functions.timeutil import as_ts, hour_number
 from tidebook.plans.series import islands
+from tidebook.plans.split import global_ranks, null_safe_join
 from tidebook.session import reuse
 
 
@@ -46,13 +47,17 @@ def variance_ratio(prices: DataFrame, q: int = 2, least: int = 30) -> DataFrame:
 
 
 def holm(tests: DataFrame, family: Sequence[str] = (), p: str = "p", name: str = "adjusted") -> DataFrame:
-    """Step-down adjusted p within each family; a family has one test per item."""
-    parts = list(family) or [F.lit(0)]
-    order = Window.partitionBy(*parts).orderBy(p, "item_id")
-    m = F.count(F.lit(1)).over(Window.partitionBy(*parts))
-    step = F.least(F.lit(1.0), F.col(p) * (m - F.row_number().over(order) + 1))
-    return (tests.withColumn("_step", step)
-            .withColumn(name, F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step"))
+    """Step-down adjusted p within each family; a family has one test per item.
+
+    Tests are ranked in stretches of p; the running maximum of a stretch continues that of the stretches before it.
+    """
+    parts = list(family)
+    ranked = reuse(global_ranks(tests, parts, p, "item_id").withColumn("_step", F.least(F.lit(1.0), F.col(p) * (F.col("_n") - F.col("_rn") + 1))))
+    earlier = Window.partitionBy(*(parts or [F.lit(0)])).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)    # a few hundred stretches
+    tops = ranked.groupBy(*parts, "_chunk").agg(F.max("_step").alias("_top")).withColumn("_reached", F.max("_top").over(earlier)).drop("_top")
+    inside = Window.partitionBy(*parts, "_chunk").orderBy(p, "item_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = null_safe_join(ranked.withColumn("_run", F.max("_step").over(inside)), tops, [*parts, "_chunk"])
+    return out.withColumn(name, F.greatest("_run", "_reached")).drop("_run", "_reached", "_step", "_rn", "_n", "_chunk")
 
 
 def random_walk_report(bars: DataFrame, as_of: str, q: int = 2, alpha: float = 0.05) -> DataFrame:
@@ -63,11 +68,9 @@ def random_walk_report(bars: DataFrame, as_of: str, q: int = 2, alpha: float = 0
     facts = lr.groupBy("item_id").agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), F.avg("n").alias("per_bar"),
                                       F.avg("vwap").alias("price"), (F.stddev_samp("r") * 100).alias("volatility"))
     v = reuse(variance_ratio(run, q).join(facts, "item_id"))
-    tested = holm(v.filter("vr IS NOT NULL"))
-    count = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("per_bar", "item_id"))
-    third = F.greatest(F.ceil(count / 3), F.lit(1))
-    tested = tested.withColumn("third", F.least(F.ceil(place / third), F.lit(3)))
+    tested = global_ranks(holm(v.filter("vr IS NOT NULL")), [], "per_bar", "item_id")
+    third = F.greatest(F.ceil(F.col("_n") / 3), F.lit(1))
+    tested = tested.withColumn("third", F.least(F.ceil(F.col("_rn") / third), F.lit(3))).drop("_rn", "_n", "_chunk")
     rest = v.filter("vr IS NULL").withColumn("adjusted", F.lit(None).cast("double")).withColumn("third", F.lit(None).cast("bigint"))
     reason = F.when(F.col("vr").isNull(), F.when(F.col("bars") < 30, "too few contiguous hours").otherwise("no usable variance"))
     return (tested.unionByName(rest).withColumn("significant", F.coalesce(F.col("adjusted") < alpha, F.lit(False)))

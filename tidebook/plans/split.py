@@ -96,6 +96,46 @@ def oldest(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Seque
     return _extreme(df, keys, order, cols, F.min_by)
 
 
+def first_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], by: Callable = F.min, **more: Column) -> DataFrame:
+    """(keys, _k) with the smallest (or, by F.max, largest) packed order of every group, and `more` aggregates.
+
+    Only the keys and one fixed-width number are read, combined on the map side by hash and shuffled.
+    """
+    return df.groupBy(*keys).agg(by(order_key(df, order)).alias("_k"), *[c.alias(n) for n, c in more.items()])
+
+
+def rows_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], firsts: DataFrame) -> DataFrame:
+    """The rows that `first_keys` names, with its other columns: an arg-max of any payload without a sorted aggregate.
+
+    The order must tell the rows of a group apart, or they must be equal, which count once.
+    """
+    found = null_safe_join(df.withColumn("_k", order_key(df, order)), firsts, [*keys, "_k"])
+    return found.drop("_k").distinct()
+
+
+def global_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str, splits: int = 256) -> DataFrame:
+    """Add _rn, the place by (value, tie) within `keys`, _n, the size of the group, and _chunk, a stretch of places.
+
+    The stretches lie between values sampled by a quantile sketch, so they follow the data; a task orders one of them, and
+    its places start after the counts of the stretches before it, of which there are at most `splits`.
+    """
+    q = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    points = F.array_distinct(F.percentile_approx(F.col(value).cast("double"), q, F.lit(10_000)))
+    if keys:
+        marked = null_safe_join(df, df.groupBy(*keys).agg(points.alias("_points")), keys, "left")
+    else:
+        marked = df.withColumn("_points", df.agg(points).scalar())
+    chunk = F.coalesce(F.size(F.filter("_points", lambda p: p < F.col(value))), F.lit(0))
+    marked = reuse(marked.withColumn("_chunk", chunk.cast("bigint")).drop("_points"))
+    whole = Window.partitionBy(*_partition(keys))
+    sizes = chunk_offsets(marked, keys, "_chunk", {"n": F.count(F.lit(1))})
+    counts = null_safe_join(sizes, marked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_c")), [*keys, "_chunk"])
+    counts = counts.withColumn("_n", F.sum("_c").over(whole)).drop("_c")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(value, tie)
+    placed = null_safe_join(marked.withColumn("_i", F.row_number().over(inside)), counts, [*keys, "_chunk"])
+    return placed.withColumn("_rn", F.col("_i") + F.col("_before_n")).drop("_i", "_before_n")
+
+
 def trailing_sums(probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_ts: str, fact_ts: str,
                   width: str, values: dict[str, str]) -> DataFrame:
     """For each probe row, sums of the facts in (t - width, t].
