@@ -65,17 +65,66 @@ def _(x):
     return op.ridge_summary(op.ridge_hourly(_points(x)))
 
 
-# The four-feature fits have no plain SQL form; they are checked against brute force in the tests.
-@query("joint_evening")
+def _elimination(d: int = 4) -> str:
+    """Chain of views that eliminates the normal equations of `jg`, as the operator does; its last one is `je`."""
+    cells = [(i, j) for i in range(d) for j in range(i, d)]
+    keep = "* EXCLUDE ({})"
+    at = lambda i, j: f"(s{i}{j} - n * m{i} * m{j}) / (e{i} * e{j}) + {1 if i == j else 0}"
+    out = ["j0 AS (SELECT *, sy / n AS p0, " + ", ".join(f"s{i} / n AS m{i}" for i in range(d)) + " FROM jg)",
+           "j1 AS (SELECT *, " + ", ".join(f"CASE WHEN greatest(s{i}{i} - n * m{i} * m{i}, 0) > 0 THEN sqrt((s{i}{i} - n * m{i} * m{i}) / n) ELSE 1 END AS e{i}" for i in range(d)) + " FROM j0)",
+           "k0 AS (SELECT *, " + ", ".join([*(f"{at(i, j)} AS a{i}{j}" for i, j in cells), *(f"(sy{i} - n * m{i} * p0) / e{i} AS u{i}" for i in range(d)), *(f"(x{i} - m{i}) / e{i} AS w{i}" for i in range(d))]) + " FROM j1)"]
+    for k in range(d):
+        rest = range(k + 1, d)
+        new = {f"a{i}{j}": f"a{i}{j} - a{k}{i} / a{k}{k} * a{k}{j}" for i in rest for j in rest if j >= i} | {f"{c}{j}": f"{c}{j} - a{k}{j} / a{k}{k} * {c}{k}" for c in "uw" for j in rest}
+        cols = "* REPLACE (" + ", ".join(f"{e} AS {n}" for n, e in new.items()) + ")" if new else "*"
+        out.append(f"k{k + 1} AS (SELECT {cols}, p{k} + u{k} * w{k} / a{k}{k} AS p{k + 1} FROM k{k})")
+    return ",\n  ".join(out)
+
+
+def joint_sql(horizons, origin_hour):
+    """Forecasts of one local hour of every day, straight from the samples of the 28 days before each origin."""
+    hs = ", ".join(f"({h})" for h in horizons)
+    sums = ", ".join(["count(s.hour) AS n", "sum(s.y) AS sy", *(f"sum(s.x{i}) AS s{i}" for i in range(4)), *(f"sum(s.x{i} * s.y) AS sy{i}" for i in range(4)),
+                      *(f"sum(s.x{i} * s.x{j}) AS s{i}{j}" for i in range(4) for j in range(i, 4))])
+    turn = lambda f: f"CASE WHEN v.h % 24 = 0 THEN 0 ELSE {f}((v.c + v.h) * (2 * pi() / 24)) - {f}(v.c * (2 * pi() / 24)) END"
+    return f"""WITH p AS MATERIALIZED (SELECT *, hour(hour + INTERVAL 9 HOUR) AS c FROM mpt WHERE hour + INTERVAL 1 HOUR <= {NOW}),
+  jx AS MATERIALIZED (SELECT v.item_id, v.hour, CAST(v.h AS INTEGER) AS h, v.price, a.price AS y_base, a.item_id IS NOT NULL AND b.item_id IS NOT NULL AS ready, coalesce(v.known AND a.known AND b.known AND n.known, false) AS known,
+      n.price AS n_price, yp.price AS y_price, ln(v.price / a.price) * v.h / 24 AS x0, {turn('sin')} AS x1, {turn('cos')} AS x2, ln((1 + v.stock) / (1 + b.stock)) AS x3, ln(n.price / v.price) AS y
+    FROM (SELECT p.*, h FROM p, (VALUES {hs}) q(h)) v LEFT JOIN p a ON a.item_id = v.item_id AND a.hour = v.hour - INTERVAL 24 HOUR LEFT JOIN p b ON b.item_id = v.item_id AND b.hour = v.hour - INTERVAL 3 HOUR
+    LEFT JOIN p n ON n.item_id = v.item_id AND n.hour = v.hour + to_hours(v.h) LEFT JOIN p yp ON yp.item_id = v.item_id AND yp.hour = v.hour - INTERVAL 24 HOUR + to_hours(v.h)),
+  js AS MATERIALIZED (SELECT * FROM jx WHERE ready AND n_price > 0),
+  jd AS (SELECT item_id, CAST(unnest(generate_series(CAST(CAST(min(hour) + INTERVAL 9 HOUR AS DATE) AS TIMESTAMP), {NOW} + INTERVAL 9 HOUR, INTERVAL 1 DAY)) AS DATE) AS day FROM p GROUP BY 1),
+  jc AS (SELECT item_id, day, CAST(day AS TIMESTAMP) + to_hours({origin_hour - 9}) AS hour, CAST(h AS INTEGER) AS h FROM jd, (VALUES {hs}) q(h) WHERE CAST(day AS TIMESTAMP) + to_hours({origin_hour - 8}) <= {NOW}),
+  jg AS MATERIALIZED (SELECT jc.item_id, jc.day, jc.hour, jc.h, any_value(o.price) AS price, any_value(o.ready) AS ready, any_value(o.known) AS known, any_value(o.n_price) AS n_price, any_value(o.y_price) AS y_price, any_value(o.y_base) AS y_base,
+      {', '.join(f'any_value(o.x{i}) AS x{i}' for i in range(4))}, {sums}, epoch(max(s.hour) - min(s.hour)) / 3600 AS span
+    FROM jc LEFT JOIN jx o ON o.item_id = jc.item_id AND o.hour = jc.hour AND o.h = jc.h
+    LEFT JOIN js s ON s.item_id = jc.item_id AND s.h = jc.h AND s.hour < jc.hour AND s.hour >= jc.hour - INTERVAL 28 DAY AND s.hour + to_hours(s.h) <= jc.hour GROUP BY 1, 2, 3, 4),
+  {_elimination()},
+  jm AS (SELECT *, bool_and(n >= 120 AND coalesce(span >= 168, false)) OVER (PARTITION BY item_id, hour) AS every FROM k4),
+  jt AS (SELECT *, CASE WHEN NOT coalesce(ready, false) THEN 'input missing' WHEN NOT every THEN 'training insufficient' ELSE 'issued' END AS state FROM jm)
+  SELECT item_id, day, hour, h, state, price AS base, n_price AS actual, coalesce(known, false) AS known, CASE WHEN price IS NOT NULL THEN n END AS train_n, CASE WHEN state = 'issued' THEN price END AS hold,
+    CASE WHEN state = 'issued' THEN price * exp(p1) END AS trend, CASE WHEN state = 'issued' THEN price * exp(p3) END AS clock, CASE WHEN state = 'issued' THEN price * exp(p4) END AS stock,
+    CASE WHEN state = 'issued' THEN y_price END AS y_price, CASE WHEN state = 'issued' THEN y_base END AS y_base FROM jt"""
+
+
+view("jev", joint_sql((10, 11, 12), 8))
+view("fdp", joint_sql(range(1, 25), 5))
+FULL = lambda c: f"CASE WHEN count({c}) = count(*) THEN avg({c}) END"
+
+
+@query("joint_evening", f"""WITH g AS (SELECT item_id, day, state, max(base) AS base, {FULL('actual')} AS actual, bool_and(known) AS known, min(train_n) AS train_n, {FULL('hold')} AS hold, {FULL('trend')} AS trend, {FULL('clock')} AS clock,
+    {FULL('stock')} AS stock, {FULL('y_price')} AS yp, max(y_base) AS yb FROM jev GROUP BY 1, 2, 3)
+  SELECT item_id, CAST(day AS VARCHAR) AS day, state, {r('base')} AS base, {r('actual')} AS actual, known, train_n, {r('hold')} AS hold, {r('trend')} AS trend, {r('clock')} AS clock, {r('stock')} AS stock, {r('base * yp / yb')} AS yesterday FROM g""")
 def _(x):
     return op.joint_evening(_points(x), AS_OF)
 
 
 @query("joint_evening_simple", f"""WITH p AS (SELECT * FROM mpt WHERE hour + INTERVAL 1 HOUR <= {NOW}),
-  o AS (SELECT p.item_id, p.hour, p.price FROM p WHERE hour(p.hour + INTERVAL 9 HOUR) = 8),
-  t AS (SELECT o.item_id, o.hour, o.price AS base, avg(n.price) AS actual, count(*) AS k FROM o JOIN p n ON n.item_id = o.item_id AND n.hour BETWEEN o.hour + INTERVAL 10 HOUR AND o.hour + INTERVAL 12 HOUR GROUP BY 1, 2, 3),
+  d AS (SELECT item_id, unnest(generate_series(CAST(CAST(min(hour) + INTERVAL 9 HOUR AS DATE) AS TIMESTAMP) - INTERVAL 1 HOUR, {NOW} - INTERVAL 1 HOUR, INTERVAL 1 DAY)) AS hour FROM p GROUP BY 1),
+  o AS (SELECT d.item_id, d.hour, p.price FROM d LEFT JOIN p USING (item_id, hour)),
+  t AS (SELECT o.item_id, o.hour, o.price AS base, avg(n.price) AS actual, count(*) AS k FROM (SELECT * FROM o WHERE price IS NOT NULL) o JOIN p n ON n.item_id = o.item_id AND n.hour BETWEEN o.hour + INTERVAL 10 HOUR AND o.hour + INTERVAL 12 HOUR GROUP BY 1, 2, 3),
   y AS (SELECT o.item_id, o.hour, avg(n.price) AS yp, count(*) AS k FROM o JOIN p n ON n.item_id = o.item_id AND n.hour BETWEEN o.hour - INTERVAL 14 HOUR AND o.hour - INTERVAL 12 HOUR GROUP BY 1, 2),
-  a AS (SELECT item_id, hour FROM o WHERE EXISTS (SELECT 1 FROM p WHERE p.item_id = o.item_id AND p.hour = o.hour - INTERVAL 24 HOUR) AND EXISTS (SELECT 1 FROM p WHERE p.item_id = o.item_id AND p.hour = o.hour - INTERVAL 3 HOUR))
+  a AS (SELECT item_id, hour FROM o WHERE price IS NOT NULL AND EXISTS (SELECT 1 FROM p WHERE p.item_id = o.item_id AND p.hour = o.hour - INTERVAL 24 HOUR) AND EXISTS (SELECT 1 FROM p WHERE p.item_id = o.item_id AND p.hour = o.hour - INTERVAL 3 HOUR))
   SELECT o.item_id, CAST(CAST(o.hour + INTERVAL 9 HOUR AS DATE) AS VARCHAR) AS day, {r('o.price')} AS base, CASE WHEN t.k = 3 THEN {r('t.actual')} END AS actual, a.hour IS NOT NULL AS complete_input,
     CASE WHEN y.k = 3 AND a.hour IS NOT NULL THEN {r('o.price * yp / b.price')} END AS yesterday
   FROM o LEFT JOIN t USING (item_id, hour) LEFT JOIN y USING (item_id, hour) LEFT JOIN a USING (item_id, hour) LEFT JOIN p b ON b.item_id = o.item_id AND b.hour = o.hour - INTERVAL 24 HOUR""")
@@ -85,22 +134,32 @@ def _(x):
     return f.select("item_id", "day", "base", "actual", ok.alias("complete_input"), F.when(ok, F.col("yesterday")).alias("yesterday"))
 
 
-@query("full_day_path")
+PATH_COLS = ["base", "actual", "hold", "trend", "clock", "stock"]
+
+
+@query("full_day_path", f"""SELECT item_id, CAST(day AS VARCHAR) AS day, hour, h, state, {', '.join(f'{r(c)} AS {c}' for c in PATH_COLS)}, {r('y_price')} AS yesterday, known, train_n FROM fdp""")
 def _(x):
     return op.full_day_path(_points(x), AS_OF)
 
 
-@query("full_day_days")
+view("fdl", """SELECT item_id, day, h, m.model AS model, m.v AS value, actual, base, hold AS held FROM (SELECT *, unnest([{'model': 'hold', 'v': hold}, {'model': 'trend', 'v': trend}, {'model': 'clock', 'v': clock},
+  {'model': 'stock', 'v': stock}, {'model': 'yesterday', 'v': y_price}]) AS m FROM fdp WHERE state = 'issued') WHERE actual IS NOT NULL AND m.v IS NOT NULL""")
+view("fdd", """SELECT item_id, day, model, count(*) AS hours, avg(abs(value / actual - 1)) * 100 AS path_mape, avg(abs(held / actual - 1)) * 100 AS hold_mape,
+  CASE WHEN count(*) = 24 THEN abs(avg(value) / avg(actual) - 1) * 100 END AS mean_price_ape FROM fdl GROUP BY 1, 2, 3""")
+
+
+@query("full_day_days", f"SELECT item_id, CAST(day AS VARCHAR) AS day, model, hours, {r('path_mape')} AS path_mape, {r('hold_mape')} AS hold_mape, {r('mean_price_ape')} AS mean_price_ape FROM fdd")
 def _(x):
     return op.path_days(op.full_day_path(_points(x), AS_OF))
 
 
-@query("full_day_summary")
+@query("full_day_summary", f"""SELECT item_id, model, count(*) AS days18, {r('avg(path_mape)')} AS path_mape, {r('avg(hold_mape)')} AS hold_mape, count(*) FILTER (path_mape < hold_mape) AS wins, count(*) FILTER (hours = 24) AS days24,
+  {r('avg(path_mape) FILTER (hours = 24)')} AS complete_mape, {r('avg(mean_price_ape) FILTER (hours = 24)')} AS mean_price_mape FROM fdd WHERE hours >= 18 GROUP BY 1, 2""")
 def _(x):
     return op.path_summary(op.path_days(op.full_day_path(_points(x), AS_OF)))
 
 
-@query("full_day_curve")
+@query("full_day_curve", f"SELECT item_id, h, model, count(*) AS n, {r('avg(actual / base * 100)')} AS actual_index, {r('avg(value / base * 100)')} AS model_index FROM fdl GROUP BY 1, 2, 3")
 def _(x):
     return op.path_curve(op.full_day_path(_points(x), AS_OF))
 

@@ -100,6 +100,32 @@ def _day_sums(xs: Sequence[str], y: str, near: bool) -> list[Column]:
     return cols
 
 
+def ridge_path(df: DataFrame, xs: Sequence[str], penalty: float = 1.0) -> DataFrame:
+    """Add _p1, _p2, …: predictions of ridge fits on the first one, two, … standardised features.
+
+    `df` has the training sums of `gram_columns` and the features. The normal equations are eliminated in column arithmetic,
+    symmetrically and feature by feature: with u and w the eliminated right side and features and d the pivots, the fit on
+    the first k features predicts mean(y) plus the first k terms of u w / d, so one elimination serves all of them.
+    """
+    d, n = range(len(xs)), F.when(F.col("g_n") > 0, F.col("g_n"))
+    g = df.withColumns({"_p0": F.col("g_y") / n, **{f"_m{i}": F.col(f"g_{i}") / n for i in d}})
+    spread = {i: F.sqrt(F.greatest(F.col(f"g_{i}_{i}") - n * F.col(f"_m{i}") * F.col(f"_m{i}"), F.lit(0.0)) / n) for i in d}
+    g = g.withColumns({f"_s{i}": F.when(spread[i] > 0, spread[i]).otherwise(1.0) for i in d})
+    m, s = [F.col(f"_m{i}") for i in d], [F.col(f"_s{i}") for i in d]
+    cell = lambda i, j: (F.col(f"g_{i}_{j}") - n * m[i] * m[j]) / (s[i] * s[j]) + (penalty if i == j else 0.0)
+    g = g.withColumns({**{f"_a{i}{j}": cell(i, j) for i in d for j in d if j >= i},
+                       **{f"_u{i}": (F.col(f"g_{i}y") - n * m[i] * F.col("_p0")) / s[i] for i in d},
+                       **{f"_w{i}": (F.col(xs[i]) - m[i]) / s[i] for i in d}})
+    for k in d:
+        pivot = F.col(f"_a{k}{k}")
+        share = {j: F.col(f"_a{k}{j}") / pivot for j in d if j > k}
+        step = {f"_p{k + 1}": F.col(f"_p{k}") + F.col(f"_u{k}") * F.col(f"_w{k}") / pivot}
+        step |= {f"_a{i}{j}": F.col(f"_a{i}{j}") - share[i] * F.col(f"_a{k}{j}") for i in share for j in share if j >= i}
+        step |= {f"_{c}{j}": F.col(f"_{c}{j}") - share[j] * F.col(f"_{c}{k}") for c in "uw" for j in share}
+        g = g.withColumns(step)
+    return g.drop(*[f"_{c}{i}" for c in "msuw" for i in d], *[f"_a{i}{j}" for i in d for j in d if j >= i], "_p0")
+
+
 def ridge_value(xs: Sequence[str], penalty: float = 1.0) -> Column:
     """Prediction of a ridge fit on standardised features from the training sums of `gram_columns`."""
     d = len(xs)
@@ -176,7 +202,8 @@ def joint_forecast(points: DataFrame, as_of: str, horizons: Sequence[int], origi
     """Forecasts of several horizons from one local hour of every day.
 
     `points` has item_id, hour, price, stock, known. Features at t: change over 24 h, phase of the clock,
-    change of stock over 3 h. One row per item, day and horizon; `state` tells why a day was not issued.
+    change of stock over 3 h. One row per item, day and horizon; `state` tells why a day was not issued. Days run from the
+    item's first local day; one whose origin bar is missing has its rows too, without a base.
     """
     p = reuse(points.filter(F.col("hour") + F.expr("INTERVAL 1 HOUR") <= as_ts(as_of)).withColumn("t", hour_number("hour")))
     at = lambda k, **cols: p.select("item_id", (F.col("t") + k).alias("t"), *[F.col(c).alias(n) for n, c in cols.items()])
@@ -214,11 +241,19 @@ def joint_forecast(points: DataFrame, as_of: str, horizons: Sequence[int], origi
     every = F.bool_and("_ok").over(Window.partitionBy("item_id", "t"))
     g = g.withColumn("state", F.when(~F.col("ready"), "input missing").when(~every, "training insufficient").otherwise("issued"))
     issued = F.col("state") == "issued"
-    level = lambda k: F.when(issued, F.col("price") * F.exp(ridge_value(xs[:k])))
+    g = ridge_path(g, xs)
+    level = lambda k: F.when(issued, F.col("price") * F.exp(F.col(f"_p{k}")))
     known = F.coalesce(F.col("known") & F.col("a_known") & F.col("b_known") & F.col("n_known"), F.lit(False))
-    return g.select("item_id", F.to_date(local_ts("hour", tz)).alias("day"), "hour", "h", "state", F.col("price").alias("base"), F.col("n_price").alias("actual"),
+    out = g.select("item_id", F.to_date(local_ts("hour", tz)).alias("day"), "hour", "h", "state", F.col("price").alias("base"), F.col("n_price").alias("actual"),
                     known.alias("known"), F.col("g_n").cast("bigint").alias("train_n"), F.when(issued, F.col("price")).alias("hold"), level(1).alias("trend"), level(3).alias("clock"),
                     level(4).alias("stock"), F.when(issued, F.col("y_price")).alias("y_price"), F.when(issued, F.col("y_base")).alias("y_base"))
+    first = p.groupBy("item_id").agg(F.to_date(local_ts(F.min("hour"), tz)).alias("_first"))
+    days = first.select("item_id", F.explode(F.sequence("_first", F.to_date(local_ts(as_ts(as_of), tz)))).alias("day"))
+    days = days.withColumn("hour", F.to_utc_timestamp(F.col("day").cast("timestamp") + F.make_dt_interval(hours=F.lit(origin_hour)), tz))
+    days = days.filter(F.col("hour") + F.expr("INTERVAL 1 HOUR") <= as_ts(as_of))
+    absent = days.join(p.select("item_id", "hour"), ["item_id", "hour"], "left_anti").withColumn("h", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    absent = absent.withColumns({"state": F.lit("input missing"), "known": F.lit(False)})
+    return out.unionByName(absent, allowMissingColumns=True)
 
 
 def joint_evening(points: DataFrame, as_of: str, tz: str = KST, **kw) -> DataFrame:
