@@ -109,9 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = FOLDS, kept_out: int
         made[y] = dictionary([b.as_py() for b in taken.toArrow().column("block")])
     rest = measured(sample.where("part = 1").select("text", F.col("y").cast("int").alias("y")), made[1], made[0], ["y"]).toArrow()
     y = rest.column("y").to_numpy().astype(float)
-    totals = {r["y"]: r["n"] for r in (labels.where(F.col("quality").isin(0, 1)).where("doc_id is not null")
-                                      .groupBy(F.col("quality").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect())}
-    if len(set(y)) < 2:
+    if len(set(y)) < 2:  # nothing to tell apart: the share of the sample, which no held-out label enters
+        totals = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
         curve = np.zeros(8)
         curve[-1] = np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5))
         return Model(made[1], made[0], curve)
