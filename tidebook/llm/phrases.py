@@ -17,6 +17,8 @@ from tidebook.llm.shared import U64, Words, bit_filter, mixed, passes, pieces, s
 LEAST = 10        # occurrences of a candidate
 TOP = 2000        # phrases of a language in the report
 INSIDE = 50       # per cent of a phrase's occurrences that lie in a longer candidate which replaces it
+#: Candidates of a part of a language, as a multiple of the report.
+PART_TOPS = 16
 #: Words of a shard (one document at least).
 SHARD_WORDS = 1 << 20
 #: Bits of the filters on frequent words and pairs.
@@ -272,6 +274,10 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: in
                .select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", cut("n1", "rest").alias("one"), cut("begin", "n3").alias("two"))
                .select("lang", "phrase", "a", F.when(F.col("two.score") < F.col("one.score"), F.col("two")).otherwise(F.col("one")).alias("c"))
                .select("lang", "phrase", "a", "c.l", "c.r", "c.score"))
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = pairs.unionByName(triples).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    # the best of each part of a language come before the best of the language, so no task reads all its candidates
+    parts = max(1, (two.count() + longer.count()) // (PART_TOPS * top))
+    best = [F.desc("score"), F.desc("a"), "phrase"]
+    ranked = pairs.unionByName(triples).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(parts)))
+    for keys in (["lang", "_part"], ["lang"]):
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
