@@ -21,10 +21,24 @@ def _(x):
     return x.notices().select("page_id", op.html_text("html").alias("text"))
 
 
-@query("notice_headings", f"""WITH h AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1), lambda t: {strip('t')}), lambda t: t <> '') AS a FROM pages)
+def _articles(x):
+    """Pages as article pages: a site heading before the text, another after it; every fourth page holds no article, every
+    third has no end mark."""
+    pid = F.col("page_id")
+    whole = F.concat(F.lit("<h1>site</h1>" + op.BODY_OPENS), "html", F.lit("<h1>notes <i>a</i></h1><h1>notes a</h1>"),
+                     F.when(pid % 3 != 0, op.BODY_ENDS + '"><h1>other</h1>').otherwise(op.BODY_OPENS + "<h1>next</h1>"))
+    return x.notices().select("page_id", F.when(pid % 4 == 0, F.col("html")).otherwise(whole).alias("html"))
+
+
+view("part_", f"""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN html ELSE '<h1>site</h1>{op.BODY_OPENS}' || html || '<h1>notes <i>a</i></h1><h1>notes a</h1>' ||
+  CASE WHEN page_id % 3 <> 0 THEN '{op.BODY_ENDS}"><h1>other</h1>' ELSE '{op.BODY_OPENS}<h1>next</h1>' END END AS html FROM pages""")
+
+
+@query("notice_headings", f"""WITH b AS (SELECT page_id, coalesce(string_split(string_split(html, '{op.BODY_OPENS}')[2], '{op.BODY_ENDS}')[1], '') AS body FROM part_),
+  h AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(body, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1), lambda t: {strip('t')}), lambda t: t <> '') AS a FROM b)
   SELECT page_id, array_to_string(list_transform(list_filter(a, lambda t, i: list_position(a, t) = i), lambda t: t)[1:3], '|') AS headings FROM h""")
 def _(x):
-    return op.notice_headings(x.notices()).select("page_id", F.array_join("headings", "|").alias("headings"))
+    return op.notice_headings(_articles(x)).select("page_id", F.array_join("headings", "|").alias("headings"))
 
 
 def _title(x):
@@ -36,24 +50,34 @@ def _title(x):
 view("ptit", """SELECT page_id, regexp_extract(html, '(?s)<h1\\b[^>]*>(.*?)</h1>', 1) AS h, CAST(DATE '2023-12-05' + CAST(page_id % 40 AS INTEGER) AS DATE) AS day FROM pages""")
 
 
-def _lists(x):
-    """Notice lists carrying the pages' titles; every fourth names the day it applies."""
-    t = _title(x)
-    named = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit(" "), ((F.col("page_id") % 12) + 1).cast("string"), F.lit("/"), ((F.col("page_id") % 27) + 1).cast("string"), F.lit("(목)"))).otherwise("")
-    html = F.concat(F.lit('<ul class="n"><li class="category"> <i>news</i> </li>\n<li class="title" data-no="'), F.col("page_id").cast("string"), F.lit('"><a>'), "h", named,
-                    F.lit('</a><div class="iconset"></div></li><li class="date"> '), F.date_format("day", "yyyy.MM.dd"), F.lit("</li></ul>"))
-    return t.select("page_id", html.alias("html"))
+HEADS = r"(?s)<(?:h1|a)\b[^>]*>(.*?)</(?:h1|a)>"
 
 
-@query("notice_rows", f"""WITH n AS (SELECT page_id, {strip('h')} AS t, day, page_id % 12 + 1 AS mo, page_id % 27 + 1 AS dd FROM ptit)
-  SELECT page_id, CAST(page_id AS VARCHAR) AS id, 'news' AS category, trim(t || CASE WHEN page_id % 4 = 0 THEN ' ' || mo || '/' || dd || '(목)' ELSE '' END) AS title, strftime(day, '%Y-%m-%d') AS published,
-    CASE WHEN page_id % 4 = 0 THEN CAST(year(day) + CASE WHEN mo = 1 AND month(day) = 12 THEN 1 ELSE 0 END AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(dd AS VARCHAR), 2, '0')
-      ELSE strftime(day, '%Y-%m-%d') END AS date, page_id % 4 = 0 AS explicit FROM n""")
+def _lists(x):
+    """One list per page with a row for each of its headings and links; every fourth row names the day it applies."""
+    pid = F.col("page_id")
+    day = F.date_add(F.lit("2023-12-05").cast("date"), (pid % 40).cast("int"))
+    def row(h, i):
+        named = F.when((pid + i) % 4 == 0, F.concat(F.lit(" "), ((pid + i) % 12 + 1).cast("string"), F.lit("/"), ((pid + i) % 27 + 1).cast("string"), F.lit("(목)"))).otherwise("")
+        return F.concat(F.lit('<ul class="n"><li class="category"> <i>news</i> </li>\n<li class="title" data-no="'), (pid * 1000 + i).cast("string"), F.lit('"><a>'), h, named,
+                        F.lit('</a><div class="iconset"></div></li><li class="date"> '), F.date_format(day, "yyyy.MM.dd"), F.lit("</li></ul>"))
+    heads = F.regexp_extract_all("html", F.lit(HEADS), F.lit(1))
+    return x.notices().select("page_id", F.array_join(F.transform(heads, row), "\n").alias("html"))
+
+
+@query("notice_rows", f"""WITH h AS (SELECT page_id, regexp_extract_all(html, '{HEADS}', 1) AS a, CAST(DATE '2023-12-05' + CAST(page_id % 40 AS INTEGER) AS DATE) AS day FROM pages),
+  n AS (SELECT page_id, i, {strip('a[i + 1]')} AS t, day, (page_id + i) % 12 + 1 AS mo, (page_id + i) % 27 + 1 AS dd, (page_id + i) % 4 = 0 AS explicit FROM h, unnest(range(0, len(a))) AS q(i))
+  SELECT page_id, CAST(page_id * 1000 + i AS VARCHAR) AS id, 'news' AS category, trim(t || CASE WHEN explicit THEN ' ' || mo || '/' || dd || '(목)' ELSE '' END) AS title, strftime(day, '%Y-%m-%d') AS published,
+    CASE WHEN explicit THEN CAST(year(day) + CASE WHEN mo = 1 AND month(day) = 12 THEN 1 ELSE 0 END AS VARCHAR) || '-' || lpad(CAST(mo AS VARCHAR), 2, '0') || '-' || lpad(CAST(dd AS VARCHAR), 2, '0')
+      ELSE strftime(day, '%Y-%m-%d') END AS date, explicit FROM n""")
 def _(x):
     return op.notice_rows(_lists(x))
 
 
-def _periods(x, source, tag):
+NEED, SKIP = "er", ["Thaninhethhewh."]
+
+
+def _periods(x, source, tag, need=None):
     """Period lists: some open, some that end too early, some without a link."""
     t = _title(x)
     pid = F.col("page_id")
@@ -61,7 +85,7 @@ def _periods(x, source, tag):
     attrs = F.when(pid % 5 == 0, "").when(pid % 5 == 1, F.concat(F.lit("onclick=\"window.location.href='/pg/p"), pid.cast("string"), F.lit("'\""))).otherwise(
         F.concat(F.lit('data-no="'), pid.cast("string"), F.lit('"')))
     html = F.concat(F.lit(f"<{tag} "), attrs, F.lit("><b>"), "h", F.lit("</b> "), F.date_format("day", "yyyy.MM.dd"), F.lit(" ~ "), end, F.lit(f"</{tag}>"))
-    return op.period_rows(t.select("page_id", html.alias("html")), source, tag, "https://example.com")
+    return op.period_rows(t.select("page_id", html.alias("html")), source, tag, "https://example.com", need)
 
 
 def period_sql(source):
@@ -71,7 +95,7 @@ def period_sql(source):
 
 
 view("pev", period_sql("event"))
-view("psh", period_sql("shop"))
+view("psh", f"SELECT * FROM ({period_sql('shop')}) WHERE contains(title, '{NEED}')")
 
 
 @query("period_rows", "SELECT * FROM pev")
@@ -80,21 +104,22 @@ def _(x):
 
 
 @query("period_dedupe", """WITH u AS (SELECT *, regexp_replace(title, '\\s+', '', 'g') AS k, CASE WHEN source = 'shop' THEN 1 ELSE 0 END AS p FROM (SELECT * FROM pev UNION ALL SELECT * FROM psh))
-  SELECT page_id, id, source, title, start_date, end_date, url FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, page_id DESC, id DESC) AS rn FROM u) WHERE rn = 1""")
+  SELECT page_id, id, source, title, start_date, end_date, url FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, page_id DESC, id DESC) AS rn FROM u WHERE k <> 'Thaninhethhewh.') WHERE rn = 1""")
 def _(x):
-    return op.period_dedupe(_periods(x, "event", "li").unionByName(_periods(x, "shop", "ul")), "shop")
+    return op.period_dedupe(_periods(x, "event", "li").unionByName(_periods(x, "shop", "ul", NEED)), "shop", SKIP)
 
 
 @query("term_match", """WITH t AS (SELECT page_id, unnest(list_filter(regexp_split_to_array(regexp_replace(title, '20[0-9]{2}', '', 'g'), '[^0-9A-Za-z가-힣]+'), lambda w: length(w) >= 2 AND w <> 'set')) AS term FROM
-    (SELECT p.page_id, p.page_id || ' 2024 set ' || n.p_name || ' ' || substr(n2.p_name, 1, 3) AS title FROM pages p JOIN part n ON n.p_partkey = p.page_id JOIN part n2 ON n2.p_partkey = p.page_id + 1)),
+    (SELECT p.page_id, p.page_id || ' 2024 set ' || n.p_name || ' ' || substr(n2.p_name, 1, 3) || ' ' || array_to_string(regexp_extract_all(html, '""" + HEADS + """', 1), ' ') AS title FROM pages p JOIN part n ON n.p_partkey = p.page_id JOIN part n2 ON n2.p_partkey = p.page_id + 1)),
   d AS (SELECT page_id, least(2, count(*)) AS need FROM t GROUP BY 1), names AS (SELECT DISTINCT p_name FROM part),
   h AS (SELECT page_id, p_name AS item_id, count(*) AS hits FROM t JOIN names ON contains(p_name, term) GROUP BY 1, 2)
   SELECT page_id AS id, item_id, hits FROM h JOIN d USING (page_id) WHERE hits >= need""")
 def _(x):
     part = x.table("part").select(F.col("p_partkey").alias("page_id"), "p_name")
     after = part.select((F.col("page_id") - 1).alias("page_id"), F.substring("p_name", 1, 3).alias("tail"))
-    titles = x.notices().select("page_id").join(part, "page_id").join(after, "page_id")
-    titles = titles.select(F.col("page_id").alias("id"), F.concat_ws(" ", F.col("page_id").cast("string"), F.lit("2024 set"), "p_name", "tail").alias("title"))
+    heads = F.array_join(F.regexp_extract_all("html", F.lit(HEADS), F.lit(1)), " ")
+    titles = x.notices().select("page_id", heads.alias("heads")).join(part, "page_id").join(after, "page_id")
+    titles = titles.select(F.col("page_id").alias("id"), F.concat_ws(" ", F.col("page_id").cast("string"), F.lit("2024 set"), "p_name", "tail", "heads").alias("title"))
     items = part.select(F.col("p_name").alias("item_id"), F.col("p_name").alias("item_name")).distinct()
     return op.term_match(titles, items, ["set"])
 

@@ -44,13 +44,27 @@ def notice_rows(pages: DataFrame) -> DataFrame:
     return r.withColumn("date", F.when(month != "", named).otherwise(F.col("published"))).withColumn("explicit", month != "")
 
 
+# Fixed marks of an article page: what opens the text and what follows it.
+BODY_OPENS, BODY_ENDS = '<div class="bd_viewcont">', '<article class="bdview_btnarea'
+
+
+def article_body(html: Column | str) -> Column:
+    """The text of an article page: from the first opening mark to the end mark, or to the next opening mark or the page's end
+    if there is none; empty without an opening mark."""
+    parts = lambda c, mark: F.split(c, rf"\Q{mark}\E")
+    opened = F.get(parts(F.col(html) if isinstance(html, str) else html, BODY_OPENS), F.lit(1))
+    return F.coalesce(F.get(parts(opened, BODY_ENDS), F.lit(0)), F.lit(""))
+
+
 def notice_headings(pages: DataFrame, keep: int = 3) -> DataFrame:
-    """The first distinct h1 texts of a page, in order."""
-    raw = F.regexp_extract_all("html", F.lit(r"(?s)<h1\b[^>]*>(.*?)</h1>"), F.lit(1))
+    """The first distinct h1 texts in the article of a page, in order."""
+    raw = F.regexp_extract_all(article_body("html"), F.lit(r"(?s)<h1\b[^>]*>(.*?)</h1>"), F.lit(1))
     texts = F.filter(F.transform(raw, html_text), lambda t: t != "")
     return pages.select("page_id", F.slice(F.array_distinct(texts), 1, keep).alias("headings"))
 
 
+# Fixed patterns of the period lists: dates, reference, link and title.
+REFERENCE, LINK, BOLD = r'data-(?:no|id)="(\d+)"', r"window\.location\.href='(/(?:pg|pr)/[A-Za-z0-9_/-]+)'", r"(?s)<b\b[^>]*>(.*?)</b>"
 RANGE = r"(\d{4}\.\d{2}\.\d{2})\s*~\s*(\d{4}\.\d{2}\.\d{2})?"
 
 
@@ -59,9 +73,9 @@ def period_rows(pages: DataFrame, source: str, tag: str, base_url: str, need: st
     shape = rf"(?s)<{tag}\b([^>]*)>(.*?)</{tag}>"
     r = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(shape), F.lit(0))).alias("b"))
     r = r.select("page_id", F.regexp_extract("b", shape, 1).alias("attrs"), F.regexp_extract("b", shape, 2).alias("body"))
-    ref = F.regexp_extract("attrs", r'data-(?:no|id)="(\d+)"', 1)
-    link = F.regexp_extract("attrs", r"window\.location\.href='(/(?:pg|pr)/[A-Za-z0-9_/-]+)'", 1)
-    r = r.select("page_id", html_text(F.regexp_extract("body", r"(?s)<b\b[^>]*>(.*?)</b>", 1)).alias("title"), ref.alias("ref"), link.alias("link"),
+    ref = F.regexp_extract("attrs", REFERENCE, 1)
+    link = F.regexp_extract("attrs", LINK, 1)
+    r = r.select("page_id", html_text(F.regexp_extract("body", BOLD, 1)).alias("title"), ref.alias("ref"), link.alias("link"),
                  _iso(F.regexp_extract("body", RANGE, 1)).alias("start_date"), F.nullif(_iso(F.regexp_extract("body", RANGE, 2)), F.lit("")).alias("end_date"))
     ok = (F.col("title") != "") & (F.col("start_date") != "") & ((F.col("ref") != "") | (F.col("link") != "")) & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("start_date")))
     if need:
