@@ -9,7 +9,7 @@ from tidebook.operators import health, models
 from tidebook.sources import sinks
 from tidebook.sources.bindings import AS_OF, Inputs
 from tidebook.streaming import jobs
-from tidebook.streaming.run import run_available
+from tidebook.streaming.run import run_available, run_parts
 
 
 @pytest.fixture(scope="module")
@@ -46,10 +46,13 @@ def test_joint_forecast_matches_brute_force(x):
 
 
 def test_stream_health_equals_batch(x):
-    source = F.element_at(F.array(*[F.lit(s) for s in "ABC"]), (F.col("user_id") % 3 + 1).cast("int"))
-    cols = [source.alias("source"), F.col("sold_date").alias("checked_at"), (F.col("k") / 2).alias("gap_min"), F.when(F.col("k") % 10 == 0, F.col("k") % 4).otherwise(0).cast("bigint").alias("stale_items")]
-    stream = run_available(jobs.stream_health(x.stream_trades().select(*cols))).drop("batch")
-    batch = health.health_action(x.trades().select(*cols))
+    """The actions of all slots that the watermark has passed, from checks that arrive in two parts."""
+    from tidebook.catalog.health import _slot_checks
+    checks = x.health_checks().select("source", "checked_at", "gap_min", "stale_items")
+    early = F.col("checked_at") < "2024-01-15"
+    stream = run_parts([checks.filter(early), checks.filter(~early)], jobs.stream_health).drop("batch")
+    mark = checks.agg(F.max("checked_at") - F.expr("INTERVAL 2 HOURS")).first()[0]
+    batch = health.health_action(_slot_checks(x)).filter(F.col("checked_at") + F.expr("INTERVAL 5 MINUTES") <= F.lit(mark))
     assert batch.exceptAll(stream).count() == 0 and stream.exceptAll(batch).count() == 0
 
 
