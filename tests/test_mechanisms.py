@@ -117,7 +117,7 @@ def test_newest_rows_of_any_payload(spark):
     rows = [("a", 1, 5, "x"), ("a", 2, 1, "y"), ("a", 2, 3, "z"), ("b", 0, 0, None), (None, 3, 3, "n"), (None, 3, 4, "m"), ("c", 1, 1, "r"), ("c", 1, 1, "r")]
     frame = spark.createDataFrame(rows, "k string, t int, id long, v string")
     last = first_keys(frame, ["k"], ["t", "id"], F.max, n=F.count(F.lit(1)))
-    out = rows_of(frame, ["k"], ["t", "id"], last)
+    out = rows_of(frame, ["k"], ["t", "id"], last, repeated=True)
     assert sorted((r["k"] or "", r["v"] or "", r["n"]) for r in out.collect()) == [("", "m", 2), ("a", "z", 3), ("b", "", 1), ("c", "r", 2)]
 
 

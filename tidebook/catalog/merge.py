@@ -6,14 +6,16 @@ from tidebook.catalog.market import marked_deltas
 from tidebook.catalog.registry import query, r, view
 from tidebook.operators import ingest, merge as op
 from tidebook.operators.candles import candles_1h
+from tidebook.session import reuse
 from tidebook.sources.bindings import AS_OF
 
 NATURAL = ["item_id", "sold_date", "unit_price", "qty", "reinforce"]
 
 
 def numbered_sources(sales):
-    """Sales of all sources; equal ones of one source are numbered, so that each of them stays a sale of its own."""
-    return ingest.dup_seq(sales, ["source"], NATURAL, "id")
+    """Sales of all sources as ingest stores them; equal ones of one source are numbered, so that each of them stays a sale of
+    its own."""
+    return reuse(ingest.dup_seq(sales, ["source"], NATURAL, "id"))
 
 
 view("srca", f"SELECT * FROM src WHERE sold_date <= {NOW}")

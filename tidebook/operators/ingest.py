@@ -69,7 +69,7 @@ def listing_state(rows: DataFrame) -> DataFrame:
     order = ["observed_at", "id"]
     last = first_keys(rows, ["auction_no"], order, F.max, first_seen_at=F.min("observed_at"), last_seen_at=F.max("observed_at"))
     state = ["auction_no", "item_id", "unit_price", "cur_count", "upgrade", "upgrade_max"]
-    return rows_of(rows.select(*state, *order), ["auction_no"], order, last).select(*state, "first_seen_at", "last_seen_at")
+    return rows_of(rows.select(*state, *order), ["auction_no"], order, last, repeated=True).select(*state, "first_seen_at", "last_seen_at")
 
 
 def sightings(rows: DataFrame) -> DataFrame:

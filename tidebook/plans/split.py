@@ -104,13 +104,13 @@ def first_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str], by: Cal
     return df.groupBy(*keys).agg(by(order_key(df, order)).alias("_k"), *[c.alias(n) for n, c in more.items()])
 
 
-def rows_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], firsts: DataFrame) -> DataFrame:
+def rows_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], firsts: DataFrame, repeated: bool = False) -> DataFrame:
     """The rows that `first_keys` names, with its other columns: an arg-max of any payload without a sorted aggregate.
 
-    The order must tell the rows of a group apart, or they must be equal, which count once.
+    The order must tell the rows of a group apart; with `repeated`, rows of equal order may be equal and count once.
     """
-    found = null_safe_join(df.withColumn("_k", order_key(df, order)), firsts, [*keys, "_k"])
-    return found.drop("_k").distinct()
+    found = null_safe_join(df.withColumn("_k", order_key(df, order)), firsts, [*keys, "_k"]).drop("_k")
+    return found.distinct() if repeated else found
 
 
 def global_ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str, splits: int = 256) -> DataFrame:
