@@ -11,6 +11,7 @@ from tidebook.operators.ingest import absences, judged, polls
 from tidebook.operators.market import last_trade
 from tidebook.operators.merge import merge_trades, unify_eligible
 from tidebook.operators.models import LCG_A, LCG_C, LCG_SEED, lcg
+from tidebook.plans import quantiles
 from tidebook.plans.quantiles import exact_quantiles
 from tidebook.plans.split import newest, numbered, oldest, trailing_sums
 from tidebook.session import reuse
@@ -153,3 +154,18 @@ def test_always_capped_polls_fan_out_to_expiry_only(spark):
     got = judged(seen, cap=5).filter("unit_price = 104").select(
         ((F.unix_timestamp("closed_at") - F.unix_timestamp("batch")) / 3600).alias("h")).collect()
     assert sorted(r["h"] for r in got if r["h"] is not None) == [2.0] * 198 and sum(r["h"] is None for r in got) == 2
+
+
+@pytest.mark.parametrize("splits", [0, 16])
+def test_small_and_crowded_values_split(spark, splits):
+    """Values far below one, of both signs and crowded, keep their exact quantiles and fall into many bands."""
+    rng = random.Random(11)
+    values = [rng.choice([-1, 1]) * 10 ** rng.uniform(-9, -2) for _ in range(800)] + [0.0] * 20 + [0.05 + rng.random() * 1e-6 for _ in range(800)]
+    frame = spark.createDataFrame([("a", v) for v in values], "k string, v double")
+    hist = quantiles.value_counts(frame, ["k"], "v", None)
+    bands = quantiles.sampled_bands(hist, ["k"], "v", 16) if splits else hist.withColumn("_band", quantiles.price_band(F.col("v")))
+    counts = [r["n"] for r in bands.groupBy("_band").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(counts) >= 15 and (not splits or max(counts) < 300)
+    order = sorted(values)
+    out = quantiles.exact_quantiles(frame, ["k"], "v", [("p10", "floor", .1), ("p90", "floor_n1", .9)], splits=splits).first()
+    assert (out["p10"], out["p90"]) == (order[int(len(order) * .1)], order[int(.9 * (len(order) - 1))])

@@ -43,7 +43,7 @@ def holdout_cases(bars: DataFrame, tz: str = KST) -> DataFrame:
                                    F.max("x").alias("last_x"), F.max_by("vwap", "x").alias("last_price"))
     fit = fit.withColumn("a", F.col("_md") - F.col("b") * F.col("_mx"))
     resid = t.join(fit.select("item_id", "a", "b"), "item_id").withColumn("r", F.col("d") - F.col("a") - F.col("b") * F.col("x"))
-    q = exact_quantiles(resid, ["item_id"], "r", [("r_lo", "floor", .1), ("r_hi", "floor", .9)])
+    q = exact_quantiles(resid, ["item_id"], "r", [("r_lo", "floor", .1), ("r_hi", "floor", .9)], splits=64)
     out = s.filter(~F.col("train")).join(fit, "item_id").join(q, "item_id")
     out = out.withColumn("base", F.col("a") + F.col("b") * F.col("x") + F.col("coef"))
     return out.select("item_id", "hour", F.col("vwap").alias("actual"), F.exp("base").alias("predicted"), F.col("last_price").alias("naive"), "base",
