@@ -78,6 +78,15 @@ def test_secrets_by_ownership(spark):
     assert out[8]["base_sha256"] == hashlib.sha256(b"").hexdigest() and out[8]["most_owners"] == 0
 
 
+def test_a_value_copied_across_an_owners_repositories_is_not_specific(spark):
+    live = "Zk3JfPq8RtW1xYvB7mNcLdQ"
+    rows = [(i, f"see {live} here", "a", lang) for i, lang in enumerate(["en", "de", "fr"])] + [(7, f"see Q{live} here", "a", "en"), (8, f"see Q{live} here", "a", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    by = {r["doc_id"]: (r["n_live"], r["n_specific"], r["most_owners"], r["most_places"]) for r in secret_scan.digests(secret_scan.scan(docs, repository=["lang"])).collect()}
+    assert by[0] == by[1] == by[2] == (0, 0, 1, 3) and by[7] == by[8] == (1, 1, 1, 2)
+    assert secret_scan.digests(secret_scan.scan(docs)).where("n_live = 1").count() == 5  # without repositories one owner is enough
+
+
 def test_secrets_by_repository(spark):
     """Inside one owner, a token of one repository differs from one that is copied across repositories."""
     one, many = "Zk3JfPq8RtW1xYvB7mNcLdQ", "Qk3JfPq8RtW1xYvB7mNcLdZ"

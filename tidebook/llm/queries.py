@@ -144,13 +144,14 @@ base AS MATERIALIZED ({_sql_matches(0, secret_scan.ASSIGN, 1, "length(v) >= 8")}
   UNION ALL {_sql_matches(2, secret_scan.HEX, 0, "true")}),
 wide AS ({_sql_matches(3, secret_scan.LIVE, 0, f"regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[0-9]') AND NOT regexp_matches(v, '{secret_scan.PLACEHOLDER}')")}),
 every AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM wide x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.uid = x.uid AND b.s < x.e AND x.s < b.e)),
-held AS (SELECT v, count(DISTINCT owner) AS owners FROM every JOIN d USING (uid) GROUP BY v),
-j AS MATERIALIZED (SELECT every.*, owners FROM every JOIN held USING (v)),
-a AS (SELECT uid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3 AND owners = 1) AS n3,
-  count(*) FILTER (owners = 1) AS n_specific, count(*) FILTER (owners >= {secret_scan.COPIED} AND kind < 3) AS n_copied, max(owners) AS most,
-  coalesce({_LIST} FILTER (kind < 3), '') AS bs, coalesce({_LIST} FILTER (kind < 3 OR owners = 1), '') AS al FROM j GROUP BY uid)
+held AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS places FROM every JOIN d USING (uid) GROUP BY v),
+j AS MATERIALIZED (SELECT every.*, owners, places, owners >= {secret_scan.COPIED} OR places >= {secret_scan.COPIED} AS copied FROM every JOIN held USING (v)),
+a AS (SELECT uid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, count(*) FILTER (kind = 3 AND owners = 1 AND NOT copied) AS n3,
+  count(*) FILTER (owners = 1 AND NOT copied) AS n_specific, count(*) FILTER (copied AND kind < 3) AS n_copied, max(owners) AS most, max(places) AS most_p,
+  coalesce({_LIST} FILTER (kind < 3), '') AS bs, coalesce({_LIST} FILTER (kind < 3 OR (owners = 1 AND NOT copied)), '') AS al FROM j GROUP BY uid)
 SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(bs, '')) AS base_sha256, coalesce(al, '') AS spans,
-  coalesce(n3, 0) AS n_live, coalesce(n_specific, 0) AS n_specific, coalesce(n_copied, 0) AS n_copied, coalesce(most, 0) AS most_owners
+  coalesce(n3, 0) AS n_live, coalesce(n_specific, 0) AS n_specific, coalesce(n_copied, 0) AS n_copied, coalesce(most, 0) AS most_owners,
+  coalesce(most_p, 0) AS most_places
 FROM d LEFT JOIN a USING (uid)"""
 
 _FAILS = {"A": "len(w) < 200", "B": "100 * len(list_distinct(w)) < 50 * len(w)", "C": "100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t)",

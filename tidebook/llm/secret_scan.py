@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidebook.llm.shared import hold
 
 KINDS = ("assign", "access", "hex", "live")
-COPIED = 3   # owners from which on a value counts as widely copied
+COPIED = 3   # owners, or repositories, from which on a value counts as widely copied
 
 #: Patterns. A run of hexadecimal digits, or of capitals after AKIA, is matched whole, so asking for its
 #: length in the pattern drops the same matches as dropping short ones afterwards.
@@ -50,12 +50,12 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
 
     Base spans (assign, access, hex) come from fixed patterns. Further long tokens of mixed letters and digits are
     candidates; the hashes of all values are counted by distinct repositories (owner and the columns `repository`) and
-    distinct owners. A candidate that only one owner holds, and that is no placeholder, is added as a live span; what COPIED or more
-    owners hold is a widely copied example.
+    distinct owners. What COPIED or more owners hold, or stands in COPIED or more repositories, is a widely copied example; what one owner
+    holds in fewer repositories is specific. A specific candidate that is no placeholder is added as a live span.
 
     Output: doc_id, base (array of start, kind, end), spans (base and live), n_assign, n_access, n_hex, n_live, n_specific
-    (values that one owner holds), n_copied, most_owners, most_places (repositories of the value that most of them hold) and
-    spread (spans whose value one owner holds in several repositories). Owners alone decide what is live. Null is an empty text. Null owners count as one owner. Repeated rows
+    (spans of specific values), n_copied, most_owners, most_places (repositories of the value that most of them hold) and
+    spread (spans whose value one owner holds in several repositories). Null is an empty text. Null owners count as one owner. Repeated rows
     give a row each and do not add owners. An empty table gives no rows.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -75,12 +75,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
     each = rows.where(F.size("s") > 0).select("uid", "owner", "repository", F.explode("s").alias("s")).select("uid", "owner", "repository", "s.*")
     held = (each.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one")).groupBy("hash", "owner").agg(F.count("one").alias("places"))
             .groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("places").alias("places")))
-    own = F.col("owners") == 1
+    one = F.col("owners") == 1
+    copied = (F.col("owners") >= COPIED) | (F.col("places") >= COPIED)
+    own = one & ~copied
     judged = (each.join(held, "hash").groupBy("uid").agg(
         F.collect_list(F.when((F.col("kind") == 3) & own, F.struct("start", "kind", "end"))).alias("live"),
-        F.count_if(own).alias("n_specific"), F.count_if((F.col("owners") >= COPIED) & (F.col("kind") < 3)).alias("n_copied"),
+        F.count_if(own).alias("n_specific"), F.count_if(copied & (F.col("kind") < 3)).alias("n_copied"),
         F.max("owners").alias("most_owners"), F.max("places").alias("most_places"),
-        F.array_sort(F.collect_list(F.when(own & (F.col("places") > 1), F.struct("start", "kind", "end")))).alias("spread")))
+        F.array_sort(F.collect_list(F.when(one & (F.col("places") > 1), F.struct("start", "kind", "end")))).alias("spread")))
     bare = F.transform(F.filter("s", lambda s: s["kind"] < 3), lambda s: F.struct(s["start"], s["kind"], s["end"]))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
@@ -94,4 +96,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
 def digests(found: DataFrame) -> DataFrame:
     """The result of `scan` with the list of all spans and the hash of the list of base spans as texts."""
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
-                        _listed(F.col("spans")).alias("spans"), "n_live", "n_specific", "n_copied", "most_owners")
+                        _listed(F.col("spans")).alias("spans"), "n_live", "n_specific", "n_copied", "most_owners", "most_places")
