@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.tokens import Ids, lowered, slices, together
+from tidebook.llm.tokens import kept_ids, lowered, slices, together
 
 CAPACITY = 4096
 END_ID = 2
@@ -146,7 +146,8 @@ def pack_levels(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        ids_of, levels, sequence, rows = Ids(word_encoder(path), END_ID), Levels(capacity, most), TaskContext.get().partitionId() << 40, []
+        ids_of = kept_ids(("words", path), lambda: word_encoder(path), END_ID)
+        levels, sequence, rows = Levels(capacity, most), TaskContext.get().partitionId() << 40, []
 
         def filled(window: list[Piece]) -> None:
             nonlocal sequence

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidebook.llm.shared import hold
-from tidebook.llm.tokens import Ids, slices, together
+from tidebook.llm.tokens import kept_ids, slices, together
 
 CAPACITY = 1024
 END_ID = 2
@@ -61,7 +61,8 @@ def token_pieces(docs: DataFrame, json_path: str, ranks_path: str | None, capaci
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        ids_of, seen, task = Ids(byte_encoder(json_path, ranks_path), END_ID), np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
+        ids_of = kept_ids(("bytes", json_path, ranks_path), lambda: byte_encoder(json_path, ranks_path), END_ID)
+        seen, task = np.zeros(capacity + 1, dtype=np.int64), TaskContext.get().partitionId()
         for batch in batches:
             names = batch.column("doc_id")
             for at, to, buf, offsets in slices(batch.column("text")):

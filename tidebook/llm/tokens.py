@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 
-from tidebook.llm.shared import CHUNK_BYTES, text_bytes
+from tidebook.llm.shared import text_bytes
 
-#: Ids of distinct parts a task keeps; beyond that the memory is emptied between batches, which changes no result.
-MEMORY = 1 << 22
+#: Ids of distinct parts a Python worker keeps, over all of its tasks; beyond that its memory is emptied between slices, which
+#: changes no result.
+MEMORY = 3 << 20
+#: Text looked at together: many parts of a slice are the same.
+SLICE_BYTES = 1 << 22
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
@@ -80,11 +83,11 @@ def together(encode: Callable[[str, int], Sequence[int]], between: str, mark: in
 
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows of a text column, about CHUNK_BYTES at a time (one row at least): first row, end, bytes, offsets of the rows."""
+    """Rows of a text column, about SLICE_BYTES at a time (one row at least): first row, end, bytes, offsets of the rows."""
     buf, offsets = text_bytes(column)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
         yield at, to, buf[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
         at = to
 
@@ -145,3 +148,13 @@ class Ids:
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self._pool[np.repeat(start - before[:-1], size) + np.arange(before[-1])]
         return ids, before[np.concatenate([[0], last + np.arange(1, len(last) + 1)])]
+
+
+_KEPT: dict[tuple, Ids] = {}
+
+
+def kept_ids(key: tuple, encoder: Callable[[], Callable[[list[str]], list[np.ndarray]]], end: int) -> Ids:
+    """The `Ids` of this worker under `key`: a worker runs many tasks, and their texts share most words."""
+    if key not in _KEPT:
+        _KEPT[key] = Ids(encoder(), end)
+    return _KEPT[key]
