@@ -131,8 +131,8 @@ def _(x):
   (SELECT min(s.batch) FROM lseen s WHERE s.auction_no = d.auction_no AND s.batch > d.observed_at) AS invalidated_at
   FROM ldeltas d WHERE reason = 'vanished_before_expiry'""")
 def _(x):
-    rows = x.listing_rows()
-    return op.invalidate_vanished(op.listing_diff(rows, CAP), rows)
+    seen = op.sightings(x.listing_rows())
+    return op.invalidate_vanished(op.listing_diff(seen, CAP), seen)
 
 
 @query("book_snapshot", "SELECT * FROM sn")

@@ -258,8 +258,9 @@ view("linv", """SELECT *, CASE WHEN reason = 'vanished_before_expiry' THEN (SELE
 
 def marked_deltas(x):
     rows = x.listing_rows()
-    d = reuse(ingest.listing_diff(rows, CAP))
-    inv = ingest.invalidate_vanished(d, rows).select("auction_no", "observed_at", F.lit("vanished_before_expiry").alias("reason"), "invalidated_at")
+    seen = ingest.sightings(rows)
+    d = reuse(ingest.listing_diff(seen, CAP))
+    inv = ingest.invalidate_vanished(d, seen).select("auction_no", "observed_at", F.lit("vanished_before_expiry").alias("reason"), "invalidated_at")
     return d.join(inv, ["auction_no", "observed_at", "reason"], "left")
 
 

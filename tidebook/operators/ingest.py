@@ -78,6 +78,11 @@ def sightings(rows: DataFrame) -> DataFrame:
                         ["unit_price", "cur_count", "expire_date", "upgrade", "upgrade_max"]))
 
 
+def _seen(rows: DataFrame) -> DataFrame:
+    """Sightings of observed rows; sightings stay as they are."""
+    return sightings(rows) if "observed_at" in rows.columns else rows
+
+
 def polls(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
     """Polls of an item in order; a capped poll proves nothing at or above its highest price."""
     order = Window.partitionBy("item_id").orderBy("batch")       # one row per poll: bounded by the calendar
@@ -145,8 +150,9 @@ def judged(seen: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
 
 
 def listing_diff(rows: DataFrame, cap: int = LISTING_CAP) -> DataFrame:
-    """Depletion events: a falling count, a listing gone before expiry, an expired listing."""
-    j = judged(sightings(rows), cap)
+    """Depletion events: a falling count, a listing gone before expiry, an expired listing. `rows` are observations or their
+    `sightings`."""
+    j = judged(_seen(rows), cap)
     expired = F.col("closed_at") >= F.col("expire_date")
     gone = j.filter(F.col("closed_at").isNotNull() & (expired | (F.col("cur_count") > 0))).select(
         "auction_no", "item_id", "unit_price",
@@ -187,11 +193,11 @@ def invalidate_vanished(deltas: DataFrame, rows: DataFrame) -> DataFrame:
     """A listing seen again after it was judged gone refutes that judgement, from the first later sighting.
 
     Sightings and judgements of one listing are both at most one per poll, so the lookup is a window over
-    their union instead of a range join.
+    their union instead of a range join. `rows` are observations or their `sightings`.
     """
     gone = (deltas.filter("reason = 'vanished_before_expiry'")
             .select("auction_no", F.col("observed_at").alias("t"), "qty_sold", F.lit(1).alias("judged")))
-    back = sightings(rows).select("auction_no", F.col("batch").alias("t"), F.lit(None).cast("int").alias("qty_sold"),
+    back = _seen(rows).select("auction_no", F.col("batch").alias("t"), F.lit(None).cast("int").alias("qty_sold"),
                                   F.lit(0).alias("judged"))
     later = Window.partitionBy("auction_no").orderBy(F.col("t"), F.col("judged")).rowsBetween(1, Window.unboundedFollowing)
     return (gone.unionByName(back)

@@ -42,6 +42,10 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def write_days(df: DataFrame, ts: str, path: str, sort: str = "item_id") -> None:
-    """Replace only the days present in `df`; rows of a day are laid out by item for pruning."""
-    (df.withColumn("day", F.to_date(ts)).repartition("day", F.pmod(F.xxhash64(sort), F.lit(16))).sortWithinPartitions("day", sort)
+    """Replace only the days present in `df`; rows of a day are laid out by item and time for pruning.
+
+    Files are ranges of (day, item, time) between sampled points, so their number follows the session's partitions and a
+    busy day or item is spread over as many as its rows need.
+    """
+    (df.withColumn("day", F.to_date(ts)).repartitionByRange("day", sort, ts).sortWithinPartitions("day", sort, ts)
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path))
