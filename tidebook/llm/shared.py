@@ -2,12 +2,14 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 U64 = np.uint64
 #: Documents of a task are worked on in pieces of about this many bytes (one document at least).
@@ -160,11 +162,33 @@ def hold(df: DataFrame) -> DataFrame:
     return held
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as compressed files in the shared folder, for tables of whole texts that are read several times."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo `parts`; null ids count as an empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, kept_out: int) -> DataFrame:
+    """(doc_id, text, y) of all labelled training documents, written to the shared folder, since training reads them several times.
+
+    Ids of the fold `kept_out` of `parts` never enter, nor do ids whose label rows disagree. Texts and labels meet by a
+    shuffle, so neither has to fit into a task.
+    """
+    known = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+             .where(fold(F.col("doc_id"), parts) != kept_out)
+             .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_y")).where("y = _y").select("doc_id", "y"))
+    texts = (docs.where(fold(F.col("doc_id"), parts) != kept_out)
+             .select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    return written(texts.join(known.hint("merge"), "doc_id"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, kept_out: int,
                     per_class: int) -> DataFrame:
     """(doc_id, text, y) of at most about `per_class` labelled training documents of each class.
@@ -203,23 +227,54 @@ def passes(flags: np.ndarray, hashes: np.ndarray, bits: int = 20) -> np.ndarray:
     return (flags[top >> 3] >> (7 - (top & 7)).astype(np.uint8)) & 1 == 1
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weights: np.ndarray | None = None,
-             rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic regression by Newton steps; the last one is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, sample = np.zeros(x.shape[1]), np.ones(len(x)) if weights is None else weights
-    ridge = np.full(x.shape[1], l2 * max(1.0, sample.sum()))
+def _newton(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], width: int, total: float, l2: float, rounds: int) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps, from the gradient and the hessian of the rows at given weights."""
+    w = np.zeros(width)
+    ridge = np.full(width, l2 * max(1.0, total))
     ridge[-1] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (sample * (p - y)) + ridge * w
-        hessian = (x * (sample * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-9)
-        step = np.linalg.solve(hessian, gradient)
+        gradient, hessian = sums(w)
+        step = np.linalg.solve(hessian + np.diag(ridge + 1e-9), gradient + ridge * w)
         w = w - step / max(1.0, np.abs(step).max() / 5)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def _slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (weights * (p - y)), (x * (weights * p * (1 - p))[:, None]).T @ x
+
+
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weights: np.ndarray | None = None,
+             rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic regression by Newton steps; the last one is the intercept."""
+    x = np.column_stack([x, np.ones(len(x))])
+    sample = np.ones(len(x)) if weights is None else weights
+    return _newton(lambda w: _slopes(x, y, w, sample), x.shape[1], sample.sum(), l2, rounds)
+
+
+def logistic_rows(rows: DataFrame, columns: Callable[[np.ndarray], np.ndarray], l2: float = 1e-3, rounds: int = 50) -> np.ndarray:
+    """The same over the rows of a held table (y, numbers...), of any number: each step is a pass in which a task sends
+    the sums of its rows. `columns` makes what the weights belong to out of the numbers."""
+    out = T.StructType().add("s", T.ArrayType(T.DoubleType()))
+    arrow = to_arrow_schema(out)
+    width = columns(np.zeros((1, len(rows.columns) - 1))).shape[1] + 1
+
+    def sums(w):
+        def run(batches):
+            gradient, hessian = np.zeros(width), np.zeros((width, width))
+            for batch in batches:
+                y, *x = (c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns)
+                g, h = _slopes(np.column_stack([columns(np.column_stack(x)), np.ones(len(y))]), y, w)
+                gradient, hessian = gradient + g, hessian + h
+            yield pa.RecordBatch.from_pydict({"s": [[*gradient, *hessian.ravel()]]}, schema=arrow)
+
+        found = np.sum([r["s"] for r in rows.mapInArrow(run, out).collect()], axis=0)
+        return found[:width], found[width:].reshape(width, width)
+
+    return _newton(sums, width, rows.count(), l2, rounds)
+
+
 def sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))

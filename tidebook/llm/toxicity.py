@@ -10,11 +10,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.shared import (NOT_SPACE, U64, labelled_sample, logistic, mixed, pieces, sigmoid, signed, small_batches)
+from tidebook.llm.shared import NOT_SPACE, U64, hold, labelled, logistic_rows, mixed, pieces, sigmoid, signed, small_batches
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-PER_CLASS = 4000     # labelled documents of each class that a model is fitted on, at most
 FEATURES = 20_000    # word starts and words that carry weight, at most
 STARTS = (4, 5, 6)   # bytes of the word starts that are features, besides whole words
 LETTERS = 50_000     # trigrams of the character model, at most: the most frequent; rarer ones fall back to pairs and letters
@@ -225,15 +224,14 @@ class Model:
         return sigmoid(sums @ self.curve[:-1] + self.curve[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = FOLDS, kept_out: int = HELD_OUT,
-          per_class: int = PER_CLASS) -> Model:
-    """Fits the character model, the features' weights and the curve on labelled documents outside the fold.
+def train(docs: DataFrame, labels: DataFrame, parts: int = FOLDS, kept_out: int = HELD_OUT) -> Model:
+    """Fits the character model, the features' weights and the curve on all labelled documents outside the fold.
 
-    At most about `per_class` documents of each class are used. Features are picked on three quarters of them, the curve
-    is fitted on the rest, so that it does not trust features more than new texts will bear out.
+    Features are picked on three quarters of them, the curve is fitted on the rest, so that it does not trust features
+    more than new texts will bear out. Only the model and sums over the documents reach the driver.
     """
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", parts, kept_out, per_class)
+    sample = labelled(docs, labels, "toxic", parts, kept_out)
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)))
     letters = letter_counts(sample)
     out = T.StructType().add("h", "long").add("y", "integer").add("n", "long")
@@ -273,12 +271,11 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = FOLDS, kept_out: int
             x = model.sums(batch, restore)
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x[:, 0]), pa.array(x[:, 1])], schema=kept_arrow)
 
-    rest = sample.where("part = 0").select("text", F.col("y").cast("int").alias("y")).mapInArrow(measure, kept).toArrow()
-    y = rest.column("y").to_numpy().astype(float)
-    if len(set(y)) < 2:
+    rest = hold(sample.where("part = 0").select("text", F.col("y").cast("int").alias("y")).mapInArrow(measure, kept))
+    if rest.select("y").distinct().count() < 2:
         model.curve = np.array([0.0, 0.0, base])
     else:
-        model.curve = logistic(np.column_stack([rest.column("a").to_numpy(), rest.column("b").to_numpy()]), y)
+        model.curve = logistic_rows(rest, lambda x: x)
     return model
 
 
