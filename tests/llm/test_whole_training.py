@@ -2,9 +2,10 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tidebook.llm import shared, toxicity
+from tidebook.llm import quality, shared, toxicity
 from tidebook.llm.shared import logistic, logistic_rows
 
 
@@ -39,3 +40,17 @@ def test_passes_over_rows_fit_the_curve_of_all_rows(spark):
     y = (x @ [1.5, -1.0] + 0.3 + rng.logistic(size=500) > 0).astype(int)
     rows = spark.createDataFrame([(int(a), float(b), float(c)) for a, (b, c) in zip(y, x)], "y int, a double, b double").repartition(7)
     assert np.allclose(logistic_rows(rows, lambda v: v), logistic(x, y), atol=1e-7)
+
+
+@pytest.mark.parametrize("size", [8 << 20, 32 << 10])
+def test_dictionaries_are_made_from_all_text(spark, monkeypatch, size):
+    """The phrase of a class stands in every part of its text; groups of any size find it."""
+    monkeypatch.setattr(quality, "GROUP_BYTES", size)
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    rows = [(y, i, 0, f"{''.join(rng.choice(letters, 300))} the {'good' if y else 'wicked'} phrase of this class stands here {''.join(rng.choice(letters, 300))}".encode())
+            for y in (0, 1) for i in range(400)]
+    made = quality.dictionaries(spark.createDataFrame(rows, "y int, doc_id long, at long, block binary").repartition(5))
+    assert b"good phrase of this class" in made[1] and b"wicked phrase of this class" in made[0]
+    again = quality.dictionaries(spark.createDataFrame(rows[::-1], "y int, doc_id long, at long, block binary").repartition(3))
+    assert made == again

@@ -1,19 +1,20 @@
 """Text quality from how well dictionaries of good and bad text compress a document."""
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.shared import labelled_sample, logistic, sigmoid, small_batches, text_bytes
+from tidebook.llm.shared import hold, labelled, logistic_rows, sigmoid, small_batches, text_bytes
 
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
-PER_CLASS = 3000            # labelled documents of each class that a model is fitted on, at most
 BLOCK = 2048                # bytes that are compressed at a time, so that a dictionary tells in all of a long text
-SAMPLE_BYTES = 4 << 20      # text of each class that a dictionary is built from, at most
+GROUP_BYTES = 4 << 20       # text that is made into one dictionary at a time, about; the dictionaries of groups are made into one
 DICTIONARY, LEVEL = 64 << 10, 3
 
 
@@ -82,40 +83,62 @@ def measured(texts: DataFrame, good: bytes, bad: bytes, keep: list[str]) -> Data
     return texts.select(*keep, "text").mapInArrow(run, out)
 
 
-def train(docs: DataFrame, labels: DataFrame, parts: int = FOLDS, kept_out: int = HELD_OUT,
-          per_class: int = PER_CLASS) -> Model:
-    """Builds the dictionaries from half of the sampled labelled documents and fits the curve on the other half.
+def dictionaries(blocks: DataFrame) -> dict[int, bytes]:
+    """The dictionary of each class from all blocks (y, doc_id, at, block) of its text.
 
-    Documents of the fold `kept_out` never enter. At most about `per_class` documents and SAMPLE_BYTES of text of
-    each class are used: blocks of the whole documents, chosen by a hash.
+    Blocks are dealt into groups of about GROUP_BYTES, each of which is made into a dictionary by itself; the dictionaries,
+    cut into blocks, are the text of the next turn, until one is left of each class.
+    """
+    out = T.StructType().add("y", "integer").add("block", "binary")
+
+    def one(table):
+        y, block = table.column("y")[0].as_py(), table.column("block").to_pylist()
+        block.sort(key=lambda b: (zlib.crc32(b), b))
+        return pa.table({"y": pa.array([y], pa.int32()), "block": pa.array([dictionary(block)], pa.binary())})
+
+    rows = blocks.select("y", F.xxhash64("doc_id", "at").alias("place"), "block")
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum(F.length("block")).alias("n")).collect()}
+    while True:
+        groups = F.lit(1)
+        for y, n in sizes.items():
+            groups = F.when(F.col("y") == y, F.lit(max(1, -(-(n or 0) // GROUP_BYTES)))).otherwise(groups)
+        made = rows.withColumn("_group", F.pmod(F.col("place"), groups)).groupBy("y", "_group").applyInArrow(one, out)
+        if all((n or 0) <= GROUP_BYTES for n in sizes.values()):
+            return {r["y"]: bytes(r["block"]) for r in made.collect()}
+        made = hold(made)
+        sizes = {r["y"]: r["n"] for r in made.groupBy("y").agg(F.sum(F.length("block")).alias("n")).collect()}
+        cut = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.length("block") - 1) / BLOCK)), lambda i: F.substring("block", (i * BLOCK + 1).cast("int"), F.lit(BLOCK))))
+        rows = made.select("y", cut.alias("block")).select("y", F.xxhash64("block").alias("place"), "block")
+
+
+def train(docs: DataFrame, labels: DataFrame, parts: int = FOLDS, kept_out: int = HELD_OUT) -> Model:
+    """Builds the dictionaries from half of the labelled documents and fits the curve on the other half.
+
+    Documents of the fold `kept_out` never enter; all others that have a label do, with their whole texts.
     """
     small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "quality", parts, kept_out, per_class)
+    sample = labelled(docs, labels, "quality", parts, kept_out)
     sample = sample.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(2)))
-    out = T.StructType().add("y", "integer").add("order", "long").add("block", "binary")
+    out = T.StructType().add("y", "integer").add("doc_id", sample.schema["doc_id"].dataType).add("at", "long").add("block", "binary")
     arrow = to_arrow_schema(out)
 
     def cut(batches):
         for batch in batches:
-            buf, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
-            rows = [(int(y), i, b) for i, (y, a, z) in enumerate(zip(batch.column("y").to_pylist(), offsets[:-1], offsets[1:]))
-                    for b in _blocks(buf[a:z].tobytes())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, arrow)], schema=arrow)
-
-    blocks = sample.where("part = 0").select("text", "y").mapInArrow(cut, out).withColumn("order", F.xxhash64("block"))
-    made = {}
-    for y in (1, 0):
-        taken = blocks.where(F.col("y") == y).orderBy("order", "block").limit(SAMPLE_BYTES // BLOCK).select("block")
-        made[y] = dictionary([b.as_py() for b in taken.toArrow().column("block")])
-    rest = measured(sample.where("part = 1").select("text", F.col("y").cast("int").alias("y")), made[1], made[0], ["y"]).toArrow()
-    y = rest.column("y").to_numpy().astype(float)
-    if len(set(y)) < 2:  # nothing to tell apart: the share of the sample, which no held-out label enters
+            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+                buf, offsets = text_bytes(part.column(part.schema.get_field_index("text")))
+                rows = [(int(y), i, at, b) for y, i, a, z in zip(part.column("y").to_pylist(), part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:])
+                        for at, b in enumerate(_blocks(buf[a:z].tobytes()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, arrow)], schema=arrow)
+
+    made = dictionaries(sample.where("part = 0").select("text", "y", "doc_id").mapInArrow(cut, out))
+    made = {y: made.get(y) or dictionary([]) for y in (1, 0)}
+    rest = hold(measured(sample.where("part = 1").select("text", F.col("y").cast("int").alias("y")), made[1], made[0], ["y"]))
+    if rest.select("y").distinct().count() < 2:  # nothing to tell apart: the share of the labels, which no held-out one enters
         totals = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
         curve = np.zeros(8)
         curve[-1] = np.log((totals.get(1, 0) + 0.5) / (totals.get(0, 0) + 0.5))
         return Model(made[1], made[0], curve)
-    x = np.column_stack([rest.column(c).to_numpy() for c in ("_diff", "_share", "_size")])
-    return Model(made[1], made[0], logistic(_columns(x), y, 1e-5))
+    return Model(made[1], made[0], logistic_rows(rest, _columns, 1e-5))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -189,26 +189,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, parts: int, kept_ou
     return written(texts.join(known.hint("merge"), "doc_id"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, kept_out: int,
-                    per_class: int) -> DataFrame:
-    """(doc_id, text, y) of at most about `per_class` labelled training documents of each class.
-
-    Ids of the fold `kept_out` of `parts` never enter, nor do ids whose label rows disagree. The sample is
-    taken by a hash of the id, so it is the same at every run. Its ids are bounded by the parameter (eight
-    bytes each), which is what allows the broadcast.
-    """
-    known = (labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-             .where(fold(F.col("doc_id"), parts) != kept_out)
-             .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_y")).where("y = _y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    share = F.lit(0.0)
-    for y, n in counts.items():
-        share = F.when(F.col("y") == y, F.lit(min(1.0, per_class / n))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    return (docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-            .join(F.broadcast(chosen.select("doc_id", "y")), "doc_id"))
-
-
 def bit_filter(hashes: DataFrame, col: str, bits: int = 20) -> np.ndarray:
     """One flag for each value of the top `bits` of a 64-bit column: at most 2**bits numbers reach the driver.
 

@@ -155,16 +155,26 @@ class Restorer:
 def letter_counts(texts: DataFrame) -> CharModel:
     """Trigram counts of the words of (text), summed over tasks; the LETTERS most frequent of those that occur twice are kept."""
     out = T.StructType().add("g", "string").add("n", "long")
-    arrow = to_arrow_schema(out)
+    arrow, letters = to_arrow_schema(out), re.compile(rf"{_LETTER}+")
 
     def run(batches):
-        counts: Counter = Counter()
+        words: Counter = Counter()
+
+        def sent():
+            counts: Counter = Counter()
+            for w, n in words.items():
+                w = f"^^{w}$"
+                for i in range(len(w) - 2):
+                    counts[w[i:i + 3]] += n
+            words.clear()
+            return pa.RecordBatch.from_pydict({"g": list(counts), "n": list(counts.values())}, schema=arrow)
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for w in re.findall(rf"{_LETTER}+", text.lower()):
-                    w = f"^^{w}$"
-                    counts.update(w[i:i + 3] for i in range(len(w) - 2))
-        yield pa.RecordBatch.from_pydict({"g": list(counts), "n": list(counts.values())}, schema=arrow)
+                words.update(letters.findall(text.lower()))
+                if len(words) > 200_000:
+                    yield sent()
+        yield sent()
 
     rows = texts.select("text").mapInArrow(run, out).groupBy("g").agg(F.sum("n").alias("n"))
     return CharModel({r["g"]: r["n"] for r in rows.where("n > 1").orderBy(F.desc("n"), "g").limit(LETTERS).collect()})
