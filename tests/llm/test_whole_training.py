@@ -1,11 +1,12 @@
 """Models that learn labels use every labelled document outside their fold, however many there are."""
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidebook.llm import quality, shared, toxicity
+from tidebook.llm import brown, quality, shared, toxicity
 from tidebook.llm.shared import logistic, logistic_rows
 
 
@@ -54,3 +55,34 @@ def test_dictionaries_are_made_from_all_text(spark, monkeypatch, size):
     assert b"good phrase of this class" in made[1] and b"wicked phrase of this class" in made[0]
     again = quality.dictionaries(spark.createDataFrame(rows[::-1], "y int, doc_id long, at long, block binary").repartition(3))
     assert made == again
+
+
+def test_only_pairs_with_a_word_outside_the_head_are_joined(spark, monkeypatch):
+    """The classes around each word, counted in blocks and through the join, add up to the steps of all neighbouring classes."""
+    monkeypatch.setattr(brown, "_KEEP", 5000)
+    monkeypatch.setattr(brown, "_BLOCK", 16)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, 80)) for _ in range(300)] + ["", "w1"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    table = brown.word_counts(docs).where("g >= 0").toPandas().sort_values("c", ascending=False)
+    top, far = table.head(40), table.iloc[40:120]
+    order = np.argsort(top["h"].to_numpy())
+    units = brown.Units(top["h"].to_numpy()[order], order.astype(np.int32))
+    classes = np.concatenate([np.arange(40) % 7, brown.CLASSES + np.arange(brown.ENDINGS + 1)]).astype(np.uint8)
+    tail = spark.createDataFrame([(int(h), i % 5 + 10) for i, h in enumerate(far["h"])], "h long, k int")
+    flags = shared.bit_filter(tail, "h", brown._BITS)
+    known = spark.sparkContext.broadcast((units, flags))
+    how = brown.Profiles(40, units.end, 3)
+    pairs = how.pairs(docs, known)
+    assert pairs.count() == 2 * far["c"].sum()
+    steps = brown.class_steps(how.merged(how.of_texts(docs, known, classes).unionAll(how.of_pairs(pairs, tail))), how, classes)
+
+    of = {int(h): int(classes[i]) for i, h in enumerate(top["h"])} | {r["h"]: r["k"] for r in tail.collect()}
+    of = {h: of.get(int(h), brown.CLASSES + int(g)) for h, g in zip(table["h"], table["g"])}
+    want, end = Counter(), brown.CLASSES + brown.ENDINGS
+    for t in texts:
+        words = t.encode()
+        buf = np.frombuffer(words, dtype=np.uint8)
+        cls = [end, *[of[int(h)] for h in shared.signed(shared.Words(buf, np.array([0, len(buf)]), shared.NOT_SPACE).hash)], end]
+        want.update(zip(cls[:-1], cls[1:]))
+    assert {(int(a), int(b)): int(steps[a, b]) for a, b in zip(*np.nonzero(steps))} == dict(want)

@@ -1,15 +1,16 @@
 """Class-based bigram model: words are put into classes by exchange, texts are scored by class steps and words in classes."""
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.shared import NOT_SPACE, U64, Words, fold, hold, mixed, pieces, signed, small_batches
+from tidebook.llm.shared import NOT_SPACE, U64, Words, bit_filter, fold, hold, mixed, passes, pieces, signed, small_batches, written
 
 FOLDS, HELD_OUT = 7, 2
 EXCHANGED = 2000     # most frequent words, whose classes the others start from
@@ -21,6 +22,9 @@ SETTLED = 0.01       # share of the words, or growth of the information in a ste
 PRIOR = 5.0          # weight of the classes' shares in the probability of a step
 END = np.int64(0x7E4D5F3C2B1A0987)  # stands for the end of a document among the words' hashes
 _KEEP = 2_000_000    # counted values that a task gathers before it sends them on
+_BITS = 22           # of the filter that knows most words outside the head that are not placed
+_BLOCK = 1 << 12     # words of the head whose profiles are one row
+_FAR = 250_000       # occurrences of placed words outside the head whose profiles are one row, about
 
 
 def endings(words: Words) -> np.ndarray:
@@ -81,6 +85,17 @@ class Units:
         seq[np.arange(len(h)) + words.doc] = unit
         return seq, words.first[:-1] + np.arange(words.n_docs)
 
+    def candidates(self, words: Words, seq: np.ndarray, flags: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of all tokens, whether each may be a placed word outside the head); the others' classes are at hand."""
+        h = np.zeros(len(seq), dtype=np.int64)
+        if flags is None:
+            return h, np.zeros(len(seq), dtype=bool)
+        h[np.arange(len(words.hash)) + words.doc] = signed(words.hash)
+        maybe = np.flatnonzero((seq >= len(self.hashes)) & (seq < self.end))
+        found = np.zeros(len(seq), dtype=bool)
+        found[maybe] = passes(flags, h[maybe], _BITS)
+        return h, found
+
 
 def unit_pairs(docs: DataFrame, units: Units) -> DataFrame:
     """(a, b, n): how often unit b follows unit a in (text); a document begins after an end."""
@@ -182,129 +197,313 @@ def exchange(pairs: DataFrame, n_words: int) -> np.ndarray:
             return classes
 
 
-def class_profiles(docs: DataFrame, units: Units, classes: np.ndarray, tail: DataFrame | None) -> DataFrame:
-    """(far, w, k, g, side, n): how often class g stands after (side 0) or before (1) a word of class k in (text).
+def _packed(*columns: np.ndarray) -> bytes:
+    """Numbers by byte planes, the first column as differences, so that little is left of them."""
+    first, *more = columns
+    return zlib.compress(b"".join(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (np.diff(first, prepend=np.int64(0)), *more)), 1)
 
-    w is a unit, or the hash of a word outside the head (far = 1). `tail` has the classes (h, k) of placed words outside the
-    head, None if there are none; what is in neither belongs to its ending.
-    """
-    out = (T.StructType().add("far", "integer").add("w", "long").add("k", "integer").add("side", "integer").add("g", "integer")
-           .add("b", "long").add("n", "long"))
-    arrow = to_arrow_schema(out)
-    many, end, split = CLASSES + ENDINGS + 1, units.end, tail is not None
 
-    def run(batches):
-        kept, size = [], 0
+def _unpacked(data: bytes, many: int) -> list[np.ndarray]:
+    first, *more = (np.ascontiguousarray(p.T).view(np.int64).ravel() for p in np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(many, 8, -1))
+    return [np.cumsum(first), *more]
 
-        def sent():
-            w, far, k, side, g, b, far_b = (np.concatenate(x) for x in zip(*kept))
-            code = mixed(w.view(U64)) + (side * 2 + far).astype(U64)
-            code = mixed(code) + np.where(far_b, mixed(b.view(U64)), g.astype(U64)) if split else (w * 2 + side) * many + g
-            _, at, n = np.unique(code, return_index=True, return_counts=True)
-            # a neighbour whose class is at hand is sent by the word, so that rows spread over the tasks of the join
-            b = np.where(far_b, b, signed(mixed(w.view(U64) ^ U64(0x5555555555555555))))
-            i32 = lambda x: pa.array(x[at].astype(np.int32))
-            return pa.RecordBatch.from_arrays([i32(far), pa.array(w[at]), i32(k), i32(side), i32(g), pa.array(b[at]), pa.array(n)], schema=arrow)
 
-        for batch in batches:
-            for _, words in pieces(batch, "text", NOT_SPACE):
-                seq, _ = units.numbered(words)
-                cls, w, far = classes[seq], seq, np.zeros(len(seq), dtype=bool)
-                if split:
-                    far = (seq >= len(units.hashes)) & (seq < end)
-                    h = np.zeros(len(seq), dtype=np.int64)
-                    h[np.arange(len(words.hash)) + words.doc] = signed(words.hash)
-                    w = np.where(far, h, seq)
-                # a document begins after an end, which is where the one before it ends
-                for side, x, y in ((0, np.roll(np.arange(len(seq)), 1), np.arange(len(seq))), (1, np.arange(len(seq)), np.roll(np.arange(len(seq)), 1))):
-                    kept.append((w[x], far[x], cls[x], np.full(len(seq), side), cls[y], w[y], far[y]))
-                size += 2 * len(seq)
-                if size >= _KEEP:
+def _summed(n: np.ndarray, *keys: np.ndarray) -> list[np.ndarray]:
+    """The distinct keys in order, and the sums of n."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    keys = [k[order] for k in keys]
+    at = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])) if len(n) else np.empty(0, dtype=np.int64)
+    return [*[k[at] for k in keys], np.add.reduceat(n[order], at) if len(n) else n]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of sorted values, and the index of each."""
+    new = np.concatenate([[True], values[1:] != values[:-1]])[:len(values)]
+    return values[new], np.cumsum(new) - 1
+
+
+@dataclass
+class Profiles:
+    """How often each class stands after (side 0) or before (side 1) each word, as rows of many words.
+
+    A row of a word of the head is told by the word's number and side * MANY + class; one of another word by its hash. Hashes also
+    come with 2 * MANY + their class, if they are placed, and 3 * MANY + their ending.
+    """
+    n_words: int
+    units_end: int
+    far_blocks: int
+
+    SCHEMA = T.StructType().add("block", "long").add("data", "binary")
+
+    def __post_init__(self) -> None:
+        self.many, self.classes, self.block = CLASSES + ENDINGS + 1, CLASSES, _BLOCK  # tasks get them with the object
+        self.near_blocks = self.units_end // self.block + 1
+        self.arrow = to_arrow_schema(self.SCHEMA)
+
+    def rows(self, near: tuple, far: tuple) -> pa.RecordBatch:
+        """Counts (code, n) of the head and (hash, code, n) of other words, dealt into blocks."""
+        out, span = [], self.block * 2 * self.many
+        code, n = near
+        cuts = np.searchsorted(code, np.arange(self.near_blocks + 1) * span)
+        out += [(b, _packed(code[i:j] - b * span, n[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+        h, code, n = far
+        if len(h):
+            block = (mixed(h.view(U64)) % U64(self.far_blocks)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            h, code, n, block = h[order], code[order], n[order], block[order]
+            at = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(h))
+            out += [(self.near_blocks + int(block[i]), _packed(h[i:j], code[i:j], n[i:j])) for i, j in zip(at[:-1], at[1:])]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(self.arrow)], schema=self.arrow)
+
+    def of_texts(self, docs: DataFrame, known, classes: np.ndarray) -> DataFrame:
+        """From the neighbours whose classes are at hand. `known` are the units and the filter, broadcast once for all rounds."""
+        many, blank = self.many, np.empty(0, dtype=np.int64)
+
+        def run(batches):
+            units, flags = known.value
+            near, far, size, code, n = [], [], 0, blank, blank
+            for batch in batches:
+                for _, words in pieces(batch, "text", NOT_SPACE):
+                    seq, _ = units.numbered(words)
+                    h, open_ = units.candidates(words, seq, flags)
+                    # a document begins after an end, which is where the one before it ends
+                    here = np.arange(len(seq))
+                    for side, x, y in ((0, np.roll(here, 1), here), (1, here, np.roll(here, 1))):
+                        step = side * many + classes[seq[y]].astype(np.int64)
+                        at = ~open_[y] & ~open_[x]
+                        near.append(seq[x[at]] * 2 * many + step[at])
+                        at = ~open_[y] & open_[x]
+                        far.append((h[x[at]], step[at]))
+                    far.append((h[open_], 3 * many + seq[open_] - len(units.hashes)))
+                    size += 2 * len(seq)
+                    if size >= _KEEP:
+                        values, more = np.unique(np.concatenate(near), return_counts=True)
+                        code, n = _summed(np.concatenate([n, more]), np.concatenate([code, values]))
+                        near, size = [], 0
+                        if len(code) >= _KEEP or sum(len(x) for x, _ in far) >= _KEEP // 4:
+                            yield sent(code, n, far)
+                            far, code, n = [], blank, blank
+            if near:
+                values, more = np.unique(np.concatenate(near), return_counts=True)
+                code, n = _summed(np.concatenate([n, more]), np.concatenate([code, values]))
+            if len(code) or far:
+                yield sent(code, n, far)
+
+        def sent(code, n, far):
+            h, step = (np.concatenate(x) for x in zip(*far)) if far else (blank, blank)
+            return self.rows((code, n), _summed(np.ones(len(h), dtype=np.int64), h, step))
+
+        return docs.select("text").mapInArrow(run, self.SCHEMA)
+
+    def pairs(self, docs: DataFrame, known) -> DataFrame:
+        """(far, w, side, b, e): the neighbours b that may be placed words outside the head, with their endings; the same in all rounds."""
+        out = T.StructType().add("far", "boolean").add("w", "long").add("side", "integer").add("b", "long").add("e", "integer")
+        arrow = to_arrow_schema(out)
+
+        def run(batches):
+            units, flags = known.value
+            for batch in batches:
+                for _, words in pieces(batch, "text", NOT_SPACE):
+                    seq, _ = units.numbered(words)
+                    h, open_ = units.candidates(words, seq, flags)
+                    y = np.flatnonzero(open_)
+                    for side, x in ((0, y - 1), (1, (y + 1) % len(seq))):
+                        yield pa.RecordBatch.from_arrays([pa.array(open_[x]), pa.array(np.where(open_[x], h[x], seq[x])), pa.array(np.full(len(y), side, dtype=np.int32)),
+                                                          pa.array(h[y]), pa.array((seq[y] - len(units.hashes)).astype(np.int32))], schema=arrow)
+
+        return docs.select("text").mapInArrow(run, out)
+
+    def of_pairs(self, pairs: DataFrame, tail: DataFrame) -> DataFrame:
+        """From the neighbours whose classes are joined; those that turn out not to be placed belong to their endings."""
+        many, blank = self.many, np.empty(0, dtype=np.int64)
+        rows = pairs.join(tail.select(F.col("h").alias("b"), "k").hint("merge"), "b", "left").select(
+            "far", "w", (F.col("side") * many + F.coalesce("k", F.col("e") + CLASSES)).cast("long").alias("code"))
+
+        def run(batches):
+            kept, size = [], 0
+
+            def sent():
+                far, w, code = (np.concatenate(x) for x in zip(*kept))
+                one = np.ones(len(w), dtype=np.int64)
+                return self.rows(_summed(one[~far], w[~far] * 2 * many + code[~far]), _summed(one[far], w[far], code[far]))
+
+            for batch in batches:
+                kept.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                size += batch.num_rows
+                if size >= _KEEP // 2:
                     yield sent()
                     kept, size = [], 0
-        if kept:
-            yield sent()
+            if kept:
+                yield sent()
+
+        def own(batches):
+            for batch in batches:
+                h, k = (batch.column(c).to_numpy().astype(np.int64) for c in "hk")
+                yield self.rows((blank, blank), _summed(np.ones(len(h), dtype=np.int64), h, 2 * many + k))
+
+        return rows.mapInArrow(run, self.SCHEMA).unionAll(tail.select("h", "k").mapInArrow(own, self.SCHEMA))
+
+    def merged(self, rows: DataFrame) -> DataFrame:
+        """One row a block."""
+        def run(batches):
+            near, far = {}, {}
+            for batch in batches:
+                for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                    if block >= self.near_blocks:
+                        far.setdefault(block, []).append(data)
+                        continue
+                    if block not in near:
+                        near[block] = np.zeros(self.block * 2 * self.many, dtype=np.int64)
+                    code, n = _unpacked(data, 2)
+                    near[block][code] += n
+            for block in list(near):
+                total = near.pop(block)
+                code = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(code, total[code])])], schema=self.arrow)
+            for block in list(far):
+                h, code, n = (np.concatenate(x) for x in zip(*(_unpacked(d, 3) for d in far.pop(block))))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_packed(*_summed(n, h, code))])], schema=self.arrow)
+
+        return rows.repartition(self.near_blocks + self.far_blocks, "block").mapInArrow(run, self.SCHEMA)
+
+    def words(self, block: int, data: bytes, classes: np.ndarray) -> tuple:
+        """(words, whether they are placed, their classes), (index of the word, side, class, n)."""
+        many = self.many
+        if block < self.near_blocks:
+            code, n = _unpacked(data, 2)
+            w, word = _runs(code // (2 * many))
+            w, code = w + block * self.block, code % (2 * many)
+            return (w, w < self.n_words, classes[w].astype(np.int64)), (word, code // many, code % many, n)
+        h, code, n = _unpacked(data, 3)
+        w, word = _runs(h)
+        own, placed = np.zeros(len(w), dtype=np.int64), np.zeros(len(w), dtype=bool)
+        at = code >= 3 * many
+        own[word[at]] = self.classes + code[at] - 3 * many
+        at = (code >= 2 * many) & ~at
+        own[word[at]], placed[word[at]] = code[at] - 2 * many, True
+        at = code < 2 * many
+        return (w, placed, own), (word[at], code[at] // many, code[at] % many, n[at])
+
+
+def class_steps(profiles: DataFrame, how: Profiles, classes: np.ndarray) -> np.ndarray:
+    """How often each class follows each."""
+    out = T.StructType().add("k", "integer").add("g", "integer").add("n", "long")
+    arrow, many = to_arrow_schema(out), how.many
 
-    rows = docs.select("text").mapInArrow(run, out)
-    if not split:
-        return rows.groupBy("far", "w", "k", "side", "g").agg(F.sum("n").alias("n"))
-    rows = rows.join(tail.select(F.col("h").alias("b"), F.col("k").alias("_g")), "b", "left").withColumn("g", F.coalesce("_g", "g"))
-    rows = rows.groupBy("far", "w", "k", "side", "g").agg(F.sum("n").alias("n"))
-    own = tail.select(F.lit(1).alias("far"), F.col("h").alias("w"), F.col("k").alias("_k"))
-    rows = rows.join(own, ["far", "w"], "left")
-    # words that are not placed are their endings
-    return rows.select(F.when((F.col("far") == 1) & F.col("_k").isNull(), F.lit(2)).otherwise(F.col("far")).alias("far"), "w",
-                       F.coalesce("_k", "k").alias("k"), "side", "g", "n")
+    def run(batches):
+        total = np.zeros((many, many), dtype=np.int64)
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                (_, _, own), (word, side, g, n) = how.words(block, data, classes)
+                np.add.at(total, (own[word[side == 0]], g[side == 0]), n[side == 0])
+        k, g = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(g.astype(np.int32)), pa.array(total[k, g])], schema=arrow)
 
+    steps = np.zeros((many, many))
+    for r in profiles.mapInArrow(run, out).groupBy("k", "g").agg(F.sum("n").alias("n")).collect():
+        steps[r["k"], r["g"]] = r["n"]
+    return steps
 
-def best_classes(profiles: DataFrame, steps: np.ndarray) -> DataFrame:
-    """(far, w, k): the class that raises the likelihood of the class steps most, once the word has left its own."""
+
+def best_classes(profiles: DataFrame, how: Profiles, classes: np.ndarray, steps: np.ndarray, turn: int) -> DataFrame:
+    """(far, w, k): the class that raises the likelihood of the class steps most, once the word has left its own. Of words outside the
+    head, those that are not asked come too, with the class they have."""
     out = T.StructType().add("far", "integer").add("w", "long").add("k", "integer")
     arrow = to_arrow_schema(out)
 
-    def gains(S, own, word, g, n, other):
+    logs = [_xlogx(steps), _xlogx(steps.T)]
+
+    def gains(S, own, word, g, n, other, log):
         """By word and class: what Σ x log x of the rows of S gains; `other` is what the word adds to its own column."""
-        x = S[:CLASSES, g].T.copy()
+        to = np.zeros((len(own), CLASSES))
+        if not len(word):
+            return to
+        x, was = S[:CLASSES, g].T.copy(), log[:CLASSES, g].T.copy()
         at = np.flatnonzero(own[word] < CLASSES)
         x[at, own[word[at]]] -= n[at]
-        at = np.flatnonzero(g == own[word])
-        x[at] -= other[word[at], :CLASSES]
+        same = np.flatnonzero(g == own[word])
+        x[same] -= other[word[same], :CLASSES]
         np.maximum(x, 0, out=x)
-        to = np.zeros((len(own), CLASSES))
-        np.add.at(to, word, _xlogx(x + n[:, None]) - _xlogx(x))
+        was[at, own[word[at]]] = _xlogx(x[at, own[word[at]]])
+        was[same] = _xlogx(x[same])
+        x += n[:, None]
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        to[word[first]] = np.add.reduceat(x * np.log(x) - was, first, axis=0)
         return to
 
+    def chosen(own, word, side, g, n):
+        around = np.zeros((2, len(own), len(steps)))
+        around[side, word, g] = n
+        total = around[0].sum(axis=1)
+        gain = sum(gains(S, own, word[side == i], g[side == i], n[side == i], around[1 - i], logs[i]) for i, S in ((0, steps), (1, steps.T)))
+        size = np.tile(steps.sum(axis=1)[:CLASSES], (len(own), 1))
+        at = np.flatnonzero(own < CLASSES)
+        size[at, own[at]] = np.maximum(size[at, own[at]] - total[at], 0)
+        gain -= 2 * (_xlogx(size + total[:, None]) - _xlogx(size))
+        return np.argmax(gain, axis=1)
+
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                own, listed = part.column("k").to_numpy(), part.column("p")
-                word = np.repeat(np.arange(len(own)), np.diff(listed.offsets.to_numpy()))
-                side, g, n = (listed.flatten().field(i).to_numpy() for i in range(3))
-                n = n.astype(float)
-                around = np.zeros((2, len(own), len(steps)))
-                around[side, word, g] = n
-                total = around[0].sum(axis=1)
-                gain = sum(gains(S, own, word[side == i], g[side == i], n[side == i], around[1 - i]) for i, S in ((0, steps), (1, steps.T)))
-                size = np.tile(steps.sum(axis=1)[:CLASSES], (len(own), 1))
-                at = np.flatnonzero(own < CLASSES)
-                size[at, own[at]] = np.maximum(size[at, own[at]] - total[at], 0)
-                gain -= 2 * (_xlogx(size + total[:, None]) - _xlogx(size))
-                yield pa.RecordBatch.from_arrays([part.column("far"), part.column("w"), pa.array(np.argmax(gain, axis=1).astype(np.int32))], schema=arrow)
-
-    listed = profiles.groupBy("far", "w", "k").agg(F.collect_list(F.struct("side", "g", "n")).alias("p"))
-    return listed.select("far", "w", "k", "p").mapInArrow(run, out)
-
-
-def place(docs: DataFrame, units: Units, classes: np.ndarray, tail: DataFrame | None) -> tuple[np.ndarray, DataFrame | None, np.ndarray]:
-    """Classes of all units, of the placed words outside the head, and the counts of class steps.
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                (w, placed, own), (word, side, g, n) = how.words(block, data, classes)
+                order = np.argsort(word, kind="stable")
+                word, side, g, n = word[order], side[order], g[order], n[order].astype(float)
+                asked = np.flatnonzero(placed & ((own >= CLASSES) | (mixed(w.view(U64)) % U64(2) == U64(turn % 2))))
+                new = own.copy()
+                for a in range(0, len(asked), 500):
+                    some = asked[a:a + 500]
+                    lo, hi = np.searchsorted(word, [some[0], some[-1] + 1])
+                    index = np.full(len(w), -1)
+                    index[some] = np.arange(len(some))
+                    at = np.flatnonzero(index[word[lo:hi]] >= 0) + lo
+                    new[some] = chosen(own[some], index[word[at]], side[at], g[at], n[at])
+                sent = np.flatnonzero(placed) if block >= how.near_blocks else asked
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sent), int(block >= how.near_blocks), dtype=np.int32)), pa.array(w[sent]),
+                                                  pa.array(new[sent].astype(np.int32))], schema=arrow)
+
+    return profiles.mapInArrow(run, out)
+
+
+def place(docs: DataFrame, units: Units, classes: np.ndarray, tail: DataFrame | None,
+          tail_tokens: int = 0) -> tuple[np.ndarray, DataFrame | None, np.ndarray, np.ndarray | None]:
+    """Classes of all units, of the placed words outside the head, the counts of class steps, and the filter of the words outside.
 
     In each round the tasks count the classes around every word and choose its best class against the steps of all
     classes. Words without a class enter one at once; of the others a half is asked in each round, by hash, so that words do
     not change places for ever. Rounds end when the steps tell hardly more. Classes of words in the head and the steps reach
-    the driver.
+    the driver. The pairs with a word outside the head are written once; only they meet classes in a join. The counts of
+    a round stay on the executors' disks until its end.
     """
-    many, told, best, turn = CLASSES + ENDINGS + 1, -1.0, None, 0
+    told, best, turn = -1.0, None, 0
+    how, flags, pairs = Profiles(len(units.hashes), units.end, 1 + tail_tokens // _FAR), None, None
+    if tail is not None:
+        tail = hold(tail)
+        flags = bit_filter(tail, "h", _BITS)
+    known, classes = docs.sparkSession.sparkContext.broadcast((units, flags)), classes.astype(np.uint8)
+    if tail is not None:
+        pairs = written(how.pairs(docs, known))
     while True:
-        profiles = hold(class_profiles(docs, units, classes, tail))
-        steps = np.zeros((many, many))
-        for r in profiles.where("side = 0").groupBy("k", "g").agg(F.sum("n").alias("n")).collect():
-            steps[r["k"], r["g"]] = r["n"]
+        rows = how.of_texts(docs, known, classes)
+        if tail is not None:
+            rows = rows.unionAll(how.of_pairs(pairs, tail))
+        profiles = how.merged(rows).persist(StorageLevel.DISK_ONLY)
+        steps = class_steps(profiles, how, classes)
         now = information(steps)
         if turn > 2 and now <= told * (1 + SETTLED):
-            return (classes, tail, steps) if now > told else best
+            profiles.unpersist()
+            known.destroy()
+            classes, tail, steps = (classes, tail, steps) if now > told else best
+            return classes.astype(np.int64), tail, steps, flags
         if turn and now > told:  # before the first round, words still stand in the classes of their endings
             told, best = now, (classes, tail, steps)
         turn += 1
-        asked = (F.col("far") == 1) | ((F.col("far") == 0) & (F.col("w") < len(units.hashes)))
-        asked &= (F.col("k") >= CLASSES) | (F.pmod(F.xxhash64("w"), F.lit(2)) == turn % 2)
-        moved = hold(best_classes(profiles.where(asked), steps))
+        moved = hold(best_classes(profiles, how, classes, steps, turn))
+        profiles.unpersist()
         near = moved.where("far = 0").toArrow()
         classes = classes.copy()
         classes[near.column("w").to_numpy()] = near.column("k").to_numpy()
         if tail is not None:
-            new = moved.where("far = 1").select(F.col("w").alias("h"), F.col("k").alias("_k"))
-            tail = hold(tail.join(new, "h", "left").select("h", F.coalesce("_k", "k").alias("k")))
+            tail = moved.where("far = 1").select(F.col("w").alias("h"), "k")
 
 
 @dataclass
@@ -322,6 +521,7 @@ class Model:
     tokens: int
     kinds: int
     ends: int
+    flags: np.ndarray | None = None  # lets the placed words outside the head through, and few others
 
     def base(self, c):
         return np.log10(c + 1.0) - np.log10(self.tokens + self.kinds + 1.0)
@@ -347,13 +547,14 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
 
     def numbered(chosen):
         order = np.argsort(h[chosen])
-        return Units(h[chosen][order], order.astype(np.int64))
+        return Units(h[chosen][order], order.astype(np.int32))
 
     start = exchange(hold(unit_pairs(docs, numbered(first))), len(first))
     units = numbered(top)
     classes = np.concatenate([start[:len(first)], CLASSES + g[top[len(first):]], CLASSES + np.arange(ENDINGS + 1)]).astype(np.int64)
     tail = table.where((level < lowest) & (F.col("c") >= LEAST) & (F.col("g") >= 0)).select("h", (F.col("g") + CLASSES).alias("k"))
-    classes, tail, steps = place(docs, units, classes, None if tail.isEmpty() else tail)
+    beyond = table.where((level < lowest) & (F.col("c") >= LEAST) & (F.col("g") >= 0)).agg(F.sum("c").alias("n")).first()["n"]
+    classes, tail, steps, flags = place(docs, units, classes, tail if beyond else None, beyond or 0)
     # what exchange has not placed belongs to its ending
     frequent = table.where((F.col("g") >= 0) & (F.col("c") < LEAST))
     n, kinds, once = np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(ENDINGS)
@@ -368,7 +569,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         share = np.log10((1 - unknown) / np.maximum(n, 1))
     order = np.argsort(h)
     model = Model(units, classes, steps, words, sizes, tail is not None, share, np.log10(unknown), h[order], c[order],
-                  int(size["n"] or 0), int(size["v"]), int(size["e"] or 0))
+                  int(size["n"] or 0), int(size["v"]), int(size["e"] or 0), flags)
     return model, table.withColumn("k", F.lit(None).cast("int")) if tail is None else table.join(tail, "h", "left")
 
 
@@ -377,15 +578,16 @@ def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id
 
     Tokens are lower-cased words and one end. Steps between classes and words of the head are summed where the text is
     read; each other word is sent once per document to meet its count, and the sums meet by document. If words outside the
-    head are placed, the steps from and to such words are sent too, to meet their classes.
+    head are placed, each occurrence of a word that may be one is sent with the classes beside it, to meet its own.
     A word is known if training has it. Its class is its own or, by its ending, that of all words that end alike, in which
     unknown words together have the share of words seen once. base_score is the add-one score of single words.
 
     Null or empty texts have the end only. Without training text every word is unknown. Repeated rows score alike.
     """
     small_batches(docs.sparkSession)
-    out = (T.StructType().add("uid", "long").add("doc_id", docs.schema[doc_id].dataType).add("h", "long").add("g", "integer").add("n", "long")
-           .add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double").add("h0", "long").add("g0", "integer"))
+    sums = T.StructType().add("doc_id", docs.schema[doc_id].dataType).add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
+    out = (T.StructType().add("uid", "long").add("h", "long").add("g", "integer").add("n", "long").add("of", sums)
+           .add("p", "integer").add("q", "integer").add("h0", "long").add("g0", "integer"))
     arrow = to_arrow_schema(out)
     m = model
 
@@ -398,7 +600,6 @@ def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id
                 cls = m.classes[seq]
                 before = np.concatenate([[cls[-1]], cls[:-1]])
                 value = m.steps[before, cls]
-                prior = np.zeros(len(seq), dtype=np.int64)
                 base = np.full(len(seq), m.base(m.ends) if m.ends else m.base(0))
                 known = np.full(len(seq), bool(m.ends))
                 at_word = np.arange(len(words.hash)) + words.doc
@@ -411,60 +612,54 @@ def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id
                 own = np.where(near, m.share[g] + np.log10(np.maximum(count, 1)), 0.0)
                 if len(m.frequent):
                     own = np.where(placed, m.frequent[np.minimum(unit, len(m.frequent) - 1)], own)
-                open_ = np.zeros(len(seq), dtype=bool)
-                open_[at_word] = ~near
-                if m.tail:
-                    prior[at_word] = h
-                    either = np.flatnonzero(open_ | np.roll(open_, 1))
-                    value[either] = 0.0
+                token, open_ = m.units.candidates(words, seq, m.flags if m.tail else None)
+                value[open_ | np.roll(open_, 1)] = 0.0
                 value[at_word] += own
                 base[at_word] = np.where(near, m.base(count), 0.0)
                 known[at_word] = near
-                far = np.flatnonzero(~near)
-                code, once, n = np.unique(mixed(words.hash[far] ^ mixed(words.doc[far].astype(U64))), return_index=True, return_counts=True)
-                far = far[once]
                 ids = np.arange(rows) + uid
                 uid += rows
-                zero = np.zeros(len(far))
-                docs_rows = [pa.array(ids), part.column("doc_id"), pa.array(signed(mixed(ids.astype(U64)))), pa.array(np.zeros(rows, dtype=np.int32)),
-                             pa.array(np.zeros(rows, dtype=np.int64)), pa.array(np.diff(words.first) + 1), pa.array(np.add.reduceat(known.astype(np.int64), first)),
-                             pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(value, first)), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32())]
-                yield pa.RecordBatch.from_arrays(docs_rows, schema=arrow)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[words.doc[far]]), pa.nulls(len(far), arrow.field("doc_id").type), pa.array(h[far]), pa.array(g[far].astype(np.int32)),
-                     pa.array(n), pa.array(zero.astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero),
-                     pa.nulls(len(far), pa.int64()), pa.nulls(len(far), pa.int32())], schema=arrow)
-                if m.tail:
-                    doc = np.repeat(np.arange(rows), np.diff(np.append(first, len(seq))))[either]
-                    # a class that is at hand goes with a number that no word has, so that rows spread over the tasks of the join
-                    spread = signed(mixed(mixed(ids[doc].astype(U64)) + either.astype(U64)))
-                    zero = np.zeros(len(either))
-                    none = pa.array(zero.astype(np.int64))
+                of = pa.StructArray.from_arrays(
+                    [part.column("doc_id"), pa.array(np.diff(words.first) + 1), pa.array(np.add.reduceat(known.astype(np.int64), first)),
+                     pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(value, first))], fields=list(arrow.field("of").type))
+                lone = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(signed(mixed(ids.astype(U64)))), pa.array(np.zeros(rows, dtype=np.int32)),
+                                                  pa.array(np.zeros(rows, dtype=np.int64)), of, *lone], schema=arrow)
+                # words whose classes are at hand, once a document
+                far = np.flatnonzero(~near & ~open_[at_word])
+                _, once, n = np.unique(mixed(words.hash[far] ^ mixed(words.doc[far].astype(U64))), return_index=True, return_counts=True)
+                far = far[once]
+                lone = [pa.nulls(len(far), f.type) for f in list(arrow)[4:]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[words.doc[far]]), pa.array(h[far]), pa.array(g[far].astype(np.int32)), pa.array(n), *lone], schema=arrow)
+                # the others, each with the classes before and after it, or the word before it if that is one of them
+                at = np.flatnonzero(open_)
+                if len(at):
+                    doc = np.repeat(np.arange(rows), np.diff(np.append(first, len(seq))))[at]
+                    again, more, ending = open_[at - 1], open_[at + 1], seq - len(m.units.hashes)
+                    i32 = lambda x, none=None: pa.array(x.astype(np.int32), mask=none)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[doc]), pa.nulls(len(either), arrow.field("doc_id").type), pa.array(np.where(open_[either], prior[either], spread)),
-                         pa.array(cls[either].astype(np.int32)), none, none, none, pa.array(zero), pa.array(zero),
-                         pa.array(np.where(open_[either - 1], prior[either - 1], spread)), pa.array(before[either].astype(np.int32))], schema=arrow)
+                        [pa.array(ids[doc]), pa.array(token[at]), i32(ending[at]), pa.array(np.ones(len(at), dtype=np.int64)), pa.nulls(len(at), arrow.field("of").type),
+                         i32(before[at], again), i32(cls[at + 1], more), pa.array(token[at - 1], mask=~again), i32(ending[at - 1], ~again)], schema=arrow)
 
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = source.mapInArrow(run, out).join(table.select("h", "c", "k"), "h", "left")
     step = F.lit(0.0)
     if m.tail:
-        rows = rows.withColumn("h0", F.coalesce("h0", F.xxhash64("uid", "h"))).join(table.select(F.col("h").alias("h0"), F.col("k").alias("k0")), "h0", "left")
-        known = [(i, j, float(x)) for i, line in enumerate(m.steps) for j, x in enumerate(line)]
-        known = docs.sparkSession.createDataFrame(known, "_a int, _b int, _s double")
-        rows = rows.withColumns({"_a": F.when(F.col("g0").isNotNull(), F.coalesce("k0", "g0")), "_b": F.when(F.col("g0").isNotNull(), F.coalesce("k", "g"))})
-        rows = rows.join(F.broadcast(known), ["_a", "_b"], "left")
-        step = F.coalesce("_s", F.lit(0.0))
+        # rows without a word before meet their own word again, so they stay spread
+        rows = rows.withColumn("_h", F.coalesce("h0", "h")).join(table.select(F.col("h").alias("_h"), F.col("k").alias("k0")).hint("merge"), "_h", "left")
+        steps, own = F.lit(m.steps.ravel()), F.coalesce("k", F.col("g") + CLASSES)
+        at = lambda a, b: F.coalesce(F.element_at(steps, (a * m.steps.shape[1] + b + 1).cast("int")), F.lit(0.0))
+        step = at(F.col("p"), own) + at(own, F.col("q")) + at(F.coalesce("k0", F.col("g0") + CLASSES), F.when(F.col("h0").isNotNull(), own))
     of = lambda values: F.element_at(F.array(*[F.lit(float(x)) for x in values]), F.col("g") + 1)
     c = F.coalesce("c", F.lit(0))
     size = F.element_at(F.array(*[F.lit(float(np.log10(max(x, 1)))) for x in model.sizes]), F.col("k") + 1)
     floor = F.lit(float(np.log10(model.tokens + model.kinds + 1.0)))
     return (rows.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
+        F.max("of.doc_id").alias("doc_id"), F.sum("of.n_tokens").alias("n_tokens"),
+        F.sum(F.coalesce("of.n_known", F.lit(0)) + F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        F.sum(F.col("base_score") + F.col("n") * (F.log10(c + 1) - floor)).alias("base_score"),
-        F.sum(F.col("score") + step + F.when(F.col("n") > 0, F.col("n") * F.when(F.col("k").isNotNull(), F.log10(c) - size).when(c > 0, of(model.share) + F.log10(F.greatest(c, F.lit(1)))).otherwise(of(model.unknown))).otherwise(0.0)).alias("score"))
+        F.sum(F.coalesce("of.base_score", F.lit(0.0)) + F.col("n") * (F.log10(c + 1) - floor)).alias("base_score"),
+        F.sum(F.coalesce("of.score", F.lit(0.0)) + step + F.when(F.col("n") > 0, F.col("n") * F.when(F.col("k").isNotNull(), F.log10(c) - size).when(c > 0, of(model.share) + F.log10(F.greatest(c, F.lit(1)))).otherwise(of(model.unknown))).otherwise(0.0)).alias("score"))
         .drop("uid"))
 
 
