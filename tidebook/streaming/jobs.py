@@ -8,6 +8,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -177,49 +178,60 @@ def stream_listing_state(polls: DataFrame, late: str = "1 day", slots: int = 8)
 
 
 _SILENCE_OUT = "auction_no string, reason string, qty_sold bigint, prev_count bigint, new_count bigint, observed_at timestamp"
-_SILENCE_STATE = "cur_count bigint, expire timestamp, seen timestamp"
-
-
-def _to_ms(t) -> int:
-    return int(pd.Timestamp(t).timestamp() * 1000)
+_SILENCE_STATE = "listings binary"
+_HELD = {"count": "int64", "expire": "int64", "due": "int64"}
+
+
+def _ms(times: pd.Series) -> np.ndarray:
+    return times.to_numpy("datetime64[ms]").astype("int64")
+
+
+def _heard(frames: Iterator[pd.DataFrame], state: GroupState, silence_ms: int) -> Iterator[pd.DataFrame]:
+    """Events of the listings of one slot. `held` has the last count, the expiry and the due time of each listing; a listing that is heard of
+    in this batch is not due in it."""
+    at = state.getCurrentWatermarkMs()
+    held = pickle.loads(state.get[0]) if state.exists else pd.DataFrame(columns=[*_HELD]).astype(_HELD)
+    events, heard = [], held.iloc[:0]
+    if not state.hasTimedOut:
+        rows = pd.concat(list(frames)).sort_values(["auction_no", "observed_at", "id"])
+        names, counts = rows["auction_no"].to_numpy(), rows["cur_count"].to_numpy("int64")
+        first, last = np.append(True, names[1:] != names[:-1]), np.append(names[1:] != names[:-1], True)
+        before, known = np.roll(counts, 1), held.index.get_indexer(names[first])
+        before[first] = np.where(known >= 0, np.append(held["count"].to_numpy(), 0)[known], counts[first])
+        fell = counts < before
+        events.append((names[fell], "partial", (before - counts)[fell], before[fell], counts[fell], rows["observed_at"][fell].to_numpy()))
+        expire = _ms(rows["expire_date"])[last]
+        due = np.minimum(expire, _ms(rows["observed_at"])[last] + silence_ms)
+        heard = pd.DataFrame({"count": counts[last], "expire": expire, "due": np.maximum(due, at + 1)}, index=names[last])
+        held = held[~held.index.isin(heard.index)]
+    gone, held = held[held["due"] < at], pd.concat([held[held["due"] >= at], heard])
+    late = gone["expire"] <= at
+    for some, reason in ((gone[late], "expired"), (gone[~late & (gone["count"] > 0)], "vanished_before_expiry")):
+        count, none = some["count"].to_numpy(), np.zeros(len(some), dtype="int64")
+        events.append((some.index, reason, *((none, count, count) if reason == "expired" else (count, count, none)), pd.Timestamp(at, unit="ms")))
+    if len(held):
+        state.update((pickle.dumps(held),))
+        state.setTimeoutTimestamp(max(int(held["due"].min()), at + 1))
+    elif state.exists:
+        state.remove()
+    for some in events:
+        if len(some[0]):
+            yield pd.DataFrame(dict(zip(("auction_no", "reason", "qty_sold", "prev_count", "new_count", "observed_at"), some)))
 
 
-def _heard(key, frames: Iterator[pd.DataFrame], state: GroupState, silence_ms: int) -> Iterator[pd.DataFrame]:
-    events = []
-    if state.hasTimedOut:
-        count, expire, seen = state.get
-        at = state.getCurrentWatermarkMs()
-        late = at >= _to_ms(expire)
-        if late or count > 0:
-            events.append((key[0], "expired" if late else "vanished_before_expiry", 0 if late else count, count, count if late else 0,
-                           pd.Timestamp(at, unit="ms")))
-        state.remove()
-    else:
-        rows = pd.concat(list(frames)).sort_values(["observed_at", "id"])
-        count = None
-        if state.exists:
-            count, expire, seen = state.get
-        for r in rows.itertuples(index=False):
-            if count is not None and r.cur_count < count:
-                events.append((key[0], "partial", count - r.cur_count, count, r.cur_count, r.observed_at))
-            count, expire, seen = int(r.cur_count), r.expire_date, r.observed_at
-        state.update((int(count), pd.Timestamp(expire).to_pydatetime(), pd.Timestamp(seen).to_pydatetime()))
-        due = min(_to_ms(expire), _to_ms(seen) + silence_ms)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(events, columns=["auction_no", "reason", "qty_sold", "prev_count", "new_count", "observed_at"])
-
-
-def stream_listing_silence(rows: DataFrame, late: str = "2 hours", silence: str = "2 days") -> DataFrame:
+def stream_listing_silence(rows: DataFrame, late: str = "2 hours", silence: str = "2 days", slots: int = 1024) -> DataFrame:
     """Depletion events of keyed listings (append): falling counts at once, silence or expiry by event-time timers.
 
-    For sources that tell of no polls: a listing counts as gone when nothing was heard of it for `silence`.
+    For sources that tell of no polls: a listing counts as gone when nothing was heard of it for `silence`. Listings are dealt over
+    `slots` states, so the calls of a batch are bounded and each works on many listings; a slot's timer is the first of its listings'.
     """
     silence_ms = int(pd.Timedelta(silence).total_seconds() * 1000)
 
     def step(key, frames, state):
-        yield from _heard(key, frames, state, silence_ms)
-    return (rows.withWatermark("observed_at", late).groupBy("auction_no")
-            .applyInPandasWithState(step, _SILENCE_OUT, _SILENCE_STATE, "append", GroupStateTimeout.EventTimeTimeout))
+        yield from _heard(frames, state, silence_ms)
+    dealt = rows.withWatermark("observed_at", late).select("auction_no", "id", "observed_at", "cur_count", "expire_date",
+                                                           F.pmod(F.xxhash64("auction_no"), F.lit(slots)).alias("slot"))
+    return dealt.groupBy("slot").applyInPandasWithState(step, _SILENCE_OUT, _SILENCE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 _ALARM_STATE = T.StructType().add("recoveries", T.ArrayType(T.DoubleType())).add("last_alert", "double")
