@@ -11,6 +11,9 @@ from tidebook.llm.shared import text_bytes
 #: Ids of distinct parts a Python worker keeps, over all of its tasks; beyond that its memory is emptied between slices, which
 #: changes no result.
 MEMORY = 3 << 20
+#: Distinct parts it keeps, likewise, besides those of one slice. Each takes some 150 bytes, and a worker lives on when its stage is over: several of
+#: an executor's workers have their memory while later stages run.
+PARTS = 200_000
 #: Text looked at together: many parts of a slice are the same.
 SLICE_BYTES = 1 << 22
 
@@ -131,7 +134,7 @@ class Ids:
 
     def of(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts in a buffer of UTF-8, each with the end id, and the first id of every text."""
-        if self._used > MEMORY:
+        if self._used > MEMORY or len(self._slots) > PARTS:
             self._forget()
         cut = cuts(buf)
         cut[offsets[:-1][offsets[:-1] < len(buf)]] = True
