@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,6 +248,16 @@ def test_phrases_of_an_empty_table(spark):
     assert phrases.collocations(table(spark, [(1, None, "s", None)])).count() == 0
 
 
+def test_row_groups_of_the_indexes_are_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(phrases, "GROUP", 1 << 16, raising=False)
+    rng = random.Random(5)
+    rows = [(i, " ".join(str(rng.randint(0, 9999)) for _ in range(220_000)), "s", "en") for i in range(5)]  # a megabyte each
+    phrases.counted(table(spark, rows).coalesce(1), str(tmp_path), shard_words=4000)
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "index").glob("*.parquet")]
+    assert sum(f.num_rows for f in files) == 5
+    assert max(f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)) == 1
+
+
 def test_scores_beyond_64_bits_are_exact(spark):
     a, l, r = 9_000_000_000_001, 9_000_000_000_007, 9_000_000_000_011
     row = spark.createDataFrame([(a, l, r)], "a long, l long, r long").select(phrases._score("a", "l", "r").alias("s")).first()

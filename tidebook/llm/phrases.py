@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidebook.llm.shared import U64, Words, bit_filter, mixed, passes, pieces, shared_folder, signed
+from tidebook.llm.shared import U64, Words, bit_filter, mixed, passes, pieces, shared_folder, signed, small_batches
 
 LEAST = 10        # occurrences of a candidate
 TOP = 2000        # phrases of a language in the report
@@ -23,6 +23,8 @@ PART_TOPS = 16
 SHARD_WORDS = 1 << 20
 #: Bits of the filters on frequent words and pairs.
 BITS = 24
+#: Bytes of a row group of the indexes, whose rows have some megabytes each.
+GROUP = 16 << 20
 
 #: Words end at blanks and tabs, and at the signs that end a piece.
 _ENDS = np.zeros(256, dtype=bool)
@@ -196,9 +198,9 @@ def _joint(first, second):
     return ((first << U64(1)) | (first >> U64(63))) ^ second
 
 
-def _saved(df: DataFrame, path: str) -> DataFrame:
+def _saved(df: DataFrame, path: str, **options) -> DataFrame:
     """A table in the shared folder: it ends the lineage, and no row of it is lost with an executor."""
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -212,7 +214,11 @@ def counted(docs: DataFrame, folder: str, least: int = LEAST, shard_words: int =
     are known by 64-bit hashes of language and word, which are verified to be one to one over the whole vocabulary.
     """
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    index = _saved(shards(source, shard_words), f"{folder}/index")
+    small_batches(docs.sparkSession)
+    # Parquet looks at sizes after 100 rows only, which are all shards of a task here: a page would hold them all, and so would the buffers
+    # that it is compressed and read in
+    index = _saved(shards(source, shard_words), f"{folder}/index", **{
+        "parquet.block.size": GROUP, "parquet.page.row.count.limit": 1, **{f"parquet.{x}.size.row.check.{y}": 1 for x in ("block", "page") for y in ("min", "max")}})
     entries = index.select(F.explode("words").alias("w")).select("w.lang", "w.word", "w.h", "w.n")
     vocabulary = _saved(entries.groupBy("lang", "word", "h").agg(F.sum("n").alias("n")), f"{folder}/words")
     if vocabulary.groupBy("h").count().where("count > 1").limit(1).count():
