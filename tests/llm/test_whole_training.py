@@ -86,3 +86,37 @@ def test_only_pairs_with_a_word_outside_the_head_are_joined(spark, monkeypatch):
         cls = [end, *[of[int(h)] for h in shared.signed(shared.Words(buf, np.array([0, len(buf)]), shared.NOT_SPACE).hash)], end]
         want.update(zip(cls[:-1], cls[1:]))
     assert {(int(a), int(b)): int(steps[a, b]) for a, b in zip(*np.nonzero(steps))} == dict(want)
+
+
+@pytest.mark.parametrize("keep", [5000, 40])
+def test_counted_neighbours_are_those_of_the_texts(spark, monkeypatch, keep):
+    """Words side by side are counted once; any classes then give the profiles that a pass over the texts gives."""
+    monkeypatch.setattr(brown, "_KEEP", keep)
+    monkeypatch.setattr(brown, "_BLOCK", 16)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, 80)) for _ in range(200)] + ["", "w1", "w399 w398 w399"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    table = brown.word_counts(docs).where("g >= 0").toPandas().sort_values("c", ascending=False)
+    top, far = table.head(40), table.iloc[40:120]
+    order = np.argsort(top["h"].to_numpy())
+    units = brown.Units(top["h"].to_numpy()[order], order.astype(np.int32))
+    flags = shared.bit_filter(spark.createDataFrame([(int(h),) for h in table["h"].iloc[40:130]], "h long"), "h", brown._BITS)  # ten pass it wrongly
+    known = spark.sparkContext.broadcast((units, flags))
+    how = brown.Profiles(40, units.end, 3)
+    counts = how.neighbours(docs, known).cache()
+    assert counts.where(F.col("block") >= how.near_blocks).count() == 3
+    for turn in range(2):
+        classes = np.concatenate([np.arange(40) % (7 + turn), brown.CLASSES + np.arange(brown.ENDINGS + 1)]).astype(np.uint8)
+        tail = spark.createDataFrame([(int(h), i % 5 + 10 + turn) for i, h in enumerate(far["h"])], "h long, k int")
+
+        def of(rows):
+            found = {}
+            for r in how.merged(rows).collect():
+                (w, placed, own), (word, side, g, n) = how.words(r["block"], r["data"], classes)
+                found |= {int(x): (bool(p), int(o), Counter()) for x, p, o in zip(w, placed, own)}
+                for i, s, c, k in zip(word, side, g, n):
+                    found[int(w[i])][2][int(s), int(c)] += int(k)
+            return found
+
+        counted = of(how.of_near(counts, classes).unionAll(how.of_far(counts.where(F.col("block") >= how.near_blocks), tail, classes)))
+        assert len(counted) > 120 and counted == of(how.of_texts(docs, known, classes).unionAll(how.of_pairs(how.pairs(docs, known), tail)))

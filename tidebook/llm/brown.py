@@ -1,11 +1,12 @@
 """Class-based bigram model: words are put into classes by exchange, texts are scored by class steps and words in classes."""
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -200,11 +201,11 @@ def exchange(pairs: DataFrame, n_words: int) -> np.ndarray:
 def _packed(*columns: np.ndarray) -> bytes:
     """Numbers by byte planes, the first column as differences, so that little is left of them."""
     first, *more = columns
-    return zlib.compress(b"".join(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (np.diff(first, prepend=np.int64(0)), *more)), 1)
+    return zstandard.compress(b"".join(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (np.diff(first, prepend=np.int64(0)), *more)), 1)
 
 
 def _unpacked(data: bytes, many: int) -> list[np.ndarray]:
-    first, *more = (np.ascontiguousarray(p.T).view(np.int64).ravel() for p in np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(many, 8, -1))
+    first, *more = (np.ascontiguousarray(p.T).view(np.int64).ravel() for p in np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(many, 8, -1))
     return [np.cumsum(first), *more]
 
 
@@ -226,8 +227,12 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Profiles:
     """How often each class stands after (side 0) or before (side 1) each word, as rows of many words.
 
-    A row of a word of the head is told by the word's number and side * MANY + class; one of another word by its hash. Hashes also
+    Words of the head are dealt to the blocks in turn, so the most frequent ones are not together: word w is number w // near_blocks
+    of block w % near_blocks. A row tells it by that number and side * MANY + class; another word by its hash. Hashes also
     come with 2 * MANY + their class, if they are placed, and 3 * MANY + their ending.
+
+    `neighbours` counts once which words stand beside which; each round sets classes for words in that table (`of_near`, `of_far`).
+    `of_texts`, `pairs` and `of_pairs` tell the same straight from the texts.
     """
     n_words: int
     units_end: int
@@ -242,18 +247,161 @@ class Profiles:
 
     def rows(self, near: tuple, far: tuple) -> pa.RecordBatch:
         """Counts (code, n) of the head and (hash, code, n) of other words, dealt into blocks."""
-        out, span = [], self.block * 2 * self.many
         code, n = near
-        cuts = np.searchsorted(code, np.arange(self.near_blocks + 1) * span)
-        out += [(b, _packed(code[i:j] - b * span, n[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
-        h, code, n = far
-        if len(h):
-            block = (mixed(h.view(U64)) % U64(self.far_blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            h, code, n, block = h[order], code[order], n[order], block[order]
-            at = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(h))
-            out += [(self.near_blocks + int(block[i]), _packed(h[i:j], code[i:j], n[i:j])) for i, j in zip(at[:-1], at[1:])]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(self.arrow)], schema=self.arrow)
+        w, step = code // (2 * self.many), code % (2 * self.many)
+        out = self.dealt(w % self.near_blocks, w // self.near_blocks * 2 * self.many + step, n)
+        return self.batch(out + self.dealt(self.far_block(far[0]), *far))
+
+    def far_block(self, h: np.ndarray) -> np.ndarray:
+        return self.near_blocks + (mixed(h.view(U64)) % U64(self.far_blocks)).astype(np.int64)
+
+    def dealt(self, block: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+        """The columns, packed by block."""
+        order = np.argsort(block, kind="stable")
+        block, columns = block[order], [c[order] for c in columns]
+        at = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(block))
+        return [(int(block[i]), _packed(*(c[i:j] for c in columns))) for i, j in zip(at[:-1], at[1:])]
+
+    def batch(self, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(self.arrow)], schema=self.arrow)
+
+    def neighbours(self, docs: DataFrame, known) -> DataFrame:
+        """How often which words stand beside each, as rows of a block.
+
+        Rows of words of the head: (number * 2 + side) * units + the unit that stands there, and how often; neighbours that may be placed
+        words outside the head are left to those. Rows of the latter, one a block: hash, kind, value and how often, by
+        kind: 0 and 1 the unit at that side, 2 and 3 the hash of another such word at side 0 and 1, 4 their own ending.
+        """
+        many, blank = self.units_end + 1, np.empty(0, dtype=np.int64)
+
+        def run(batches):
+            units, flags = known.value
+            near, far, size, code, n = [], [], 0, blank, blank
+            for batch in batches:
+                for _, words in pieces(batch, "text", NOT_SPACE):
+                    seq, _ = units.numbered(words)
+                    h, open_ = units.candidates(words, seq, flags)
+                    x = np.roll(np.arange(len(seq)), 1)  # a document begins after an end, which is where the one before it ends
+                    at = ~open_ & ~open_[x]
+                    near.append(seq[x[at]] * many + seq[at])
+                    y = np.flatnonzero(open_)
+                    if len(y):
+                        for side, z in ((0, (y + 1) % len(seq)), (1, x[y])):
+                            far.append((h[y], np.where(open_[z], 2 + side, side), np.where(open_[z], h[z], seq[z])))
+                        far.append((h[y], np.full(len(y), 4), seq[y] - len(units.hashes)))
+                    size += len(seq)
+                    if size >= _KEEP:
+                        values, more = np.unique(np.concatenate(near), return_counts=True)
+                        code, n = _summed(np.concatenate([n, more]), np.concatenate([code, values]))
+                        near, size = [], 0
+                        if len(code) >= _KEEP or sum(len(x[0]) for x in far) >= _KEEP // 2:
+                            yield sent(code, n, far)
+                            far, code, n = [], blank, blank
+            if near:
+                values, more = np.unique(np.concatenate(near), return_counts=True)
+                code, n = _summed(np.concatenate([n, more]), np.concatenate([code, values]))
+            if len(code) or far:
+                yield sent(code, n, far)
+
+        def sent(code, n, far):
+            out = []
+            for side, w, other in ((0, code // many, code % many), (1, code % many, code // many)):
+                block = w % self.near_blocks
+                key = (w // self.near_blocks * 2 + side) * many + other
+                order = np.argsort(block * (self.block * 2 * many) + key)
+                out += self.dealt(block[order], key[order], n[order])
+            if far:
+                columns = [np.concatenate(c).astype(np.int64) for c in zip(*far)]
+                columns = _summed(np.ones(len(columns[0]), dtype=np.int64), *columns)
+                out += self.dealt(self.far_block(columns[0]), *columns)
+            return self.batch(out)
+
+        def merge(batches):
+            near, size, far = {}, Counter(), {}
+            for batch in batches:
+                for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                    if block >= self.near_blocks:
+                        far.setdefault(block, []).append(data)
+                        continue
+                    near.setdefault(block, []).append(_unpacked(data, 2))
+                    size[block] += len(near[block][-1][0])
+                    if size[block] >= _KEEP // 2:  # a block of any size in rows of some megabytes
+                        yield summed(block, near.pop(block))
+                        size[block] = 0
+            for block in list(near):
+                yield summed(block, near.pop(block))
+            for block in list(far):
+                *keys, n = (np.concatenate(x) for x in zip(*(_unpacked(d, 4) for d in far.pop(block))))
+                yield self.batch([(block, _packed(*_summed(n, *keys)))])
+
+        def summed(block, parts):
+            code, n = (np.concatenate(x) for x in zip(*parts))
+            return self.batch([(block, _packed(*_summed(n, code)))])
+
+        rows = docs.select("text").mapInArrow(run, self.SCHEMA)
+        return rows.repartition(self.near_blocks + self.far_blocks, "block").mapInArrow(merge, self.SCHEMA)
+
+    def of_near(self, neighbours: DataFrame, classes: np.ndarray) -> DataFrame:
+        """From the neighbours of words of the head whose classes are at hand."""
+        units, many = self.units_end + 1, self.many
+
+        def run(batches):
+            last, total = None, None
+            for batch in batches:
+                for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist()):
+                    if last is not None and block != last:
+                        yield sent(last, total)
+                    if block != last:
+                        last, total = block, np.zeros(self.block * 2 * many)
+                    code, n = _unpacked(data, 2)
+                    total += np.bincount(code // units * many + classes[code % units], weights=n, minlength=len(total))
+            if last is not None:
+                yield sent(last, total)
+
+        def sent(block, total):
+            code = np.flatnonzero(total)
+            return self.batch([(block, _packed(code, total[code]))])
+
+        return neighbours.where(F.col("block") < self.near_blocks).mapInArrow(run, self.SCHEMA)
+
+    def of_far(self, neighbours: DataFrame, tail: DataFrame, classes: np.ndarray) -> DataFrame:
+        """From the rows of words outside the head, which meet the classes of their block: what stands beside them, and they beside
+        others. Those that turn out not to be placed belong to their endings."""
+        many = self.many
+
+        def packed(batches):
+            kept = []
+            for batch in batches:
+                kept.append([batch.column(c).to_numpy().astype(np.int64) for c in "hk"])
+            if kept:
+                h, k = (np.concatenate(x) for x in zip(*kept))
+                order = np.argsort(h)
+                yield self.batch(self.dealt(self.far_block(h[order]), h[order], k[order]))
+
+        def run(batches):
+            for batch in batches:
+                for data, found in zip(batch.column("data").to_pylist(), batch.column("classes").to_pylist()):
+                    h, kind, value, n = _unpacked(data, 4)
+                    w, word = _runs(h)
+                    own, placed = np.zeros(len(w), dtype=np.int64), np.zeros(len(w), dtype=bool)
+                    at = kind == 4
+                    own[word[at]] = self.classes + value[at]
+                    for x in found or []:
+                        of, k = _unpacked(x, 2)
+                        i = np.minimum(np.searchsorted(w, of), len(w) - 1)
+                        i, k = i[w[i] == of], k[w[i] == of]
+                        own[i], placed[i] = k, True
+                    side, near, far = kind % 2, kind < 2, (kind == 2) | (kind == 3)
+                    mine = np.where(near, side * many + classes[np.where(near, value, 0)], 3 * many + value)
+                    theirs = (1 - side) * many + own[word]
+                    here = near | at
+                    beside = _summed(n[near], value[near] * 2 * many + theirs[near])
+                    others = _summed(np.concatenate([n[here], n[far], np.ones(placed.sum(), dtype=np.int64)]),
+                                     np.concatenate([h[here], value[far], w[placed]]), np.concatenate([mine[here], theirs[far], 2 * many + own[placed]]))
+                    yield self.rows(beside, others)
+
+        held = tail.select("h", "k").mapInArrow(packed, self.SCHEMA).groupBy("block").agg(F.collect_list("data").alias("classes"))
+        return neighbours.join(held.hint("merge"), "block", "left").select("data", "classes").mapInArrow(run, self.SCHEMA)
 
     def of_texts(self, docs: DataFrame, known, classes: np.ndarray) -> DataFrame:
         """From the neighbours whose classes are at hand. `known` are the units and the filter, broadcast once for all rounds."""
@@ -372,7 +520,7 @@ class Profiles:
         if block < self.near_blocks:
             code, n = _unpacked(data, 2)
             w, word = _runs(code // (2 * many))
-            w, code = w + block * self.block, code % (2 * many)
+            w, code = w * self.near_blocks + block, code % (2 * many)
             return (w, w < self.n_words, classes[w].astype(np.int64)), (word, code // many, code % many, n)
         h, code, n = _unpacked(data, 3)
         w, word = _runs(h)
@@ -471,27 +619,30 @@ def place(docs: DataFrame, units: Units, classes: np.ndarray, tail: DataFrame |
     In each round the tasks count the classes around every word and choose its best class against the steps of all
     classes. Words without a class enter one at once; of the others a half is asked in each round, by hash, so that words do
     not change places for ever. Rounds end when the steps tell hardly more. Classes of words in the head and the steps reach
-    the driver. The pairs with a word outside the head are written once; only they meet classes in a join. The counts of
-    a round stay on the executors' disks until its end.
+    the driver. How often which words stand side by side is counted and written once, so no round reads the texts; rows of words
+    outside the head meet the classes of their block in a join. The counts of a round stay on the executors' disks until its end.
     """
     told, best, turn = -1.0, None, 0
-    how, flags, pairs = Profiles(len(units.hashes), units.end, 1 + tail_tokens // _FAR), None, None
+    how, flags, far = Profiles(len(units.hashes), units.end, 1 + tail_tokens // _FAR), None, None
     if tail is not None:
         tail = hold(tail)
         flags = bit_filter(tail, "h", _BITS)
     known, classes = docs.sparkSession.sparkContext.broadcast((units, flags)), classes.astype(np.uint8)
+    counts = written(how.neighbours(docs, known))
+    known.destroy()
     if tail is not None:
-        pairs = written(how.pairs(docs, known))
+        far = counts.where(F.col("block") >= how.near_blocks).repartition(how.far_blocks, "block").persist(StorageLevel.DISK_ONLY)
     while True:
-        rows = how.of_texts(docs, known, classes)
+        rows = how.of_near(counts, classes)
         if tail is not None:
-            rows = rows.unionAll(how.of_pairs(pairs, tail))
+            rows = rows.unionAll(how.of_far(far, tail, classes))
         profiles = how.merged(rows).persist(StorageLevel.DISK_ONLY)
         steps = class_steps(profiles, how, classes)
         now = information(steps)
         if turn > 2 and now <= told * (1 + SETTLED):
             profiles.unpersist()
-            known.destroy()
+            if far is not None:
+                far.unpersist()
             classes, tail, steps = (classes, tail, steps) if now > told else best
             return classes.astype(np.int64), tail, steps, flags
         if turn and now > told:  # before the first round, words still stand in the classes of their endings
