@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         def sent():
             h, g = (np.concatenate(x) for x in zip(*kept))
-            values, at, n = np.unique(h, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(values), pa.array(g[at].astype(np.int32)), pa.array(n)], schema=arrow)
+            order = np.argsort(h)
+            h = h[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[:len(h)])
+            return pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(g[order[at]].astype(np.int32)), pa.array(np.diff(at, append=len(h)))], schema=arrow)
 
         for batch in batches:
             for part, words in pieces(batch, "text", NOT_SPACE):
@@ -65,6 +68,35 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, out).groupBy("h", "g").agg(F.sum("c").alias("c"))
 
 
+class Places:
+    """Where hashes stand among sorted ones: those with the same first bits are few, and are compared one after another."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.first = np.searchsorted(self._top(hashes), np.arange((1 << self.BITS) + 1)).astype(np.int32)
+
+    def _top(self, h: np.ndarray) -> np.ndarray:
+        return (h >> (64 - self.BITS)) + (1 << (self.BITS - 1))
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(a place, whether the hash stands there)."""
+        if not len(self.hashes):
+            return np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=bool)
+        top = self._top(h)
+        at = self.first[top]
+        found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == h
+        open_ = np.flatnonzero(~found)
+        while len(open_):
+            at[open_] += 1
+            open_ = open_[at[open_] < self.first[top[open_] + 1]]
+            here = self.hashes[at[open_]] == h[open_]
+            found[open_[here]] = True
+            open_ = open_[~here]
+        return np.minimum(at, len(self.hashes) - 1), found
+
+
 @dataclass
 class Units:
     """Placed words by number, and the numbers of everything else: endings, then the end of a document."""
@@ -75,15 +107,22 @@ class Units:
     def end(self) -> int:
         return len(self.hashes) + ENDINGS
 
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.hashes)
+
     def numbered(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(units of all tokens, index of each document's first token); every document ends with `end`."""
         h = signed(words.hash)
         unit = len(self.hashes) + endings(words)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            unit = np.where(self.hashes[at] == h, self.of[at], unit)
-        seq = np.full(len(h) + words.n_docs, self.end, dtype=np.int64)
-        seq[np.arange(len(h)) + words.doc] = unit
+            at, found = self.places.of(h)
+            unit = np.where(found, self.of[at], unit)
+        return self.sequence(words, unit)
+
+    def sequence(self, words: Words, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        seq = np.full(len(unit) + words.n_docs, self.end, dtype=np.int64)
+        seq[np.arange(len(unit)) + words.doc] = unit
         return seq, words.first[:-1] + np.arange(words.n_docs)
 
     def candidates(self, words: Words, seq: np.ndarray, flags: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -199,14 +238,22 @@ def exchange(pairs: DataFrame, n_words: int) -> np.ndarray:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Numbers by byte planes, the first column as differences, so that little is left of them."""
-    first, *more = columns
-    return zstandard.compress(b"".join(c.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (np.diff(first, prepend=np.int64(0)), *more)), 1)
+    """Numbers by byte planes, as many as they need, the first column as differences, so that little is left of them."""
+    columns = [np.ascontiguousarray(c, dtype=np.int64).view(U64) for c in (np.diff(columns[0], prepend=0), *columns[1:])]
+    wide = [max(1, -(-int(c.max(initial=0)).bit_length() // 8)) for c in columns]
+    return bytes(wide) + zstandard.compress(b"".join(c.view(np.uint8)[k::8].tobytes() for c, w in zip(columns, wide) for k in range(w)), 1)
 
 
 def _unpacked(data: bytes, many: int) -> list[np.ndarray]:
-    first, *more = (np.ascontiguousarray(p.T).view(np.int64).ravel() for p in np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(many, 8, -1))
-    return [np.cumsum(first), *more]
+    wide = list(data[:many])
+    planes = iter(np.frombuffer(zstandard.decompress(data[many:]), dtype=np.uint8).reshape(sum(wide), -1))
+    out = []
+    for w in wide:
+        first, *more = (next(planes) for _ in range(w))
+        out.append(first.astype(np.int64))
+        for k, plane in enumerate(more, 1):
+            out[-1].view(np.uint8)[k::8] = plane
+    return [np.cumsum(out[0]), *out[1:]]
 
 
 def _summed(n: np.ndarray, *keys: np.ndarray) -> list[np.ndarray]:
@@ -294,7 +341,7 @@ class Profiles:
                         values, more = np.unique(np.concatenate(near), return_counts=True)
                         code, n = _summed(np.concatenate([n, more]), np.concatenate([code, values]))
                         near, size = [], 0
-                        if len(code) >= _KEEP or sum(len(x[0]) for x in far) >= _KEEP // 2:
+                        if len(code) >= _KEEP // 2 or sum(len(x[0]) for x in far) >= _KEEP // 2:
                             yield sent(code, n, far)
                             far, code, n = [], blank, blank
             if near:
@@ -304,12 +351,14 @@ class Profiles:
                 yield sent(code, n, far)
 
         def sent(code, n, far):
-            out = []
-            for side, w, other in ((0, code // many, code % many), (1, code % many, code // many)):
-                block = w % self.near_blocks
-                key = (w // self.near_blocks * 2 + side) * many + other
-                order = np.argsort(block * (self.block * 2 * many) + key)
-                out += self.dealt(block[order], key[order], n[order])
+            out, span = [], self.block * 2 * many
+            first, second = code // many, code % many
+            for side, w, other in ((0, first, second), (1, second, first)):
+                key = w % self.near_blocks * span + (w // self.near_blocks * 2 + side) * many + other
+                order = np.argsort(key)
+                key, times = key[order], n[order]
+                cuts = np.searchsorted(key, np.arange(self.near_blocks + 1) * span)
+                out += [(b, _packed(key[i:j] - b * span, times[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
             if far:
                 columns = [np.concatenate(c).astype(np.int64) for c in zip(*far)]
                 columns = _summed(np.ones(len(columns[0]), dtype=np.int64), *columns)
@@ -744,29 +793,34 @@ def score(docs: DataFrame, model: Model, table: DataFrame, doc_id: str = "doc_id
 
     def run(batches):
         uid = TaskContext.get().partitionId() << 40
+        # words with a unit are words whose counts are at hand, so one look finds both
+        head, unit_of = Places(m.head), np.full(max(len(m.head), 1), -1)
+        unit_of[np.searchsorted(m.head, m.units.hashes)] = m.units.of
+        counts = m.counts if len(m.head) else np.zeros(1, dtype=np.int64)
+        base_of, log_of = m.base(counts), np.log10(np.maximum(counts, 1))
         for batch in batches:
             for part, words in pieces(batch, "text", NOT_SPACE):
                 rows = part.num_rows
-                seq, first = m.units.numbered(words)
+                h = signed(words.hash)
+                at, near = head.of(h)
+                unit = np.where(near, unit_of[at], -1)
+                seq, first = m.units.sequence(words, np.where(unit >= 0, unit, len(m.units.hashes) + endings(words)))
                 cls = m.classes[seq]
                 before = np.concatenate([[cls[-1]], cls[:-1]])
                 value = m.steps[before, cls]
                 base = np.full(len(seq), m.base(m.ends) if m.ends else m.base(0))
                 known = np.full(len(seq), bool(m.ends))
                 at_word = np.arange(len(words.hash)) + words.doc
-                h, unit = signed(words.hash), seq[at_word]
-                at = np.minimum(np.searchsorted(m.head, h), max(len(m.head) - 1, 0))
-                near = m.head[at] == h if len(m.head) else np.zeros(len(h), dtype=bool)
-                count = m.counts[at] if len(m.head) else np.zeros(len(h), dtype=np.int64)
+                unit = seq[at_word]
                 placed = unit < len(m.units.hashes)
                 g = np.where(placed, 0, unit - len(m.units.hashes))
-                own = np.where(near, m.share[g] + np.log10(np.maximum(count, 1)), 0.0)
+                own = np.where(near, m.share[g] + log_of[at], 0.0)
                 if len(m.frequent):
                     own = np.where(placed, m.frequent[np.minimum(unit, len(m.frequent) - 1)], own)
                 token, open_ = m.units.candidates(words, seq, m.flags if m.tail else None)
                 value[open_ | np.roll(open_, 1)] = 0.0
                 value[at_word] += own
-                base[at_word] = np.where(near, m.base(count), 0.0)
+                base[at_word] = np.where(near, base_of[at], 0.0)
                 known[at_word] = near
                 ids = np.arange(rows) + uid
                 uid += rows
