@@ -12,6 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tidebook.llm.shared import small_batches
 from tidebook.llm.tokens import kept_ids, lowered, slices, together
 
 CAPACITY = 4096
@@ -140,6 +141,7 @@ def pack_levels(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     only. Repeated rows are packed as often as they occur; ids may be null. An empty table gives no rows. Other columns
     are not read.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = (T.StructType([source.schema["doc_id"]]).add("start", "long").add("length", "long").add("ids_crc32", "long").add("doc_tokens", "long")
            .add("sequence_id", "long").add("offset", "long"))
