@@ -276,3 +276,20 @@ def test_index_counts_every_phrase():
     assert dict(zip(zip(first.tolist(), second.tolist()), n.tolist())) == dict(wanted2)
     assert dict(zip(zip(before.tolist(), first[rest].tolist(), second[rest].tolist()), count.tolist())) == dict(wanted3)
     assert (first[begin] == before).all() and (second[begin] == first[rest]).all()
+
+
+def test_phrases_are_summed_in_rounds(spark, monkeypatch, tmp_path):
+    """Each pair and triple is summed in one round, which shuffles a part of them only; what it was made from can be deleted before the next."""
+    rounds, over = [], phrases._over
+    monkeypatch.setattr(phrases, "_over", lambda *a: rounds.append(over(*a)) or rounds[-1])
+    rng = random.Random(7)
+    rows = [(i, " ".join(str(rng.randint(0, 60)) for _ in range(400)), "s", "en") for i in range(40)]
+    _, two, three, _ = phrases.counted(table(spark, rows).repartition(3), str(tmp_path), least=2, shard_words=2000)
+    want = [Counter(tuple(w[i:i + k]) for _, t, _, _ in rows for w in [t.split()] for i in range(len(w) - k + 1)) for k in (2, 3)]
+    sizes = {2: [], 3: []}
+    for made in rounds:
+        sizes[len(made.columns) - 1].append(made.agg(F.sum("n")).first()[0])
+    for k, found in ((2, two), (3, three)):
+        assert sorted(r["n"] for r in found.collect()) == sorted(n for n in want[k - 2].values() if n > 1)
+        assert max(sizes[k]) < 0.4 * sum(sizes[k])
+    assert sum(sizes[2]) == sum(want[0].values())

@@ -4,6 +4,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ PART_TOPS = 16
 SHARD_WORDS = 1 << 20
 #: Bits of the filters on frequent words and pairs.
 BITS = 24
+#: Rounds in which pairs and triples are summed (a power of two): the shuffle of one round is on disk at a time.
+ROUNDS = 4
 #: Bytes of a row group of the indexes, whose rows have some megabytes each.
 GROUP = 16 << 20
 
@@ -199,19 +202,36 @@ def _joint(first, second):
 
 
 def _saved(df: DataFrame, path: str, **options) -> DataFrame:
-    """A table in the shared folder: it ends the lineage, and no row of it is lost with an executor."""
+    """A table in the shared folder: it ends the lineage, and no row of it is lost with an executor.
+
+    The shuffles it came from are deleted after a garbage collection on the driver, which is asked for here."""
     df.write.options(**options).parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _frequent(index: DataFrame, words: int, grams: Callable[[np.ndarray, Index], tuple[np.ndarray, ...]], least: int, path: str) -> DataFrame:
+    """Phrases of `words` words (h1, h2, ..., n) that occur `least` times or more, summed over the shards in ROUNDS rounds: a round
+    takes the phrases whose hash falls to it, from all shards, and writes a table of its own."""
+    keys, tables = [f"h{k + 1}" for k in range(words)], []
+    for k in range(ROUNDS):
+        def of_round(hashes: np.ndarray, index: Index, k: int = k) -> tuple[np.ndarray, ...]:
+            found = grams(hashes, index)
+            mine = (reduce(_joint, found[:-1]) & U64(ROUNDS - 1)) == U64(k)
+            return tuple(c[mine] for c in found)
+        summed = _over(index, ", ".join(f"{c} bigint" for c in [*keys, "n"]), of_round).groupBy(*keys).agg(F.sum("n").alias("n"))
+        tables.append(_saved(summed.where(F.col("n") >= least), f"{path}/{k}"))
+    return index.sparkSession.read.schema(tables[0].schema).parquet(*[f"{path}/{k}" for k in range(ROUNDS)])
+
+
 def counted(docs: DataFrame, folder: str, least: int = LEAST, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Words (lang, word, h, n), pairs (h1, h2, n) and triples (h1, h2, h3, n) that occur `least` times or more, and words of each
     lang (lang, n).
 
     The indexes are built once and written to `folder`, as are the counts. Their counts are summed across shards level by level: a phrase
     can be frequent only if both its parts are, so a shard reports a pair of frequent words, a triple of two frequent
-    pairs, found by a filter of fixed size; what passes it wrongly is summed exactly and fails the threshold. Words
-    are known by 64-bit hashes of language and word, which are verified to be one to one over the whole vocabulary.
+    pairs, found by a filter of fixed size; what passes it wrongly is summed exactly and fails the threshold. Pairs and triples are summed
+    in rounds, so that only a part of them is in a shuffle at a time. Words are known by 64-bit hashes of language and word, which are verified to be one to one over the whole vocabulary.
     """
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     small_batches(docs.sparkSession)
@@ -233,8 +253,7 @@ def counted(docs: DataFrame, folder: str, least: int = LEAST, shard_words: int =
         first, second, n = index.pairs()
         keep = known[first] & known[second]
         return keys[first[keep]], keys[second[keep]], n[keep]
-    summed = _over(index, "h1 bigint, h2 bigint, n bigint", pairs).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-    two = _saved(summed.where(F.col("n") >= least), f"{folder}/pairs")
+    two = _frequent(index, 2, pairs, least, f"{folder}/pairs")
     joint = bit_filter(two.select(_joint(F.col("h1"), F.col("h2")).alias("h")), "h", BITS)
 
     def triples(keys: np.ndarray, index: Index) -> tuple[np.ndarray, ...]:
@@ -243,8 +262,7 @@ def counted(docs: DataFrame, folder: str, least: int = LEAST, shard_words: int =
         before, rest, begin, count = index.triples(first, second, n)
         keep = known[rest] & known[begin]
         return keys[before[keep]], keys[first[rest[keep]]], keys[second[rest[keep]]], count[keep]
-    summed = _over(index, "h1 bigint, h2 bigint, h3 bigint, n bigint", triples).groupBy("h1", "h2", "h3").agg(F.sum("n").alias("n"))
-    return words, two, _saved(summed.where(F.col("n") >= least), f"{folder}/triples"), totals
+    return words, two, _frequent(index, 3, triples, least, f"{folder}/triples"), totals
 
 
 def _score(a: str, l: str, r: str) -> Column:  # noqa: E741
