@@ -1,8 +1,10 @@
 """What Python workers keep from task to task stays small, however many words they meet."""
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
-from tidebook.llm import tokens
+from tidebook.llm import level_packing, packing, tokens
+from tidebook.llm.queries import vocabulary
 from tidebook.llm.shared import text_bytes
 
 
@@ -41,3 +43,10 @@ def test_parts_of_one_hash_are_told_apart(monkeypatch):
     ids = tokens.Ids(lambda parts: [np.array([int(p), 1], dtype="<u4") for p in parts], 2)
     for numbers in ([3, 4, 55], [55, 3, 4], [9, 3, 66]):
         assert ids.of(*text_bytes(pa.array([" ".join(map(str, numbers))])))[0].tolist() == [x for n in numbers for x in (n, 1)] + [2]
+
+
+def test_packing_takes_small_batches(spark):
+    docs, name = spark.createDataFrame([(1, "a text")], "doc_id long, text string"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for pack in (lambda: packing.pack(docs, *vocabulary()), lambda: level_packing.pack_levels(docs, public_tokenizers.path("word_bpe_49k.json"))):
+        spark.conf.set(name, "10000")
+        assert pack().count() and spark.conf.get(name) == "2000"
